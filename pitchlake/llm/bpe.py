@@ -137,7 +137,7 @@ def word_starts(data: bytes, offsets: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Tokens by rank, a cache of merged words, and the tokens' bytes for decoding."""
 
-    def __init__(self, lines: bytes, most_words: int = 1 << 19) -> None:
+    def __init__(self, lines: bytes, most_words: int = 1 << 18) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x.strip())}
         by_id = dict(zip(self.ranks.values(), self.ranks))
         tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]

@@ -55,7 +55,7 @@ def utf8(column: pa.Array) -> tuple[bytes, np.ndarray]:
     return data[int(offsets[0]) : int(offsets[-1])].to_pybytes(), offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text; a longer text stands alone."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_col)), 0), dtype=np.int64)
