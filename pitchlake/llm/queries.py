@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, lz, quality, simhash, toxicity
+from . import bpe, decontam, linededup, lz, quality, simhash, toxicity, warc
 from .labelled import held_out
 
 
@@ -27,6 +27,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    id_of = lambda c: F.conv(F.right(F.regexp_replace(c, "[-<>]", ""), F.lit(16)), 16, -10).cast("long")
+    return found.select(id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to").alias("refers_to"))
+
+
 def op6_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -57,8 +63,8 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lz_fingerprints, op2_byte_bpe, op6_inverted_index, op7_toxicity, op8_line_templates, op9_quality, op10_simhash_anchors)}
+    return {f.__name__: f for f in (op1_lz_fingerprints, op2_byte_bpe, op4_warc_zstd, op6_inverted_index, op7_toxicity, op8_line_templates, op9_quality, op10_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_templates": linededup.ORACLE}
+    return {"op4_warc_zstd": warc.ORACLE, "op8_line_templates": linededup.ORACLE}

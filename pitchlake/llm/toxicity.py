@@ -1,7 +1,7 @@
 """Toxicity scores from a weighted lexicon that an Aho-Corasick automaton matches in folded text.
 
 Folding lowers case, gives look-alike letters of other scripts and digits that stand for letters one form, drops marks
-and invisible characters inside words, and makes the rest spaces. A lexicon entry is a word or the beginning of a word;
+that compose with no letter and invisible characters inside words, and makes the rest spaces. A lexicon entry is a word or the beginning of a word;
 at each word the longest entry counts, unless it lies in an exception phrase. The sum of the weights, divided by the
 number of words, goes through a logistic curve to a score between 0 and 1.
 

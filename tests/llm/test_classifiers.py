@@ -30,7 +30,7 @@ def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({" idiot": 5.0, " idio": 3.0, " trash ": 4.0}, curve=(-4.0, 10.0, 2.0))
     found = lexicon.automaton()
     total = lambda t: round(np.expm1(lexicon.features(found, t)[1]), 6)
-    for t in ("You idiot", "1d10t!", "ІDІОT", "ｉｄｉｏｔ", "i​diot", "ídiot".replace("í", "í")):
+    for t in ("You idiot", "1d10t!", "ІDІОT", "ｉｄｉｏｔ", "i​diot", "idi\u0336ot"):
         assert total(t) == 5.0, t
     assert total("trash, trashy and an idio") == 7.0
     assert total("a trash can") == 0.0
