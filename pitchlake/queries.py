@@ -256,3 +256,291 @@ def team_style(spark, sf_dir):
 @query(f"{O.FIT} SELECT p.season_id, p.player_id, t.team_id, coalesce(fit_score, 0) AS fit_score FROM (SELECT DISTINCT season_id, player_id FROM dna) p JOIN (SELECT DISTINCT season_id, team_id FROM style) t ON t.season_id = p.season_id LEFT JOIN fit f ON f.season_id = p.season_id AND f.player_id = p.player_id AND f.team_id = t.team_id")
 def club_fit(spark, sf_dir):
     return Tables(spark, sf_dir).fit().select("season_id", "player_id", "team_id", "fit_score")
+
+
+# --- scalar functions over all events
+
+from .operators import spatial, tracking, views  # noqa: E402
+
+_XY = "x", "y", "end_x", "end_y"
+
+
+def _events(spark, sf_dir):
+    return bridge.events(spark, sf_dir)
+
+
+@query(f"""{bridge.PRELUDE}, s AS (SELECT event_id, x / 105 * 120 AS sx, 80 - y / 68 * 80 AS sy FROM ev)
+SELECT event_id, {O.rnd('least(greatest(sx / 120 * 105, 0), 105)', 2)} AS cx, {O.rnd('least(greatest(68 - sy / 80 * 68, 0), 68)', 2)} AS cy, {O.rnd('least(greatest(105 - sx / 120 * 105, 0), 105)', 2)} AS fx, {O.rnd('least(greatest(68 - (68 - sy / 80 * 68), 0), 68)', 2)} AS fy FROM s""")
+def to_canonical(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", (F.col("x") / 105 * 120).alias("sx"), (80 - F.col("y") / 68 * 80).alias("sy"))
+    (cx, cy), (fx, fy) = S.to_canonical(F.col("sx"), F.col("sy"), "STATSBOMB_120_80"), S.to_canonical(F.col("sx"), F.col("sy"), "STATSBOMB_120_80", flip=True)
+    return e.select("event_id", cx.alias("cx"), cy.alias("cy"), fx.alias("fx"), fy.alias("fy"))
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, {O.rnd('x / 105 * 1', 4)} AS px, {O.rnd('1 - y / 68 * 1', 4)} AS py FROM ev")
+def from_canonical(spark, sf_dir):
+    px, py = S.from_canonical(F.col("x"), F.col("y"), "METRICA_0_1")
+    return _events(spark, sf_dir).select("event_id", px.alias("px"), py.alias("py"))
+
+
+@query(f"""{bridge.PRELUDE}, g AS (SELECT *, {O.dist('x', 'y', '105', '30.34')} AS a, {O.dist('x', 'y', '105', '37.66')} AS b FROM ev)
+SELECT event_id, {O.dist('x', 'y', 'end_x', 'end_y')} AS distance, {O.rnd('atan2(end_y - y, end_x - x)', 4)} AS angle, {O.goal('x', 'y')} AS to_goal,
+CASE WHEN a = 0 OR b = 0 THEN 0 ELSE {O.rnd('acos(least(greatest((a * a + b * b - 7.32 * 7.32) / (2 * a * b), -1), 1)) * 180 / pi()', 2)} END AS goal_angle FROM g""")
+def distances_and_angles(spark, sf_dir):
+    c = [F.col(x) for x in _XY]
+    return _events(spark, sf_dir).select("event_id", S.distance(*c).alias("distance"), S.angle(*c).alias("angle"), S.distance_to_goal(*c[:2]).alias("to_goal"), S.goal_angle_deg(*c[:2]).alias("goal_angle"))
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, x >= 70 AS final_third, {O.box('x', 'y')} AS box, x <= 16.5 AND y >= 13.84 AND y <= 54.16 AS own_box FROM ev")
+def zone_predicates(spark, sf_dir):
+    x, y = F.col("x"), F.col("y")
+    return _events(spark, sf_dir).select("event_id", S.in_final_third(x).alias("final_third"), S.in_box(x, y).alias("box"), S.in_own_box(x, y).alias("own_box"))
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, {O.prog('x', 'y', 'end_x', 'end_y')} AS progressive, {O.rnd(f'greatest(0, {O.goal('x', 'y')} - {O.goal('end_x', 'end_y')})', 2)} AS gain FROM ev")
+def progressive_actions(spark, sf_dir):
+    c = [F.col(x) for x in _XY]
+    return _events(spark, sf_dir).select("event_id", S.is_progressive(*c).alias("progressive"), S.progressive_distance(*c).alias("gain"))
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, {O.rnd('xa', 2)} AS two, {O.rnd('-xg', 1)} AS one, {O.rnd('x * y')} AS none FROM ev")
+def round_half_up(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", S.jsround(F.col("xa"), 2).alias("two"), S.jsround(-F.col("xg"), 1).alias("one"), S.jsround(F.col("x") * F.col("y")).alias("none"))
+
+
+_EST = O.rnd(f"least(0.95, greatest(0.01, exp(-0.11 * {O.goal('x', 'y')}) * CASE WHEN event_id % 4 = 0 THEN 0.55 ELSE 1 END))", 3)
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, CASE WHEN is_penalty THEN 0.76 ELSE {_EST} END AS estimate, CASE WHEN event_id % 2 = 0 THEN xg WHEN is_penalty THEN 0.76 ELSE {_EST} END AS resolved FROM ev")
+def expected_goals(spark, sf_dir):
+    x, y, header, penalty = F.col("x"), F.col("y"), F.col("event_id") % 4 == 0, F.col("is_penalty")
+    return _events(spark, sf_dir).select("event_id", S.estimate_xg(x, y, header, penalty).alias("estimate"), S.resolve_xg(F.when(F.col("event_id") % 2 == 0, F.col("xg")), x, y, header, penalty).alias("resolved"))
+
+
+_VOCAB = list(S.EVENT_TYPES["120x80"].items())
+
+
+@query(f"{bridge.PRELUDE}, v AS (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES {O.values(_VOCAB)}) t(raw, canon)) SELECT event_id, coalesce(canon, 'OTHER') AS type, CASE WHEN foot IN ('LEFT', 'RIGHT') THEN foot ELSE 'UNKNOWN' END AS foot FROM ev JOIN players USING (player_id) LEFT JOIN v ON i = event_id % {len(_VOCAB) + 1}")
+def event_vocabulary(spark, sf_dir):
+    raw = F.get(F.array(*(F.lit(k) for k, _ in _VOCAB), F.lit("Unknown type")), (F.col("event_id") % (len(_VOCAB) + 1)).cast("int"))
+    rows = _events(spark, sf_dir).join(bridge.players(spark, sf_dir).select("player_id", "foot"), "player_id")
+    return rows.select("event_id", S.map_event_type(raw, "120x80").alias("type"), S.coerce_enum(F.lower("foot"), ["LEFT", "RIGHT"], "UNKNOWN").alias("foot"))
+
+
+_TEXTS = [("Goal keeper", "GK"), ("Left Back", "DF"), ("RCM", "MF"), ("Centre forward", "FW"), ("LWX", "FW"), ("CBX", "DF"), ("Sweeper", "MF"), ("GK1", "GK"), ("second striker", "FW"), ("AM/LW", "MF")]
+
+
+@query(f"{bridge.PRELUDE} SELECT player_id, CASE player_id % {len(_TEXTS)} {' '.join(f'WHEN {i} THEN {g!r}' for i, (_, g) in enumerate(_TEXTS))} END AS position_group FROM players")
+def position_groups(spark, sf_dir):
+    text = F.get(F.array(*(F.lit(t) for t, _ in _TEXTS)), (F.col("player_id") % len(_TEXTS)).cast("int"))
+    return bridge.players(spark, sf_dir).select("player_id", S.position_group(text).alias("position_group"))
+
+
+@query("SELECT event_id, CAST((event_id % 3) * 3600000 + (event_id % 60) * 60000 + (event_id % 59) * 1000 + event_id % 1000 AS BIGINT) AS ms, CAST((event_id % 3) * 3600000 + (event_id % 60) * 60000 + (event_id % 59) * 1000 AS BIGINT) AS rounded, CAST(ts AS DATE) AS day FROM events")
+def clocks_and_dates(spark, sf_dir):
+    e = bridge.read(spark, sf_dir, "events")
+    part = lambda m, n: F.lpad((F.col("event_id") % m).cast("string"), n, "0")
+    hms = F.concat_ws(":", part(3, 2), part(60, 2), part(59, 2))
+    return e.select("event_id", S.clock_ms(F.concat(hms, F.lit("."), part(1000, 3))).alias("ms"), S.clock_ms(hms, "seconds").alias("rounded"), S.parse_date(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("day"))
+
+
+@query(f"{bridge.PRELUDE} SELECT match_id, player_id, CAST(greatest(0, CASE WHEN is_starter THEN 90 ELSE minutes END - player_id % 40) AS BIGINT) AS minutes FROM app")
+def minutes_from_spells(spark, sf_dir):
+    a = Tables(spark, sf_dir).appearances
+    clock = lambda m: F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
+    spells = F.array(F.struct(clock(F.col("player_id") % 40).alias("from"), F.lit("00:45").alias("to")), F.struct(F.lit("00:45").alias("from"), F.when(~F.col("is_starter"), clock(F.col("minutes"))).alias("to")))
+    return a.select("match_id", "player_id", S.minutes_from_spells(spells).cast("bigint").alias("minutes"))
+
+
+_COL3, _ROW5, _COL5, _ROW4 = (f"CAST(least({n - 1}, floor({c} / {size} * {n})) AS BIGINT)" for c, size, n in (("x", 105, 3), ("y", 68, 5), ("x", 105, 5), ("y", 68, 4)))
+_KEY3 = f"(['Defensive', 'Middle', 'Attacking'])[{_COL3} + 1] || '/' || (['Left', 'Left half-space', 'Centre', 'Right half-space', 'Right'])[{_ROW5} + 1]"
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, {_KEY3} AS third, {_ROW5} AS lane, 'C' || ({_COL5} + 1) || 'R' || ({_ROW4} + 1) AS cell FROM ev")
+def zone_of_point(spark, sf_dir):
+    a, b = S.zone_of(F.col("x"), F.col("y")), S.zone_of(F.col("x"), F.col("y"), "GRID_5X4")
+    return _events(spark, sf_dir).select("event_id", a["key"].alias("third"), a["row"].cast("bigint").alias("lane"), b["key"].alias("cell"))
+
+
+_KIND = "CASE WHEN type = 'PASS' THEN 'passes' WHEN type IN ('CARRY', 'DRIBBLE') THEN 'carries' WHEN type = 'SHOT' THEN 'shots' WHEN type = 'PRESSURE' THEN 'pressures' WHEN type IN ('TACKLE', 'INTERCEPTION', 'BLOCK', 'CLEARANCE', 'RECOVERY') THEN 'defensive_actions' ELSE 'touches' END"
+_types = lambda kind: ", ".join(repr(t) for t in config.HEATMAPS[kind][0])
+
+
+@query(bridge.PRELUDE + " UNION ALL ".join(f" SELECT '{k}' AS heatmap, event_id, {'end_x' if end else 'x'} AS x, {'end_y' if end else 'y'} AS y, CAST({'greatest(0.05, xg)' if k == 'SHOT' else '1'} AS DOUBLE) AS weight FROM ev WHERE type IN ({_types(k)})" for k, (_, end) in config.HEATMAPS.items()))
+def heatmap_points(spark, sf_dir):
+    events = Tables(spark, sf_dir).events
+    parts = [spatial.heatmap_points(events, k, ["event_id"]).select(F.lit(k).alias("heatmap"), "event_id", "x", "y", "weight") for k in config.HEATMAPS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, minute FROM ev WHERE period = 2 AND minute BETWEEN 50 AND 80 AND team_id = 3 AND type IN ('PASS', 'SHOT') AND possession_team_id <> team_id")
+def filter_events(spark, sf_dir):
+    found = spatial.filter_events(_events(spark, sf_dir), half=2, minutes=(50, 80), team_id=3, types=["PASS", "SHOT"], possession="OUT")
+    return doubles(found.select("event_id", "minute"))
+
+
+@query(f"{O.SEASON} SELECT player_id, season_id, {O._band('minutes', 'matches', '0')} AS without_flags, confidence, CASE WHEN confidence = 'INSUFFICIENT' THEN 'Insufficient data' ELSE 'Confidence: ' || confidence[1] || lower(confidence[2:]) END || ' - ' || minutes || ' minutes across ' || matches || CASE WHEN matches = 1 THEN ' match' ELSE ' matches' END AS summary FROM season")
+def confidence_bands(spark, sf_dir):
+    t = Tables(spark, sf_dir).totals()
+    cover = sum((F.col(f"available.{k}").cast("int") for k in M.FAMILIES), F.lit(0)) / len(M.FAMILIES)
+    own, none = S.assess_quality(F.col("minutes"), F.col("matches"), cover), S.assess_quality(F.col("minutes"), F.col("matches"), 0.0)
+    return t.select("player_id", "season_id", none["confidence"].alias("without_flags"), own["confidence"].alias("confidence"), own["summary"].alias("summary"))
+
+
+@query(f"{bridge.PRELUDE} SELECT player_id, CAST(date_diff('year', birth_date, DATE '2024-01-31') - CASE WHEN strftime(DATE '2024-01-31', '%m%d') < strftime(birth_date, '%m%d') THEN 1 ELSE 0 END AS BIGINT) AS age, CAST(floor(date_diff('day', birth_date, DATE '2024-01-31') / 365.25) AS BIGINT) AS approximate FROM players")
+def ages(spark, sf_dir):
+    at, birth = F.lit("2024-01-31").cast("date"), F.col("birth_date")
+    return doubles(bridge.players(spark, sf_dir).select("player_id", S.age_years(birth, at).alias("age"), S.age_approx(birth, at).alias("approximate")))
+
+
+@query(f"{O.LONG} SELECT DISTINCT metric_key, {' || '.join(['upper(metric_key[1])', 'replace(metric_key[2:], chr(95), chr(32))'])} IS NOT NULL AS known, metric_key LIKE '%p90' AS rate FROM long")
+def metric_names(spark, sf_dir):
+    label = S.humanise(F.col("metric_key"))
+    return Tables(spark, sf_dir).long().select("metric_key", label.isNotNull().alias("known"), label.endswith("Per 90").alias("rate")).distinct()
+
+
+@query(f"{O.SEASON} SELECT player_id, season_id, {O.rnd('CAST(tackles AS DOUBLE) / minutes * 90', 3)} AS tackles_p90, CASE WHEN touches > 0 THEN {O.rnd('CAST(passes AS DOUBLE) / touches * 100', 3)} ELSE 0 END AS passes_per_100 FROM tot")
+def rates(spark, sf_dir):
+    return Tables(spark, sf_dir).totals().select("player_id", "season_id", S.per90(F.col("tackles"), F.col("minutes")).alias("tackles_p90"), S.per_possession(F.col("passes"), F.col("touches")).alias("passes_per_100"))
+
+
+# --- zones, heatmaps, networks
+
+_ZCOUNT = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in spatial.KINDS)
+_ZONES = f"""{bridge.PRELUDE}, z AS (SELECT player_id, match_id, {_KEY3} AS zone_key, {_ROW5} AS zone_row, {_COL3} AS zone_col, {_KIND} AS kind, duration_sec FROM ev),
+za AS (SELECT player_id, match_id, zone_key, zone_row, zone_col, {_ZCOUNT}, {O.rnd('sum(duration_sec)', 1)} AS possession_time_sec FROM z GROUP BY ALL)"""
+
+
+@query(f"{_ZONES} SELECT player_id, match_id, zone_key, {', '.join(spatial.KINDS)}, possession_time_sec FROM za")
+def zone_activity(spark, sf_dir):
+    z = spatial.zone_activity(_events(spark, sf_dir), ["player_id", "match_id"])
+    return z.select("player_id", "match_id", "zone_key", *spatial.KINDS, S.jsround(F.col("possession_time_sec"), 1).alias("possession_time_sec"))
+
+
+@query(f"{_ZONES} SELECT player_id, zone_key, count(DISTINCT match_id) AS matches, {', '.join(f'CAST(sum({k}) AS BIGINT) AS {k}' for k in spatial.KINDS)} FROM za GROUP BY player_id, zone_key")
+def zone_rollup(spark, sf_dir):
+    z = spatial.zone_rollup(spatial.zone_activity(_events(spark, sf_dir), ["player_id", "match_id"]), ["player_id"])
+    return z.select("player_id", "zone_key", "matches", *spatial.KINDS)
+
+
+def _heat(subject: str, source: str, cols: int, rows: int, cells: str, x: str) -> str:
+    """SQL of a complete grid from cells(subject, col, row, value, count)."""
+    return f"""{source}, cells AS ({cells}), peak AS (SELECT {subject}, max(value) AS peak, CAST(sum(n) AS BIGINT) AS sample_size FROM cells GROUP BY {subject}),
+grid AS (SELECT {subject}, peak, sample_size, c.i AS col, r.i AS row FROM peak, (SELECT CAST(unnest(range(0, {cols})) AS BIGINT) AS i) c, (SELECT CAST(unnest(range(0, {rows})) AS BIGINT) AS i) r)
+SELECT g.{subject}, g.col, g.row, {x} AS x, {O.rnd(f'CAST(68 AS DOUBLE) / {rows} * (g.row + 0.5)', 2)} AS y, CASE WHEN peak > 0 THEN {O.rnd('coalesce(value, 0) / peak', 4)} ELSE 0 END AS value, coalesce(n, 0) AS count, sample_size
+FROM grid g LEFT JOIN cells k ON k.{subject} = g.{subject} AND k.col = g.col AND k.row = g.row"""
+
+
+def _shown(df: DataFrame, subject: str) -> DataFrame:
+    return doubles(df.select(subject, "col", "row", "x", "y", "value", "count", "sample_size"))
+
+
+_C24, _R16 = "CAST(least(23, floor(x / 105 * 24)) AS BIGINT)", "CAST(least(15, floor(y / 68 * 16)) AS BIGINT)"
+_PTS = f"{bridge.PRELUDE}, pts AS (SELECT team_id, x, y, CAST(1 AS DOUBLE) AS weight FROM ev WHERE type IN ({_types('TOUCH')}))"
+_SX = O.rnd("CAST(105 AS DOUBLE) / 24 * (g.col + 0.5)", 2)
+
+
+def _touches(spark, sf_dir):
+    return spatial.heatmap_points(Tables(spark, sf_dir).events, "TOUCH", ["team_id"])
+
+
+@query(_heat("team_id", _PTS, 24, 16, f"SELECT team_id, {_C24} AS col, {_R16} AS row, sum(weight) AS value, count(*) AS n FROM pts GROUP BY ALL", _SX))
+def heatmap_grid(spark, sf_dir):
+    return _shown(spatial.heatmap_grid(_touches(spark, sf_dir), ["team_id"]), "team_id")
+
+
+_HEX = "CAST(greatest(0, least(23, floor((x - CASE WHEN row % 2 = 1 THEN CAST(105 AS DOUBLE) / 24 / 2 ELSE 0 END) / (CAST(105 AS DOUBLE) / 24) + 0.5))) AS BIGINT)"
+
+
+@query(_heat("team_id", _PTS, 24, 16, f"SELECT team_id, {_HEX} AS col, row, sum(weight) AS value, count(*) AS n FROM (SELECT *, {_R16} AS row FROM pts) GROUP BY ALL", O.rnd("least(105, CAST(105 AS DOUBLE) / 24 * g.col + CASE WHEN g.row % 2 = 1 THEN CAST(105 AS DOUBLE) / 24 / 2 ELSE 0 END + CAST(105 AS DOUBLE) / 24 / 2)", 2)))
+def heatmap_hexbin(spark, sf_dir):
+    return _shown(spatial.heatmap_hexbin(_touches(spark, sf_dir), ["team_id"]), "team_id")
+
+
+_KX, _KY = O.rnd("CAST(105 AS DOUBLE) / 24 * (c + 0.5)", 2), O.rnd("CAST(68 AS DOUBLE) / 16 * (r + 0.5)", 2)
+_AROUND = "pts, (SELECT unnest(range(0, 24)) AS c) cs, (SELECT unnest(range(0, 16)) AS r) rs"
+
+
+@query(_heat("team_id", _PTS, 24, 16, f"SELECT team_id, c AS col, r AS row, sum(CASE WHEN abs(c - {_C24}) <= 5 AND abs(r - {_R16}) <= 5 AND pow({_KX} - x, 2) + pow({_KY} - y, 2) <= 324 THEN weight * exp(-(pow({_KX} - x, 2) + pow({_KY} - y, 2)) / 72) ELSE 0 END) AS value, count(*) FILTER (WHERE c = {_C24} AND r = {_R16}) AS n FROM {_AROUND} GROUP BY ALL", _SX))
+def heatmap_kde(spark, sf_dir):
+    return _shown(spatial.heatmap_kde(_touches(spark, sf_dir), ["team_id"]), "team_id")
+
+
+@query(_heat("team_id", _PTS.replace(f"({_types('TOUCH')})", "('SHOT')"), 24, 16, f"SELECT team_id, c AS col, r AS row, sum(weight * exp(-(pow({_KX} - x, 2) + pow({_KY} - y, 2)) / 72)) AS value, count(*) FILTER (WHERE c = {_C24} AND r = {_R16}) AS n FROM {_AROUND} GROUP BY ALL", _SX))
+def heatmap_kde_full(spark, sf_dir):
+    shots = spatial.heatmap_points(Tables(spark, sf_dir).events, "SHOT", ["team_id"]).withColumn("weight", F.lit(1.0))
+    return _shown(spatial.heatmap_kde_full(shots, ["team_id"]), "team_id")
+
+
+@query()
+def heatmap_kde_covariance(spark, sf_dir):
+    shots = spatial.heatmap_points(Tables(spark, sf_dir).events, "SHOT", ["team_id"])
+    return spatial.heatmap_kde_full(shots, ["team_id"], method="covariance")
+
+
+@query(f"""{_heat('l_suppkey', "WITH pts AS (SELECT l_suppkey, CAST((l_partkey * 7919 + l_orderkey * 31) % 10501 AS DOUBLE) / 100 AS x, CAST((l_partkey * 6151 + l_orderkey * 17) % 6801 AS DOUBLE) / 100 AS y, l_discount AS weight FROM lineitem)", 24, 16, f"SELECT l_suppkey, {_C24} AS col, {_R16} AS row, sum(CAST(floor(weight * 100 + 0.5) AS BIGINT)) / 100.0 AS value, count(*) AS n FROM pts GROUP BY ALL", _SX)}""")
+def heatmap_grid_large(spark, sf_dir):
+    """A grid for each supplier over all line items: the large spatial load."""
+    li = bridge.read(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "CAST((l_partkey * 7919 + l_orderkey * 31) % 10501 AS DOUBLE) / 100 AS x", "CAST((l_partkey * 6151 + l_orderkey * 17) % 6801 AS DOUBLE) / 100 AS y", "CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS weight")
+    return _shown(spatial.heatmap_grid(li, ["l_suppkey"]), "l_suppkey")
+
+
+def _net(where: str) -> str:
+    return f"""{bridge.PRELUDE}, p AS (SELECT *, CASE WHEN pass_completed AND recipient_id <> player_id THEN recipient_id END AS to_id FROM ev WHERE type = 'PASS' {where}),
+ends AS (SELECT match_id, team_id, player_id, x, y, minute, 1 AS given FROM p UNION ALL SELECT match_id, team_id, to_id, end_x, end_y, minute, 0 FROM p WHERE to_id IS NOT NULL)"""
+
+
+@query(f"{_net('')} SELECT match_id, team_id, player_id, {O.rnd('avg(x)', 6)} AS x, {O.rnd('avg(y)', 6)} AS y, CAST(sum(given) AS BIGINT) AS passes, CAST(sum(1 - given) AS BIGINT) AS received, CAST(min(minute) AS BIGINT) AS first_minute, CAST(max(minute) AS BIGINT) AS last_minute FROM ends GROUP BY match_id, team_id, player_id")
+def passing_network_nodes(spark, sf_dir):
+    nodes, _, _ = spatial.passing_network(Tables(spark, sf_dir).events)
+    return doubles(nodes.withColumns({c: S.jsround(F.col(c), 6) for c in "xy"}))
+
+
+_OPEN = "AND possession_team_id = team_id AND (play_pattern IS NULL OR play_pattern NOT IN ('From Corner', 'From Throw In', 'From Free Kick'))"
+
+
+@query(f"{_net(_OPEN)} SELECT match_id, team_id, player_id AS from_id, to_id, count(*) AS passes FROM p WHERE to_id IS NOT NULL GROUP BY ALL HAVING count(*) >= 1")
+def passing_network_edges(spark, sf_dir):
+    return spatial.passing_network(Tables(spark, sf_dir).events, possession_only=True, min_passes=1)[1]
+
+
+@query(f"{_net('AND period = 2')} SELECT match_id, team_id, count(*) AS total_passes, count(*) FILTER (WHERE pass_completed) AS completed_passes, count(to_id) AS linked_passes FROM p GROUP BY match_id, team_id")
+def passing_network_totals(spark, sf_dir):
+    return spatial.passing_network(Tables(spark, sf_dir).events, period="second")[2]
+
+
+# --- tracking
+
+_T = f"WITH {bridge.TRACK}"
+
+
+@query(f"""{_T}, s AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM track WINDOW w AS (PARTITION BY player_id ORDER BY frame_index)),
+v AS (SELECT *, CASE WHEN step <= 1.2 THEN speed_ms END AS speed, CASE WHEN step <= 1.2 THEN step END AS moved FROM s),
+f AS (SELECT *, last_value(CASE WHEN speed IS NOT NULL THEN speed >= 7.0 END IGNORE NULLS) OVER (PARTITION BY player_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v)
+SELECT player_id, count(*) AS frames, {O.rnd('avg(x)', 2)} AS avg_x, {O.rnd(O.rnd('coalesce(sum(moved), 0)', 2), 1)} AS distance_m, {O.rnd(O.rnd('coalesce(sum(moved) FILTER (WHERE speed >= 5.5), 0)', 2), 1)} AS high_speed_distance_m, count(*) FILTER (WHERE speed >= 7.0 AND NOT coalesce(before, false)) AS sprint_count, {O.rnd('coalesce(max(speed), 0)', 2)} AS max_speed_ms FROM f GROUP BY player_id""")
+def player_physical(spark, sf_dir):
+    out = tracking.player_physical(bridge.tracking(spark, sf_dir))
+    return doubles(out.select("player_id", "frames", "avg_x", S.jsround(F.col("distance_m"), 1).alias("distance_m"), S.jsround(F.col("high_speed_distance_m"), 1).alias("high_speed_distance_m"), "sprint_count", "max_speed_ms"))
+
+
+@query(f"""{_T}, fr AS (SELECT frame_index, team_id, any_value(possession_team_id) AS owner, avg(x) AS cx, max(y) - min(y) AS width, max(x) - min(x) AS depth, min(x) AS lo, max(x) AS hi FROM track WHERE ball_in_play GROUP BY frame_index, team_id HAVING count(*) >= 3),
+ph AS (SELECT *, 'ALL' AS phase FROM fr UNION ALL SELECT *, CASE WHEN owner = team_id THEN 'IN_POSSESSION' ELSE 'OUT_OF_POSSESSION' END FROM fr WHERE owner IS NOT NULL)
+SELECT CAST(team_id AS BIGINT) AS team_id, phase, count(*) AS frames, {O.rnd('avg(cx)', 2)} AS centroid_x, {O.rnd('avg(width)', 2)} AS team_width_m, {O.rnd('avg(depth)', 2)} AS team_depth_m, {O.rnd('avg(lo)', 2)} AS defensive_line_m, {O.rnd(O.rnd('avg(hi)', 2) + ' - ' + O.rnd('avg(lo)', 2), 2)} AS line_distance_m FROM ph GROUP BY team_id, phase""")
+def team_shape(spark, sf_dir):
+    out = tracking.team_shape(bridge.tracking(spark, sf_dir))
+    return doubles(out.select("team_id", "phase", "frames", "centroid_x", "team_width_m", "team_depth_m", "defensive_line_m", "line_distance_m"))
+
+
+@query()
+def team_hulls(spark, sf_dir):
+    """Hull area and compactness of each team and phase."""
+    return tracking.team_shape(bridge.tracking(spark, sf_dir)).select("team_id", "phase", "convex_hull_area_m2", "compactness")
+
+
+@query()
+def cluster_players(spark, sf_dir):
+    found, _, _ = tracking.cluster_players(Tables(spark, sf_dir).vectors(), config.METRICS)
+    return found.select("season_id", "player_id", "cluster")
