@@ -544,3 +544,376 @@ def team_hulls(spark, sf_dir):
 def cluster_players(spark, sf_dir):
     found, _, _ = tracking.cluster_players(Tables(spark, sf_dir).vectors(), config.METRICS)
     return found.select("season_id", "player_id", "cluster")
+
+
+# --- views
+
+from .functions.names import name_similarity as _likeness  # noqa: E402
+from .functions.names import normalise_name as _normal  # noqa: E402
+from .operators import entity, payloads, search  # noqa: E402
+from .plans import recompute as R  # noqa: E402
+from .sources import sinks  # noqa: E402
+from .streaming import incremental  # noqa: E402
+
+
+def _dims(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t, bridge.players(spark, sf_dir), bridge.teams(spark, sf_dir), bridge.seasons(spark, sf_dir), bridge.matches(t.flat)
+
+
+@query(f"""{bridge.PRELUDE}, m AS (SELECT 'PLAYER' AS entity_type, 'x' || player_id AS external_id, player_id AS internal_id FROM players UNION ALL SELECT 'TEAM', 't' || team_id, team_id FROM teams)
+SELECT event_id, p.internal_id AS player_id, t.internal_id AS team_id, r.internal_id AS recipient_id FROM ev LEFT JOIN m p ON p.entity_type = 'PLAYER' AND p.external_id = 'x' || ev.player_id LEFT JOIN m t ON t.entity_type = 'TEAM' AND t.external_id = 't' || ev.team_id LEFT JOIN m r ON r.entity_type = 'PLAYER' AND r.external_id = 'x' || ev.recipient_id""")
+def resolve_ids(spark, sf_dir):
+    t, players, teams, _, _ = _dims(spark, sf_dir)
+    ids = lambda kind, c, p, rows: rows.select(F.lit(kind).alias("entity_type"), F.concat(F.lit(p), F.col(c).cast("string")).alias("external_id"), F.col(c).alias("internal_id"))
+    outside = t.flat.select("event_id", *(F.concat(F.lit(p), F.col(f"{c}_id").cast("string")).alias(f"{c}_external_id") for c, p in (("player", "x"), ("team", "t"), ("recipient", "x"))))
+    found = views.resolve_ids(outside, ids("PLAYER", "player_id", "x", players).unionByName(ids("TEAM", "team_id", "t", teams)), {"player_external_id": "PLAYER", "team_external_id": "TEAM", "recipient_external_id": "PLAYER"})
+    return found.select("event_id", "player_id", "team_id", "recipient_id")
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id FROM ev WHERE event_id % 3 <> 0")
+def new_events(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return views.new_events(e.unionByName(e.where("event_id % 5 = 0")), e.where("event_id % 3 = 0")).select("event_id")
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, CASE WHEN type = 'SHOT' THEN xg END AS xg, CASE WHEN type = 'PASS' THEN pass_completed END AS completed FROM ev")
+def wide_events(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    shots, passes = e.where("type = 'SHOT'").select("event_id", "xg", "is_goal"), e.where("type = 'PASS'").select("event_id", F.col("pass_completed").alias("completed"), "is_cross")
+    return views.wide_events(e.select("event_id", "type"), shot=shots, **{"pass": passes}).select("event_id", "shot.xg", "pass.completed")
+
+
+@query(f"{O.PLAYER_MATCH} SELECT player_id, full_name, team_name, match_id, kickoff_at, competition_name, minutes, passes, xg FROM pmm JOIN players USING (player_id) JOIN teams USING (team_id) JOIN matches USING (match_id) JOIN seasons ON seasons.season_id = pmm.season_id")
+def view_player_match(spark, sf_dir):
+    t, players, teams, seasons, matches = _dims(spark, sf_dir)
+    v = views.v_player_match(t.appearances, t.player_match(), players, teams, matches, seasons)
+    return v.select("player_id", "full_name", "team_name", "match_id", "kickoff_at", "competition_name", "minutes", "passes", "xg")
+
+
+_AGE = "CAST(date_diff('year', birth_date, end_date) - CASE WHEN strftime(end_date, '%m%d') < strftime(birth_date, '%m%d') THEN 1 ELSE 0 END AS BIGINT)"
+
+
+@query(f"{O.SEASON} SELECT season.season_id, season.player_id, full_name, players.country AS nationality, {_AGE} AS age, team_name, season_name, minutes, xg_p90 FROM season JOIN players USING (player_id) LEFT JOIN teams USING (team_id) JOIN seasons ON seasons.season_id = season.season_id")
+def view_player_season(spark, sf_dir):
+    t, players, teams, seasons, _ = _dims(spark, sf_dir)
+    v = views.v_player_season(t.season(), players, teams, seasons)
+    return doubles(v.select("season_id", "player_id", "full_name", "nationality", "age", "team_name", "season_name", "minutes", "xg_p90")).withColumn("season_id", F.col("season_id").cast("int"))
+
+
+@query(f"{O.LONG} SELECT long.player_id, full_name, season_name, metric_key, value FROM long JOIN players USING (player_id) JOIN seasons ON seasons.season_id = long.season_id")
+def view_player_per90(spark, sf_dir):
+    t, players, teams, seasons, _ = _dims(spark, sf_dir)
+    return views.v_player_per90(views.v_player_season(t.season(), players, teams, seasons)).select("player_id", "full_name", "season_name", "metric_key", "value")
+
+
+@query(f"{O.TEAM_MATCH} SELECT tm.team_id, team_name, match_id, kickoff_at, season_name, tm.team_id = home_team_id AS is_home, possession, ppda FROM tm JOIN teams USING (team_id) JOIN matches USING (match_id) JOIN seasons ON seasons.season_id = tm.season_id")
+def view_team_match(spark, sf_dir):
+    t, _, teams, seasons, matches = _dims(spark, sf_dir)
+    return views.v_team_match(t.team_match(), teams, matches, seasons).select("team_id", "team_name", "match_id", "kickoff_at", "season_name", "is_home", "possession", "ppda")
+
+
+@query(f"{O.TEAM_SEASON} SELECT tsm.team_id, team_name, country, competition_name, season_name, matches, possession, ppda FROM tsm JOIN teams USING (team_id) JOIN seasons ON seasons.season_id = tsm.season_id")
+def view_team_season(spark, sf_dir):
+    t, _, teams, seasons, _ = _dims(spark, sf_dir)
+    return views.v_team_season(t.team_season(), teams, seasons).select("team_id", "team_name", "country", "competition_name", "season_name", "matches", "possession", "ppda")
+
+
+@query(f"""{O.TEAM_MATCH} SELECT m.match_id, h.team_name AS home_team, a.team_name AS away_team, hm.xg AS home_xg, am.xg AS away_xg, hm.possession AS home_possession, am.ppda AS away_ppda, coalesce(n, 0) AS event_count
+FROM matches m JOIN seasons USING (season_id) JOIN teams h ON h.team_id = home_team_id JOIN teams a ON a.team_id = away_team_id LEFT JOIN tm hm ON hm.match_id = m.match_id AND hm.team_id = home_team_id LEFT JOIN tm am ON am.match_id = m.match_id AND am.team_id = away_team_id LEFT JOIN (SELECT match_id, count(*) AS n FROM ev GROUP BY match_id) c ON c.match_id = m.match_id""")
+def view_match_summary(spark, sf_dir):
+    t, _, teams, seasons, matches = _dims(spark, sf_dir)
+    return views.v_match_summary(matches, t.team_match(), teams, seasons, t.flat).select("match_id", "home_team", "away_team", "home_xg", "away_xg", "home_possession", "away_ppda", "event_count")
+
+
+@query(f"{O.ROLE_SCORES} SELECT roles.player_id, full_name, season_name, role_key, score, CAST(rank AS BIGINT) AS rank FROM roles JOIN players USING (player_id) LEFT JOIN seasons ON seasons.season_id = roles.season_id")
+def view_roles(spark, sf_dir):
+    t, players, _, seasons, _ = _dims(spark, sf_dir)
+    return doubles(views.v_roles(t.roles(), players, seasons).select("player_id", "full_name", "season_name", "role_key", "score", "rank"))
+
+
+@query()
+def view_similarity(spark, sf_dir):
+    t, players, _, _, _ = _dims(spark, sf_dir)
+    return views.v_similarity(models.similar_players(t.vectors(), config.METRICS), players).select("season_id", "player_id", "player_name", "comparison_player_id", "comparison_player_name", "similarity")
+
+
+@query(f"{O.FIT} SELECT f.player_id, full_name, team_name, season_name, fit_score FROM fit f JOIN players USING (player_id) JOIN teams USING (team_id) LEFT JOIN seasons ON seasons.season_id = f.season_id WHERE fit_score > 0")
+def view_club_fit(spark, sf_dir):
+    t, players, teams, seasons, _ = _dims(spark, sf_dir)
+    return views.v_fit(t.fit(), players, teams, seasons).where("fit_score > 0").select("player_id", "full_name", "team_name", "season_name", "fit_score")
+
+
+@query(f"{_ZONES} SELECT za.player_id, full_name, zone_key, CAST(sum(passes) AS BIGINT) AS passes FROM za LEFT JOIN players USING (player_id) GROUP BY ALL")
+def view_zones(spark, sf_dir):
+    t, players, teams, _, _ = _dims(spark, sf_dir)
+    z = views.v_zones(spatial.zone_activity(t.flat, ["match_id", "team_id", "player_id"]), players, teams)
+    return z.groupBy("player_id", "full_name", "zone_key").agg(F.sum("passes").alias("passes"))
+
+
+@query(f"""{O.STYLES} SELECT s.season_id, s.team_id, team_name, {', '.join(f"max(score) FILTER (WHERE dimension = '{d}') AS {d}" for d in config.STYLE)} FROM style s JOIN teams USING (team_id) GROUP BY s.season_id, s.team_id, team_name""")
+def view_team_style(spark, sf_dir):
+    t, _, teams, seasons, _ = _dims(spark, sf_dir)
+    return views.v_team_style(models.style_profiles(t.style()), teams, seasons).select("season_id", "team_id", "team_name", *config.STYLE)
+
+
+@query(f"{bridge.PRELUDE} SELECT season_id, season_name FROM seasons WHERE season_id IN (SELECT season_id FROM matches)")
+def known_seasons(spark, sf_dir):
+    _, _, _, seasons, matches = _dims(spark, sf_dir)
+    return views.known_seasons(seasons, matches).select("season_id", "season_name")
+
+
+@query("SELECT event_id, 'p1' AS provider_id, r_name AS provider_name, CAST(event_id % 3 AS INT) AS import_id, n_name AS source_dataset FROM events JOIN nation ON n_nationkey = event_id % 3 JOIN region ON r_regionkey = 1")
+def event_lineage(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", "provider_id", (F.col("event_id") % 3).cast("int").alias("import_id"))
+    providers = bridge.read(spark, sf_dir, "region").where("r_regionkey = 1").select(F.lit("p1").alias("provider_id"), F.col("r_name").alias("provider_name"))
+    imports = bridge.read(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("import_id"), F.lit("v1").alias("version_id"), F.col("n_name").alias("source_dataset"))
+    versions = imports.select("version_id").distinct()
+    return views.event_lineage(e, providers, versions, imports).drop("version_id")
+
+
+_LOG = "CASE WHEN {t}.team_id = home_team_id THEN away_team_id ELSE home_team_id END AS opponent_id, {t}.team_id = home_team_id AS is_home, CAST(CASE WHEN {t}.team_id = home_team_id THEN home_score ELSE away_score END AS BIGINT) AS goals_for, CAST(CASE WHEN {t}.team_id = home_team_id THEN away_score ELSE home_score END AS BIGINT) AS goals_against"
+
+
+@query(f"{O.PLAYER_MATCH} SELECT player_id, match_id, {_LOG.format(t='pmm')}, xg FROM pmm JOIN matches USING (match_id)")
+def player_match_log(spark, sf_dir):
+    t, _, teams, _, matches = _dims(spark, sf_dir)
+    return doubles(views.player_match_log(t.player_match(), matches, teams).select("player_id", "match_id", "opponent_id", "is_home", "goals_for", "goals_against", "xg"))
+
+
+@query(f"{O.TEAM_MATCH} SELECT tm.team_id, match_id, {_LOG.format(t='tm').replace(' AS opponent_id', ' AS rival_id')}, xg FROM tm JOIN matches USING (match_id)")
+def team_match_log(spark, sf_dir):
+    t, _, teams, _, matches = _dims(spark, sf_dir)
+    return doubles(views.team_match_log(t.team_match(), matches, teams).select("team_id", "match_id", F.col("opponent_id").alias("rival_id"), "is_home", "goals_for", "goals_against", "xg"))
+
+
+# --- names and entities
+
+
+@query("SELECT p_partkey AS part, trim(regexp_replace(regexp_replace(lower(strip_accents(p_name || ' É.' || p_type)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name FROM part")
+def normalised_names(spark, sf_dir):
+    return bridge.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), _normal(F.concat("p_name", F.lit(" É."), "p_type")).alias("name"))
+
+
+@query()
+def name_similarity(spark, sf_dir):
+    """Likeness of each player's name to the one with the next id."""
+    p = bridge.players(spark, sf_dir).select("player_id", "full_name")
+    return p.join(p.select((F.col("player_id") - 1).alias("player_id"), F.col("full_name").alias("other")), "player_id").select("player_id", _likeness(F.col("full_name"), F.col("other")).alias("similarity"))
+
+
+@query()
+def match_players(spark, sf_dir):
+    p = bridge.players(spark, sf_dir)
+    short = F.concat(F.substring("full_name", 1, 1), F.lit(". "), F.regexp_extract("full_name", r"^\S+\s+(.*)$", 1))
+    new = p.select(F.col("player_id").alias("incoming_id"), F.when(F.col("player_id") % 3 == 0, short).otherwise(F.col("full_name")).alias("full_name"), F.when(F.col("player_id") % 5 != 0, F.col("birth_date")).alias("birth_date")).where("full_name is not null")
+    return entity.match_players(new, p)
+
+
+@query("""WITH t AS (SELECT n_nationkey AS id, n_name AS name FROM nation) SELECT CAST(id AS INT) AS incoming_id, id AS team_id, CASE id % 3 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'ALIAS' ELSE 'FUZZY' END AS method FROM t WHERE id % 3 <> 2""")
+def match_teams(spark, sf_dir):
+    n = bridge.read(spark, sf_dir, "nation")
+    teams = n.select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name"), F.col("n_regionkey").cast("string").alias("country"))
+    new = n.select(F.col("n_nationkey").alias("incoming_id"), F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("alias of "), "n_name")).otherwise(F.lit("zzzz")).alias("team_name"), F.lit(None).cast("string").alias("country"))
+    return entity.match_teams(new, teams, teams.select("team_id", F.concat(F.lit("Alias of "), "team_name").alias("alias")))
+
+
+# --- search, comparison, counts
+
+
+@query(f"{bridge.PRELUDE} SELECT event_id, minute FROM ev WHERE team_id = 4 AND type = 'PASS' AND minute >= 30 ORDER BY minute, second, sequence LIMIT 50 OFFSET 10")
+def browse_events(spark, sf_dir):
+    return doubles(search.browse_events(_events(spark, sf_dir), team_id=4, types=["PASS"], minutes=(30, None), limit=50, offset=10)[0].select("event_id", "minute"))
+
+
+@query(f"{bridge.PRELUDE} SELECT count(*) AS total FROM ev WHERE team_id = 4 AND type = 'PASS' AND minute >= 30")
+def browse_events_total(spark, sf_dir):
+    return search.browse_events(_events(spark, sf_dir), team_id=4, types=["PASS"], minutes=(30, None))[1]
+
+
+@query(f"{O.PERCENTILES.format(minutes=60, order='')} SELECT season_id, player_id, value, percentile FROM vp WHERE metric_key = 'xg_p90' ORDER BY percentile DESC, value DESC, season_id, player_id LIMIT 20")
+def leaderboard(spark, sf_dir):
+    p = windows.player_percentiles(Tables(spark, sf_dir).long().where("metric_key = 'xg_p90'"), min_minutes=60)
+    return search.leaderboard(p, "xg_p90").select("season_id", "player_id", "value", "percentile")
+
+
+@query(f"""{O.PERCENTILES.format(minutes=60, order='')} SELECT s.season_id, s.player_id, s.minutes FROM season s JOIN players p USING (player_id) JOIN vp v ON v.season_id = s.season_id AND v.player_id = s.player_id AND v.metric_key = 'passes_p90' AND v.percentile >= 40
+WHERE s.tackles_p90 BETWEEN 0 AND 3 AND height_cm >= 170 ORDER BY s.minutes DESC, s.season_id, s.player_id LIMIT 25""")
+def search_players(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    what = search.Search(metrics={"tackles_p90": ("between", (0, 3)), "passes_p90": ("percentile", 40)}, height=(170, None))
+    return search.search_players(t.season(), bridge.players(spark, sf_dir), what, windows.player_percentiles(t.long(), min_minutes=60))[0].select("season_id", "player_id", "minutes")
+
+
+@query("SELECT * FROM (SELECT 'part' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS label FROM part WHERE contains(lower(p_name), 'a') ORDER BY label, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), 'a') ORDER BY 3, 2 LIMIT 5)")
+def global_search(spark, sf_dir):
+    return search.global_search("A", {"part": (bridge.read(spark, sf_dir, "part"), "p_partkey", "p_name"), "nation": (bridge.read(spark, sf_dir, "nation"), "n_nationkey", "n_name")})
+
+
+@query(f"{O.SEASON} SELECT player_id, season_id, minutes FROM season WHERE player_id IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY minutes DESC, season_id) = 1")
+def compare_players(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return search.compare_players([1, 3, 5, 3], t.season(), windows.player_percentiles(t.long(), 60), bridge.players(spark, sf_dir)).select("player_id", "season_id", "minutes")
+
+
+@query(f"""{O.TEAM_SEASON}, best AS (SELECT team_id, season_id, matches FROM tsm WHERE team_id IN (1, 2, 4) QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY matches DESC, season_id) = 1)
+SELECT b.team_id, season_id, matches, {O.rnd('avg(tackles + interceptions + recoveries)', 2)} AS defensive_actions_per_match, {O.rnd('avg(crosses)', 2)} AS crosses_per_match FROM best b JOIN (SELECT team_id AS t, tackles, interceptions, recoveries, crosses FROM tm) ON t = b.team_id GROUP BY ALL""")
+def compare_teams(spark, sf_dir):
+    t, _, teams, _, _ = _dims(spark, sf_dir)
+    season = t.team_season()
+    return search.compare_teams([1, 2, 4], season, windows.club_percentiles(season, config.CLUB_METRICS), t.team_match(), teams).select("team_id", "season_id", "matches", "defensive_actions_per_match", "crosses_per_match")
+
+
+@query(f"""{O.PERCENTILES.format(minutes=60, order='')} SELECT season_id, player_id, kind, metric_key FROM (
+SELECT season_id, player_id, 'strength' AS kind, metric_key FROM vp WHERE percentile >= 75 QUALIFY row_number() OVER (PARTITION BY season_id, player_id ORDER BY percentile DESC, metric_key) <= 5
+UNION ALL SELECT season_id, player_id, 'risk', metric_key FROM vp WHERE percentile <= 30 QUALIFY row_number() OVER (PARTITION BY season_id, player_id ORDER BY percentile, metric_key) <= 5)""")
+def strengths_risks(spark, sf_dir):
+    s = search.strengths_risks(windows.player_percentiles(Tables(spark, sf_dir).long(), 60))
+    part = lambda c, k: s.select("season_id", "player_id", F.lit(k).alias("kind"), F.explode(c).alias("e")).select("season_id", "player_id", "kind", "e.metric_key")
+    return part("strengths", "strength").unionByName(part("risks", "risk"))
+
+
+@query(f"{O.LONG}, w AS (SELECT * FROM (VALUES {O.values(_DRAFT)}) t(metric_key, weight)) SELECT season_id, player_id, {O.rnd('sum(CAST(weight * 100 AS BIGINT) * CAST(floor(percentile * 10 + 0.5) AS BIGINT)) / 1000.0', 1)} AS score FROM pct JOIN w USING (metric_key) GROUP BY season_id, player_id")
+def custom_score(spark, sf_dir):
+    return search.custom_score(Tables(spark, sf_dir).pct(), spark.createDataFrame(_DRAFT, "metric_key string, weight double"))
+
+
+@query(f"{bridge.PRELUDE} SELECT type, count(*) AS n FROM ev GROUP BY type")
+def event_distribution(spark, sf_dir):
+    return search.event_distribution(_events(spark, sf_dir))
+
+
+@query(f"{bridge.PRELUDE} SELECT 'players' AS entity, count(*) AS n FROM players UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'events', count(*) FROM ev")
+def entity_counts(spark, sf_dir):
+    t, players, _, _, matches = _dims(spark, sf_dir)
+    return search.entity_counts({"players": players, "matches": matches, "events": t.flat})
+
+
+@query(f"{O.TEAM_SEASON} SELECT t.team_id, team_name, coalesce(n, 0) AS squad_size, s.season_id AS main_season_id FROM teams t LEFT JOIN (SELECT team_id, count(DISTINCT player_id) AS n FROM season GROUP BY team_id) USING (team_id) LEFT JOIN (SELECT team_id, season_id FROM tsm QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY matches DESC, season_id) = 1) s USING (team_id)".replace(O.PLAYER_MATCH, O.SEASON))
+def team_list(spark, sf_dir):
+    t, _, teams, _, _ = _dims(spark, sf_dir)
+    return search.team_list(teams, t.season(), t.team_season()).select("team_id", "team_name", "squad_size", "main_season_id")
+
+
+_FIELDS = {"technique": 3, "physical": 7, "tactical": 11, "mental": 13, "potential": 17, "overall": 19}
+
+
+@query(f"SELECT o_custkey AS player_id, count(*) AS n_ratings, {', '.join(O.rnd(f'avg(1 + (o_orderkey * {k}) % 100)') + f' AS {c}' for c, k in _FIELDS.items())} FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def rating_consensus(spark, sf_dir):
+    o = bridge.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("player_id"), *((1 + F.col("o_orderkey") * k % 100).alias(c) for c, k in _FIELDS.items()))
+    return search.rating_consensus(o, list(_FIELDS))
+
+
+@query("SELECT CAST(event_id % 7 AS BIGINT) AS import_id, count(*) AS records, count(*) FILTER (WHERE event_id % 4 <> 0) AS events, count(DISTINCT CASE WHEN event_id % 4 = 0 THEN 'match' ELSE 'event' END) AS entities, count(*) FILTER (WHERE event_id % 50 = 0) AS errors, count(*) FILTER (WHERE event_id % 50 = 25) AS warnings, CASE WHEN count(*) FILTER (WHERE event_id % 50 = 0) > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status FROM events GROUP BY 1")
+def import_summary(spark, sf_dir):
+    e = bridge.read(spark, sf_dir, "events").select(F.col("event_id"), (F.col("event_id") % 7).alias("import_id"))
+    bad = e.where("event_id % 50 IN (0, 25)").select("import_id", F.when(F.col("event_id") % 50 == 0, "ERROR").otherwise("WARNING").alias("severity"))
+    return search.import_summary(e.select("import_id", F.when(F.col("event_id") % 4 == 0, "match").otherwise("event").alias("entity")), bad)
+
+
+# --- payloads, loading, files, recompute
+
+
+def _player_payloads(spark, sf_dir):
+    t, players, teams, seasons, _ = _dims(spark, sf_dir)
+    pct = windows.player_percentiles(t.long(), 60)
+    shots = t.events.where("type = 'SHOT'").select("season_id", "player_id", "match_id", "event_id", "minute", "x", "y", "shot.xg", "shot.is_goal")
+    heat = spatial.heatmap_kde(spatial.heatmap_points(t.events, "TOUCH", ["season_id", "player_id"]), ["season_id", "player_id"])
+    identity = views.v_player_season(t.season(), players, teams, seasons).select("season_id", "player_id", "full_name", "team_name", "age", "minutes", "matches", "totals")
+    return payloads.player_report_payloads(identity, pct, t.dna(), t.roles(), models.similar_players(t.vectors(), config.METRICS), t.fit(), shots, heat)
+
+
+@query(f"{O.SEASON}, sh AS (SELECT season_id, player_id, count(*) AS shots FROM ev WHERE type = 'SHOT' GROUP BY ALL) SELECT s.season_id, s.player_id, CAST(38 AS BIGINT) AS metrics, coalesce(shots, 0) AS shots FROM season s LEFT JOIN sh ON sh.season_id = s.season_id AND sh.player_id = s.player_id")
+def player_report_payloads(spark, sf_dir):
+    """The size of two sections of each payload, whose ids are unique."""
+    p = _player_payloads(spark, sf_dir)
+    return p.select("season_id", "player_id", F.size("percentiles").cast("bigint").alias("metrics"), F.coalesce(F.size("shots"), F.lit(0)).cast("bigint").alias("shots"))
+
+
+@query()
+def player_report_snapshots(spark, sf_dir):
+    return _player_payloads(spark, sf_dir).select("season_id", "player_id", "snapshot_id")
+
+
+@query(f"{O.TEAM_SEASON} SELECT season_id, team_id, matches AS games, CAST(14 AS BIGINT) AS dimensions FROM tsm")
+def club_report_payloads(spark, sf_dir):
+    t, _, teams, seasons, matches = _dims(spark, sf_dir)
+    season = t.team_season()
+    identity = views.v_team_season(season, teams, seasons)
+    p = payloads.club_report_payloads(identity, windows.club_percentiles(season, config.CLUB_METRICS), t.style(), views.team_match_log(t.team_match(), matches, teams), t.season())
+    return p.select("season_id", "team_id", F.size("log").cast("bigint").alias("games"), F.size("style").cast("bigint").alias("dimensions"))
+
+
+@query(f"{bridge.PRELUDE} SELECT match_id, CAST(count(*) FILTER (WHERE type = 'SHOT') AS BIGINT) AS shots, CAST(count(DISTINCT player_id) AS BIGINT) AS players FROM ev GROUP BY match_id")
+def match_report_payloads(spark, sf_dir):
+    t, _, teams, seasons, matches = _dims(spark, sf_dir)
+    nodes, edges, _ = spatial.passing_network(t.events)
+    shots = t.events.where("type = 'SHOT'").select("match_id", "event_id", "team_id", "player_id", "minute", "x", "y", "shot.xg", "shot.is_goal")
+    summary = matches.select("match_id", "season_id", "kickoff_at", "home_team_id", "away_team_id")
+    p = payloads.match_report_payloads(summary, t.player_match(), shots, nodes, edges)
+    return p.select("match_id", F.coalesce(F.size("shots"), F.lit(0)).cast("bigint").alias("shots"), F.size("players").cast("bigint").alias("players"))
+
+
+def _schedules(spark):
+    rows = [(1, 1, 24, "2024-01-10 12:00:00", True, None), (2, 2, 48, None, True, None)]
+    return spark.createDataFrame(rows, "schedule_id int, season_id int, overlap_hours int, watermark string, enabled boolean, last_status string").withColumn("watermark", F.col("watermark").cast("timestamp_ntz"))
+
+
+@query(f"{bridge.PRELUDE} SELECT match_id, CASE season_id WHEN 1 THEN 1 ELSE 2 END AS schedule_id FROM matches WHERE season_id = 2 OR kickoff_at >= TIMESTAMP '2024-01-09 12:00:00'")
+def since_filter(spark, sf_dir):
+    return incremental.since_filter(_dims(spark, sf_dir)[4], _schedules(spark)).select("match_id", "schedule_id")
+
+
+@query(f"{bridge.PRELUDE} SELECT 1 AS schedule_id, max(kickoff_at) AS watermark FROM matches WHERE season_id = 1 UNION ALL SELECT 2, NULL")
+def advance_watermark(spark, sf_dir):
+    runs = spark.createDataFrame([(1, "COMPLETED"), (2, "PARTIAL")], "schedule_id int, status string")
+    return incremental.advance_watermark(_schedules(spark), _dims(spark, sf_dir)[4], runs).select("schedule_id", "watermark")
+
+
+@query(f"{O.SEASON} SELECT season_id, player_id, CAST(CASE WHEN season_id = 2 THEN minutes + 1 ELSE minutes END AS BIGINT) AS minutes FROM season")
+def upsert(spark, sf_dir):
+    s = Tables(spark, sf_dir).season().select("season_id", "player_id", "minutes")
+    return incremental.upsert(s, s.where("season_id = 2").withColumn("minutes", F.col("minutes") + 1), ["season_id", "player_id"])
+
+
+def _scratch(spark, name):
+    """A new folder beside the session's checkpoints, or a temporary one in local mode."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return f"{root or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, ts, user_id FROM events")
+def stream_events(spark, sf_dir):
+    """All events as a stream of files, loaded twice into one table: once each."""
+    source = bridge.read(spark, sf_dir, "events").schema
+    target = _scratch(spark, "stream")
+    for run in ("a", "b"):
+        stream = incremental.stream_events(spark, f"{sf_dir}/events.parquet", source, overlap="40 days", keys=("event_id",), format="parquet")
+        incremental.load_stream(stream.select("event_id", "ts", "user_id"), f"{target}/table", f"{target}/{run}", keys=("event_id",)).awaitTermination()
+    return spark.read.parquet(f"{target}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)) AS repeated_ids FROM orders")
+def profile_file(spark, sf_dir):
+    one, repeated = sinks.profile_file(bridge.read(spark, sf_dir, "orders"), "o_custkey")
+    return one.select("rows", F.col("columns").cast("bigint").alias("columns")).join(repeated.agg(F.count("*").alias("repeated_ids")))
+
+
+@query(f"{O.TEAM_SEASON} SELECT season_id, team_id, matches, possession FROM tsm")
+def recompute(spark, sf_dir):
+    """All derived tables written by season; the clubs' season table read back."""
+    t = Tables(spark, sf_dir)
+    out = R.recompute({"events": t.events, "appearances": t.appearances}, _scratch(spark, "recompute"), min_minutes=60)
+    return out["team_season_metrics"].select("season_id", "team_id", "matches", S.jsround(F.col("possession"), 6).alias("possession"))
+
+
+@query(f"{O.SEASON} SELECT position_group, count(*) AS players, max(minutes) AS most FROM season GROUP BY position_group")
+def analyst_select(spark, sf_dir):
+    """An analyst's SELECT over a registered view."""
+    R.register_views({"vw_player_season_stats": Tables(spark, sf_dir).season()})
+    return R.run_select(spark, "SELECT position_group, count(*) AS players, max(minutes) AS most FROM vw_player_season_stats GROUP BY position_group")[0]
