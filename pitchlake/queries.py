@@ -893,7 +893,7 @@ def stream_events(spark, sf_dir):
     source = bridge.read(spark, sf_dir, "events").schema
     target = _scratch(spark, "stream")
     for run in ("a", "b"):
-        stream = incremental.stream_events(spark, f"{sf_dir}/events.parquet", source, overlap="40 days", keys=("event_id",), format="parquet")
+        stream = incremental.stream_events(spark, f"{sf_dir}/events*.parquet", source, overlap="40 days", keys=("event_id",), format="parquet")
         incremental.load_stream(stream.select("event_id", "ts", "user_id"), f"{target}/table", f"{target}/{run}", keys=("event_id",)).awaitTermination()
     return spark.read.parquet(f"{target}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
