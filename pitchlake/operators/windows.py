@@ -20,13 +20,17 @@ def percentile_at_or_below(df: DataFrame, partition: list[str], value: str = "va
 
 
 def zscore(df: DataFrame, partition: list[str], value: str = "value") -> DataFrame:
-    """mean, stddev (of the population) and z, each rounded to 3 decimals before it is used."""
+    """mean, stddev (of the population) and z, each rounded to 3 decimals before it is used.
+
+    Sums are cut to 9 decimals first, so that the order of summing can't move a value across a half.
+    """
     w = Window.partitionBy(*partition)
     n = F.count(value).over(w)
-    mean = jsround(F.avg(value).over(w), 3)
+    cut = lambda c: jsround(F.round(c, 9), 3)
+    mean = cut(F.avg(value).over(w))
     out = df.withColumn("mean", mean)
-    deviation = F.when(n < 2, 0.0).otherwise(jsround(F.sqrt(F.avg((F.col(value) - F.col("mean")) * (F.col(value) - F.col("mean"))).over(w)), 3))
-    return out.withColumn("stddev", deviation).withColumn("z", F.when(F.col("stddev") == 0, 0.0).otherwise(jsround((F.col(value) - F.col("mean")) / F.col("stddev"), 3)))
+    deviation = F.when(n < 2, 0.0).otherwise(cut(F.sqrt(F.avg((F.col(value) - F.col("mean")) * (F.col(value) - F.col("mean"))).over(w))))
+    return out.withColumn("stddev", deviation).withColumn("z", F.when(F.col("stddev") == 0, 0.0).otherwise(cut((F.col(value) - F.col("mean")) / F.col("stddev"))))
 
 
 def player_percentiles(long: DataFrame, min_minutes: int = 450, frame: str = "population", partition: tuple[str, ...] = ("season_id", "position_group", "metric_key")) -> DataFrame:

@@ -158,9 +158,9 @@ def percentile_at_or_below(spark, sf_dir):
     return Tables(spark, sf_dir).pct().select("season_id", "player_id", "metric_key", "percentile", S.jsround(100 - F.col("percentile"), 1).alias("inverted"))
 
 
-@query(f"""{O.LONG}, z1 AS (SELECT season_id, player_id, metric_key, value, position_group, {O.rnd('avg(value) OVER w', 3)} AS mean, count(*) OVER w AS n FROM long WINDOW w AS (PARTITION BY season_id, position_group, metric_key)),
-z2 AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE {O.rnd('sqrt(avg((value - mean) * (value - mean)) OVER (PARTITION BY season_id, position_group, metric_key))', 3)} END AS stddev FROM z1)
-SELECT season_id, player_id, metric_key, mean, stddev, CASE WHEN stddev = 0 THEN 0 ELSE {O.rnd('(value - mean) / stddev', 3)} END AS z FROM z2""")
+@query(f"""{O.LONG}, z1 AS (SELECT season_id, player_id, metric_key, value, position_group, {O.rnd('round(avg(value) OVER w, 9)', 3)} AS mean, count(*) OVER w AS n FROM long WINDOW w AS (PARTITION BY season_id, position_group, metric_key)),
+z2 AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE {O.rnd('round(sqrt(avg((value - mean) * (value - mean)) OVER (PARTITION BY season_id, position_group, metric_key)), 9)', 3)} END AS stddev FROM z1)
+SELECT season_id, player_id, metric_key, mean, stddev, CASE WHEN stddev = 0 THEN 0 ELSE {O.rnd('round((value - mean) / stddev, 9)', 3)} END AS z FROM z2""")
 def metric_zscores(spark, sf_dir):
     return windows.zscore(Tables(spark, sf_dir).long(), ["season_id", "position_group", "metric_key"]).select("season_id", "player_id", "metric_key", "mean", "stddev", "z")
 
@@ -481,7 +481,7 @@ def heatmap_kde_covariance(spark, sf_dir):
     return spatial.heatmap_kde_full(shots, ["team_id"], method="covariance")
 
 
-@query(f"""{_heat('l_suppkey', "WITH pts AS (SELECT l_suppkey, CAST((l_partkey * 7919 + l_orderkey * 31) % 10501 AS DOUBLE) / 100 AS x, CAST((l_partkey * 6151 + l_orderkey * 17) % 6801 AS DOUBLE) / 100 AS y, l_discount AS weight FROM lineitem)", 24, 16, f"SELECT l_suppkey, {_C24} AS col, {_R16} AS row, sum(CAST(floor(weight * 100 + 0.5) AS BIGINT)) / 100.0 AS value, count(*) AS n FROM pts GROUP BY ALL", _SX)}""")
+@query(f"""{_heat('l_suppkey', "WITH pts AS (SELECT l_suppkey, CAST((l_partkey * 7919 + l_orderkey * 31) % 10501 AS DOUBLE) / 100 AS x, CAST((l_partkey * 6151 + l_orderkey * 17) % 6801 AS DOUBLE) / 100 AS y, l_discount AS weight FROM lineitem)", 24, 16, f"SELECT l_suppkey, {_C24} AS col, {_R16} AS row, CAST(sum(CAST(floor(weight * 100 + 0.5) AS BIGINT)) AS DOUBLE) AS value, count(*) AS n FROM pts GROUP BY ALL", _SX)}""")
 def heatmap_grid_large(spark, sf_dir):
     """A grid for each supplier over all line items: the large spatial load."""
     li = bridge.read(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "CAST((l_partkey * 7919 + l_orderkey * 31) % 10501 AS DOUBLE) / 100 AS x", "CAST((l_partkey * 6151 + l_orderkey * 17) % 6801 AS DOUBLE) / 100 AS y", "CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS weight")
