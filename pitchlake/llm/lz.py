@@ -7,7 +7,7 @@ estimates the Jaccard likeness of the phrase sets, which like compressed size is
 Defined results: null counts as the empty text; empty texts have equal fingerprints and are 1.0 like each other and 0.0
 like any other text; equal texts have equal fingerprints. Documents follow each other by ascending doc_id, rows with
 equal doc_id by a hash of the text; the last is followed by the first, a single one by itself. Only id and text are
-read, so extra columns can't clash. Texts are parsed whole.
+read, so extra columns can't clash. Null ids come first. Texts are parsed whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-PLACES = 128
+#: Places of a signature; what stands for a null id among 64-bit ones.
+PLACES, NONE = 128, -(1 << 63)
 _RNG = np.random.default_rng(20)
 MIX_XOR, MIX_MUL = _RNG.integers(0, 1 << 32, PLACES, np.uint32), _RNG.integers(0, 1 << 31, PLACES, np.uint32) * np.uint32(2) + np.uint32(1)
 BASE = 0x9E3779B97F4A7C15 | 5
@@ -132,7 +133,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first document of the next one, so that no task needs more than its own rows, of which it holds one batch.
     """
     spark = docs.sparkSession
-    slim = texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    slim = texts(docs, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     runs = runs or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = [i / runs for i in range(1, runs)]
     edges = slim.agg(F.percentile_approx("doc_id", steps, 100 * runs).alias("e")).first()["e"] if runs > 1 else []
@@ -175,7 +176,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             other = signer.sign(changed)
             hexed = lambda rows: pa.array([x.astype(">u2").tobytes().hex() for x in rows], pa.string())
             digests = [hashlib.sha256(t.encode()).hexdigest() for t, _ in changed]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(t) for t, _ in own], pa.int64()), pa.array(digests, pa.string()), hexed(signs), hexed(other), pa.array(likeness(signs, other)), pa.array(likeness(signs, follow))], names=["doc_id", *(x.split(" ")[0] for x in SCHEMA.split(", "))])
+            return pa.RecordBatch.from_arrays([pa.array([None if p[0] == NONE else p[0] for p in pairs], pa.int64()), pa.array([len(t) for t, _ in own], pa.int64()), pa.array(digests, pa.string()), hexed(signs), hexed(other), pa.array(likeness(signs, other)), pa.array(likeness(signs, follow))], names=["doc_id", *(x.split(" ")[0] for x in SCHEMA.split(", "))])
 
         pairs, weight = [], 0
         for run, guest, doc_id, text in rows():

@@ -59,4 +59,6 @@ def test_odd_rows(spark):
     assert got(lz.with_edits(docs.where("doc_id = 7"))) == brute([(7, rows[-1][1])])
     twice = lz.with_edits(docs.union(docs)).collect()
     assert len(twice) == 10 and all(np.isfinite(r.near_next) for r in twice)
+    nameless = docs.union(docs.selectExpr("cast(null as bigint)", "text", "run", "guest"))
+    assert sorted(r.doc_id or 0 for r in lz.with_edits(nameless, runs=3).collect()) == [0] * 5 + [1, 2, 5, 7, 9]
     assert len({r.fingerprint for r in lz.fingerprint(docs.union(docs)).collect()}) == 4
