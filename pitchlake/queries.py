@@ -917,3 +917,52 @@ def analyst_select(spark, sf_dir):
     """An analyst's SELECT over a registered view."""
     R.register_views({"vw_player_season_stats": Tables(spark, sf_dir).season()})
     return R.run_select(spark, "SELECT position_group, count(*) AS players, max(minutes) AS most FROM vw_player_season_stats GROUP BY position_group")[0]
+
+
+# --- exports and archives, written and read back
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def export_csv(spark, sf_dir):
+    target = _scratch(spark, "csv")
+    sinks.export_csv(bridge.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), target)
+    return spark.read.csv(target, header=True, escape='"')
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def export_json(spark, sf_dir):
+    target = _scratch(spark, "json")
+    parts = bridge.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    sinks.export_json(parts, target)
+    return spark.read.schema(parts.schema).json(target)
+
+
+@query("""SELECT 'INSERT INTO "customer" ("c_custkey", "c_name") VALUES (' || c_custkey || ', ''' || replace(c_name, '''', '''''') || ''');' AS value FROM customer""")
+def export_sql(spark, sf_dir):
+    target = _scratch(spark, "sql")
+    sinks.export_sql(bridge.read(spark, sf_dir, "customer").select("c_custkey", "c_name"), target, "customer")
+    return spark.read.text(target)
+
+
+@query(f"{bridge.PRELUDE}, raw AS (SELECT event_id AS e, props FROM events) SELECT match_id, count(*) AS n, min(props) AS least FROM ev JOIN raw ON e = event_id GROUP BY match_id")
+def archive_raw(spark, sf_dir):
+    target = _scratch(spark, "raw")
+    raw = bridge.read(spark, sf_dir, "events").select("event_id", F.col("props").alias("payload"))
+    sinks.write_raw(_events(spark, sf_dir).select("event_id", F.col("match_id").alias("match_external_id")).join(raw, "event_id").drop("event_id"), target, "p1", "i1")
+    back = spark.read.schema("payload string, provider string, import_id string, match_external_id bigint").json(target)
+    return back.groupBy(F.col("match_external_id").alias("match_id")).agg(F.count("*").alias("n"), F.min("payload").alias("least"))
+
+
+@query(f"{O.ROLE_SCORES} SELECT roles.player_id, role_key, score FROM roles JOIN players USING (player_id)")
+def named_dataset(spark, sf_dir):
+    """An export by name, over the registered view."""
+    t, players, _, seasons, _ = _dims(spark, sf_dir)
+    R.register_views({"vw_player_roles": views.v_roles(t.roles(), players, seasons)})
+    return R.dataset(spark, "roles").select("player_id", "role_key", "score")
+
+
+@query(f"{bridge.PRELUDE}, z AS (SELECT {_KEY3} AS zone_key FROM ev) SELECT k AS zone_key, count(z.zone_key) AS n FROM (SELECT DISTINCT t || '/' || l AS k FROM (VALUES {O.values([(x,) for x in S.THIRDS])}) a(t), (VALUES {O.values([(x,) for x in S.LANES])}) b(l)) LEFT JOIN z ON z.zone_key = k GROUP BY k")
+def all_zones(spark, sf_dir):
+    """Events in each zone of the pitch, empty zones included."""
+    own = _events(spark, sf_dir).select(S.zone_of(F.col("x"), F.col("y"))["key"].alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return S.all_zones(spark).select("key").join(own, "key", "left").select(F.col("key").alias("zone_key"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
