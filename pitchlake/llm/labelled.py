@@ -11,6 +11,11 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def least_hashes(n: int, most: int) -> int:
+    """A bound below which about 2 * most of n hashes of 64 bits lie, or all."""
+    return (1 << 63) - 1 if n <= 2 * most else -(1 << 63) + (2 * most << 64) // n
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(text, y) of at most `most` labelled rows that aren't held out: those with the least hashes of doc_id.
 
@@ -18,5 +23,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     a document the least counts.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-    chosen = usable.groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # of hashes below the bound there are twice `most` or all, so that no task sends many to be ordered
+    bound = least_hashes(usable.count(), most)
+    chosen = usable.where(F.xxhash64("doc_id") <= bound).groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
