@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path, stored
+from .labelled import least_hashes
 
 LEAST, RECORDS, SAMPLE, DICTIONARY = 100, 4096, 400, 32 << 10
 #: Fixed values of the format: the magic number of a dictionary's skippable frame, of an empty one between records, the
@@ -119,8 +120,14 @@ def frames(archive: bytes) -> Iterator[bytes]:
 
 
 def dictionary(pages: DataFrame, payload_col: str = "payload", sample: int = SAMPLE, size: int = DICTIONARY) -> bytes:
-    """A dictionary from a bounded sample: the payloads, up to 64 kB of each, with the least digests; or none from few or poor ones."""
-    rows = pages.where(F.length(payload_col) > 0).select(F.substring(payload_col, 1, 1 << 16).alias("p"), "digest").orderBy("digest").limit(sample).collect()
+    """A dictionary from a bounded sample: the payloads, up to 64 kB of each, with the least hashes; or none from few or poor ones.
+
+    Of equal payloads one counts. Only hashes below a bound that about 2 * sample reach are ordered, so no task sends many.
+    """
+    full = pages.where(F.length(payload_col) > 0).select(F.xxhash64("digest").alias("h"), payload_col)
+    n = full.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    some = full.where(F.col("h") <= least_hashes(n, sample)).groupBy("h").agg(F.first(F.substring(payload_col, 1, 1 << 16)).alias("p"))
+    rows = some.orderBy("h").limit(sample).collect()
     try:
         return zstandard.train_dictionary(size, [bytes(r["p"]) for r in rows]).as_bytes()
     except zstandard.ZstdError:
