@@ -1,13 +1,15 @@
 """Line deduplication by a log-template tree, in DataFrame functions alone.
 
 Tokens with digits are variable fields. A line goes down a tree of fixed depth: by its number of tokens, then by its
-leading tokens. In the leaf it takes the template of the leaf's first line (least document, then line) if at least
-SIMILAR of its tokens agree with it in place, and stands as a template of its own otherwise. A template that recurs in
-several documents is dropped everywhere but at its first place, so that one copy of what documents share is kept.
+leading tokens. A leaf has a list of templates: its first line (least document, then line), and each line that is unlike
+all templates before it. A line takes a template if at least SIMILAR of its tokens agree with it in place: that of the
+leaf's first line, or else one of the first round that finds any. A template that recurs in several documents is dropped
+everywhere but at its first place, so that one copy of what documents share is kept.
 
 The lines are parsed once, into hashes of leaf and template. Texts move twice: to where a leaf holds several templates,
 and to meet the lines that are dropped. Least places are summed before the shuffle, and the joins on hot leaves and
-templates are plain ones whose large partitions Spark splits.
+templates are plain ones whose large partitions Spark splits. The further templates of a leaf are found over distinct
+masked lines by rounds, through signatures of which alike lines share one, so that no line meets all others of its leaf.
 
 Defined results: null texts stay null and lose no line; lines of fewer than MIN_TOKENS tokens are always kept; rows with
 equal ids count as one document; other columns pass unchanged (n_chars, where given, follows the text); a document that
@@ -16,6 +18,8 @@ loses all lines stays with an empty text; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,11 +63,67 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     each = texts.select("doc", F.explode(with_text).alias("w")).select("doc", "w.line", "w.leaf", "w.template", "w.is_first", F.trim(masked(F.col("w.raw"))).alias("shape"))
     unclear = stored(each, "unclear")
     seeds = stored(unclear.where("is_first").groupBy("leaf").agg(F.min("shape").alias("seed")), "seeds")
-    agree = F.size(F.filter(F.zip_with(F.split("shape", " "), F.split("seed", " "), lambda a, b: a == b), lambda x: x))
-    taken = F.when(F.col("shape") == F.col("seed"), F.col("template")).when(agree >= similar * F.size(F.split("shape", " ")), F.xxhash64("seed")).otherwise(F.col("template"))
-    joined = unclear.join(seeds.hint("merge"), "leaf").select("doc", "line", taken.alias("template"))
+    own = F.when((F.col("shape") != F.col("seed")) & ~alike("shape", "seed", similar), F.col("template"))
+    joined = stored(unclear.join(seeds.hint("merge"), "leaf").select("doc", "line", "leaf", "shape", own.alias("own"), F.coalesce(own, F.xxhash64("seed")).alias("template")), "joined")
+    # of the lines that are unlike the leaf's first one
+    rest = joined.where("own is not null").groupBy("leaf", "own").agg(F.min("shape").alias("shape"), F.min(place).alias("place"))
+    found = further_templates(stored(rest, "rest"), leading, similar)
+    if found is not None:
+        joined = joined.join(found.hint("merge"), ["leaf", "own"], "left").withColumn("template", F.coalesce("of", "template"))
     clear = every.join(mixed.select("leaf").hint("merge"), "leaf", "left_anti")
-    return clear.select("doc", "line", "template").unionByName(joined)
+    return clear.select("doc", "line", "template").unionByName(joined.select("doc", "line", "template"))
+
+
+def alike(a: str, b: str, similar: float) -> Column:
+    """Whether at least `similar` of the tokens of two masked lines of equally many tokens agree in place."""
+    agree = F.size(F.filter(F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x == y), lambda x: x))
+    return agree >= similar * F.size(F.split(a, " "))
+
+
+def signatures(shape: Column, leading: int, similar: float) -> Column:
+    """Hashes of a masked line's tokens; two alike lines of a leaf have at least one in common.
+
+    Alike lines differ in m tokens at most, all behind the leading ones. Of m + 2 parts of these tokens two are equal, of
+    m + 1 one is. For m = 1, where each token is a part, all but one are.
+    """
+    def of(n: Column, free: Column) -> Column:
+        m = (n - F.ceil(similar * n)).cast("int")
+        f = F.greatest(n - leading, F.lit(1))
+        two = (m >= 2) & (m <= 8) & (f >= m + 2)
+        count = F.when(m == 1, f).when(two, m + 2).otherwise(F.least(m + 1, f))
+        edge = lambda i: F.floor(i * f / count).cast("int")
+        part = lambda i: F.xxhash64(i, F.array_join(F.slice(free, edge(i) + 1, edge(i + 1) - edge(i)), " "))
+        parts = F.transform(F.sequence(F.lit(0), count - 1), part)
+        without = lambda p: F.transform(p, lambda _, i: F.xxhash64(i, F.transform(p, lambda x, j: F.when(j == i, F.lit(0)).otherwise(x))))
+        pairs = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.xxhash64(x, y))))
+        return let(parts, lambda p: F.when(m < 1, F.array().cast("array<bigint>")).when(m == 1, without(p)).when(two, pairs(p)).otherwise(p))
+
+    # tokens are split once, not for each part
+    return let(F.split(shape, " "), lambda t: let(F.slice(t, F.lit(leading + 1), F.greatest(F.size(t) - leading, F.lit(0))), lambda free: of(F.size(t), free)))
+
+
+def further_templates(shapes: DataFrame, leading: int = LEADING, similar: float = SIMILAR) -> DataFrame | None:
+    """(leaf, own, of): the template `of` that masked lines (leaf, own, shape, place) take, for those that take another's.
+
+    In each round every line that is the first of all lines it shares a signature with is a template, since no line before
+    it is alike; the lines alike to it take it, and both are done. A line that shares no signature with any is its own.
+    """
+    signed = shapes.select("leaf", "own", "place", F.explode(F.array_distinct(signatures(F.col("shape"), leading, similar))).alias("signature"))
+    left, texts, found = stored(signed, "signatures"), shapes.select("leaf", "own", "shape"), []
+    while True:
+        groups = stored(left.groupBy("leaf", "signature").agg(F.min(F.struct("place", "own")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
+        if groups.isEmpty():
+            return reduce(DataFrame.unionByName, found) if found else None
+        shared = stored(left.join(groups.hint("merge"), ["leaf", "signature"]), "shared")
+        first = F.col("least.own") == F.col("own")
+        new = stored(shared.groupBy("leaf", "own").agg(F.every(first).alias("new")).where("new").select("leaf", "own"), "new-templates")
+        # each line with the new templates that come first for one of its signatures
+        pairs = shared.where(~first).select("leaf", "own", F.col("least.own").alias("of"), F.col("least.place").alias("at")).distinct().join(new.withColumnRenamed("own", "of").hint("merge"), ["leaf", "of"])
+        both = pairs.join(texts.hint("merge"), ["leaf", "own"]).join(texts.select("leaf", F.col("own").alias("of"), F.col("shape").alias("other")).hint("merge"), ["leaf", "of"])
+        taken = stored(both.where(alike("shape", "other", similar)).groupBy("leaf", "own").agg(F.min(F.struct("at", "of"))["of"].alias("of")), "taken")
+        found.append(taken)
+        done = new.unionByName(taken.select("leaf", "own"))
+        left = stored(shared.drop("least").join(done.hint("merge"), ["leaf", "own"], "left_anti"), "signatures")
 
 
 def recurring(found: DataFrame, documents: int = DOCUMENTS) -> DataFrame:

@@ -45,3 +45,29 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([row(1, "a b c d e f")], "doc_id bigint, text string, n_chars bigint, line string, template string")
     plan = linededup.drop_recurring_lines(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_leaf_has_several_templates(spark):
+    first = "the quick brown cat sat on my old mat twice"
+    base = "the quick brown fox jumps over the lazy dog today"
+    words = "a few wholly different words of some length here stand apart".split()
+    long = ["we all know " + " ".join(words[(i * k) % len(words)] for i in range(1, 40)) for k in (1, 2, 3)]
+    other = " ".join("changed" if i in (7, 19, 33) else w for i, w in enumerate(long[2].split(" ")))
+    got = run(spark, [row(1, f"{first}\n{long[0]}"), row(2, f"{base}\n{long[1]}"), row(3, base.replace("today", "again")), row(4, long[2]), row(5, other), row(6, base.replace("fox", "bear"))])
+    assert [got[i][0] for i in (1, 2, 3, 4, 5, 6)] == [f"{first}\n{long[0]}", f"{base}\n{long[1]}", "", long[2], "", ""]
+
+
+def test_templates_of_a_leaf_against_one_line_after_the_other(spark):
+    import random
+
+    random.seed(3)
+    lines = [" ".join(["so", "it", "is"] + [random.choice("abc" if n < 9 else "ab") for _ in range(n - 3)]) for n in (5, 7, 9, 10, 12, 16) for _ in range(25)]
+    leaves, expected = {}, set()
+    for x in lines:
+        k = x.split(" ")
+        known = leaves.setdefault(len(k), [])
+        if not any(sum(a == b for a, b in zip(k, t)) >= 0.8 * len(k) for t in known):
+            known.append(k)
+            expected.add(x)
+    got = run(spark, [row(i, x) for i, x in enumerate(lines)])
+    assert {x[0] for x in got.values() if x[0]} == expected and len(expected) < 120
