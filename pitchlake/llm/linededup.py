@@ -1,6 +1,6 @@
 """Line deduplication by a log-template tree, in DataFrame functions alone.
 
-Tokens with digits are variable fields. A line goes down a tree of fixed depth: by its number of tokens, then by its
+White space of any kind separates tokens. Tokens with digits are variable fields. A line goes down a tree of fixed depth: by its number of tokens, then by its
 leading tokens. A leaf has a list of templates: its first line (least document, then line), and each line that is unlike
 all templates before it. A line takes a template if at least SIMILAR of its tokens agree with it in place: that of the
 leaf's first line, or else one of the first round that finds any. A template that recurs in several documents is dropped
@@ -11,7 +11,11 @@ and to meet the lines that are dropped. Least places are summed before the shuff
 templates are plain ones whose large partitions Spark splits. The further templates of a leaf are found over distinct
 masked lines by rounds, through signatures of which alike lines share one, so that no line meets all others of its leaf.
 
-Defined results: null texts stay null and lose no line; lines of fewer than MIN_TOKENS tokens are always kept; rows with
+Lines of fewer than MIN_TOKENS tokens are kept by default. With min_tokens=1 all lines but blank ones are looked at, and
+the short ones recur by their exact masked form: in scripts without spaces only digits are masked, and a line that is
+nothing but fields stands for itself.
+
+Defined results: null texts stay null and lose no line; blank lines are always kept; rows with
 equal ids count as one document; other columns pass unchanged (n_chars, where given, follows the text); a document that
 loses all lines stays with an empty text; an empty table gives an empty one.
 """
@@ -27,6 +31,10 @@ from .common import stored
 
 MIN_TOKENS, LEADING, SIMILAR, DOCUMENTS = 5, 3, 0.8, 2
 FIELD = "<*>"
+#: White space within lines, what shows that there may be other than single spaces, and scripts without spaces between words.
+SPACE = r"[\s\p{Z}\x{85}&&[^\n]]+"
+ODD_SPACE, ODD_BYTES = ("  ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", "\u3000"), (b"\xe2\x80", b"\xe2\x81")
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def let(value: Column, body) -> Column:
@@ -34,6 +42,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spaced(text: Column) -> Column:
+    """A text in which all white space within lines is one space."""
+    # looking for bytes is far cheaper than a pattern
+    odd = reduce(lambda a, b: a | b, [text.contains(F.lit(x)) for x in ODD_SPACE] + [F.contains(text.cast("binary"), F.lit(x)) for x in ODD_BYTES])
+    return F.when(odd, F.regexp_replace(text, SPACE, " ")).otherwise(text)
+
+
 def masked(text: Column) -> Column:
     """A text in which tokens with digits are replaced by FIELD."""
     return F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<!\S)[^\s\d]*+\d\S*", FIELD)).otherwise(text)
@@ -41,13 +56,21 @@ def masked(text: Column) -> Column:
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, leading: int = LEADING) -> DataFrame:
     """(doc, line, leaf, template): each line of enough tokens with hashes of its leaf and of its masked form."""
-    split = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(masked(F.col(f"`{text_col}`")), "\n")).alias("line", "shape")).where("doc is not null")
-    shape = F.trim("shape")
+    short, text = min_tokens < MIN_TOKENS, spaced(F.col(f"`{text_col}`"))
+    shapes = F.split(masked(text), "\n")
+    each = F.arrays_zip(shapes.alias("shape"), F.split(text, "\n").alias("raw")) if short else F.transform(shapes, lambda x: F.struct(x.alias("shape")))
+    split = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(each).alias("line", "of")).where("doc is not null").select("doc", "line", "of.*")
     tokens = F.length("shape") - F.length(F.replace(F.col("shape"), F.lit(" "))) + 1
-    return (
-        split.withColumn("shape", shape).withColumn("n", tokens).where(F.col("n") >= min_tokens)
-        .select("doc", "line", F.xxhash64("n", F.substring_index("shape", " ", leading)).alias("leaf"), F.xxhash64("shape").alias("template"))
-    )
+    leaf = F.xxhash64("n", F.substring_index("shape", " ", leading))
+    if short:
+        raw = F.trim("raw")
+        form = F.when(raw.rlike(UNSPACED), F.regexp_replace(raw, "[0-9]+", FIELD)).otherwise(F.col("shape"))
+        form = F.when(F.replace(form, F.lit(FIELD)).rlike(r"^\s*$"), raw).otherwise(form)
+        leaf = F.when(F.col("n") < MIN_TOKENS, F.xxhash64("n", "form")).otherwise(leaf)
+        split = split.withColumn("shape", F.trim("shape")).where("shape <> ''").withColumn("n", tokens).withColumn("form", F.when(F.col("n") < MIN_TOKENS, form).otherwise(F.col("shape")))
+    else:
+        split = split.withColumn("shape", F.trim("shape")).withColumn("n", tokens).withColumn("form", F.col("shape"))
+    return split.where(F.col("n") >= min_tokens).select("doc", "line", leaf.alias("leaf"), F.xxhash64("form").alias("template"))
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, leading: int = LEADING, similar: float = SIMILAR) -> DataFrame:
@@ -60,7 +83,7 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     wanted = places.groupBy("doc").agg(F.collect_list(F.struct("line", "leaf", "template", "is_first")).alias("wanted"))  # of one document
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("merge"), "doc")
     with_text = let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), w["leaf"].alias("leaf"), w["template"].alias("template"), w["is_first"].alias("is_first"), F.get(lines, w["line"]).alias("raw"))))
-    each = texts.select("doc", F.explode(with_text).alias("w")).select("doc", "w.line", "w.leaf", "w.template", "w.is_first", F.trim(masked(F.col("w.raw"))).alias("shape"))
+    each = texts.select("doc", F.explode(with_text).alias("w")).select("doc", "w.line", "w.leaf", "w.template", "w.is_first", F.trim(masked(spaced(F.col("w.raw")))).alias("shape"))
     unclear = stored(each, "unclear")
     seeds = stored(unclear.where("is_first").groupBy("leaf").agg(F.min("shape").alias("seed")), "seeds")
     own = F.when((F.col("shape") != F.col("seed")) & ~alike("shape", "seed", similar), F.col("template"))

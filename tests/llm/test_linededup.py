@@ -71,3 +71,16 @@ def test_templates_of_a_leaf_against_one_line_after_the_other(spark):
             expected.add(x)
     got = run(spark, [row(i, x) for i, x in enumerate(lines)])
     assert {x[0] for x in got.values() if x[0]} == expected and len(expected) < 120
+
+
+def test_short_lines_recur_where_they_are_asked_for(spark):
+    short, passage = "All rights reserved.", "这是一个在许多文件中重复出现的很长的段落，没有空格。" * 5
+    texts = [f"{short}\n\nown {i} text\n{passage}\n第{i}章很长\n{n}\n{n} {n}\n于{i}年{w}结束" for i, n, w in ((1, 11, "甲"), (2, 22, "乙"), (3, 33, "丙"))]
+    got = run(spark, [row(i, t) for i, t in enumerate(texts, 1)], min_tokens=1)
+    assert [got[i][0] for i in (1, 2, 3)] == [texts[0], "\n22\n22 22\n于2年乙结束", "\n33\n33 33\n于3年丙结束"]
+
+
+def test_white_space_of_any_kind_separates_tokens(spark):
+    a, b, c = ("\t".join("name of the place is always told as".split() + [w]) for w in ("here", "there", "elsewhere"))
+    got = run(spark, [row(1, a), row(2, f"{b}\nown\ttext"), row(3, c.replace("\t", " 　") + "\r")])
+    assert [got[i][0] for i in (1, 2, 3)] == [a, "own\ttext", ""]
