@@ -9,8 +9,9 @@ gender and script.
 
 Surrogates come from a keyed hash and an attempt number. All distinct entities are held against each other: where two
 would get one surrogate, or a surrogate is an entity of the corpus, all but the least entity try the next number, until
-none collides. Only entities are shuffled for that; texts with entities are shuffled once, to meet their replacements,
-and the others not at all.
+none collides. Made-up names grow with the number, so there are enough of them for any corpus; what must keep its length
+(numbers, accounts, secrets) is refused once ROUNDS rounds in a row have settled none of it. Only entities are shuffled
+for that; texts with entities are shuffled once, to meet their replacements, and the others not at all.
 
 Defined results: null texts stay null; texts without entities are unchanged; repeated rows get equal results (rows of
 one id are told apart by their text); other columns pass unchanged; an empty table gives an empty one.
@@ -60,6 +61,8 @@ SYLLABLES = {
     "greek": "βα γε δα δο ζα θα κα κο λα λι μα μι να νι πα πο ρα ρο σα σι τα το φα χα".split(),
 }
 LOWER, UPPER, ROUNDS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 40
+#: Attempts after which a made-up name gets another syllable.
+GROW = 3
 _TITLE = rf"^({'|'.join(t for v in TITLES.values() for t in v)})\.? "
 
 
@@ -103,7 +106,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     byte = lambda i: F.conv(F.substring(stream, 2 * i + 1 if isinstance(i, int) else i * 2 + 1, 2 if isinstance(i, int) else F.lit(2)), 16, 10).cast("int")
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     gender = F.when(kind == "given_n", F.when(byte(40) % 2 == 0, "m").otherwise("f")).otherwise(F.right(kind, F.lit(1)))
-    made = {s: F.concat(*(_pick(parts, byte(2 * i) * 256 + byte(2 * i + 1)) for i in range(3))) for s, parts in SYLLABLES.items()}
+    number = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), seed, F.lit("syllable"), i.cast("string")), 256), 1, 8), 16, 10).cast("bigint")
+    more = lambda parts: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / GROW).cast("int")), lambda i: F.when(i == 0, "").otherwise(_pick(parts, number(i)))), "")
+    made = {s: F.concat(*(_pick(parts, byte(2 * i) * 256 + byte(2 * i + 1)) for i in range(3)), more(parts)) for s, parts in SYLLABLES.items()}
     surname = given = F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
         surname = F.when(script == s, made[s]).otherwise(surname)
@@ -125,17 +130,23 @@ def dictionary(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     known = stored(found.select("kind", "canon").distinct(), "entities")
     now = known.withColumn("attempt", F.lit(0))
     taken = known.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
-    for _ in range(rounds):
+    open_before, idle = None, 0
+    while True:
         drawn = stored(now.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "surrogates")
         # of those that draw the same, the one that tried least often, then the least, keeps it
         first = stored(drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first")), "firsts")
         held = drawn.join(first, ["kind", "surrogate"]).join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left")
         lost = (F.col("first.canon") != F.col("canon")) | F.col("c").isNotNull()
         now = stored(held.select("kind", "canon", "surrogate", "attempt", lost.alias("lost")), "drawn")
-        if now.where("lost").isEmpty():
+        still = now.where("lost").count()
+        if not still:
             return now.select("kind", "canon", "surrogate")
+        # those that are settled never become fewer
+        idle = idle + 1 if still == open_before else 0
+        if idle >= rounds:
+            raise RuntimeError(f"{still} surrogates still collide, and {rounds} rounds have settled none of them")
+        open_before = still
         now = now.select("kind", "canon", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def written(mention: Column, names: Column) -> Column:

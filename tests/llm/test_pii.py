@@ -67,3 +67,11 @@ def test_odd_rows_and_plan(spark):
     assert len({r.text for r in mails}) == 2 and got.where(F.col("n_chars") != F.length("text")).count() == 0
     assert pii.surrogates(docs.limit(0), "k").count() == 0
     assert not any(x in got._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_names_have_no_ceiling(spark):
+    scripts = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("p")) for k, p in (("surname", "ж"), ("surname", "ξ"), ("given_f", "ξ")))))
+    found = spark.range(25_000).select("id", scripts.alias("e")).select("e.kind", F.concat("e.p", F.col("id").cast("string")).alias("canon"))
+    got = pii.dictionary(found, "k").cache()
+    assert got.count() == got.select("kind", "surrogate").distinct().count() == 75_000
+    assert got.where(F.col("surrogate").rlike("[0-9]") | F.col("surrogate").isNull()).count() == 0
