@@ -1,23 +1,25 @@
 """Line deduplication by a log-template tree, in DataFrame functions alone.
 
-White space of any kind separates tokens. Tokens with digits are variable fields. A line goes down a tree of fixed depth: by its number of tokens, then by its
-leading tokens. A leaf has a list of templates: its first line (least document, then line), and each line that is unlike
-all templates before it. A line takes a template if at least SIMILAR of its tokens agree with it in place: that of the
-leaf's first line, or else one of the first round that finds any. A template that recurs in several documents is dropped
-everywhere but at its first place, so that one copy of what documents share is kept.
-
-The lines are parsed once, into hashes of leaf and template. Texts move twice: to where a leaf holds several templates,
-and to meet the lines that are dropped. Least places are summed before the shuffle, and the joins on hot leaves and
-templates are plain ones whose large partitions Spark splits. The further templates of a leaf are found over distinct
-masked lines by rounds, through signatures of which alike lines share one, so that no line meets all others of its leaf.
-
-Lines of fewer than MIN_TOKENS tokens are kept by default. With min_tokens=1 all lines but blank ones are looked at, and
-the short ones recur by their exact masked form: in scripts without spaces only digits are masked, and a line that is
-nothing but fields stands for itself.
-
-Defined results: null texts stay null and lose no line; blank lines are always kept; rows with
-equal ids count as one document; other columns pass unchanged (n_chars, where given, follows the text); a document that
-loses all lines stays with an empty text; an empty table gives an empty one.
+White space of any kind separates tokens. Tokens with digits are variable fields. A line goes down a tree of fixed depth:
+by its number of tokens, then by its leading tokens. A leaf has a list of templates: its first line (least document, then
+line), and each line that is unlike all templates before it. A line takes the first template of its leaf with which at
+least SIMILAR of its tokens agree in place. Lines of fewer than SHORT tokens have no room for fields without digits: they
+take a template only by their exact masked form. A template that recurs in several documents is dropped everywhere but at
+its first place, so that one copy of what documents share is kept.
+
+What is masked: a token with a digit; in a line with a script without spaces only its digits. A line of which nothing but
+fields is left stands for itself, so that rows of numbers aren't taken for each other.
+
+The lines are parsed once, into hashes of leaf and masked form, and summed to distinct forms before the shuffle; all that
+follows is about forms, and only those of leaves that hold several need their texts. Texts move twice: to fetch these
+forms, and to meet the lines that are dropped. The joins on hot leaves and forms are plain ones whose large partitions
+Spark splits. The further templates of a leaf are found by rounds, through signatures of which alike forms share one, so
+that no form meets all others of its leaf.
+
+Defined results: null texts stay null and lose no line; blank lines are always kept; rows with equal ids count as one
+document, rows of one id are told apart by their text, and equal rows get equal results; rows without an id are together
+one document that comes first; other columns pass unchanged (n_chars, where given, follows the text; a column with the
+name of the count is replaced); a document that loses all lines stays with an empty text; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shared_path, stored
 
-MIN_TOKENS, LEADING, SIMILAR, DOCUMENTS = 5, 3, 0.8, 2
+MIN_TOKENS, SHORT, LEADING, SIMILAR, DOCUMENTS = 1, 5, 3, 0.8, 2
 FIELD = "<*>"
 #: White space within lines, what shows that there may be other than single spaces, and scripts without spaces between words.
 SPACE = r"[\s\p{Z}\x{85}&&[^\n]]+"
-ODD_SPACE, ODD_BYTES = ("  ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", "\u3000"), (b"\xe2\x80", b"\xe2\x81")
+ODD_SPACE = ("  ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", chr(0x1680), chr(0x3000))
+ODD_BYTES = (b"\xe2\x80", b"\xe2\x81")
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+FORM = ["leaf", "template"]
 
 
 def let(value: Column, body) -> Column:
@@ -45,151 +49,223 @@ def let(value: Column, body) -> Column:
 def spaced(text: Column) -> Column:
     """A text in which all white space within lines is one space."""
     # looking for bytes is far cheaper than a pattern
-    odd = reduce(lambda a, b: a | b, [text.contains(F.lit(x)) for x in ODD_SPACE] + [F.contains(text.cast("binary"), F.lit(x)) for x in ODD_BYTES])
-    return F.when(odd, F.regexp_replace(text, SPACE, " ")).otherwise(text)
+    signs = [text.contains(F.lit(x)) for x in ODD_SPACE]
+    signs += [F.contains(text.cast("binary"), F.lit(x)) for x in ODD_BYTES]
+    return F.when(reduce(lambda a, b: a | b, signs), F.regexp_replace(text, SPACE, " ")).otherwise(text)
 
 
-def masked(text: Column) -> Column:
-    """A text in which tokens with digits are replaced by FIELD."""
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<!\S)[^\s\d]*+\d\S*", FIELD)).otherwise(text)
+def masked(line: Column) -> Column:
+    """A line's form: fields in place of tokens with digits, or of digits alone where words aren't spaced."""
+    tokens = F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+    some = F.when(line.rlike(UNSPACED), F.regexp_replace(line, "[0-9]+", FIELD)).otherwise(tokens)
+    return F.when(line.rlike("[0-9]"), F.when(F.trim(F.replace(some, F.lit(FIELD))) == "", line).otherwise(some)).otherwise(line)
+
+
+def tokens_of(form: Column) -> Column:
+    """The number of tokens between single spaces; 0 for an empty line."""
+    return F.when(form == "", 0).otherwise(F.octet_length(form) - F.octet_length(F.replace(form, F.lit(" "))) + 1)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tie, text, row): rows of one id are told apart by tie; row holds all columns, so that no name can clash."""
+    text = F.col(f"`{text_col}`")
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"), every.alias("row"))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, leading: int = LEADING) -> DataFrame:
-    """(doc, line, leaf, template): each line of enough tokens with hashes of its leaf and of its masked form."""
-    short, text = min_tokens < MIN_TOKENS, spaced(F.col(f"`{text_col}`"))
-    shapes = F.split(masked(text), "\n")
-    each = F.arrays_zip(shapes.alias("shape"), F.split(text, "\n").alias("raw")) if short else F.transform(shapes, lambda x: F.struct(x.alias("shape")))
-    split = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(each).alias("line", "of")).where("doc is not null").select("doc", "line", "of.*")
-    tokens = F.length("shape") - F.length(F.replace(F.col("shape"), F.lit(" "))) + 1
-    leaf = F.xxhash64("n", F.substring_index("shape", " ", leading))
-    if short:
-        raw = F.trim("raw")
-        form = F.when(raw.rlike(UNSPACED), F.regexp_replace(raw, "[0-9]+", FIELD)).otherwise(F.col("shape"))
-        form = F.when(F.replace(form, F.lit(FIELD)).rlike(r"^\s*$"), raw).otherwise(form)
-        leaf = F.when(F.col("n") < MIN_TOKENS, F.xxhash64("n", "form")).otherwise(leaf)
-        split = split.withColumn("shape", F.trim("shape")).where("shape <> ''").withColumn("n", tokens).withColumn("form", F.when(F.col("n") < MIN_TOKENS, form).otherwise(F.col("shape")))
-    else:
-        split = split.withColumn("shape", F.trim("shape")).withColumn("n", tokens).withColumn("form", F.col("shape"))
-    return split.where(F.col("n") >= min_tokens).select("doc", "line", leaf.alias("leaf"), F.xxhash64("form").alias("template"))
-
-
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, leading: int = LEADING, similar: float = SIMILAR) -> DataFrame:
-    """(doc, line, template) for each line of enough tokens; lines of one template have equal values."""
-    every = stored(lines(docs, id_col, text_col, min_tokens, leading), "lines")
-    place = F.struct("doc", "line")
-    mixed = stored(every.groupBy("leaf").agg(F.min("template").alias("lo"), F.max("template").alias("hi"), F.min(place).alias("first")).where("lo <> hi").select("leaf", "first"), "leaves")
-    # only lines of leaves with several templates need their texts; the sides grow with the corpus, so they are merged
-    places = stored(every.join(mixed.hint("merge"), "leaf").select("doc", "line", "leaf", "template", (place == F.col("first")).alias("is_first")), "places")
-    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("line", "leaf", "template", "is_first")).alias("wanted"))  # of one document
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("merge"), "doc")
-    with_text = let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), w["leaf"].alias("leaf"), w["template"].alias("template"), w["is_first"].alias("is_first"), F.get(lines, w["line"]).alias("raw"))))
-    each = texts.select("doc", F.explode(with_text).alias("w")).select("doc", "w.line", "w.leaf", "w.template", "w.is_first", F.trim(masked(spaced(F.col("w.raw")))).alias("shape"))
-    unclear = stored(each, "unclear")
-    seeds = stored(unclear.where("is_first").groupBy("leaf").agg(F.min("shape").alias("seed")), "seeds")
-    own = F.when((F.col("shape") != F.col("seed")) & ~alike("shape", "seed", similar), F.col("template"))
-    joined = stored(unclear.join(seeds.hint("merge"), "leaf").select("doc", "line", "leaf", "shape", own.alias("own"), F.coalesce(own, F.xxhash64("seed")).alias("template")), "joined")
-    # of the lines that are unlike the leaf's first one
-    rest = joined.where("own is not null").groupBy("leaf", "own").agg(F.min("shape").alias("shape"), F.min(place).alias("place"))
-    found = further_templates(stored(rest, "rest"), leading, similar)
-    if found is not None:
-        joined = joined.join(found.hint("merge"), ["leaf", "own"], "left").withColumn("template", F.coalesce("of", "template"))
-    clear = every.join(mixed.select("leaf").hint("merge"), "leaf", "left_anti")
-    return clear.select("doc", "line", "template").unionByName(joined.select("doc", "line", "template"))
+    """(doc, tie, line, leaf, template): each line of enough tokens with hashes of its leaf and of its form."""
+    own = keyed(docs, id_col, text_col).select("doc", "tie", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "raw"))
+    forms = own.select("doc", "tie", "line", masked(F.trim("raw")).alias("form")).withColumn("n", tokens_of(F.col("form")))
+    hashed = F.xxhash64("form")
+    leaf = F.when(F.col("n") < SHORT, F.xxhash64("n", "form")).otherwise(F.xxhash64("n", F.substring_index("form", " ", leading)))
+    return forms.where(F.col("n") >= max(1, min_tokens)).select("doc", "tie", "line", leaf.alias("leaf"), hashed.alias("template"))
+
+
+def place() -> Column:
+    return F.struct("doc", "tie", "line")
+
+
+def distinct_forms(every: DataFrame) -> DataFrame:
+    """(leaf, template, place, last): the forms of lines(), with their least place and greatest document."""
+    return every.groupBy(*FORM).agg(F.min(place()).alias("place"), F.max(F.struct("doc")).alias("last"))
+
+
+def with_texts(forms: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """forms with their texts (form), from their least places."""
+    at = forms.select("place.*", *FORM).groupBy("doc", "tie").agg(F.collect_list(F.struct("line", *FORM)).alias("wanted"))  # of one document
+    at = at.withColumnsRenamed({"doc": "_doc", "tie": "_tie"})
+    own = keyed(docs, id_col, text_col).select("doc", "tie", "text")
+    joined = own.join(at.hint("merge"), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
+    raw = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["template"].alias("template"), F.get(x, w["line"]).alias("raw"))))
+    each = joined.select(F.explode(raw).alias("w")).select("w.*")
+    found = each.select(*FORM, masked(F.trim(spaced(F.col("raw")))).alias("form"))
+    return found.groupBy(*FORM).agg(F.min("form").alias("form"))  # equal rows give equal ones
 
 
 def alike(a: str, b: str, similar: float) -> Column:
-    """Whether at least `similar` of the tokens of two masked lines of equally many tokens agree in place."""
+    """Whether at least `similar` of the tokens of two forms of equally many tokens agree in place."""
     agree = F.size(F.filter(F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x == y), lambda x: x))
-    return agree >= similar * F.size(F.split(a, " "))
+    return agree >= similar * F.size(F.split(a, " ")) - 1e-9
+
+
+def same_template(docs: DataFrame, forms: DataFrame, id_col: str, text_col: str, leading: int = LEADING, similar: float = SIMILAR) -> DataFrame:
+    """(leaf, template, of, place, last): the forms of leaves that hold several, with the template (hash of its form) they take."""
+    mixed = stored(forms.groupBy("leaf").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n"), "leaves")
+    own = stored(forms.join(mixed.hint("merge"), "leaf"), "mixed-forms")
+    texts = stored(with_texts(own, docs, id_col, text_col), "texts")
+    own = own.join(texts.hint("merge"), FORM)
+    own = stored(own.select(*FORM, "place", "last", "form", (F.col("place") == F.col("first")).alias("is_first")), "forms-with-texts")
+    seeds = own.where("is_first").select("leaf", F.col("template").alias("seed_template"), F.col("form").alias("seed"))
+    seeded = own.join(seeds.hint("merge"), "leaf").withColumn("like_first", alike("form", "seed", similar))
+    seeded = stored(seeded.select(*FORM, "place", "last", "form", F.when(F.col("like_first"), F.col("seed_template")).alias("of")), "seeded")
+    found = further_templates(seeded.where("of is null").select(*FORM, "form", "place"), leading, similar)
+    out = seeded.drop("form")
+    if found is not None:
+        out = out.withColumnRenamed("of", "seed").join(found.hint("merge"), FORM, "left").withColumn("of", F.coalesce("seed", "of")).drop("seed")
+    return out.withColumn("of", F.coalesce("of", "template"))
 
 
-def signatures(shape: Column, leading: int, similar: float) -> Column:
-    """Hashes of a masked line's tokens; two alike lines of a leaf have at least one in common.
+def signatures(form: Column, leading: int, similar: float) -> Column:
+    """Hashes of a form's tokens; two alike forms of a leaf have at least one in common.
 
-    Alike lines differ in m tokens at most, all behind the leading ones. Of m + 2 parts of these tokens two are equal, of
+    Alike forms differ in m tokens at most, all behind the leading ones. Of m + 2 parts of these tokens two are equal, of
     m + 1 one is. For m = 1, where each token is a part, all but one are.
     """
     def of(n: Column, free: Column) -> Column:
-        m = (n - F.ceil(similar * n)).cast("int")
+        m = (n - F.ceil(similar * n - 1e-9)).cast("int")
         f = F.greatest(n - leading, F.lit(1))
         two = (m >= 2) & (m <= 8) & (f >= m + 2)
         count = F.when(m == 1, f).when(two, m + 2).otherwise(F.least(m + 1, f))
         edge = lambda i: F.floor(i * f / count).cast("int")
         part = lambda i: F.xxhash64(i, F.array_join(F.slice(free, edge(i) + 1, edge(i + 1) - edge(i)), " "))
         parts = F.transform(F.sequence(F.lit(0), count - 1), part)
-        without = lambda p: F.transform(p, lambda _, i: F.xxhash64(i, F.transform(p, lambda x, j: F.when(j == i, F.lit(0)).otherwise(x))))
-        pairs = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.xxhash64(x, y))))
-        return let(parts, lambda p: F.when(m < 1, F.array().cast("array<bigint>")).when(m == 1, without(p)).when(two, pairs(p)).otherwise(p))
+        hidden = lambda p, i: F.transform(p, lambda x, j: F.when(j == i, F.lit(0)).otherwise(x))
+        without = lambda p: F.transform(p, lambda _, i: F.xxhash64(i, hidden(p, i)))
+        after = lambda p, i: F.slice(p, i + 2, F.size(p))
+        pairs = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(after(p, i), lambda y: F.xxhash64(x, y))))
+        none = F.array().cast("array<bigint>")
+        return let(parts, lambda p: F.when(m < 1, none).when(m == 1, without(p)).when(two, pairs(p)).otherwise(p))
 
     # tokens are split once, not for each part
-    return let(F.split(shape, " "), lambda t: let(F.slice(t, F.lit(leading + 1), F.greatest(F.size(t) - leading, F.lit(0))), lambda free: of(F.size(t), free)))
+    rest = lambda t: F.slice(t, F.lit(leading + 1), F.greatest(F.size(t) - leading, F.lit(0)))
+    return let(F.split(form, " "), lambda t: let(rest(t), lambda free: of(F.size(t), free)))
 
 
-def further_templates(shapes: DataFrame, leading: int = LEADING, similar: float = SIMILAR) -> DataFrame | None:
-    """(leaf, own, of): the template `of` that masked lines (leaf, own, shape, place) take, for those that take another's.
+def further_templates(forms: DataFrame, leading: int = LEADING, similar: float = SIMILAR) -> DataFrame | None:
+    """(leaf, template, of): the template `of` that forms (leaf, template, form, place) take, for those that take another's.
 
-    In each round every line that is the first of all lines it shares a signature with is a template, since no line before
-    it is alike; the lines alike to it take it, and both are done. A line that shares no signature with any is its own.
+    In each round every open form that is the first of all open ones it shares a signature with is a template, since no
+    form before it is alike. Forms alike to it are open no more; they stay only to meet earlier templates that later
+    rounds find, and take the first of all. A form that shares no signature with any is its own template.
     """
-    signed = shapes.select("leaf", "own", "place", F.explode(F.array_distinct(signatures(F.col("shape"), leading, similar))).alias("signature"))
-    left, texts, found = stored(signed, "signatures"), shapes.select("leaf", "own", "shape"), []
+    signed = forms.select(*FORM, "place", F.explode(F.array_distinct(signatures(F.col("form"), leading, similar))).alias("signature"))
+    left = stored(signed.withColumn("best", F.lit(None).cast(forms.schema["place"].dataType)), "signatures")
+    texts, path, rounds = forms.select(*FORM, "form"), shared_path(forms.sparkSession, "taken"), 0
     while True:
-        groups = stored(left.groupBy("leaf", "signature").agg(F.min(F.struct("place", "own")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
+        least = F.min(F.when(F.col("best").isNull(), F.struct("place", "template"))).alias("least")
+        groups = left.groupBy("leaf", "signature").agg(least, F.count("*").alias("n")).where("n > 1 and least is not null").drop("n")
+        groups = stored(groups, "groups")
         if groups.isEmpty():
-            return reduce(DataFrame.unionByName, found) if found else None
-        shared = stored(left.join(groups.hint("merge"), ["leaf", "signature"]), "shared")
-        first = F.col("least.own") == F.col("own")
-        new = stored(shared.groupBy("leaf", "own").agg(F.every(first).alias("new")).where("new").select("leaf", "own"), "new-templates")
-        # each line with the new templates that come first for one of its signatures
-        pairs = shared.where(~first).select("leaf", "own", F.col("least.own").alias("of"), F.col("least.place").alias("at")).distinct().join(new.withColumnRenamed("own", "of").hint("merge"), ["leaf", "of"])
-        both = pairs.join(texts.hint("merge"), ["leaf", "own"]).join(texts.select("leaf", F.col("own").alias("of"), F.col("shape").alias("other")).hint("merge"), ["leaf", "of"])
-        taken = stored(both.where(alike("shape", "other", similar)).groupBy("leaf", "own").agg(F.min(F.struct("at", "of"))["of"].alias("of")), "taken")
-        found.append(taken)
-        done = new.unionByName(taken.select("leaf", "own"))
-        left = stored(shared.drop("least").join(done.hint("merge"), ["leaf", "own"], "left_anti"), "signatures")
-
-
-def recurring(found: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """(doc, line) to be dropped, of templates() that stand in at least so many documents: all but the first place."""
-    found = stored(found, "templates")
-    # a place for each document, so that documents are counted by partial sums
-    by = found.groupBy("template", "doc").agg(F.min("line").alias("line")) if documents > 2 else found
-    counted = by.groupBy("template").agg(F.min(F.struct("doc", "line")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
-    often = stored(counted.where(F.col("lo") != F.col("hi")).where(F.col("n") >= documents).select("template", "first"), "recurring")
-    return found.join(often.hint("merge"), "template").where((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))).select("doc", "line")
-
-
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the columns that it has, without the lines whose template recurs, and n_dropped as a last column."""
-    documents = options.pop("documents", DOCUMENTS)
-    gone = recurring(templates(docs, id_col, text_col, **options), documents).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("__lines"))  # of one document
-    joined = docs.join(gone.withColumnRenamed("doc", "__doc").hint("merge"), F.col(f"`{id_col}`") == F.col("__doc"), "left")
+            break
+        shared = left.join(groups.hint("merge"), ["leaf", "signature"]).where(F.col("best").isNull() | (F.col("best") > F.col("least.place")))
+        shared = stored(shared, "shared")
+        first = F.col("least.template") == F.col("template")
+        new = shared.where("best is null").groupBy(*FORM).agg(F.every(first).alias("new")).where("new").select(*FORM)
+        new = stored(new, "new-templates")
+        # each form with the new templates that come first for one of its signatures
+        pairs = shared.where(~first).select(*FORM, F.col("least.template").alias("of"), F.col("least.place").alias("at")).distinct()
+        pairs = pairs.join(new.withColumnRenamed("template", "of").hint("merge"), ["leaf", "of"])
+        other = texts.select("leaf", F.col("template").alias("of"), F.col("form").alias("other"))
+        both = pairs.join(texts.hint("merge"), FORM).join(other.hint("merge"), ["leaf", "of"]).where(alike("form", "other", similar))
+        taken = both.groupBy(*FORM).agg(F.min(F.struct("at", "of")).alias("t")).select(*FORM, "t.*")
+        taken.write.parquet(f"{path}/{rounds}")
+        taken = forms.sparkSession.read.schema(taken.schema).parquet(f"{path}/{rounds}")
+        rounds += 1
+        still = shared.drop("least").join(new.hint("merge"), FORM, "left_anti").join(taken.drop("of").hint("merge"), FORM, "left")
+        left = stored(still.withColumn("best", F.least("best", "at")).drop("at"), "signatures")
+    if not rounds:
+        return None
+    every = forms.sparkSession.read.schema(taken.schema).option("recursiveFileLookup", True).parquet(path)
+    return every.groupBy(*FORM).agg(F.min(F.struct("at", "of"))["of"].alias("of"))
+
+
+def recurring(docs: DataFrame, every: DataFrame, id_col: str, text_col: str, documents: int, leading: int, similar: float) -> DataFrame:
+    """(leaf, template, first): the forms whose template stands in at least so many documents, and the template's first place."""
+    forms = stored(distinct_forms(every), "forms")
+    several = stored(same_template(docs, forms, id_col, text_col, leading, similar), "templates")
+    whole = several.groupBy("leaf", "of").agg(F.min("place").alias("first"), F.max("last").alias("end"))
+    taking = several.select(*FORM, "of").join(whole.hint("merge"), ["leaf", "of"])
+    often = ~F.col("first.doc").eqNullSafe(F.col("end.doc"))
+    single = forms.withColumnsRenamed({"place": "first", "last": "end"}).where(often).join(several.select(*FORM).hint("merge"), FORM, "left_anti")
+    found = single.select(*FORM, "first", F.col("template").alias("of")).unionByName(taking.where(often).select(*FORM, "first", "of"))
+    if documents > 2:  # count them: a row for each document and template before the shuffle
+        found = stored(found, "several-documents")
+        by = every.join(found.select(*FORM, "of").hint("merge"), FORM).select("leaf", "of", F.struct("doc").alias("d")).distinct()
+        enough = by.groupBy("leaf", "of").count().where(F.col("count") >= documents).select("leaf", "of")
+        found = found.join(enough.hint("merge"), ["leaf", "of"])
+    return found.select(*FORM, "first")
+
+
+def drop_recurring_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, count_col: str | None = "n_dropped",
+    min_tokens: int = MIN_TOKENS, leading: int = LEADING, similar: float = SIMILAR, documents: int = DOCUMENTS,
+) -> DataFrame:
+    """docs with the columns that it has, without the lines whose template recurs, and their number as a last column."""
+    every = stored(lines(docs, id_col, text_col, min_tokens, leading), "lines")
+    often = stored(recurring(docs, every, id_col, text_col, documents, leading, similar), "recurring")
+    gone = every.join(often.hint("merge"), FORM).where(place() != F.col("first")).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "line")
+    gone = gone.groupBy("_doc", "_tie").agg(F.array_sort(F.collect_set("line")).alias("gone"))  # of one document
+    joined = keyed(docs, id_col, text_col).join(gone.hint("merge"), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
     # the stretches of lines between dropped ones
-    edge = lambda k, lines: F.when(k == 0, F.lit(-1)).when(k > F.size("__lines"), F.size(lines)).otherwise(F.get("__lines", k - 1))
-    stretch = lambda lines: F.transform(F.sequence(F.lit(0), F.size("__lines")), lambda k: F.slice(lines, edge(k, lines) + 2, edge(k + 1, lines) - edge(k, lines) - 1))
-    kept = F.array_join(F.flatten(let(F.split(F.col(f"`{text_col}`"), "\n"), stretch)), "\n")
-    text = F.when(F.col("__lines").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
-    changed = {text_col: text} | ({"n_chars": F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
-    return joined.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.size("__lines"), F.lit(0)).alias("n_dropped"))
+    edge = lambda k, x: F.when(k == 0, F.lit(-1)).when(k > F.size("gone"), F.size(x)).otherwise(F.get("gone", k - 1))
+    piece = lambda k, x: F.slice(x, edge(k, x) + 2, edge(k + 1, x) - edge(k, x) - 1)
+    stretch = lambda x: F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: piece(k, x))
+    kept = F.array_join(F.flatten(let(F.split("text", "\n"), stretch)), "\n")
+    same = F.col("gone").isNull()
+    text = F.when(same, F.col("text")).otherwise(kept)
+    changed = {text_col: text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length(text).cast("long"))
+    out = [changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != count_col]
+    return joined.select(*out, *([F.coalesce(F.size("gone"), F.lit(0)).alias(count_col)] if count_col else []))
 
 
 #: DuckDB SQL of the registered query.
 ORACLE = rf"""
-WITH doc AS (SELECT doc_id, text FROM documents),
-split AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM doc WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-shaped AS (SELECT doc, line, trim(regexp_replace(raw, '[^\s\d]*\d\S*', '{FIELD}', 'g'), ' ') AS shape FROM split),
-lines AS (SELECT doc, line, shape, string_split(shape, ' ') AS tokens FROM shaped WHERE length(shape) - length(replace(shape, ' ', '')) + 1 >= {MIN_TOKENS}),
-leaves AS (SELECT *, first_value(shape) OVER (PARTITION BY len(tokens), tokens[1:{LEADING}] ORDER BY doc, line) AS seed FROM lines),
-typed AS (
-  SELECT doc, line,
-    CASE WHEN len(list_filter(list_zip(tokens, string_split(seed, ' ')), lambda p: p[1] = p[2])) >= {SIMILAR} * len(tokens) THEN seed ELSE shape END AS template
-  FROM leaves),
-counted AS (SELECT template, min(doc) AS lo, max(doc) AS hi, min((doc, line)) AS first FROM typed GROUP BY template),
-gone AS (SELECT doc, line FROM typed JOIN counted USING (template) WHERE lo <> hi AND (doc, line) <> first),
+WITH RECURSIVE
+split AS (
+  SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+  FROM documents WHERE text IS NOT NULL),
+clean AS (SELECT doc, line, raw, trim(regexp_replace(raw, '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ') AS own FROM split),
+some AS (
+  SELECT *, CASE WHEN regexp_matches(own, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]')
+    THEN regexp_replace(own, '[0-9]+', '{FIELD}', 'g') ELSE regexp_replace(own, '[^ 0-9]*[0-9][^ ]*', '{FIELD}', 'g') END AS shape
+  FROM clean WHERE own <> ''),
+lines AS (SELECT doc, line, CASE WHEN trim(replace(shape, '{FIELD}', ''), ' ') = '' THEN own ELSE shape END AS form FROM some),
+forms AS (
+  SELECT form, string_split(form, ' ') AS tokens, min((doc, line)) AS place, max(doc) AS last FROM lines GROUP BY form),
+leaved AS (
+  SELECT *, CASE WHEN len(tokens) < {SHORT} THEN tokens ELSE tokens[1:{LEADING}] END AS leaf, len(tokens) AS n FROM forms),
+-- one template of each leaf a round: the first form that is unlike all templates before
+taking AS (
+  SELECT n, leaf, form, tokens, place, last, first_value(tokens) OVER (PARTITION BY n, leaf ORDER BY place) AS seed FROM leaved
+  UNION ALL
+  SELECT n, leaf, form, tokens, place, last, first_value(tokens) OVER (PARTITION BY n, leaf ORDER BY place) AS seed FROM taking
+  WHERE len(list_filter(list_zip(tokens, seed), lambda p: p[1] = p[2])) < {SIMILAR} * n),
+taken AS (
+  SELECT form, place, last, array_to_string(seed, ' ') AS template FROM taking
+  WHERE len(list_filter(list_zip(tokens, seed), lambda p: p[1] = p[2])) >= {SIMILAR} * n),
+templates AS (SELECT template, min(place) AS first, max(last) AS last FROM taken GROUP BY template),
+gone AS (
+  SELECT doc, line FROM lines JOIN taken USING (form) JOIN templates t USING (template)
+  WHERE t.first[1] <> t.last AND (doc, line) <> t.first),
 per_doc AS (SELECT doc, count(DISTINCT line) AS n FROM gone GROUP BY doc),
 kept AS (
-  SELECT s.doc, string_agg(raw, chr(10) ORDER BY s.line) AS text FROM split s LEFT JOIN gone g ON s.doc = g.doc AND s.line = g.line WHERE g.doc IS NULL GROUP BY s.doc)
-SELECT d.doc_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_dropped,
-  CAST(length(CASE WHEN p.n IS NULL THEN d.text ELSE coalesce(k.text, '') END) AS BIGINT) AS n_chars, sha256(CASE WHEN p.n IS NULL THEN d.text ELSE coalesce(k.text, '') END) AS text_sha256
-FROM doc d LEFT JOIN per_doc p ON d.doc_id = p.doc LEFT JOIN kept k ON d.doc_id = k.doc
+  SELECT s.doc, string_agg(raw, chr(10) ORDER BY s.line) AS text
+  FROM split s LEFT JOIN gone g ON s.doc = g.doc AND s.line = g.line WHERE g.doc IS NULL GROUP BY s.doc),
+texts AS (
+  SELECT d.doc_id, p.n, CASE WHEN p.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text
+  FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc LEFT JOIN kept k ON d.doc_id = k.doc)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_dropped, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM texts
 """
