@@ -31,7 +31,7 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def recurring_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.drop_recurring_lines(docs).select(*docs.columns)
+    return linededup.drop_recurring_lines(docs, count_col=None)
 
 
 def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
