@@ -238,11 +238,11 @@ split AS (
   SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
   FROM documents WHERE text IS NOT NULL),
 clean AS (SELECT doc, line, raw, trim(regexp_replace(raw, '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ') AS own FROM split),
-some AS (
+shaped AS (
   SELECT *, CASE WHEN regexp_matches(own, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]')
     THEN regexp_replace(own, '[0-9]+', '{FIELD}', 'g') ELSE regexp_replace(own, '[^ 0-9]*[0-9][^ ]*', '{FIELD}', 'g') END AS shape
   FROM clean WHERE own <> ''),
-lines AS (SELECT doc, line, CASE WHEN trim(replace(shape, '{FIELD}', ''), ' ') = '' THEN own ELSE shape END AS form FROM some),
+lines AS (SELECT doc, line, CASE WHEN trim(replace(shape, '{FIELD}', ''), ' ') = '' THEN own ELSE shape END AS form FROM shaped),
 forms AS (
   SELECT form, string_split(form, ' ') AS tokens, min((doc, line)) AS place, max(doc) AS last FROM lines GROUP BY form),
 leaved AS (
