@@ -1,15 +1,18 @@
 """Toxicity scores from a weighted lexicon that an Aho-Corasick automaton matches in folded text.
 
 Folding lowers case, gives look-alike letters of other scripts and digits that stand for letters one form, drops marks
-that compose with no letter and invisible characters inside words, and makes the rest spaces. A lexicon entry is a word or the beginning of a word;
-at each word the longest entry counts, unless it lies in an exception phrase. The sum of the weights, divided by the
-number of words, goes through a logistic curve to a score between 0 and 1.
+that compose with no letter and invisible characters inside words, and makes the rest spaces. A lexicon entry is a word
+or the beginning of a word; at each word the longest entry counts, unless the word lies in an exception phrase. The sum of
+the weights, divided by the number of words, goes through a logistic curve to a score between 0 and 1.
 
-Entries, weights and the curve come from at most SAMPLE labelled rows (a documented bound): an entry must stand in toxic
-texts significantly more often than in others, and its weight is the logarithm of that ratio.
+Entries, exception phrases, weights and the curve come from at most SAMPLE labelled rows (a documented bound). An entry
+must stand in toxic texts significantly more often than in others, and its weight is the logarithm of that ratio. An
+exception phrase is a word at which an entry matches, with the word before or after it, that stands in several clean
+texts and in no toxic one.
 
 Defined results: null counts as empty, and an empty text gets the curve's value for no matches; repeated rows get equal
-scores; without any labelled row, all scores are 0.0; only id and text are read. Texts are matched whole.
+scores, and count once in a fit; without any labelled row, all scores are 0.0; only id and text are read, so extra columns
+can't clash; rows without an id are scored like others; an empty table gives an empty one. Texts are matched whole.
 """
 
 from __future__ import annotations
@@ -31,11 +34,10 @@ from pyspark.sql import functions as F
 from .common import texts
 from .labelled import sample
 
-SAMPLE, ENTRIES = 6000, 2000
+#: Labelled rows, entries and exception phrases at most; clean texts that an exception phrase needs.
+SAMPLE, ENTRIES, PHRASES, CLEAN = 6000, 2000, 2000, 3
 #: Letters of other scripts, signs and digits, and the Latin letters that they are used for.
 LOOKS = dict(zip("аеорсухіјѕһԁԛԝкмнтвгαορντικυεη" "0134572689" "@$", "aeopcyxijshdqwkmhtbraopvtikuen" "oieastzgbg" "as"))
-#: Harmless phrases whose words don't count.
-EXCEPTIONS = ("trash can", "trash bag", "clown fish", "pond scum", "class clown")
 
 
 @lru_cache(1)
@@ -61,11 +63,12 @@ def folds() -> np.ndarray:
 
 
 def fold(text: str) -> tuple[str, int]:
-    """The folded text between spaces, and its number of words."""
+    """The folded text between single spaces, and its number of words."""
     points = folds()[np.frombuffer(unicodedata.normalize("NFC", text).encode("utf-32-le"), np.uint32)]
     points = np.concatenate([[0x20], points[points > 0], [0x20]]).astype(np.uint32)
     letters = points != 0x20
-    return points.tobytes().decode("utf-32-le"), int((letters[1:] & ~letters[:-1]).sum())
+    first = letters[1:] & ~letters[:-1]
+    return points[np.concatenate([[True], letters[1:] | letters[:-1]])].tobytes().decode("utf-32-le"), int(first.sum())
 
 
 def candidates(folded: str) -> set[str]:
@@ -82,7 +85,7 @@ class Lexicon:
     """Weights of the entries, exception phrases (folded), and the curve over (density, log of the sum)."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, float, float] = (-math.inf, 0.0, 0.0)
 
     def automaton(self) -> ahocorasick.Automaton:
@@ -90,15 +93,14 @@ class Lexicon:
         for entry, w in self.weights.items():
             out.add_word(entry, (len(entry), w))
         for phrase in self.exceptions:
-            folded = fold(phrase)[0].strip()
-            out.add_word(f" {folded}", (len(folded) + 1, None))
+            folded = fold(phrase)[0]
+            out.add_word(folded, (len(folded), None))
         if len(out):
             out.make_automaton()
         return out
 
-    def features(self, found: ahocorasick.Automaton, text: str) -> tuple[float, float]:
-        """Weight of the matches for each word of a text, and the logarithm of their sum."""
-        folded, n = fold(text)
+    def matches(self, found: ahocorasick.Automaton, folded: str) -> tuple[dict[int, tuple[int, float]], list[tuple[int, int]]]:
+        """The longest entry (its length and weight) by the place before each word, and the stretches of exception phrases."""
         longest: dict[int, tuple[int, float]] = {}
         safe: list[tuple[int, int]] = []
         for end, (size, w) in found.iter(folded) if len(found) else ():
@@ -107,6 +109,12 @@ class Lexicon:
                 safe.append((start, end))
             elif size > longest.get(start, (0, 0.0))[0]:
                 longest[start] = (size, w)
+        return longest, safe
+
+    def features(self, found: ahocorasick.Automaton, text: str) -> tuple[float, float]:
+        """Weight of the matches for each word of a text, and the logarithm of their sum."""
+        folded, n = fold(text)
+        longest, safe = self.matches(found, folded)
         if safe:
             inside = np.zeros(len(folded) + 1, np.int32)
             for a, b in safe:
@@ -114,40 +122,65 @@ class Lexicon:
                 inside[b] -= 1
             inside = np.cumsum(inside)
             longest = {a: x for a, x in longest.items() if not inside[a]}
-        total = sum(w for _, w in longest.values())
+        total = sum(w for _, (_, w) in sorted(longest.items()))
         return total / (n + 20), math.log1p(total)
 
+    def phrases(self, found: ahocorasick.Automaton, text: str) -> set[str]:
+        """Words at which an entry matches, with the word before and with the word after."""
+        folded, out = fold(text)[0], set()
+        for at in self.matches(found, folded)[0]:
+            end = folded.index(" ", at + 1)
+            if before := folded[:at].rpartition(" ")[2]:
+                out.add(f"{before}{folded[at:end]}")
+            if after := folded[end + 1 :].partition(" ")[0] if end + 1 < len(folded) else "":
+                out.add(f"{folded[at + 1 : end]} {after}")
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if not math.isfinite(self.curve[0]):
             return np.zeros(len(x))
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ np.array(self.curve[1:]), -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from at most `most` labelled rows that aren't held out."""
-    rows = sample(docs, labels, label, most)
+def counted(rows: DataFrame, of) -> DataFrame:
+    """(entry, pos, neg): in how many texts of either label each string of of()(text) stands; of() is called once a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: tuple[Counter, Counter] = (Counter(), Counter())
+        by, strings = (Counter(), Counter()), of()
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                by[y > 0].update(candidates(fold(text)[0]))
-                by[y > 0][""] += 1
-        keys = list(by[1])  # an entry needs toxic texts
-        yield pa.RecordBatch.from_arrays([pa.array(keys + ["", *by[0]], pa.string()), pa.array([by[1][k] for k in keys] + [0] * (len(by[0]) + 1), pa.int64()), pa.array([0] * len(keys) + [0, *by[0].values()], pa.int64())], names=["entry", "pos", "neg"])
+                by[y > 0].update(strings(text))
+        keys = list(by[0].keys() | by[1].keys())
+        numbers = [pa.array([by[k][x] for x in keys], pa.int64()) for k in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *numbers], names=["entry", "pos", "neg"])
+
+    by_task = rows.mapInArrow(count, "entry string, pos bigint, neg bigint")
+    return by_task.groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
 
-    counts = rows.mapInArrow(count, "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 3")
-    total = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon from at most `most` labelled rows that aren't held out; exceptions: phrases besides those that are learned."""
+    rows = sample(docs, labels, label, most)
+    total = rows.agg(F.coalesce(F.sum(F.col("y").cast("boolean").cast("int")), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     p, n = total["p"], total["n"] - total["p"]
     if not p or not n:
         return Lexicon(exceptions=exceptions)
     a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
     ratio = F.log(a / (p + 1)) - F.log(b / (n + 1))
-    ranked = counts.where("entry <> ''").withColumn("w", ratio).withColumn("low", ratio - 2.58 * F.sqrt(1 / a + 1 / b))
+    known = counted(rows, lambda: lambda text: candidates(fold(text)[0])).where("pos >= 3")
+    ranked = known.withColumn("w", ratio).withColumn("low", ratio - 2.58 * F.sqrt(1 / a + 1 / b))
     best = ranked.where("low > 1").orderBy(F.desc("low"), "entry").limit(ENTRIES).collect()
     out = Lexicon({r["entry"]: r["w"] for r in best}, exceptions)
+
+    def phrases_of():
+        found = out.automaton()
+        return lambda text: out.phrases(found, text)
+
+    harmless = counted(rows, phrases_of).where((F.col("pos") == 0) & (F.col("neg") >= CLEAN))
+    learned = [r["entry"] for r in harmless.orderBy(F.desc("neg"), "entry").limit(PHRASES).collect()]
+    out = Lexicon(out.weights, (*exceptions, *learned))
     measured = _measured(rows, out, ["y"]).collect()  # `most` rows of three numbers
-    x, y = np.array([[r["density"], r["strength"]] for r in measured]), np.array([r["y"] for r in measured], float)
+    x, y = np.array([[r["density"], r["strength"]] for r in measured]), np.array([r["y"] > 0 for r in measured], float)
     out.curve = logistic(x, y)
     return out
 

@@ -1,8 +1,5 @@
 """Each stage of the pipeline against a brute-force version on its own input."""
 
-import re
-from collections import defaultdict
-
 import public_tokenizers
 import pytest
 import tiktoken
@@ -11,7 +8,9 @@ import corpus_pipeline as P
 from pitchlake.llm import bpe, toxicity
 from pitchlake.llm.common import stored
 
+from .test_classifiers import brute_score
 from .test_decontam import brute as brute_contamination
+from .test_linededup import brute as brute_lines
 from .test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -36,30 +35,14 @@ def test_all_but_the_last_keep_the_columns(stages):
 
 
 def test_toxicity(spark, stages):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    lexicon = toxicity.fit(stages[0], labels)
-    found = lexicon.automaton()
-    import numpy as np
-
-    kept = {i: t for i, t in texts(stages[0]).items() if lexicon.score(np.array([lexicon.features(found, t)]))[0] < P.TOXIC}
-    assert texts(stages[1]) == kept
+    lexicon = toxicity.fit(stages[0], spark.read.parquet(f"{SF}/labels.parquet"))
+    before = texts(stages[0])
+    assert texts(stages[1]) == {i: t for i, t in before.items() if brute_score(lexicon, t) < P.TOXIC} != before
 
 
 def test_line_dedup(stages):
-    leaves, lines = {}, []
-    for i, t in sorted(texts(stages[1]).items()):
-        for n, raw in enumerate(t.split("\n")):
-            shape = re.sub(r"[^\s\d]*\d\S*", "<*>", raw).strip(" ")
-            tokens = shape.split(" ")
-            if len(tokens) >= 5:
-                seed = leaves.setdefault((len(tokens), *tokens[:3]), tokens)
-                alike = sum(a == b for a, b in zip(tokens, seed))
-                lines.append((" ".join(seed) if alike >= 0.8 * len(tokens) else shape, i, n))
-    by = defaultdict(list)
-    for template, i, n in lines:
-        by[template].append((i, n))
-    gone = {x for v in by.values() if len({i for i, _ in v}) > 1 for x in sorted(v)[1:]}
-    assert texts(stages[2]) == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in texts(stages[1]).items()} and gone
+    before = texts(stages[1])
+    assert texts(stages[2]) == brute_lines(sorted(before.items())) != before
 
 
 def test_near_duplicates(stages):
