@@ -7,13 +7,21 @@ its words' lists are intersected from the rarest in the segment on, each shifted
 left or all have agreed. Nothing is shuffled, a hot word's list is never longer than a segment, and the index is a table
 in the shared folder, so a lost executor costs only the segments that it was reading.
 
+The items are a stated query set. They go to the segments in blocks of about BLOCK bytes of text, one after the other: the
+driver passes on one block's packed words and numbers at a time (less than twice its text), a Python worker holds about
+20 bytes for each byte of it at worst. A segment looks its own words up among the block's; only windows of which it has
+every word are searched.
+
 Defined results: a null or empty text has no words, is never hit, and as an item has no window; repeated rows of
-documents get equal results, and repeated items count once; a null item id is the item "null"; extra columns are not
-read. Texts are indexed whole.
+documents get equal results, and rows of one id are told apart by tie, the hash of their text; null ids stay null;
+repeated items count once; a null item id is the item "null"; extra columns are not read; an empty index gives an empty
+table. Texts are indexed whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,12 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, texts, utf8
+from .common import pieces, shared_path, stored, texts, utf8
 
-WINDOW, SEGMENT, BLOCK = 13, 200_000, 16 << 20
+WINDOW, SEGMENT, BLOCK = 13, 200_000, 4 << 20
 #: A-Z become lower case; what is no digit, letter or byte of a longer character separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-INDEX = "docs binary, sizes binary, terms binary, counts binary, positions binary"
+INDEX = "segment string, docs binary, ties binary, sizes binary, terms binary, counts binary, positions binary"
+NONE = -(1 << 63)
 NAMES = [x.split(" ")[0] for x in INDEX.split(", ")]
 
 
@@ -46,10 +55,10 @@ def unpacked(x: bytes, kind: type | None = None):
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """The segments: ids and numbers of words of their documents, their words, and by word the count and the positions
-    (differences within a list), all compressed. Ids are 64-bit integers."""
+    """The segments: ids, ties and numbers of words of their documents, their words, and by word the count and the
+    positions (differences within a list), all compressed, and a hash of the documents. Ids are 64-bit integers."""
 
-    def segment_of(ids: list, words: list[list[bytes]]) -> pa.RecordBatch:
+    def segment_of(docs: list[tuple[int, int]], words: list[list[bytes]]) -> pa.RecordBatch:
         known: dict[bytes, int] = {}
         sizes = np.fromiter(map(len, words), np.int32, len(words))
         terms = np.fromiter((known.setdefault(w, len(known)) for doc in words for w in doc), np.int32, int(sizes.sum()))
@@ -60,32 +69,36 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if len(counts):
             first = np.cumsum(counts) - counts
             steps[first] = at[order][first]
-        row = [packed(np.array(ids, np.int64)), packed(sizes), packed(b" ".join(known)), packed(counts), packed(steps.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=NAMES)
+        ids, ties = np.array(docs, np.int64).reshape(-1, 2).T
+        row = [packed(x) for x in (ids, ties, sizes, b" ".join(known), counts, steps.astype(np.int32))]
+        name = hashlib.md5(ids.tobytes() + ties.tobytes()).hexdigest()
+        return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in row)], names=NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, n = [], [], 0
+        docs, words, n = [], [], 0
         for batch in pieces(batches):
             data, at = utf8(batch.column("text"))
-            for i, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            ids = batch.column("doc_id").fill_null(NONE).to_pylist()
+            for key, a, b in zip(zip(ids, batch.column("tie").to_pylist()), at[:-1].tolist(), at[1:].tolist()):
                 own = words_of(data[a:b])
                 if n and n + len(own) > segment:
-                    yield segment_of(ids, words)
-                    ids, words, n = [], [], 0
-                ids.append(i if i is not None else -(1 << 63))
+                    yield segment_of(docs, words)
+                    docs, words, n = [], [], 0
+                docs.append(key)
                 words.append(own)
                 n += len(own)
-        if ids:
-            yield segment_of(ids, words)
+        if docs:
+            yield segment_of(docs, words)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, INDEX)
+    slim = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    return slim.mapInArrow(run, INDEX)
 
 
 class Segment:
     """A segment's lists, by word."""
 
     def __init__(self, row: dict[str, bytes]) -> None:
-        self.docs, self.sizes = unpacked(row["docs"], np.int64), unpacked(row["sizes"], np.int32).astype(np.int64)
+        self.name, self.docs, self.sizes = row["segment"], unpacked(row["docs"], np.int64), unpacked(row["sizes"], np.int32).astype(np.int64)
         self.first = np.cumsum(self.sizes + 1) - self.sizes - 1  # position of each document's first word
         terms = unpacked(row["terms"])
         self.terms = {t: i for i, t in enumerate(terms.split(b" "))} if terms else {}
@@ -163,67 +176,122 @@ def _matches(index: DataFrame, phrases: list[str], of) -> DataFrame:
     return searched(index, "phrase string, doc_id bigint, position bigint", search)
 
 
-def query_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Windows and the items that have them, in blocks of about `block` bytes of items' text."""
-    found, size = defaultdict(list), 0
-    for item, text in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))).distinct().toLocalIterator():
-        words = words_of(text.encode())
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            found[tuple(words[k : k + window])].append(item)
-        size += len(text)
-        if size > block:
-            yield dict(found)
-            found, size = defaultdict(list), 0
-    yield dict(found)
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(block, data): the distinct items with words in blocks of about `block` bytes, each packed into one value."""
+    own = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    own = own.distinct()
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // block))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int"))
+
+    def pack(number: int, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        known: dict[bytes, int] = {}
+        words = [words_of(text) for _, text in rows]
+        sizes = np.fromiter(map(len, words), np.int32, len(words))
+        tokens = np.fromiter((known.setdefault(w, len(known)) for x in words for w in x), np.int32, int(sizes.sum()))
+        names = json.dumps([item for item, _ in rows]).encode()
+        parts = [packed(x) for x in (names, sizes, b" ".join(known), tokens)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([parts], pa.list_(pa.binary()))], names=["block", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for number, item, text in zip(*(batch.column(c).to_pylist() for c in ("block", "item", "text"))):
+                if rows and number != now:
+                    yield pack(now, rows)
+                    rows = []
+                now = number
+                rows.append((item, text.encode()))
+        if rows:
+            yield pack(now, rows)
+
+    return dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "block int, data array<binary>")
+
+
+class Items:
+    """A block's items: their words as numbers, and their windows as stretches of them."""
+
+    def __init__(self, data: list[bytes], window: int) -> None:
+        names, sizes, terms, self.tokens = unpacked(data[0]), unpacked(data[1], np.int32), unpacked(data[2]), unpacked(data[3], np.int32)
+        self.terms = {t: i for i, t in enumerate(terms.split(b" "))} if terms else {}
+        self.names = json.loads(names)
+        n_windows = np.where(sizes > 0, np.maximum(sizes - window + 1, 1), 0).astype(np.int64)
+        self.item = np.repeat(np.arange(len(sizes)), n_windows)  # of each window
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
+        self.start = np.arange(len(self.item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + first[self.item]
+        self.end = self.start + np.minimum(sizes, window)[self.item]
+
+    def windows_in(self, s: Segment) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Distinct windows of which a segment has every word: the words' numbers there, and the items that have it."""
+        get = self.terms.get
+        own = np.array([get(t, -1) for t in s.terms], np.int64)
+        there = np.full(len(self.terms) + 1, -1, np.int64)
+        there[own[own >= 0]] = np.flatnonzero(own >= 0)
+        lacking = np.concatenate([[0], np.cumsum(there[self.tokens] < 0)])
+        found: dict[bytes, list[int]] = defaultdict(list)
+        for k in np.flatnonzero(lacking[self.end] == lacking[self.start]).tolist():
+            found[self.tokens[self.start[k] : self.end[k]].tobytes()].append(int(self.item[k]))
+        for words, items in found.items():
+            yield there[np.frombuffer(words, np.int32)], items
+
+
+HITS = "segment string, no int, hit array<int>, items array<string>"
 
 
 def contamination(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """For each document of an index: doc_id, n_words, n_hit (words inside an occurrence of a window) and items
-    array<string> (those with occurring windows, distinct, sorted).
-
-    The items are a stated query set: they go to the segments in blocks of bounded size, each of which is a pass over the
-    index; with several blocks, the words hit are gathered by segment and document before they are counted.
-    """
-    spark, parts = items.sparkSession, []
-    for windows in query_blocks(items, id_col, text_col, window, block):
-        parts.append(searched(index, "segment binary, no int, doc_id bigint, n_words bigint, hit array<int>, items array<string>", _windows_in(spark.sparkContext.broadcast(windows))))
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    """For each document of an index: doc_id, tie, n_words, n_hit (words inside an occurrence of a window) and items
+    array<string> (those with occurring windows, distinct, sorted)."""
+    spark, path = items.sparkSession, shared_path(items.sparkSession, "hits")
+    blocks = stored(item_blocks(items, id_col, text_col, block), "items")
+    spark.createDataFrame([], HITS).write.parquet(f"{path}/none")
+    for number in [r["block"] for r in blocks.select("block").collect()]:  # a number for each block
+        data = spark.sparkContext.broadcast([bytes(x) for x in blocks.where(F.col("block") == number).first()["data"]])
+        searched(index, HITS, _windows_in(data, window)).write.parquet(f"{path}/{number}")
+        data.destroy()
+    hits = spark.read.schema(HITS).option("recursiveFileLookup", True).parquet(path)
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731  of one array for each block
-    return every.groupBy("segment", "no", "doc_id", "n_words").agg(union("hit").alias("hit"), F.array_sort(union("items")).alias("items")).select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items")
+    gathered = hits.groupBy("segment", "no").agg(F.size(union("hit")).cast("long").alias("n_hit"), F.array_sort(union("items")).alias("items"))
+    none = F.array().cast("array<string>")
+    return documents(index).join(gathered, ["segment", "no"], "left").select(
+        "doc_id", "tie", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items")
+    )
+
+
+def documents(index: DataFrame) -> DataFrame:
+    """(segment, no, doc_id, tie, n_words) for each document of an index; its postings aren't read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("segment", "docs", "ties", "sizes"))):
+                ids, ties, sizes = (unpacked(x, t) for x, t in zip(row, (np.int64, np.int64, np.int32)))
+                columns = [pa.array([name] * len(ids), pa.string()), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids, mask=ids == NONE), pa.array(ties)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes.astype(np.int64))], names=["segment", "no", "doc_id", "tie", "n_words"])
 
+    return index.select("segment", "docs", "ties", "sizes").mapInArrow(run, "segment string, no int, doc_id bigint, tie bigint, n_words bigint")
+
+
+def _windows_in(data, window: int):
+    """search() for the documents that windows of a broadcast block hit."""
+    known: list[Items] = []  # once in a task
 
-def _windows_in(shared):
     def search(s: Segment) -> pa.RecordBatch:
-        n = len(s.docs)
-        edges, items = np.zeros(int((s.sizes + 1).sum()) + 1, np.int64), [set() for _ in range(n)]
-        get = s.terms.get
-        for words, own in shared.value.items():
-            terms = []
-            for w in words:
-                if (t := get(w)) is None:
-                    break
-                terms.append(t)
-            else:
-                found = s.phrase(terms)
-                if len(found):
-                    np.add.at(edges, found, 1)
-                    np.add.at(edges, found + len(words), -1)
-                    for d in np.unique(np.searchsorted(s.first, found, side="right") - 1).tolist():
-                        items[d].update(own)
+        if not known:
+            known.append(Items(data.value, window))
+        edges, items = np.zeros(int((s.sizes + 1).sum()) + 1, np.int64), defaultdict(set)
+        for terms, own in known[0].windows_in(s):
+            found = s.phrase(terms)
+            if len(found):
+                np.add.at(edges, found, 1)
+                np.add.at(edges, found + len(terms), -1)
+                for d in np.unique(np.searchsorted(s.first, found, side="right") - 1).tolist():
+                    items[d].update(own)
         hit = np.flatnonzero(np.cumsum(edges) > 0)
         of = np.searchsorted(s.first, hit, side="right") - 1
-        ends = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([s.docs[:1].tobytes() + len(s.docs).to_bytes(8)] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(s.docs, mask=s.docs == -(1 << 63)), pa.array(s.sizes),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array((hit - s.first[of]).astype(np.int32))), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            ],
-            names=["segment", "no", "doc_id", "n_words", "hit", "items"],
-        )
+        docs = sorted(items)
+        ends = np.concatenate([[0], np.searchsorted(of, docs, side="right")]).astype(np.int32) if docs else np.zeros(1, np.int32)
+        places = pa.ListArray.from_arrays(pa.array(ends), pa.array((hit - s.first[of]).astype(np.int32)))
+        names = pa.array([sorted({known[0].names[i] for i in items[d]}) for d in docs], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array([s.name] * len(docs), pa.string()), pa.array(docs, pa.int32()), places, names], names=["segment", "no", "hit", "items"])
 
     return search
 
@@ -231,3 +299,23 @@ def _windows_in(shared):
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """contamination() of documents (doc_id, text) by items (item_id, text), over an index in the shared folder."""
     return contamination(stored(build_index(docs), "index"), items)
+
+
+#: DuckDB SQL of the registered query.
+ORACLE = rf"""
+WITH low(kind, id, text) AS (
+  SELECT 'd', CAST(doc_id AS VARCHAR), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM documents
+  UNION ALL
+  SELECT 'i', CAST(item_id AS VARCHAR), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (SELECT kind, id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+starts AS (SELECT id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, greatest(2, len(w) - {WINDOW} + 2))) AS p FROM words WHERE kind = 'i' AND len(w) > 0),
+windows AS (SELECT DISTINCT id, n, array_to_string(w[p:p + n - 1], ' ') AS gram FROM starts),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM words, lengths WHERE kind = 'd' AND len(w) >= n),
+found AS (SELECT p.id, p.p, p.n, w.id AS item FROM places p JOIN windows w ON w.n = p.n AND w.gram = array_to_string(p.w[p.p:p.p + p.n - 1], ' ')),
+hit AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT id, unnest(range(p, p + n)) AS place FROM found) GROUP BY id),
+items AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY id)
+SELECT CAST(d.id AS BIGINT) AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words d LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE kind = 'd'
+"""

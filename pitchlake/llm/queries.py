@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zstd": warc.ORACLE, "op8_line_templates": linededup.ORACLE}
+    return {"op4_warc_zstd": warc.ORACLE, "op6_inverted_index": decontam.ORACLE, "op8_line_templates": linededup.ORACLE}

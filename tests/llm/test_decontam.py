@@ -41,7 +41,7 @@ def test_query_against_brute_force(spark):
 def test_odd_rows_segments_and_blocks(spark):
     long = " ".join(f"w{i % 997}" for i in range(30_000))
     docs = [(1, None), (2, ""), (3, "One, TWO three"), (3, "One, TWO three"), (4, long), (5, "x " * 40), (6, "zero one two three four. ünï one two"), (7, " ".join(f"w{i}" for i in range(900, 960)))]
-    items = [(10, "one two"), (10, "one two"), (2, "x x x x x x x x x x x x x x"), (30, None), (31, "!!"), (5, " ".join(f"w{i}" for i in range(910, 940))), (8, "ünï")]
+    items = [(None, "null item words"), (10, "one two"), (10, "one two"), (2, "x x x x x x x x x x x x x x"), (30, None), (31, "!!"), (5, " ".join(f"w{i}" for i in range(910, 940))), (8, "ünï"), (40, " ".join(f"w{i}" for i in range(900, 960)))]
     d = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id bigint, text string, n_words int")
     b = spark.createDataFrame(items, "item_id bigint, text string")
     expected = brute(docs, items)
