@@ -2,7 +2,8 @@
 stays, contaminated documents go, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and
-reads again for the next one. All stages but the last return the columns of documents.
+reads again for the next one. All stages but the last return the columns of documents. Decisions are about rows, told apart by
+id and text: what one row is found to be takes no other row of its id along.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.llm import bpe, decontam, linededup, simhash, toxicity
@@ -20,35 +21,63 @@ from pitchlake.llm.common import stored
 TOXIC, CONTAMINATED = 0.7, 20
 
 
+TIE = "__tie"
+
+
+def _row(id_col: str = "doc_id") -> Column:
+    """What decisions are about: an id and the hash of a text. Equal rows share it, other rows of one id don't."""
+    return F.struct(F.col(id_col).alias("id"), F.col(TIE).alias("tie"))
+
+
+def _tied(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(TIE, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id isn't in gone; those without an id stay."""
-    return docs.join(gone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose row (id and tie) isn't in gone."""
+    rows = stored(gone.select(F.col("row.id").alias("_id"), F.col("row.tie").alias("_tie")).distinct(), "gone")
+    return _tied(docs).join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(TIE) == F.col("_tie")), "left_anti").select(*docs.columns)
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows whose text is toxic; null texts count as empty, also in the stages below."""
     lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, stored(toxicity.score(docs, lexicon).where(F.col("score") >= TOXIC), "toxic"))
+    scored = toxicity.score(_tied(docs).select(_row().alias("row"), "text"), lexicon, id_col="row")
+    return _without(docs, scored.where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("row")))
 
 
 def recurring_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without lines that recur in other documents."""
     return linededup.drop_recurring_lines(docs, count_col=None)
 
 
 def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    return _without(docs, stored(found.where(F.col("doc_id") != F.col("component_id")), "near-duplicates"))
+    """Of each group that links reach the row with the least id and tie (no id comes first); of equal rows one."""
+    found = simhash.near_duplicates(_tied(docs).select(_row().alias("row"), "text"), id_col="row")
+    found = stored(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("first")), "near-duplicates")
+    kept = _without(docs, found.where(F.col("row") != F.col("first")).select("row"))
+    # rows that occur several times: only they are moved to keep one of each
+    several = found.groupBy("row").count().where("count > 1").select(F.col("row.id").alias("_id"), F.col("row.tie").alias("_tie"))
+    several = stored(several, "equal-rows")
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(TIE) == F.col("_tie"))
+    once = _tied(kept).join(several, own, "left_semi").dropDuplicates(["doc_id", TIE]).select(*docs.columns)
+    return _tied(kept).join(several, own, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def contaminated_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows of which enough words stand in passages of the benchmark."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, stored(found.where((F.col("n_hit") > 0) & (CONTAMINATED * F.col("n_hit") >= F.col("n_words"))), "contaminated"))
+    bad = (F.col("n_hit") > 0) & (CONTAMINATED * F.col("n_hit") >= F.col("n_words"))
+    return _without(docs, found.where(bad).select(F.struct(F.col("doc_id").alias("id"), "tie").alias("row")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document that is left: its tokens, their number, and digests of both directions."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = bpe.decode(bpe.encode(docs, path), path)
     decimal = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    digests = (F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", *digests)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
