@@ -1,20 +1,24 @@
 """Surrogates for personal data, in DataFrame functions alone.
 
 One pattern finds e-mail addresses, secrets, IBANs, card numbers, IPv4 addresses, telephone numbers and names after a
-title. A text is cut at the entities; each entity becomes a surrogate of its type, and the pieces are joined again. An
-entity's canonical form (case folded, separators removed, a name without its title) decides about its surrogate, so an
-entity has one surrogate in the whole corpus, written in the format of each mention: separators stay in place, digits
-become digits, letters keep case and script, card numbers keep a valid check digit if they had one, names keep title,
-gender and script.
+title. In documents with such names, later mentions without a title are found too: capitalised words that are a surname
+there, and the given name before it. A text is cut at the entities; each entity becomes a surrogate of its type, and the
+pieces are joined again. An entity's canonical form (case folded, separators removed, a name without its title) decides
+about its surrogate, so an entity has one surrogate in the whole corpus, written in the format of each mention: separators
+stay in place, digits become digits, letters keep case and script, card numbers and IBANs keep valid check digits if they
+had them, names keep title, gender and script.
 
 Surrogates come from a keyed hash and an attempt number. All distinct entities are held against each other: where two
 would get one surrogate, or a surrogate is an entity of the corpus, all but the least entity try the next number, until
 none collides. Made-up names grow with the number, so there are enough of them for any corpus; what must keep its length
 (numbers, accounts, secrets) is refused once ROUNDS rounds in a row have settled none of it. Only entities are shuffled
-for that; texts with entities are shuffled once, to meet their replacements, and the others not at all.
+for that, and only those redrawn that lost; texts with entities are shuffled once, to meet their replacements, and the
+others not at all. All texts are stored once with what was found in them, so that they are searched once.
 
 Defined results: null texts stay null; texts without entities are unchanged; repeated rows get equal results (rows of
-one id are told apart by their text); other columns pass unchanged; an empty table gives an empty one.
+one id are told apart by their text); rows without an id are treated like others; other columns pass unchanged (n_chars,
+where given, follows the text; a column with the name of the count is replaced); an empty table gives an empty one. A
+surname of a document that is also a common word there is replaced wherever it is capitalised.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shared_path, stored
 
 #: Titles of men, of women and of either, by script.
 TITLES = {
@@ -30,7 +34,8 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Lady", "Doña", "Госпожа", "Κυρία"),
     "n": ("Dr", "Prof", "Доктор"),
 }
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: A capitalised word; apostrophes and hyphens belong to it where letters follow, but for a possessive s.
+_NAME = r"\p{Lu}(?:\p{L}|['’](?!s?(?!\p{L}))|-(?=\p{L}))+"
 #: What finds each type, in the order in which alternatives are tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -43,6 +48,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{'|'.join(t for v in TITLES.values() for t in v)})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Also capitalised words, for documents in which names are known.
+WIDE = rf"{ANY}|(?<!\p{{L}}){_NAME}"
 #: What every text with an entity has: a digit, an at sign, the start of a secret or a title. Far cheaper to look for than ANY.
 HINT = rf"[0-9@]|[a-fA-F]{{32}}|(?:sk|pk|ghp|key)[-_]|(?:{'|'.join(t for v in TITLES.values() for t in v)})\.? "
 #: Given names by script and gender, the endings of made-up ones, and the syllables of made-up names.
@@ -95,6 +102,13 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
+def mod97(account: Column) -> Column:
+    """The remainder by 97 of an account number whose first four characters stand last; 1 if its check digits are valid."""
+    moved = F.concat(F.substring(account, 5, 64), F.substring(account, 1, 4))
+    step = lambda a, c: F.when(c.between("0", "9"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c)))
+
+
 def _pick(words: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (F.pmod(number, F.lit(len(words))) + 1).cast("int"))
 
@@ -122,61 +136,100 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
     check = F.pmod(10 - F.pmod(luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = F.when(F.pmod(luhn(canon), F.lit(10)) == 0, F.concat(body, check)).otherwise(drawn)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "surname", surname).when(kind.startswith("given"), given).otherwise(drawn)
+    digits = F.lpad((98 - mod97(F.concat(F.substring(drawn, 1, 2), F.lit("00"), F.substring(drawn, 5, 64)))).cast("string"), 2, "0")
+    valid = F.concat(F.substring(drawn, 1, 2), digits, F.substring(drawn, 5, 64))
+    iban = F.when(mod97(canon) == 1, valid).otherwise(drawn)
+    made = {"email": email, "ip": ip, "card": card, "iban": iban, "surname": surname}
+    out = F.when(kind.startswith("given"), given).otherwise(drawn)
+    for name, value in made.items():
+        out = F.when(kind == name, value).otherwise(out)
+    return out
 
 
 def dictionary(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, canon, surrogate) for the distinct entities of found; no surrogate is another's, or an entity of the corpus."""
+    """(kind, canon, surrogate) for the distinct entities of found; no surrogate is another's, or an entity of the corpus.
+
+    In each round those that are still open draw. Whoever draws what no entity and nobody settled has, and is the least
+    of those that draw it, is settled for good; only the others go on.
+    """
+    spark, path = found.sparkSession, shared_path(found.sparkSession, "surrogates")
     known = stored(found.select("kind", "canon").distinct(), "entities")
-    now = known.withColumn("attempt", F.lit(0))
-    taken = known.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
-    open_before, idle = None, 0
+    taken = known.select("kind", F.col("canon").alias("surrogate"))
+    left, number, open_before, idle = known.withColumn("attempt", F.lit(0)), 0, None, 0
     while True:
-        drawn = stored(now.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "surrogates")
-        # of those that draw the same, the one that tried least often, then the least, keeps it
-        first = stored(drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first")), "firsts")
-        held = drawn.join(first, ["kind", "surrogate"]).join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left")
-        lost = (F.col("first.canon") != F.col("canon")) | F.col("c").isNotNull()
-        now = stored(held.select("kind", "canon", "surrogate", "attempt", lost.alias("lost")), "drawn")
-        still = now.where("lost").count()
+        drawn = stored(left.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "drawn")
+        first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
+        free = first.join(taken, ["kind", "surrogate"], "left_anti")
+        free.select("kind", "canon", "surrogate").write.parquet(f"{path}/{number}")
+        new = spark.read.schema("kind string, canon string, surrogate string").parquet(f"{path}/{number}")
+        settled = spark.read.schema("kind string, canon string, surrogate string").option("recursiveFileLookup", True).parquet(path)
+        left = stored(drawn.join(new, ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "open")
+        still = left.count()
         if not still:
-            return now.select("kind", "canon", "surrogate")
+            return settled
         # those that are settled never become fewer
         idle = idle + 1 if still == open_before else 0
         if idle >= rounds:
             raise RuntimeError(f"{still} surrogates still collide, and {rounds} rounds have settled none of them")
-        open_before = still
-        now = now.select("kind", "canon", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
+        open_before, number = still, number + 1
+        taken = known.select("kind", F.col("canon").alias("surrogate")).unionByName(settled.select("kind", "surrogate"))
+
+
+def _cased(part: Column, new: Column) -> Column:
+    """A made-up name with the capitals of the name that it stands for."""
+    return F.when((F.length(part) > 1) & (F.upper(part) == part), F.upper(new)).otherwise(F.initcap(new))
 
 
 def written(mention: Column, names: Column) -> Column:
-    """A mention's surrogate in the mention's format; names: map from key_of() to surrogates."""
+    """A mention's surrogate in the mention's format, null if it is no entity; names: map from key_of() to surrogates."""
     kind, own = type_of(mention), entities(mention)
     first, last = names[key_of(own[0])], names[key_of(F.element_at(own, -1))]
-    case = lambda x: F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(x)).otherwise(x)
+    case = F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(first)).otherwise(first)
     title = F.regexp_extract(mention, rf"{_TITLE[:1]}({_TITLE[1:]})", 1)
     parts = F.split(F.regexp_replace(mention, _TITLE, ""), " ")
-    styled = lambda part, new: F.when((F.length(part) > 1) & (F.upper(part) == part), F.upper(new)).otherwise(F.initcap(new))
-    name = F.concat(title, F.when(F.size(own) > 1, F.concat(styled(parts[0], first), F.lit(" "))).otherwise(""), styled(F.element_at(parts, -1), last))
+    given = F.when(F.size(own) > 1, F.concat(_cased(parts[0], first), F.lit(" "))).otherwise("")
+    name = F.concat(title, given, _cased(F.element_at(parts, -1), last))
     # separators of numbers stay in place
-    spaced = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(first, F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^A-Za-z0-9]", "")), F.lit(1))).otherwise(c)), "")
-    return F.when(kind == "name", name).when(kind.isin("email", "secret", "ip"), case(first)).otherwise(spaced)
-
-
-def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with surrogates in the text, and n_entities (mentions) as a last column."""
-    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
-    found = docs.where(has).select(own.alias("__id"), F.xxhash64(text).alias("__tie"), F.regexp_extract_all(text, F.lit(ANY), 0).alias("__mentions"))
-    found = stored(found.groupBy("__id", "__tie").agg(F.min("__mentions").alias("__mentions")), "mentions")
-    each = stored(found.select("__id", "__tie", F.explode(F.array_distinct(F.flatten(F.transform("__mentions", entities)))).alias("e")).select("__id", "__tie", "e.*"), "entities")
-    names = stored(dictionary(each, key), "dictionary")
-    by_doc = each.join(names, ["kind", "canon"]).groupBy("__id", "__tie").agg(F.map_from_entries(F.collect_list(F.struct(key_of(F.struct("kind", "canon")).alias("k"), "surrogate"))).alias("__names"))
-    by_doc = by_doc.withColumnsRenamed({"__id": "__i", "__tie": "__t"})
-    new = found.join(by_doc, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__tie") == F.col("__t"))).select("__i", "__t", F.transform("__mentions", lambda m: written(m, F.col("__names"))).alias("__new"))
-    joined = docs.where(has).join(stored(new, "replacements"), own.eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
-    gaps = F.split(text, ANY, -1)
-    changed = F.when(F.col("__new").isNull(), text).otherwise(F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), F.col("__new").alias("n")), lambda p: F.array(p["g"], F.coalesce(p["n"], F.lit(""))))), ""))
-    columns = {text_col: changed} | ({"n_chars": F.when(F.col("__new").isNull(), F.col("n_chars")).otherwise(F.length(changed).cast("long"))} if "n_chars" in docs.columns else {})
-    changed_rows = joined.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.size("__new"), F.lit(0)).alias("n_entities"))
-    return docs.where(~has).withColumn("n_entities", F.lit(0)).select(changed_rows.columns).unionByName(changed_rows)
+    before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^A-Za-z0-9]", ""))
+    placed = F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(first, before(i), F.lit(1))).otherwise(c))
+    of_kind = F.when(kind == "name", name).when(kind.isin("email", "secret", "ip"), case).otherwise(F.array_join(placed, ""))
+    return F.when(kind.isNotNull(), of_kind)
+
+
+def bare(mentions: Column, gaps: Column, i: Column, names: Column) -> Column:
+    """The surrogate of a capitalised word that is a surname of the document, or a given name right before one; else null."""
+    word, after = F.get(mentions, i), F.get(mentions, i + 1)
+    surname = lambda w: names[F.concat(F.lit("surname:"), F.lower(w))]
+    given = F.coalesce(*(names[F.concat(F.lit(f"given_{g}:"), F.lower(word))] for g in "mfn"))
+    follows = (F.get(gaps, i + 1) == " ") & surname(after).isNotNull()
+    return F.coalesce(F.when(follows, _cased(word, given)), _cased(word, surname(word)))
+
+
+def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
+    """docs with surrogates in the text, and their number as a last column."""
+    text = F.col(f"`{text_col}`")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that no name can clash
+    mentions = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).alias("mentions")
+    marked = stored(docs.select(row, F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("tie"), mentions), "marked")
+    has = F.coalesce(F.size("mentions") > 0, F.lit(False))
+    found = marked.where(has).groupBy("doc", "tie").agg(F.min("mentions").alias("mentions"))
+    own = F.explode(F.array_distinct(F.flatten(F.transform("mentions", entities)))).alias("e")
+    each = stored(found.select("doc", "tie", own).select("doc", "tie", "e.*"), "entities")
+    entry = F.struct(key_of(F.struct("kind", "canon")).alias("k"), "surrogate")
+    by_doc = each.join(dictionary(each, key), ["kind", "canon"]).groupBy("doc", "tie").agg(F.map_from_entries(F.collect_list(entry)).alias("names"))
+    by_doc = stored(by_doc.withColumnsRenamed({"doc": "_doc", "tie": "_tie"}), "dictionary")
+    joined = marked.where(has).join(by_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
+
+    body = F.col(f"row.`{text_col}`")
+    named = F.exists(F.map_keys("names"), lambda k: k.startswith("surname:"))
+    cut = joined.select("row", "names", F.when(named, F.regexp_extract_all(body, F.lit(WIDE), 0)).otherwise(F.col("mentions")).alias("mentions"),
+                        F.when(named, F.split(body, WIDE, -1)).otherwise(F.split(body, ANY, -1)).alias("gaps"))
+    m, g, n = F.col("mentions"), F.col("gaps"), F.col("names")
+    cut = cut.withColumn("new", F.transform(m, lambda x, i: F.coalesce(written(x, n), bare(m, g, i, n))))
+    piece = lambda x, i: F.concat(x, F.coalesce(F.get("new", i), F.get(m, i), F.lit("")))
+    changed = cut.select("row", F.array_join(F.transform(g, piece), "").alias("text"), F.size(F.filter("new", lambda x: x.isNotNull())).alias("n"))
+    columns = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
+    kept = [c for c in docs.columns if c != count_col]
+    done = changed.select(*(columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in kept), *([F.col("n").alias(count_col)] if count_col else []))
+    same = marked.where(~has).select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *([F.lit(0).alias(count_col)] if count_col else []))
+    return same.unionByName(done)

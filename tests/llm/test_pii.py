@@ -1,5 +1,6 @@
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from pitchlake.llm import pii, queries
@@ -26,8 +27,8 @@ def test_formats_and_coreference(spark):
 
 def test_names_keep_title_gender_and_script(spark):
     a, b = run(spark, ["Mr. John Smith met Frau Anna Miller; Mr Smith left MR MILLER alone.", "Госпожа Анна Петрова, Herr Smith"])
-    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Frau (\w+) (\w+); Mr (\w+) left MR MILLER alone\.", a)
-    assert m and m[2] == m[5] and m[2] != "Smith" and m[1].lower() in pii.GIVEN["latin", "m"] and m[3].lower() in pii.GIVEN["latin", "f"]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Frau (\w+) (\w+); Mr (\w+) left MR (\w+) alone\.", a)
+    assert m and m[2] == m[5] and m[6] == m[4].upper() and m[2] != "Smith" and m[1].lower() in pii.GIVEN["latin", "m"] and m[3].lower() in pii.GIVEN["latin", "f"]
     n = re.fullmatch(r"Госпожа ([А-Яа-я]+) ([А-Яа-я]+), Herr (\w+)", b)
     assert n and n[1].lower() in pii.GIVEN["cyrillic", "f"] and n[3] == m[2]
 
@@ -58,6 +59,82 @@ def test_query_over_a_whole_table(spark):
     assert pairs and len(set(pairs.values())) == len(pairs)
 
 
+TITLE = "|".join(t for v in pii.TITLES.values() for t in v)
+
+
+def canon(mention):
+    """Kind and entities (kind, canonical form) of a mention after the patterns of the types."""
+    kind = next((k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, mention)), None)
+    if kind == "name":
+        title, words = regex.match(TITLE, mention)[0], regex.sub(rf"^({TITLE})\.? ", "", mention).lower().split(" ")
+        gender = next(g for g, v in pii.TITLES.items() if title in v)
+        return kind, [(f"given_{gender}", words[0])] * (len(words) > 1) + [("surname", words[-1])]
+    return kind, [(kind, mention.lower() if kind in ("email", "secret", "ip") else re.sub("[^A-Z0-9]", "", mention.upper()))]
+
+
+def cased(old, new):
+    return new.upper() if len(old) > 1 and old.upper() == old else new[0].upper() + new[1:].lower()
+
+
+def brute(text, names):
+    """A text with surrogates, and their number, by one mention after the other; names: (kind, canonical form) -> surrogate."""
+    titled = [e for m in regex.finditer(pii.ANY, text) for e in canon(m[0])[1]]
+    surnames, given = ({c: names[k, c] for k, c in titled if k.startswith(kind)} for kind in ("surname", "given"))
+    out, at, n = "", 0, 0
+    found = list(regex.finditer(pii.WIDE if surnames else pii.ANY, text))
+    for i, m in enumerate(found):
+        old, new = m[0], None
+        kind, own = canon(old)
+        if kind == "name":
+            head = regex.match(rf"({TITLE})\.? ", old)[0]
+            new = head + " ".join(cased(w, names[e]) for w, e in zip(old[len(head) :].split(" "), own))
+        elif kind in ("email", "secret", "ip"):
+            new = names[own[0]].upper() if old.upper() == old != old.lower() else names[own[0]]
+        elif kind:
+            letters = iter(names[own[0]])
+            new = "".join(next(letters) if c.isascii() and c.isalnum() else c for c in old)
+        else:
+            w, after = old.lower(), found[i + 1] if i + 1 < len(found) else None
+            if w in given and after and after[0].lower() in surnames and text[m.end() : after.start()] == " ":
+                new = cased(old, given[w])
+            elif w in surnames:
+                new = cased(old, surnames[w])
+        out += text[at : m.start()] + (old if new is None else new)
+        at, n = m.end(), n + (new is not None)
+    return out + text[at:], n
+
+
+TEXTS = [
+    "Mr. John Smith came. Smith left, said John Smith. John stayed; SMITH'S hat and Smithson's coat. Yesterday Smith slept.",
+    "Herr Smith met Frau Anna Miller-Jones. Anna Miller-Jones wrote to a@b.example and A@B.EXAMPLE. Miller-Jones's file.",
+    "Smith without a title stays, like Anna. IBAN DE89 3704 0044 0532 0130 00, card 4111-1111-1111-1111.",
+    "Госпожа Анна Петрова ушла. Петрова молчала. Κύριος Νίκος Παπάς: Παπάς. DE89370400440532013000 GB00WEST12345698765432",
+    "Call +1 (564) 555-4526 or 10.0.0.1; key-0123456789abcdef0123 " + "0123456789abcdef" * 2, "nothing here", "",
+]
+
+
+def test_against_one_mention_after_the_other(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = [*TEXTS, *(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect())]
+    found = {e for t in texts for m in regex.finditer(pii.ANY, t) for e in canon(m[0])[1]}
+    names = {(r.kind, r.canon): r.surrogate for r in pii.dictionary(spark.createDataFrame(sorted(found), "kind string, canon string"), "k").collect()}
+    assert names.keys() == found and len({(k, v) for (k, _), v in names.items()}) == len(names) and not {(k, v) for (k, _), v in names.items()} & found
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.surrogates(docs, "k").collect()}
+    assert got == {i: brute(t, names) for i, t in enumerate(texts)}
+    assert "Smith" not in got[0][0].replace("Smithson", "") and got[0][0].count("John") == 1 and got[2][0].startswith("Smith without") and got[5] == ("nothing here", 0)
+
+
+def test_accounts_keep_valid_check_digits(spark):
+    def rest(x):
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    old = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "DE00370400440532013000"]
+    got = {r.canon: r.surrogate for r in pii.dictionary(spark.createDataFrame([("iban", x) for x in old], "kind string, canon string"), "k").collect()}
+    assert [rest(got[x]) == 1 for x in old] == [rest(x) == 1 for x in old] == [True, True, True, False]
+    assert all(got[x][:2] == x[:2] and len(got[x]) == len(x) and [c.isdigit() for c in got[x]] == [c.isdigit() for c in x] for x in old)
+
+
 def test_odd_rows_and_plan(spark):
     rows = [(1, None), (2, ""), (3, "a@b.example"), (3, "a@b.example"), (3, "c@d.example"), (None, "x@y.example"), (7, "word " * 100_000 + "a@b.example")]
     docs = spark.createDataFrame([(i, t, len(t or ""), "k", "n") for i, t in rows], "doc_id bigint, text string, n_chars bigint, kind string, names string")
@@ -66,6 +143,10 @@ def test_odd_rows_and_plan(spark):
     mails = got.where("doc_id = 3").select("text").collect()
     assert len({r.text for r in mails}) == 2 and got.where(F.col("n_chars") != F.length("text")).count() == 0
     assert pii.surrogates(docs.limit(0), "k").count() == 0
+    clash = docs.selectExpr("doc_id", "text", "7 as n_entities", "'r' as row", "'d' as doc", "1 as tie", "'m' as mentions", "1 as new")
+    both = pii.surrogates(clash, "k")
+    assert both.columns == ["doc_id", "text", "row", "doc", "tie", "mentions", "new", "n_entities"] and both.where("n_entities > 0 and row = 'r'").count() == 5
+    assert pii.surrogates(clash, "k", count_col=None).columns == clash.columns
     assert not any(x in got._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
 
 
