@@ -38,8 +38,9 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
-    id_of = lambda c: F.conv(F.right(F.regexp_replace(c, "[-<>]", ""), F.lit(16)), 16, -10).cast("long")
-    return found.select(id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to").alias("refers_to"))
+    return found.select(
+        warc.page_column("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_column("refers_to").alias("refers_to")
+    )
 
 
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """WARC archives with Zstandard: written by Spark to the shared folder, and read back.
 
-An archive starts with a skippable frame that holds the dictionary; then comes one frame for each record. The writer is
-Spark's own text sink, so files appear whole or not at all, also when tasks are repeated: a record's frame is a row, and
-the row separator is an empty skippable frame, which readers of Zstandard pass over. A file has at most RECORDS records.
+An archive starts with a skippable frame that holds the dictionary; then comes one frame for each record. A task fills an
+archive until it has about SIZE bytes or RECORDS records, and hands it to Spark's own text sink as one row and one file, so
+files appear whole or not at all, also when tasks are repeated; what the sink puts after a row is an empty skippable frame,
+which readers of Zstandard pass over. A file is larger than SIZE only by its last record.
 
 Of records with equal payloads of at least LEAST bytes, that with the smallest id is a response and the others revisit
 it: they carry the digest and the response's record id, and the length in their HTTP headers, but no payload.
@@ -11,7 +12,8 @@ Reading checks the version, the mandatory headers, each block's length, the dige
 a frame holds just one record.
 
 Defined results: null html is an empty payload and empty payloads are responses; pages with equal ids are records of
-their own, those with the smallest id of equal payloads are all responses; null ids are refused; other columns are not
+their own, those with the smallest id of equal payloads are all responses; a page without an id gets a record id from its
+digest, which page_of() reads as none, and is a response unless a page with an id has its payload; other columns are not
 read; an empty table makes archives without records.
 """
 
@@ -25,35 +27,50 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path, stored
 from .labelled import least_hashes
 
-LEAST, RECORDS, SAMPLE, DICTIONARY = 100, 4096, 400, 32 << 10
+LEAST, RECORDS, SIZE, SAMPLE, DICTIONARY = 100, 1 << 16, 32 << 20, 400, 32 << 10
 #: Fixed values of the format: the magic number of a dictionary's skippable frame, of an empty one between records, the
 #: magic number of a Zstandard frame, the version line, the profile of revisits.
 DICTIONARY_MAGIC, BETWEEN, FRAME_MAGIC = 0x184D2A5D, struct.pack("<II", 0x184D2A50, 0).decode("ascii"), 0xFD2FB528
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int) -> str:
-    """A record id that keeps the page id in its last 64 bits."""
-    return f"<urn:uuid:{uuid.UUID(int=(0x70616765_0000_8000 << 64) | (page_id & ((1 << 64) - 1)))}>"
+#: Upper halves of record ids: of pages with an id, which is the lower half, and of those without.
+PAGE, NAMELESS = 0x70616765_0000_8000, 0x6E6F6964_0000_8000
 
 
-def page_of(name: str) -> int:
-    low = uuid.UUID(name.removeprefix("<urn:uuid:").removesuffix(">")).int & ((1 << 64) - 1)
-    return low - (1 << 64) if low >> 63 else low
+def record_id(page_id: int | None, digest: str = "") -> str:
+    """A record id that keeps the page id in its last 64 bits; a page without an id gets one from its digest."""
+    high, low = (PAGE, page_id) if page_id is not None else (NAMELESS, int(digest[:16] or "0", 16))
+    return f"<urn:uuid:{uuid.UUID(int=(high << 64) | (low & ((1 << 64) - 1)))}>"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def page_of(name: str) -> int | None:
+    high, low = divmod(uuid.UUID(name.removeprefix("<urn:uuid:").removesuffix(">")).int, 1 << 64)
+    return None if high == NAMELESS else low - (1 << 64) if low >> 63 else low
+
+
+def page_column(name: str) -> Column:
+    """page_of() of a column."""
+    digits = F.regexp_replace(name, "[-<>]", "")
+    low = F.conv(F.right(digits, F.lit(16)), 16, -10).cast("long")
+    return F.when(~digits.contains(f"{NAMELESS:016x}"), low)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """A response record, or a revisit record of the response refers_to."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     target = "".join(c for c in url or "" if c > " ") or "about:blank"
-    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    headers = [
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Target-URI", target), ("WARC-Date", date),
+        ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
+    ]
     if refers_to is not None:
         headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -124,7 +141,7 @@ def dictionary(pages: DataFrame, payload_col: str = "payload", sample: int = SAM
 
     Of equal payloads one counts. Only hashes below a bound that about 2 * sample reach are ordered, so no task sends many.
     """
-    full = pages.where(F.length(payload_col) > 0).select(F.xxhash64("digest").alias("h"), payload_col)
+    full = pages.where(F.length(payload_col) > 0).select(F.xxhash64(payload_col).alias("h"), payload_col)
     n = full.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
     some = full.where(F.col("h") <= least_hashes(n, sample)).groupBy("h").agg(F.first(F.substring(payload_col, 1, 1 << 16)).alias("p"))
     rows = some.orderBy("h").limit(sample).collect()
@@ -134,7 +151,7 @@ def dictionary(pages: DataFrame, payload_col: str = "payload", sample: int = SAM
         return b""
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST, date: str | None = None, records: int = RECORDS) -> None:
+def write(pages: DataFrame, path: str, least: int = LEAST, date: str | None = None, records: int = RECORDS, size: int = SIZE) -> None:
     """Archives of pages (page_id, url, html) as files in a folder."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -142,7 +159,8 @@ def write(pages: DataFrame, path: str, least: int = LEAST, date: str | None = No
     long = F.length("payload") >= least
     shared = every.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     shared = stored(shared, "shared-payloads")
-    linked = every.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", F.when(long & (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to"))
+    revisit = long & (F.col("page_id").isNull() | (F.col("first") < F.col("page_id")))
+    linked = every.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
     trained = spark.sparkContext.broadcast(dictionary(every))  # of DICTIONARY bytes at most
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -150,18 +168,24 @@ def write(pages: DataFrame, path: str, least: int = LEAST, date: str | None = No
         data = zstandard.ZstdCompressionDict(trained.value) if trained.value else None
         writer = zstandard.ZstdCompressor(level=3, dict_data=data, write_checksum=True)
         head = trained.value and struct.pack("<II", DICTIONARY_MAGIC, len(trained.value)) + trained.value
-        n = 0
+        held, held_size = [], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([head + b"".join(held)], pa.binary())], names=["archive"])
+
         for batch in batches:
-            for k in range(0, len(batch), 200):
-                part = batch.slice(k, 200).to_pylist()
-                out = [writer.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], date)) for r in part]
-                for i in range(-n % records, len(out), records):  # where the sink begins a file
-                    out[i] = head + out[i]
-                n += len(out)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            for k in range(0, len(batch), 100):
+                for r in batch.slice(k, 100).to_pylist():
+                    held.append(writer.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], date)))
+                    held_size += len(held[-1])
+                    if held_size >= size or len(held) >= records:
+                        yield archive()
+                        held, held_size = [], 0
+        if held:
+            yield archive()
 
     # bytes go through the text sink as they are
-    linked.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", BETWEEN).option("maxRecordsPerFile", records).text(path)
+    linked.mapInArrow(run, "archive binary").select(F.col("archive").cast("string")).write.option("lineSep", BETWEEN).option("maxRecordsPerFile", 1).text(path)
 
 
 FOUND = "record_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"

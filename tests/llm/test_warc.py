@@ -12,8 +12,8 @@ def brute(rows):
     out = []
     for i, html in rows:
         p = (html or "").encode()
-        first = min(j for j, h in rows if (h or "").encode() == p)
-        revisit = len(p) >= 100 and first < i
+        first = min((j for j, h in rows if (h or "").encode() == p and j is not None), default=None)
+        revisit = len(p) >= 100 and first is not None and (i is None or first < i)
         out.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
     return sorted(out, key=str)
 
@@ -31,7 +31,7 @@ def test_query_against_brute_force(spark):
 
 def test_odd_rows(spark):
     same, tiny = "<p>ünï</p>" * 20, "<p>x</p>"
-    rows = [(5, same), (3, same), (3, same), (9, None), (1, ""), (7, tiny), (8, tiny), (-4, "w" * 2_000_000), (6, "\r\n\r\nWARC/1.1\r\n" * 20)]
+    rows = [(5, same), (3, same), (3, same), (9, None), (1, ""), (7, tiny), (8, tiny), (-4, "w" * 2_000_000), (6, "\r\n\r\nWARC/1.1\r\n" * 20), (None, same), (None, tiny), (None, "only without an id " * 9), (None, "only without an id " * 9), (None, None)]
     pages = spark.createDataFrame([(i, f"http://e.example/{i}\r\nX: y", h, 0) for i, h in rows], "page_id bigint, url string, html string, payload int")
     assert got(warc.round_trip(pages)) == brute(rows)
     assert warc.round_trip(pages.limit(0)).count() == 0
@@ -47,6 +47,17 @@ def test_files_start_with_the_dictionary_and_have_a_frame_for_each_record(spark)
     assert {warc.page_of(r.record_id): bytes(r.payload).decode() for r in warc.read(spark, path).collect()} == payloads
 
 
+def test_files_are_bounded_by_bytes(spark):
+    import os
+
+    pages = spark.createDataFrame([(i, "u", os.urandom(3000).hex()) for i in range(100)], "page_id bigint, url string, html string").coalesce(1)
+    path = shared_path(spark, "warc")
+    warc.write(pages, path, size=40_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()]
+    assert len(sizes) > 5 and max(sizes) < 40_000 + warc.DICTIONARY + 5000 and warc.read(spark, path).count() == 100
+    assert [warc.page_of(warc.record_id(i, "ff")) for i in (5, -5, None)] == [5, -5, None]
+
+
 def test_invalid_archives_are_refused():
     good = warc.record(1, "http://e.example/", b"hello", hashlib.sha256(b"hello").hexdigest(), None, "2024-01-01T00:00:00Z")
     assert warc.parsed(good)["payload"] == b"hello"
