@@ -25,7 +25,7 @@ def test_query_against_the_library(spark, library):
 
 def test_blocks_are_stitched(spark, library):
     texts = ["", "one two", None, "a b c d e f g " * 30, "", "", "x"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    docs = spark.createDataFrame([(None if i == 3 else i, t, "f", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, file string, size int").coalesce(1)
     path = shared_path(spark, "tokens")
     tokenfiles.write(docs, path, PATH)
     sizes = [len(library.encode_ordinary(t or "")) for t in texts]
@@ -35,6 +35,35 @@ def test_blocks_are_stitched(spark, library):
         assert [(r.document, r.first_token, r.n_tokens, r.ended) for r in rows] == [(i, s, n, True) for i, (s, n) in enumerate(zip(starts, sizes))]
 
 
+def test_files_of_several_byte_ranges(spark, tmp_path):
+    """Ranges and blocks that start at odd bytes, line feeds and zero bytes in tokens, and documents over several of them."""
+    rng = np.random.default_rng(5)
+    kinds = [0x0000, 0x0A00, 0x000A, 0x0A0A, 0x0100, 0x0001, 0x00FF, 0xFF00, 0x0D0A]
+    files = {f"part-{k}": rng.choice(kinds, n, p=[0.2, *[0.1] * 8]).astype("<u2") for k, n in enumerate((3000, 1001, 7, 500))}
+    files["part-long"] = np.concatenate([np.full(4000, 0x0A00), [0], np.full(3000, 0x0100), [0, 0, 0], np.full(999, 10)]).astype("<u2")
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data.tobytes())
+    expected = []
+    for name, data in files.items():
+        ends, at = np.flatnonzero(data == 0).tolist(), 0
+        for k, e in enumerate(ends):
+            expected.append((name, k, at, e - at, True))
+            at = e + 1
+        expected += [(name, len(ends), at, len(data) - at, False)] * (at < len(data))
+    most = "spark.sql.files.maxPartitionBytes"
+    for size, block in (("128m", 1 << 20), ("1001b", 64), ("333b", 1 << 20), ("777b", 5)):
+        old = spark.conf.get(most)
+        spark.conf.set(most, size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            found = tokenfiles.zero_pairs(spark, f"file://{tmp_path}", block).select("file", "start").distinct().count()
+            got = sorted(map(tuple, tokenfiles.count(spark, f"file://{tmp_path}", block).collect()))
+        finally:
+            spark.conf.set(most, old)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == sorted(expected) and found > (20 if size != "128m" else 4)
+
+
 def test_odd_files(spark, tmp_path):
     for name, data in (("part-a", b"\x05\x00\x06\x00\x00\x00\x07\x00"), ("part-b", b""), ("part-c", b"\x05\x00" * 9)):
         (tmp_path / name).write_bytes(data)
