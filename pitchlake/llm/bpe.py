@@ -7,7 +7,8 @@ is one table lookup. The words between the boundaries go through pair merging, w
 words seen before.
 
 Defined results: a null text counts as empty, and an empty text has no tokens; repeated rows give repeated results;
-only the id and the text column are read, so extra columns can't clash; text of any length is encoded whole.
+only the id and the text column are read, so extra columns can't clash; null ids and ties stay as they are; an empty
+table gives an empty one. Text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ ENDED, LETTERS, NUMBERS, OTHERS, WHITE, JOIN, LAST, TWO = range(8)
 
 #: The rank of neighbours that never merge; and up to how many bytes words merge together in rounds.
 NEVER, SHORT_WORD = 1 << 40, 48
+#: Tokens that are decoded at once; a longer document stands alone.
+TOKENS = 250_000
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -306,8 +309,10 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = loaded(path, lines)
         for whole in batches:
-            for k in range(0, len(whole), 256):
-                batch = whole.slice(k, 256)
+            part = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(whole.column("ids")), 0), dtype=np.int64)) // TOKENS
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(whole)] if len(whole) else [0]
+            for a, b in zip(edges, edges[1:]):
+                batch = whole.slice(a, b - a)
                 ids = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
                 flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = np.asarray(pc.list_value_length(ids), dtype=np.int64)
@@ -316,7 +321,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 at = token_at[ends]
                 if not np.array_equal(batch.column("offsets").flatten().to_numpy(zero_copy_only=False), token_at[:-1] - np.repeat(at[:-1], sizes)):
                     raise ValueError("the offsets don't belong to these ids and this vocabulary")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)]).cast(pa.binary())], names=["doc_id", "ids", "text"])
+                text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), text.cast(pa.binary())], names=["doc_id", "ids", "text"])
 
     slim = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), "ids", "offsets")
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, text binary")

@@ -72,3 +72,10 @@ def test_query_over_a_whole_table(spark, library):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op2_byte_bpe(spark, sf).collect()}
     sha = lambda x: hashlib.sha256(x).hexdigest()
     assert got == {i: (len(e := library.encode_ordinary(t)), sha(" ".join(map(str, e)).encode()), sha(t.encode())) for i, t in texts.items()}
+
+
+def test_every_code_point_as_the_library(words, library):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)} {chr(c)}1" for c in points[k : k + 2048]) for k in range(0, len(points), 2048)]
+    for k in range(0, len(texts), 20):
+        assert ids(words, texts[k : k + 20]) == [library.encode_ordinary(t) for t in texts[k : k + 20]]
