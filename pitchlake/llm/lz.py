@@ -6,8 +6,8 @@ estimates the Jaccard likeness of the phrase sets, which like compressed size is
 
 Defined results: null counts as the empty text; empty texts have equal fingerprints and are 1.0 like each other and 0.0
 like any other text; equal texts have equal fingerprints. Documents follow each other by ascending doc_id, rows with
-equal doc_id by a hash of the text; the last is followed by the first, a single one by itself. Only id and text are
-read, so extra columns can't clash. Null ids come first. Texts are parsed whole.
+equal doc_id by a hash of the text, rows without an id first; the last is followed by the first, a single one by itself.
+Only id and text are read, so extra columns can't clash; an empty table gives an empty one. Texts are parsed whole.
 """
 
 from __future__ import annotations
@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
+from .labelled import least_hashes
 
 #: Places of a signature; what stands for a null id among 64-bit ones.
 PLACES, NONE = 128, -(1 << 63)
+#: Keys a run from which the ranges of the runs are told.
+EACH = 20
 _RNG = np.random.default_rng(20)
 MIX_XOR, MIX_MUL = _RNG.integers(0, 1 << 32, PLACES, np.uint32), _RNG.integers(0, 1 << 31, PLACES, np.uint32) * np.uint32(2) + np.uint32(1)
 BASE = 0x9E3779B97F4A7C15 | 5
@@ -126,33 +129,52 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+def run_of(keys: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
+    """How many of the cuts are less than each key; keys and cuts are columns, cuts in ascending order."""
+    low, high = (np.searchsorted(cuts[0], keys[0], side=side) for side in ("left", "right"))
+    if len(keys) > 1:
+        for x in np.unique(keys[0][high > low]):
+            own = keys[0] == x
+            a, b = int(np.searchsorted(cuts[0], x)), int(np.searchsorted(cuts[0], x, side="right"))
+            low[own] += run_of([k[own] for k in keys[1:]], [c[a:b] for c in cuts[1:]])
+    return low
+
+
+def range_cuts(keys: DataFrame, runs: int) -> list[np.ndarray]:
+    """At most runs - 1 keys (doc_id, tie) that part the rows evenly, from some EACH keys a run with the least hashes."""
+    hashed = F.xxhash64("doc_id", "tie")
+    rows = keys.where(hashed <= least_hashes(keys.count(), EACH * runs)).select("doc_id", "tie").collect()
+    found = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2)
+    found = np.unique(found, axis=0)  # ascending
+    picks = np.unique(np.arange(1, runs) * len(found) // runs)
+    return [found[picks, k] for k in (0, 1)] if len(found) else [np.zeros(0, np.int64)] * 2
+
+
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited form, whose last quarter comes from the next document.
 
-    The texts are shuffled once, into runs of consecutive doc_id (4 for each shuffle partition). Each run also gets the
-    first document of the next one, so that no task needs more than its own rows, of which it holds one batch.
+    The texts are shuffled once, into runs of consecutive (doc_id, tie), 4 for each shuffle partition; so an id of very
+    many rows fills several runs. Each run also gets the first document of the next one, so that no task needs more than
+    its own rows, of which it holds one batch. Equal rows stay in one run, where each pair of texts is parsed once.
     """
     spark = docs.sparkSession
     slim = texts(docs, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     runs = runs or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = [i / runs for i in range(1, runs)]
-    edges = slim.agg(F.percentile_approx("doc_id", steps, 100 * runs).alias("e")).first()["e"] if runs > 1 else []
-    cuts = np.unique(np.array(edges or [], np.int64))
+    cuts = range_cuts(slim, runs)
 
     @F.pandas_udf("int")
-    def run_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype(np.int32))
+    def run(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(run_of([ids.to_numpy(), ties.to_numpy()], cuts).astype(np.int32))
 
-    slim = slim.withColumn("run", run_of("doc_id"))
+    slim = slim.withColumn("run", run("doc_id", "tie"))
     firsts = slim.groupBy("run").agg(F.min(F.struct("doc_id", "tie")).alias("head")).orderBy("run").collect()  # a row for each run
     if not firsts:
         return slim.select("doc_id", *(F.lit(None).cast(x.split(" ")[1]).alias(x.split(" ")[0]) for x in SCHEMA.split(", ")))
-    later = spark.createDataFrame(
-        [(head["head"]["doc_id"], head["head"]["tie"], before["run"], int(i == 0)) for i, (before, head) in enumerate(zip([firsts[-1], *firsts], firsts))],
-        f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, tie bigint, to_run int, is_last int",
-    )
+    heads = [(head["head"]["doc_id"], head["head"]["tie"], before["run"]) for before, head in zip([firsts[-1], *firsts], firsts)]
+    later = spark.createDataFrame(heads, "doc_id bigint, tie bigint, to_run int")
     copies = slim.join(F.broadcast(later), ["doc_id", "tie"]).select("doc_id", "text", "tie", F.col("to_run").alias("run"), F.lit(True).alias("guest"))
-    dealt = slim.select("doc_id", "text", "tie", "run", F.lit(False).alias("guest")).unionByName(copies).repartition(runs, "run").sortWithinPartitions("run", "guest", "doc_id", "tie")
+    own = slim.select("doc_id", "text", "tie", "run", F.lit(False).alias("guest"))
+    dealt = own.unionByName(copies).repartition(runs, "run").sortWithinPartitions("run", "guest", "doc_id", "tie")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, held = Signer(), None
@@ -162,27 +184,34 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield from zip(*(batch.column(c).to_pylist() for c in ("run", "guest", "doc_id", "text")))
 
         def settle(pairs: list[tuple]) -> pa.RecordBatch:
-            """pairs: a document and the text after it."""
-            own, changed, after = [], [], []
-            for _, text, following in pairs:
+            """pairs: a document's id, its text, and the text after it."""
+            known = {p[1:]: None for p in pairs}  # equal pairs once
+            own, changed, follow = [], [], []
+            for text, following in known:
                 stays, tail = edited(text, following)
                 a, b = parse(stays, [text[len(stays) :], tail])
                 own.append((text, a))
                 changed.append((stays + tail, b))
-            nexts = [t for _, t, _ in pairs[1:]]
-            after = signer.sign([*own, *((t, parse(t, [""])[0]) for i, (_, _, t) in enumerate(pairs) if i + 1 == len(pairs) or nexts[i] is not t)])
-            signs, extra = after[: len(own)], iter(after[len(own) :])
-            follow = np.stack([next(extra) if i + 1 == len(pairs) or nexts[i] is not pairs[i][2] else signs[i + 1] for i in range(len(pairs))])
-            other = signer.sign(changed)
-            hexed = lambda rows: pa.array([x.astype(">u2").tobytes().hex() for x in rows], pa.string())
+            # most texts that follow are the own text of the next pair
+            at = {text: k for k, (text, _) in enumerate(known)}
+            more = list(dict.fromkeys(following for _, following in known if following not in at))
+            signs = signer.sign([*own, *((t, parse(t, [""])[0]) for t in more)])
+            at |= {t: len(own) + k for k, t in enumerate(more)}
+            follow = signs[[at[following] for _, following in known]]
+            signs, other = signs[: len(own)], signer.sign(changed)
             digests = [hashlib.sha256(t.encode()).hexdigest() for t, _ in changed]
-            return pa.RecordBatch.from_arrays([pa.array([None if p[0] == NONE else p[0] for p in pairs], pa.int64()), pa.array([len(t) for t, _ in own], pa.int64()), pa.array(digests, pa.string()), hexed(signs), hexed(other), pa.array(likeness(signs, other)), pa.array(likeness(signs, follow))], names=["doc_id", *(x.split(" ")[0] for x in SCHEMA.split(", "))])
+            row = {pair: k for k, pair in enumerate(known)}
+            picks = np.array([row[p[1:]] for p in pairs])
+            hexed = lambda rows: pa.array([x.astype(">u2").tobytes().hex() for x in rows], pa.string()).take(pa.array(picks))
+            columns = [pa.array([None if p[0] == NONE else p[0] for p in pairs], pa.int64()), pa.array([len(p[1]) for p in pairs], pa.int64()), pa.array(digests, pa.string()).take(pa.array(picks))]
+            columns += [hexed(signs), hexed(other), pa.array(likeness(signs, other)[picks]), pa.array(likeness(signs, follow)[picks])]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", *(x.split(" ")[0] for x in SCHEMA.split(", "))])
 
         pairs, weight = [], 0
         for run, guest, doc_id, text in rows():
             if held is not None and held[0] == run:
                 pairs.append((held[1], held[2], text))
-                weight += len(held[2])
+                weight += len(held[2]) if len(pairs) == 1 or pairs[-1][1:] != pairs[-2][1:] else 100
             held = None if guest else (run, doc_id, text)
             if weight > 1_000_000:
                 yield settle(pairs)

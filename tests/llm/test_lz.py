@@ -29,15 +29,46 @@ def test_likeness_follows_the_jaccard_likeness_of_phrases():
     assert abs(lz.likeness(s[:1], s[1:])[0] - len(x & y) / len(x | y)) < 0.15
 
 
+M64 = (1 << 64) - 1
+
+
+def scrambled(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def brute_sign(text):
+    """128 minima over the hashes of the distinct phrases, one phrase after the other."""
+    if not text:
+        return [0xFFFF] * 128
+    hashes = []
+    for p in set(phrases(text)):
+        h, power = 0, 1
+        for c in p:
+            h = (h + scrambled(ord(c) + 1) * power) & M64
+            power = power * lz.BASE & M64
+        hashes.append(scrambled(h) >> 32)
+    own = np.array(hashes, np.uint64)
+    least = [int(((own ^ np.uint64(x)) * np.uint64(m) & np.uint64(0xFFFFFFFF)).min()) for x, m in zip(lz.MIX_XOR.tolist(), lz.MIX_MUL.tolist())]
+    return [(v * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for v in least]
+
+
+def brute_likeness(a, b):
+    equal = sum(x == y for x, y in zip(a, b)) / 128
+    return 1.0 if equal == 1 else max(0.0, (equal - 2**-16) / (1 - 2**-16))
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: r[0])
-    sign = lambda t: lz.Signer().sign([(t, lz.parse(t, [""])[0])])
-    out = {}
+    signs, out = [brute_sign(t) for _, t in rows], {}
+    hexed = lambda s: "".join(f"{x:04x}" for x in s)
     for k, (i, t) in enumerate(rows):
         n = rows[(k + 1) % len(rows)][1]
         cut = len(t) // 4
         e = t[: len(t) - cut] + n[:cut]
-        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), sign(t).astype(">u2").tobytes().hex(), sign(e).astype(">u2").tobytes().hex(), round(float(lz.likeness(sign(t), sign(e))[0]), 9), round(float(lz.likeness(sign(t), sign(n))[0]), 9))
+        own, changed, after = signs[k], brute_sign(e), signs[(k + 1) % len(rows)]
+        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), hexed(own), hexed(changed), round(brute_likeness(own, changed), 9), round(brute_likeness(own, after), 9))
     return out
 
 
@@ -62,3 +93,17 @@ def test_odd_rows(spark):
     nameless = docs.union(docs.selectExpr("cast(null as bigint)", "text", "run", "guest"))
     assert sorted(r.doc_id or 0 for r in lz.with_edits(nameless, runs=3).collect()) == [0] * 5 + [1, 2, 5, 7, 9]
     assert len({r.fingerprint for r in lz.fingerprint(docs.union(docs)).collect()}) == 4
+
+
+def test_rows_of_one_id_fill_several_runs(spark):
+    rows = [(None if i % 3 else 7, f"text of the row number {i} " * (1 + i % 4)) for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:1] * 50, "doc_id bigint, text string")
+    keys = docs.selectExpr("coalesce(doc_id, -9223372036854775808) as doc_id", "xxhash64(text) as tie")
+    cuts = lz.range_cuts(keys, 8)
+    every = np.array([tuple(r) for r in keys.collect()])
+    sizes = np.bincount(lz.run_of([every[:, 0], every[:, 1]], cuts))
+    assert len(sizes) == 8 and sizes.max() < 130
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    assert (np.diff(lz.run_of([every[order, 0], every[order, 1]], cuts)) >= 0).all()
+    one, other = (sorted((str(r.doc_id), r.edited_sha256, r.near_next) for r in lz.with_edits(docs, runs=n).collect()) for n in (1, 8))
+    assert one == other and len(one) == 350
