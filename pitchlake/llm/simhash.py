@@ -1,23 +1,26 @@
 """SimHash fingerprints, and near duplicates among them by anchor-point covering.
 
-Anchors are the words of a product of binary Golay codes over two blocks of 23 of the 64 bits. Every point lies within
-the covering radius, 3 bits, of exactly one code word of a block. Two fingerprints that differ in 3 bits at most have a
-point between them that is 1 bit from the one and 2 from the other, and its anchor is within the radius plus that share
-of the threshold of both. So each fingerprint is replicated to every anchor within the radius plus 2 bits (over both
-blocks together), and in an anchor's group those within the radius plus 1 are compared with all: no link is missed.
+Anchors are the words of a product of three perfect binary codes over 61 of the 64 bits: two Golay codes of length 23 and
+covering radius 3, and a Hamming code of length 15 and covering radius 1. Every point lies within the covering radius of
+exactly one code word of a block. Two fingerprints that differ in 3 bits at most have a point between them that is 1 bit
+from the one and 2 from the other, and its anchor is within the radius plus that share of the threshold of both. So each
+fingerprint is replicated to every anchor within the radius plus 2 bits (over all blocks together), some 150, and in an
+anchor's group those within the radius plus 1, some 16, are compared with all: no link is missed. There are 2^35 anchors:
+of 10^10 fingerprints that are spread evenly a group has 45.
 
 Fingerprints are compared once, however many documents share them. A group of more than GROUP rows is split into chunks,
 and each pair of chunks is a task of its own. Of the links in a large group a spanning forest goes on, not all pairs.
 
 Defined results: null counts as empty; texts without words have fingerprint zero and link like any other; repeated rows
-get equal results; only id and text are read, so extra columns can't clash; an empty table gives an empty one.
+get equal results; rows without an id are linked like others, and have no say in the least id (a component without any id
+has none); only id and text are read, so extra columns can't clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, combinations
+from itertools import chain, combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,9 @@ from .components import components
 
 #: Words in a shingle, seed of its hash, differing bits of linked fingerprints, rows of a group that one task compares.
 SHINGLE, SEED, THRESHOLD, GROUP = 3, 42, 3, 4096
-#: Fixed values of the binary Golay code: its length, its covering radius, its generator polynomial.
-LENGTH, RADIUS, GENERATOR = 23, 3, 0b110001110101
+#: Fixed values of perfect binary codes: length, covering radius, generator polynomial; of each block of bits.
+GOLAY, HAMMING = (23, 3, 0b110001110101), (15, 1, 0b10011)
+BLOCKS = (GOLAY, GOLAY, HAMMING)
 
 
 def fingerprint(text: bytes) -> int:
@@ -62,42 +66,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
-def syndrome(words: np.ndarray) -> np.ndarray:
-    """Remainders of 23-bit words by the generator; zero for code words."""
-    left = words.astype(np.int64)
-    for bit in range(LENGTH - 1, 10, -1):
-        left = np.where(left >> bit & 1, left ^ (GENERATOR << (bit - 11)), left)
+def syndrome(words: np.ndarray, code: tuple[int, int, int]) -> np.ndarray:
+    """Remainders of words by a code's generator; zero for code words."""
+    length, _, generator = code
+    degree, left = generator.bit_length() - 1, words.astype(np.int64)
+    for bit in range(length - 1, degree - 1, -1):
+        left = np.where(left >> bit & 1, left ^ (generator << (bit - degree)), left)
     return left
 
 
-@lru_cache(1)
-def errors() -> list[tuple[np.ndarray, np.ndarray]]:
+@lru_cache(4)
+def errors(code: tuple[int, int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For an excess of 0, 1 and 2 bits over the radius: the patterns from a word to its code words, by syndrome, and their offsets."""
+    length, radius, generator = code
     out = []
-    for weights in (range(RADIUS + 1), (RADIUS + 1,), (RADIUS + 2,)):
-        patterns = np.array([sum(1 << b for b in bits) for w in weights for bits in combinations(range(LENGTH), w)], np.int64)
-        of = syndrome(patterns)
+    for weights in (range(radius + 1), (radius + 1,), (radius + 2,)):
+        patterns = np.array([sum(1 << b for b in bits) for w in weights for bits in combinations(range(length), w)], np.int64)
+        of = syndrome(patterns, code)
         order = np.argsort(of, kind="stable")
-        out.append((patterns[order], np.searchsorted(of[order], np.arange(2049))))
+        syndromes = 1 << generator.bit_length() - 1
+        out.append((patterns[order], np.searchsorted(of[order], np.arange(syndromes + 1))))
     return out
 
 
 def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (index into fps, anchor, excess) for all anchors within the radius plus 2 bits."""
-    blocks = [(fps >> (LENGTH * k)) & ((1 << LENGTH) - 1) for k in (0, 1)]
+    shifts = np.cumsum([0, *(length for length, _, _ in BLOCKS)]).tolist()
+    words = [(fps >> shift) & ((1 << code[0]) - 1) for shift, code in zip(shifts, BLOCKS)]
+    found = [syndrome(w, code) for w, code in zip(words, BLOCKS)]
     rows = ([], [], [])
-    for e0 in range(3):
-        for e1 in range(3 - e0):
-            (p0, at0), (p1, at1) = errors()[e0], errors()[e1]
-            s0, s1 = syndrome(blocks[0]), syndrome(blocks[1])
-            n0, n1 = at0[s0 + 1] - at0[s0], at1[s1 + 1] - at1[s1]
-            size = n0 * n1
-            of = np.repeat(np.arange(len(fps)), size)
-            k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            first, second = np.divmod(k, np.maximum(n1, 1)[of])
-            word = (blocks[0][of] ^ p0[at0[s0][of] + first]) | ((blocks[1][of] ^ p1[at1[s1][of] + second]) << LENGTH)
-            for x, y in zip(rows, (of, word, np.full(len(of), e0 + e1, np.int64))):
-                x.append(y)
+    for excess in product(range(3), repeat=len(BLOCKS)):
+        if sum(excess) > 2:
+            continue
+        tables = [errors(code)[e] for code, e in zip(BLOCKS, excess)]
+        counts = [at[s + 1] - at[s] for (_, at), s in zip(tables, found)]
+        size = np.prod(counts, axis=0)
+        of = np.repeat(np.arange(len(fps)), size)
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        anchor = np.zeros(len(of), np.int64)
+        for word, (patterns, at), s, n, shift in zip(words, tables, found, counts, shifts):
+            k, digit = np.divmod(k, np.maximum(n, 1)[of])
+            anchor |= (word[of] ^ patterns[at[s][of] + digit]) << shift
+        for x, y in zip(rows, (of, anchor, np.full(len(of), sum(excess), np.int64))):
+            x.append(y)
     return tuple(np.concatenate(x) for x in rows)
 
 
@@ -171,9 +182,9 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy()
-            for k in range(0, len(own), 4096):
-                of, word, excess = anchors(own[k : k + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(own[k : k + 4096][of]), pa.array(excess <= 1)], names=["anchor", "fp", "probe"])
+            for k in range(0, len(own), 2048):
+                of, word, excess = anchors(own[k : k + 2048])
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(own[k : k + 2048][of]), pa.array(excess <= 1)], names=["anchor", "fp", "probe"])
 
     rows = fps.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint, probe boolean")
     large = stored(rows.groupBy("anchor").count().where(F.col("count") > group), "anchors")

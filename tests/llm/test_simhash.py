@@ -43,9 +43,9 @@ def clustered(n, seed):
     return out[:n]
 
 
-def test_code_is_perfect():
-    sizes = [len(p) for p, _ in simhash.errors()]
-    assert sizes[0] == 2048 and (np.diff(simhash.errors()[0][1]) == 1).all() and sizes[1:] == [8855, 33649]
+def test_codes_are_perfect():
+    for code, sizes in ((simhash.GOLAY, [2048, 8855, 33649]), (simhash.HAMMING, [16, 105, 455])):
+        assert [len(p) for p, _ in simhash.errors(code)] == sizes and (np.diff(simhash.errors(code)[0][1]) == 1).all()
 
 
 def test_near_pairs_share_an_anchor():
@@ -85,6 +85,8 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (6, 5), (7, 7)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    nameless = docs.union(spark.createDataFrame([(None, "one TWO", 0), (None, "nobody else has this text here", 0)], docs.schema))
+    assert Counter(r.component_id for r in simhash.near_duplicates(nameless).where("doc_id is null").collect()) == Counter([5, None])
 
 
 def test_components_of_a_path_and_a_star(spark):
