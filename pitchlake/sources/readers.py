@@ -18,9 +18,21 @@ EVENTS_120X80 = f"""id string, index bigint, period int, timestamp string, minut
   clearance struct<body_part:{_WORD}>, ball_recovery struct<recovery_failure:boolean>, substitution struct<replacement:{_NAMED}>"""
 
 
-def file_id(path: Column | None = None) -> Column:
-    """The name of a row's file without its ending."""
-    return F.regexp_extract(path if path is not None else F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
+#: Words for parts of the body; others become UNKNOWN.
+BODY_PARTS = {"Right Foot": "RIGHT_FOOT", "Left Foot": "LEFT_FOOT", "Head": "HEAD", "Other": "OTHER", "Drop Kick": "OTHER", "Keeper Arm": "OTHER"}
+
+
+def folder_id(folder: str, path: Column | None = None) -> Column:
+    """What stands after a folder's name in a row's path: a file without its ending, or a folder of part files, also `key=value`."""
+    path = path if path is not None else F.col("_metadata.file_path")
+    return F.regexp_extract(path, rf".*/{folder}/(?:[^/=]+=)?([^/.]+)", 1)
+
+
+def _body_part(c: str) -> Column:
+    out = F.lit("UNKNOWN")
+    for word, name in BODY_PARTS.items():
+        out = F.when(F.col(c) == word, name).otherwise(out)
+    return out.alias("body_part")
 
 
 def _text(c: str) -> Column:
@@ -39,13 +51,13 @@ def derive_details(raw: DataFrame) -> DataFrame:
     height = F.regexp_replace(F.upper(word("pass.height.name")), " PASS", "")
     pass_ = F.struct(
         _text("pass.recipient.id").alias("recipient_external_id"), F.coalesce("pass.length", F.lit(0.0)).alias("length_m"), F.coalesce("pass.angle", F.lit(0.0)).alias("angle_rad"), F.when(height == "", "UNKNOWN").otherwise(height).alias("height"),
-        F.col("pass.technique.name").alias("technique"), (word("pass.outcome.name") == "").alias("completed"), _truth("pass.cross").alias("is_cross"), _truth("pass.switch").alias("is_switch"),
+        F.col("pass.technique.name").alias("technique"), _body_part("pass.body_part.name"), (word("pass.outcome.name") == "").alias("completed"), _truth("pass.cross").alias("is_cross"), _truth("pass.switch").alias("is_switch"),
         (word("pass.technique.name") == "Through Ball").alias("is_through_ball"), _truth("pass.cut_back").alias("is_cutback"), (_truth("pass.shot_assist") | _truth("pass.goal_assist")).alias("is_key_pass"), _truth("pass.goal_assist").alias("is_assist"),
     )
     outcome, kind = word("shot.outcome.name"), word("shot.type.name")
     shot = F.struct(
         F.coalesce("shot.statsbomb_xg", F.lit(0.0)).alias("xg"), F.col("shot.statsbomb_xg").alias("provider_xg"), (kind == "Penalty").alias("is_penalty"), kind.isin("Free Kick", "Corner", "Penalty").alias("is_set_piece"), (outcome == "Goal").alias("is_goal"),
-        outcome.isin("Goal", "Saved", "Saved to Post").alias("on_target"), (outcome == "Blocked").alias("blocked"), _truth("shot.first_time").alias("first_time"), (word("shot.body_part.name") == "Head").alias("is_header"),
+        outcome.isin("Goal", "Saved", "Saved to Post").alias("on_target"), (outcome == "Blocked").alias("blocked"), _truth("shot.first_time").alias("first_time"), (word("shot.body_part.name") == "Head").alias("is_header"), _body_part("shot.body_part.name"), F.col("shot.technique.name").alias("technique"),
         *(F.get("shot.end_location", F.lit(i)).alias(n) for i, n in enumerate(("end_x", "end_y", "end_z"))),
     )
     duel, won = word("duel.type.name"), word("duel.outcome.name")
@@ -65,9 +77,9 @@ def derive_details(raw: DataFrame) -> DataFrame:
 
 
 def read_events_120x80(spark: SparkSession, path: str) -> DataFrame:
-    """Events of files <path>/events/<match>.json."""
-    raw = spark.read.schema(EVENTS_120X80).json(f"{path}/events", multiLine=True)
-    return derive_details(raw.select("*", file_id().alias("match_external_id")))
+    """Events of files <path>/events/<match>.json, or of folders of part files named so."""
+    raw = spark.read.schema(EVENTS_120X80).option("recursiveFileLookup", True).json(f"{path}/events", multiLine=True)
+    return derive_details(raw.select("*", folder_id("events").alias("match_external_id")))
 
 
 def read_match_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -82,15 +94,15 @@ def read_match_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raw = spark.read.schema(f"match_id bigint, match_date string, kick_off string, competition struct<competition_id:bigint,country_name:string>, season struct<season_id:bigint,season_name:string>, {side('home')}, {side('away')}, home_score int, away_score int, match_week int, competition_stage {_WORD}, stadium {_WORD}, referee {_WORD}").option("recursiveFileLookup", True).json(f"{path}/matches", multiLine=True)
     raw = raw.withColumn("_path", F.col("_metadata.file_path"))
     matches = raw.select(
-        _text("match_id").alias("external_id"), F.regexp_extract("_path", r"/([^/]+)/[^/]+\.json$", 1).alias("competition_external_id"), file_id(F.col("_path")).alias("season_external_id"), _text("home_team.home_team_id").alias("home_team_external_id"), _text("away_team.away_team_id").alias("away_team_external_id"),
+        _text("match_id").alias("external_id"), folder_id("matches", F.col("_path")).alias("competition_external_id"), folder_id("matches/[^/]+", F.col("_path")).alias("season_external_id"), _text("home_team.home_team_id").alias("home_team_external_id"), _text("away_team.away_team_id").alias("away_team_external_id"),
         F.concat("match_date", F.lit("T"), F.coalesce("kick_off", F.lit("00:00:00.000"))).alias("kickoff_at"), "home_score", "away_score", F.col("match_week").alias("matchweek"), F.col("competition_stage.name").alias("stage"), F.col("stadium.name").alias("venue"), F.col("referee.name").alias("referee"),
     )
     team = lambda s: raw.select(_text(f"{s}_team.{s}_team_id").alias("external_id"), F.col(f"{s}_team.{s}_team_name").alias("name"), F.coalesce(f"{s}_team.country.name", "competition.country_name").alias("country"), F.struct("match_date", "match_id").alias("_at"))
     last = F.struct("name", "country")
     teams = merge_sources(team("home"), team("away")).groupBy("external_id").agg(F.max_by(last, "_at").alias("t")).select("external_id", "t.*")
     spells = "array<struct<position:string,from:string,to:string,start_reason:string>>"
-    lineup = spark.read.schema(f"team_id bigint, team_name string, formation int, lineup array<struct<player_id:bigint,player_name:string,player_nickname:string,jersey_number:int,country:{_WORD},positions:{spells}>>").json(f"{path}/lineups", multiLine=True)
-    each = lineup.select(file_id().alias("match_external_id"), _text("team_id").alias("team_external_id"), _text("formation").alias("formation"), F.explode("lineup").alias("p"))
+    lineup = spark.read.schema(f"team_id bigint, team_name string, formation int, lineup array<struct<player_id:bigint,player_name:string,player_nickname:string,jersey_number:int,country:{_WORD},positions:{spells}>>").option("recursiveFileLookup", True).json(f"{path}/lineups", multiLine=True)
+    each = lineup.select(folder_id("lineups").alias("match_external_id"), _text("team_id").alias("team_external_id"), _text("formation").alias("formation"), F.explode("lineup").alias("p"))
     lineups = each.select(
         "match_external_id", "team_external_id", "formation", _text("p.player_id").alias("player_external_id"), F.get("p.positions", F.lit(0))["position"].alias("position"), F.col("p.jersey_number").alias("shirt_number"),
         F.coalesce(F.get("p.positions", F.lit(0))["start_reason"] == "Starting XI", F.lit(False)).alias("is_starter"), minutes_from_spells(F.col("p.positions")).alias("minutes_played"),
@@ -110,7 +122,7 @@ def merge_sources(*frames: DataFrame) -> DataFrame:
 
 
 def _game(path: Column) -> Column:
-    return F.regexp_extract(path, r"Game_(\d+)", 1)
+    return F.regexp_extract(path, r"(?i)game[_=]+(\d+)", 1)
 
 
 def _either(v: Column, *fields: str) -> Column:
@@ -120,10 +132,10 @@ def _either(v: Column, *fields: str) -> Column:
     return F.when(kind == "STRING", v.cast("string")).when(kind.startswith("OBJECT"), F.coalesce(*inner))
 
 
-def read_events_normalized(spark: SparkSession, path: str) -> DataFrame:
-    """Events in a 0..1 space of files *_events.json: an array, or an object with the array under data; types and persons
+def read_events_normalized(spark: SparkSession, path: str, files: str = "*_events.json") -> DataFrame:
+    """Events in a 0..1 space of files whose path names the game (Game_<n>): an array, or an object with the array under data; types and persons
     are texts or objects."""
-    files = spark.read.option("pathGlobFilter", "*_events.json").option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.try_parse_json("value").alias("v"))
+    files = spark.read.option("pathGlobFilter", files).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.try_parse_json("value").alias("v"))
     rows = F.coalesce(F.try_variant_get("v", "$.data", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
     e = files.select(_game(F.col("_path")).alias("game"), F.posexplode(rows).alias("n", "e"))
     get = lambda p, kind: F.try_variant_get("e", f"$.{p}", kind)
@@ -140,10 +152,10 @@ def read_events_normalized(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_tracking_normalized(spark: SparkSession, path: str) -> DataFrame:
-    """Positions in a 0..1 space of files *_tracking.json, a row for each frame and player."""
+def read_tracking_normalized(spark: SparkSession, path: str, files: str = "*_tracking.json") -> DataFrame:
+    """Positions in a 0..1 space of files whose path names the game, a row for each frame and player."""
     player = "array<struct<playerId:string,xyz:array<double>>>"
-    raw = spark.read.schema(f"frameIdx bigint, period int, time double, ball struct<xyz:array<double>>, homePlayers {player}, awayPlayers {player}").option("pathGlobFilter", "*_tracking.json").option("recursiveFileLookup", True).json(path, multiLine=True)
+    raw = spark.read.schema(f"frameIdx bigint, period int, time double, ball struct<xyz:array<double>>, homePlayers {player}, awayPlayers {player}").option("pathGlobFilter", files).option("recursiveFileLookup", True).json(path, multiLine=True)
     game = _game(F.col("_metadata.file_path"))
     side = lambda c, s: F.transform(F.coalesce(c, F.array().cast(player)), lambda p: F.struct(F.lit(s).alias("side"), p["playerId"].alias("id"), F.get(p["xyz"], F.lit(0)).alias("x"), F.get(p["xyz"], F.lit(1)).alias("y")))
     rows = raw.select(game.alias("game"), "frameIdx", "period", "time", "ball", F.explode(F.concat(side("homePlayers", "home"), side("awayPlayers", "away"))).alias("p"))
@@ -161,10 +173,10 @@ BALL = 55
 def read_tracking_centered(spark: SparkSession, path: str) -> DataFrame:
     """Positions of <path>/matches/<id>/structured_data.json with the origin at the centre, moved to the corner; players
     and teams come from match_data.json beside it."""
-    of_match = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+\.json$", 1)
+    of_match = folder_id("matches")
     objects = "array<struct<trackable_object:bigint,group_name:string,x:double,y:double,z:double>>"
-    frames = spark.read.schema(f"frame bigint, timestamp string, period int, possession struct<group:string>, data {objects}").option("pathGlobFilter", "structured_data.json").option("recursiveFileLookup", True).json(f"{path}/matches", multiLine=True).select("*", of_match.alias("match_external_id"))
-    about = spark.read.schema("home_team struct<id:bigint>, away_team struct<id:bigint>, players array<struct<id:bigint,trackable_object:bigint,team_id:bigint>>").option("pathGlobFilter", "match_data.json").option("recursiveFileLookup", True).json(f"{path}/matches", multiLine=True).select("*", of_match.alias("match_external_id"))
+    frames = spark.read.schema(f"frame bigint, timestamp string, period int, possession struct<group:string>, data {objects}").json(f"{path}/matches/*/structured_data.json", multiLine=True).select("*", of_match.alias("match_external_id"))
+    about = spark.read.schema("home_team struct<id:bigint>, away_team struct<id:bigint>, players array<struct<id:bigint,trackable_object:bigint,team_id:bigint>>").json(f"{path}/matches/*/match_data.json", multiLine=True).select("*", of_match.alias("match_external_id"))
     sides = about.select("match_external_id", _text("home_team.id").alias("_home"), _text("away_team.id").alias("_away"))
     who = about.select("match_external_id", F.explode("players").alias("p")).select("match_external_id", F.coalesce("p.trackable_object", "p.id").alias("object"), F.coalesce("p.id", "p.trackable_object").cast("string").alias("player_external_id"), _text("p.team_id").alias("team_external_id")).dropDuplicates(["match_external_id", "object"])
     ball = F.get(F.filter("data", lambda d: (d["group_name"] == "ball") | (d["trackable_object"] == BALL)), F.lit(0))
