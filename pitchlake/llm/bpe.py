@@ -43,8 +43,8 @@ ENDED, LETTERS, NUMBERS, OTHERS, WHITE, JOIN, LAST, TWO = range(8)
 
 #: The rank of neighbours that never merge; and up to how many bytes words merge together in rounds.
 NEVER, SHORT_WORD = 1 << 40, 48
-#: Tokens that are decoded at once; a longer document stands alone.
-TOKENS = 250_000
+#: Bytes of text that are encoded at once, and tokens that are decoded at once; a longer document stands alone.
+BYTES, TOKENS = 500_000, 100_000
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -140,7 +140,7 @@ def word_starts(data: bytes, offsets: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Tokens by rank, a cache of merged words, and the tokens' bytes for decoding."""
 
-    def __init__(self, lines: bytes, most_words: int = 1 << 18) -> None:
+    def __init__(self, lines: bytes, most_words: int = 1 << 17) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x.strip())}
         by_id = dict(zip(self.ranks.values(), self.ranks))
         tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
@@ -285,21 +285,40 @@ def ragged(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, kind))
 
 
+def _encoded(words: Vocabulary, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of the texts of a batch, the offsets of the texts in them, and the byte of its text at which each token starts."""
+    data, at = utf8(batch.column("text"))
+    ids, ends = words.encode(data, at)
+    token_at = np.concatenate([[0], np.cumsum(words.at[ids + 1] - words.at[ids])])[:-1]
+    return ids, ends, (token_at - np.repeat(at[:-1], np.diff(ends))).astype(np.int32)
+
+
+def _decoded(words: Vocabulary, ids: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The texts of some rows of ids; offsets that don't fit the ids are an error."""
+    data, token_at = words.decode(ids)
+    at = token_at[ends]
+    if not np.array_equal(offsets, token_at[:-1] - np.repeat(at[:-1], np.diff(ends))):
+        raise ValueError("the offsets don't belong to these ids and this vocabulary")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int> and offsets array<int> (the byte where each token starts) for each row of docs."""
     lines = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = loaded(path, lines)
-        for batch in pieces(batches):
-            data, at = utf8(batch.column("text"))
-            ids, ends = words.encode(data, at)
-            token_at = np.concatenate([[0], np.cumsum(words.at[ids + 1] - words.at[ids])])[:-1]
-            offsets = token_at - np.repeat(at[:-1], np.diff(ends))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ragged(ids, ends, pa.int32()), ragged(offsets.astype(np.int32), ends, pa.int32())], names=["doc_id", "ids", "offsets"])
+        for batch in pieces(batches, most=BYTES):
+            ids, ends, offsets = _encoded(words, batch)
+            columns = [batch.column("doc_id"), ragged(ids, ends, pa.int32()), ragged(offsets, ends, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "offsets"])
 
     slim = texts(docs, id_col, text_col)
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, offsets array<int>")
+    return slim.mapInArrow(run, f"doc_id {_kind(slim)}, ids array<int>, offsets array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -314,15 +333,25 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             for a, b in zip(edges, edges[1:]):
                 batch = whole.slice(a, b - a)
                 ids = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
-                flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = np.asarray(pc.list_value_length(ids), dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                data, token_at = words.decode(flat)
-                at = token_at[ends]
-                if not np.array_equal(batch.column("offsets").flatten().to_numpy(zero_copy_only=False), token_at[:-1] - np.repeat(at[:-1], sizes)):
-                    raise ValueError("the offsets don't belong to these ids and this vocabulary")
-                text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), text.cast(pa.binary())], names=["doc_id", "ids", "text"])
+                ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids), dtype=np.int64))])
+                flat, offsets = (x.flatten().to_numpy(zero_copy_only=False) for x in (ids, batch.column("offsets")))
+                text = _decoded(words, flat.astype(np.int64), ends, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), text], names=["doc_id", "ids", "text"])
 
     slim = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), "ids", "offsets")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, text binary")
+    return slim.mapInArrow(run, f"doc_id {_kind(slim)}, ids array<int>, text binary")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What decode() makes of encode(), piece by piece in one pass, so that the offsets stay where they are made."""
+    lines = vocabulary(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = loaded(path, lines)
+        for batch in pieces(batches, most=BYTES):
+            ids, ends, offsets = _encoded(words, batch)
+            text = _decoded(words, ids.astype(np.int64), ends, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ragged(ids, ends, pa.int32()), text], names=["doc_id", "ids", "text"])
+
+    slim = texts(docs, id_col, text_col)
+    return slim.mapInArrow(run, f"doc_id {_kind(slim)}, ids array<int>, text binary")
