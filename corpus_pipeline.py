@@ -74,7 +74,7 @@ def contaminated_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document that is left: its tokens, their number, and digests of both directions."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.decode(bpe.encode(docs, path), path)
+    tokens = bpe.round_trip(docs, path)
     decimal = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     digests = (F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", *digests)
