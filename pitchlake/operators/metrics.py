@@ -6,7 +6,7 @@ Everything after it works on rows of players and matches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import assess_quality, in_box, in_final_third, is_progressive, jsround, per90
@@ -130,18 +130,22 @@ TEAM_SUMS = "passes passes_completed progressive_passes passes_final_third passe
 
 
 def with_opponent(team_match: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Each team's row with columns of the other team of the match, null without one. columns: name -> new name."""
-    other = team_match.select("match_id", F.col("team_id").alias("_other"), *(F.col(c).alias(n) for c, n in columns.items()))
-    mine = team_match.select("match_id", "team_id").join(other, "match_id").where("team_id <> _other")
-    least = mine.groupBy("match_id", "team_id").agg(F.min_by(F.struct("_other", *columns.values()), "_other").alias("_o")).select("match_id", "team_id", *(F.col(f"_o.{n}").alias(n) for n in columns.values()))
-    return team_match.join(least, ["match_id", "team_id"], "left")
+    """Each team's row with columns of the other team of the match, null without one. columns: name -> new name.
+
+    The few teams of a match meet in a window over it, so the rows are made and moved once.
+    """
+    teams = F.collect_list(F.struct("team_id", *columns)).over(Window.partitionBy("match_id"))
+    rows = team_match.withColumn("_teams", teams)
+    other = F.array_min(F.filter("_teams", lambda t: t["team_id"] != F.col("team_id")))
+    return rows.withColumn("_other", other).select(*team_match.columns, *(F.col("_other")[c].alias(n) for c, n in columns.items()))
 
 
 def team_match_metrics(match_metrics: DataFrame) -> DataFrame:
     """A row for each match and team. Players without a team count for the match, and give no row."""
+    match = Window.partitionBy("match_id")
     by = match_metrics.groupBy("match_id", "season_id", "team_id").agg(*(F.sum(c).alias(c) for c in TEAM_SUMS))
-    whole = by.groupBy("match_id").agg(F.sum("passes").alias("_passes"), F.sum("touches_final_third").alias("_touches"))
-    rows = with_opponent(by.where("team_id is not null"), {"passes": "_opponent_passes"}).join(whole, "match_id")
+    whole = by.withColumns({"_passes": F.sum("passes").over(match), "_touches": F.sum("touches_final_third").over(match)})
+    rows = with_opponent(whole.where("team_id is not null"), {"passes": "_opponent_passes"})
     share = lambda a, b, most, n: F.when(F.col(b) > 0, jsround(F.col(a) / F.col(b) * (most * 10**n)) / 10**n).otherwise(0.0)
     actions = F.col("tackles") + F.col("interceptions") + F.col("pressures")
     return rows.select(

@@ -34,7 +34,7 @@ def style_vectors(pct: DataFrame) -> DataFrame:
 def player_dna(pct: DataFrame, weights: DataFrame, relevance: DataFrame) -> DataFrame:
     """score and coverage of each category that matters to the position and was measured."""
     defined = weights.groupBy("category").agg(F.sum("weight").alias("defined"))
-    rows = pct.join(F.broadcast(weights), "metric_key").join(F.broadcast(defined), "category").join(F.broadcast(relevance), ["position_group", "category"])
+    rows = pct.join(weights, "metric_key").join(defined, "category").join(relevance, ["position_group", "category"])
     part = F.struct("metric_key", "value", "percentile", "weight", jsround(F.col("percentile") * F.col("weight"), 2).alias("contribution"))
     return rows.groupBy("season_id", "player_id", "position_group", "category").agg(
         jsround(_mean("percentile", "weight"), 1).alias("score"), jsround(F.sum("weight") / F.first("defined"), 2).alias("coverage"), F.array_sort(F.collect_list(part)).alias("inputs")
@@ -45,7 +45,7 @@ def role_scores(pct: DataFrame, roles: DataFrame, requirements: DataFrame) -> Da
     """score, coverage and breakdown of each role of a player's position group."""
     defined = requirements.groupBy("role_key").agg(F.sum("weight").alias("defined"))
     asked = roles.join(requirements, "role_key").join(defined, "role_key")
-    rows = pct.join(F.broadcast(asked), ["position_group", "metric_key"])
+    rows = pct.join(asked, ["position_group", "metric_key"])
     rows = rows.withColumn("percentile", F.when(F.col("direction") == "LOWER_BETTER", jsround(100 - F.col("percentile"), 1)).otherwise(F.col("percentile")))
     contribution = jsround(F.col("percentile") * F.col("weight"), 2)
     part = F.struct((-contribution).alias("o"), "metric_key", "value", "percentile", "weight", contribution.alias("contribution"), F.coalesce(F.col("percentile") >= F.col("min_percentile"), F.lit(True)).alias("meets_minimum"))
@@ -116,10 +116,12 @@ def team_style(team_season: DataFrame, definition: DataFrame) -> DataFrame:
     names = [r["metric_key"] for r in definition.select("metric_key").distinct().collect()]  # of a small table of weights
     metrics = sorted(c for c in names if c in team_season.columns)
     long = unpivot(team_season.select("season_id", "team_id", *(F.col(m).cast("double").alias(m) for m in metrics)), metrics, ["season_id", "team_id"])
-    rows = percentile_at_or_below(long, ["season_id", "metric_key"]).join(F.broadcast(definition), "metric_key")
+    rows = percentile_at_or_below(long, ["season_id", "metric_key"], small=True).join(definition, "metric_key")
     rows = rows.withColumn("percentile", F.when(F.col("inverted"), jsround(100 - F.col("percentile"), 1)).otherwise(F.col("percentile")))
     scores = rows.groupBy("season_id", "team_id", "dimension").agg(jsround(_mean("percentile", "weight"), 1).alias("_score"), F.array_sort(F.collect_list(F.struct("metric_key", "value", "percentile", "weight"))).alias("inputs"))
-    every = team_season.select("season_id", "team_id", "matches").join(F.broadcast(definition.select("dimension", "dimension_order").distinct()))
+    dimensions = definition.groupBy().agg(F.array_sort(F.collect_set(F.struct("dimension_order", "dimension"))).alias("d")).first()["d"] or []  # of a small table of weights
+    listed = F.array(*(F.struct(F.lit(r["dimension"]).alias("dimension"), F.lit(r["dimension_order"]).alias("dimension_order")) for r in dimensions))
+    every = team_season.select("season_id", "team_id", "matches", F.explode(listed).alias("d")).select("season_id", "team_id", "matches", "d.*")
     return every.join(scores, ["season_id", "team_id", "dimension"], "left").select("season_id", "team_id", "matches", "dimension", "dimension_order", F.coalesce("_score", F.lit(0.0)).alias("score"), F.col("_score").isNotNull().alias("measured"), "inputs")
 
 
@@ -129,22 +131,36 @@ def style_profiles(style: DataFrame) -> DataFrame:
     return out.withColumn("confidence", assess_quality(F.col("matches") * 90, F.col("matches"), F.col("coverage"))["confidence"])
 
 
-def fit_components(dna: DataFrame, style: DataFrame, demand: DataFrame) -> DataFrame:
-    """What a player supplies of what each team of the season asks above the middle."""
-    supply = dna.join(F.broadcast(demand), "category").groupBy("season_id", "player_id", "dimension", "dimension_order", "label").agg(_mean("score", "weight").alias("_supply"))
-    asked = style.where("score > 50").select("season_id", "team_id", "dimension", F.col("score").alias("demand"), jsround((F.col("score") - 50) / 50 * 25, 1).alias("max_points"))
-    return supply.join(asked, ["season_id", "dimension"]).select("season_id", "player_id", "team_id", "dimension", "dimension_order", "label", "demand", jsround(F.col("_supply"), 1).alias("supply"), "max_points", jsround(F.col("_supply") / 100 * F.col("max_points"), 1).alias("points"))
-
-
 def club_fit(dna: DataFrame, style: DataFrame, demand: DataFrame) -> DataFrame:
-    """fit_score of each player and team of a season, with the three largest gaps and strengths; 0 where nothing is asked."""
-    parts = fit_components(dna, style, demand)
-    tenths = lambda c: F.floor(F.col(c) * 10 + 0.5).cast("bigint")
-    part = lambda order: F.struct(order.alias("o"), F.col("dimension_order").alias("n"), "dimension", "label", "demand", "supply", "points", "max_points")
-    top = lambda order: F.transform(F.slice(F.array_sort(F.collect_list(part(order))), 1, 3), lambda p: p.dropFields("o", "n"))
-    scored = parts.groupBy("season_id", "player_id", "team_id").agg(
-        F.when(F.sum("max_points") > 0, jsround(F.sum(tenths("points")) / F.sum(tenths("max_points")).cast("double") * 100, 1)).otherwise(0.0).alias("_fit"),
-        top(tenths("points") - tenths("max_points")).alias("gaps"), top(-tenths("points")).alias("strengths"),
-    )
-    every = dna.select("season_id", "player_id").distinct().join(F.broadcast(style.select("season_id", "team_id").distinct()), "season_id")
-    return every.join(scored, ["season_id", "player_id", "team_id"], "left").select("season_id", "player_id", "team_id", F.coalesce("_fit", F.lit(0.0)).alias("fit_score"), "gaps", "strengths")
+    """fit_score of each player and team of a season, with the three largest gaps and strengths; 0 where nothing is asked.
+
+    What a player supplies is one array by dimension, and so is what a team asks above the middle. The product of players
+    and teams, which is the result, is made last and never moved: a player meets the teams of the season in one row.
+    """
+    supply = dna.join(demand, "category", "left").groupBy("season_id", "player_id", "dimension", "dimension_order", "label").agg(_mean("score", "weight").alias("supply"))
+    part = F.struct("dimension_order", "dimension", "label", "supply")
+    players = supply.groupBy("season_id", "player_id").agg(F.array_sort(F.collect_list(F.when(F.col("dimension").isNotNull(), part))).alias("supplies"))
+    asked = F.when(F.col("score") > 50, F.struct(F.col("score").alias("demand"), jsround((F.col("score") - 50) / 50 * 25, 1).alias("max_points")))
+    teams = style.groupBy("season_id", "team_id").agg(F.map_from_entries(F.collect_list(F.struct("dimension", asked.alias("a")))).alias("asked"))
+    leagues = teams.groupBy("season_id").agg(F.collect_list(F.struct("team_id", "asked")).alias("teams"))  # of one season
+    pairs = players.join(leagues, "season_id").select("season_id", "player_id", "supplies", F.explode("teams").alias("t")).select("season_id", "player_id", "t.team_id", "supplies", "t.asked")
+
+    def component(s: Column) -> Column:
+        a = F.col("asked")[s["dimension"]]
+        points = jsround(s["supply"] / 100 * a["max_points"], 1)
+        fields = {"n": s["dimension_order"], "dimension": s["dimension"], "label": s["label"], "demand": a["demand"], "supply": jsround(s["supply"], 1), "points": points, "max_points": a["max_points"]}
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    wanted = F.filter("supplies", lambda s: F.col("asked")[s["dimension"]].isNotNull())
+    scored = pairs.withColumn("parts", F.transform(wanted, component))
+    tenths = lambda c: F.floor(c * 10 + 0.5).cast("bigint")
+    total = lambda name: F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + tenths(p[name]))
+
+    def top(order) -> Column:
+        keyed = F.transform("parts", lambda p: F.struct(order(p).alias("o"), p["n"].alias("n"), p.dropFields("n").alias("p")))
+        return F.transform(F.slice(F.array_sort(keyed), 1, 3), lambda e: e["p"])
+
+    fit = F.when(total("max_points") > 0, jsround(total("points") / total("max_points").cast("double") * 100, 1)).otherwise(0.0)
+    none = F.size("parts") == 0
+    gaps, strengths = top(lambda p: tenths(p["points"]) - tenths(p["max_points"])), top(lambda p: -tenths(p["points"]))
+    return scored.select("season_id", "player_id", "team_id", fit.alias("fit_score"), F.when(~none, gaps).alias("gaps"), F.when(~none, strengths).alias("strengths"))

@@ -130,7 +130,7 @@ def strengths_risks(percentiles: DataFrame, strong: float = 75, weak: float = 30
 
 def custom_score(percentiles: DataFrame, weights: DataFrame) -> DataFrame:
     """A weighted sum of percentiles by (metric_key, weight), 1 decimal."""
-    return percentiles.join(F.broadcast(weights), "metric_key").groupBy("season_id", "player_id").agg(jsround(F.sum(F.round(F.col("weight") * 100).cast("bigint") * F.floor(F.col("percentile") * 10 + 0.5)) / 1000.0, 1).alias("score"))
+    return percentiles.join(weights, "metric_key").groupBy("season_id", "player_id").agg(jsround(F.sum(F.round(F.col("weight") * 100).cast("bigint") * F.floor(F.col("percentile") * 10 + 0.5)) / 1000.0, 1).alias("score"))
 
 
 def event_distribution(events: DataFrame) -> DataFrame:

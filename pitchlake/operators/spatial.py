@@ -116,31 +116,52 @@ def heatmap_kde(points: DataFrame, subject: list[str], cols: int = 24, rows: int
 
 
 def heatmap_kde_full(points: DataFrame, subject: list[str], cols: int = 24, rows: int = 16, bandwidth: float = 6.0, method: str = "exact", normalize: bool = True) -> DataFrame:
-    """Gaussian density over all cells: round kernels ("exact"), or kernels in the shape of the points' own covariance.
+    """Gaussian density at the centres of all cells: round kernels ("exact"), or kernels in the shape of the points' own covariance.
 
-    The latter need three distinct points (3 decimals) and a regular covariance, else they are round.
+    The latter need three distinct points (3 decimals) and a regular covariance, else they are round. Equal points are
+    summed first, with what the covariance needs of each of them: their number, weights and squared weights.
     """
-    own = _in_bounds(points).groupBy(*subject, "x", "y").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
-    round_kernel = F.struct(F.lit(1 / bandwidth**2).alias("xx"), F.lit(0.0).alias("xy"), F.lit(1 / bandwidth**2).alias("yy"))
-    total, square = F.sum("weight"), F.sum(F.col("weight") * F.col("weight"))
-    mean = own.groupBy(*subject).agg((F.sum(F.col("weight") * F.col("x")) / total).alias("mx"), (F.sum(F.col("weight") * F.col("y")) / total).alias("my"), total.alias("w1"), square.alias("w2"), F.stddev_pop("x").alias("sd"), F.countDistinct(F.round("x", 3), F.round("y", 3)).alias("distinct"))
-    joined = own.join(mean, subject)
-    moment = lambda a, b: F.sum(F.col("weight") * (F.col(a) - F.col(f"m{a}")) * (F.col(b) - F.col(f"m{b}")))
-    norm = F.first("w1") - F.first("w2") / F.first("w1")
-    shape = joined.groupBy(*subject).agg((moment("x", "x") / norm).alias("cxx"), (moment("x", "y") / norm).alias("cxy"), (moment("y", "y") / norm).alias("cyy"), F.first("sd").alias("sd"), F.first("distinct").alias("distinct"))
-    scale = bandwidth / F.greatest(F.col("sd"), F.lit(1e-6)) / 10
-    det = (F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy")) * scale * scale
-    shaped = F.struct((F.col("cyy") / det).alias("xx"), (-F.col("cxy") / det).alias("xy"), (F.col("cxx") / det).alias("yy"))
-    kernel = F.when((F.col("distinct") >= 3) & (det > 1e-12), shaped).otherwise(round_kernel) if method == "covariance" else round_kernel
     w, h = LENGTH / cols, WIDTH / rows
-    rows_ = own.join(shape.select(*subject, kernel.alias("k")), subject).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    dx, dy = jsround(w * (F.col("col") + 0.5), 2) - F.col("x"), jsround(h * (F.col("row") + 0.5), 2) - F.col("y")
+    squares = F.sum(F.col("weight") * F.col("weight"))
+    own = _in_bounds(points).groupBy(*subject, "x", "y").agg(F.sum("weight").alias("weight"), squares.alias("w2"), F.count("*").alias("n"))
+    round_kernel = F.struct(F.lit(1 / bandwidth**2).alias("xx"), F.lit(0.0).alias("xy"), F.lit(1 / bandwidth**2).alias("yy"))
+    shaped = own.withColumn("k", round_kernel)
+    if method == "covariance":
+        kernel = F.coalesce(_covariance_kernel(bandwidth), round_kernel)
+        shaped = own.join(_moments(own, subject).select(*subject, kernel.alias("k")), subject)
+    cells_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    around = shaped.withColumn("col", cells_of(cols)).withColumn("row", cells_of(rows))
+    dx, dy = w * (F.col("col") + 0.5) - F.col("x"), h * (F.col("row") + 0.5) - F.col("y")
     q = F.col("k.xx") * dx * dx + 2 * F.col("k.xy") * dx * dy + F.col("k.yy") * dy * dy
     here = (_cell("x", LENGTH, cols) == F.col("col")) & (_cell("y", WIDTH, rows) == F.col("row"))
-    cells = rows_.groupBy(*subject, "col", "row").agg(F.sum(F.col("weight") * F.exp(-q / 2)).alias("value"), F.sum(F.when(here, F.col("n")).otherwise(0)).alias("count"), F.sum(F.when(here, F.col("weight")).otherwise(0.0)).alias("weight"))
+    at = lambda c, none: F.sum(F.when(here, F.col(c)).otherwise(none))
+    cells = around.groupBy(*subject, "col", "row").agg(F.sum(F.col("weight") * F.exp(-q / 2)).alias("value"), at("n", 0).alias("count"), at("weight", 0.0).alias("weight"))
     return _complete(cells, subject, cols, rows, False, normalize)
 
 
+def _moments(own: DataFrame, subject: list[str]) -> DataFrame:
+    """Weighted covariance, deviation of x over all points, and the number of distinct points of each subject."""
+    total = F.sum("weight")
+    mean = own.groupBy(*subject).agg(
+        (F.sum(F.col("weight") * F.col("x")) / total).alias("mx"), (F.sum(F.col("weight") * F.col("y")) / total).alias("my"), total.alias("w1"), F.sum("w2").alias("w2"),
+        F.sum("n").alias("points"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("ux"), F.countDistinct(F.round("x", 3), F.round("y", 3)).alias("distinct"),
+    )
+    off = lambda c: F.col(c) - F.col(f"m{c}")
+    norm = F.first("w1") - F.first("w2") / F.first("w1")
+    moment = lambda a, b, name: (F.sum(F.col("weight") * off(a) * off(b)) / norm).alias(name)
+    spread = F.sqrt(F.sum(F.col("n") * (F.col("x") - F.col("ux")) * (F.col("x") - F.col("ux"))) / F.first("points"))
+    joined = own.select(*subject, "x", "y", "weight", "n").join(mean, subject)
+    return joined.groupBy(*subject).agg(moment("x", "x", "cxx"), moment("x", "y", "cxy"), moment("y", "y", "cyy"), spread.alias("sd"), F.first("distinct").alias("distinct"))
+
+
+def _covariance_kernel(bandwidth: float) -> Column:
+    """The inverse of the scaled covariance; null where there are too few points or they lie on a line."""
+    scale = bandwidth / F.greatest(F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")), F.lit(1e-6)) / 10
+    det = (F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy")) * scale * scale
+    inverse = F.struct((F.col("cyy") / det).alias("xx"), (-F.col("cxy") / det).alias("xy"), (F.col("cxx") / det).alias("yy"))
+    return F.when((F.col("distinct") >= 3) & (det > 1e-12), inverse)
+
+
 def passing_network(events: DataFrame, period: str = "full", possession_only: bool = False, min_passes: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and totals of every match and team.
 

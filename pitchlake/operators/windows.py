@@ -13,10 +13,25 @@ def unpivot(season: DataFrame, metrics: list[str], ids: list[str]) -> DataFrame:
     return season.unpivot(ids, metrics, "metric_key", "value")
 
 
-def percentile_at_or_below(df: DataFrame, partition: list[str], value: str = "value", inverted: bool = False) -> DataFrame:
-    """percentile: the share of the population at or below a value, 0 to 100, 1 decimal. Nulls are left out."""
-    p = jsround(F.cume_dist().over(Window.partitionBy(*partition).orderBy(value)) * 100, 1)
-    return df.where(F.col(value).isNotNull()).withColumn("percentile", jsround(100 - p, 1) if inverted else p)
+def by_value(df: DataFrame, partition: list[str], value: str = "value") -> DataFrame:
+    """(partition, value, n, upto, below, total): the distinct values of each population, how many have them, and how many
+    lie up to and below them. Counts are summed before the shuffle, so a window holds distinct values, not players."""
+    counted = df.groupBy(*partition, value).agg(F.count("*").alias("n"))
+    every = Window.partitionBy(*partition)
+    upto = F.sum("n").over(every.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counted.select(*partition, value, "n", upto.alias("upto"), (upto - F.col("n")).alias("below"), F.sum("n").over(every).alias("total"))
+
+
+def percentile_at_or_below(df: DataFrame, partition: list[str], value: str = "value", inverted: bool = False, small: bool = False) -> DataFrame:
+    """percentile: the share of the population at or below a value, 0 to 100, 1 decimal. Nulls are left out.
+
+    small: populations fit one task each, as the teams of a season do; they are ranked in place.
+    """
+    known, shown = df.where(F.col(value).isNotNull()), lambda p: jsround(100 - p, 1) if inverted else p
+    if small:
+        return known.withColumn("percentile", shown(jsround(F.cume_dist().over(Window.partitionBy(*partition).orderBy(value)) * 100, 1)))
+    ranks = by_value(known, partition, value).select(*partition, value, shown(jsround(F.col("upto") / F.col("total") * 100, 1)).alias("percentile"))
+    return known.join(ranks, [*partition, value]).select(*df.columns, "percentile")
 
 
 def zscore(df: DataFrame, partition: list[str], value: str = "value") -> DataFrame:
@@ -36,15 +51,26 @@ def zscore(df: DataFrame, partition: list[str], value: str = "value") -> DataFra
 def player_percentiles(long: DataFrame, min_minutes: int = 450, frame: str = "population", partition: tuple[str, ...] = ("season_id", "position_group", "metric_key")) -> DataFrame:
     """percentile (exclusive, 1 decimal), z_score (3 decimals) and population_size among players with enough minutes.
 
-    frame: "population" measures against all, "running" against those up to and with equal values.
+    frame: "population" measures against all, "running" against those up to and with equal values. Without a value there is no
+    rank: such rows are left out of the population.
     """
-    ordered = Window.partitionBy(*partition).orderBy(F.col("value").asc_nulls_last())
-    over = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow) if frame == "running" else Window.partitionBy(*partition)
-    ranked = long.where(F.col("minutes") >= min_minutes).select(
-        "*", jsround(F.percent_rank().over(ordered) * 100, 1).alias("percentile"), F.avg("value").over(over).alias("_mean"), F.stddev_pop("value").over(over).alias("_sd"), F.count("*").over(over).alias("population_size")
-    )
+    enough, keys = long.where(F.col("minutes") >= min_minutes), [*partition, "value"]
+    if frame == "running":
+        ordered = Window.partitionBy(*partition).orderBy(F.col("value").asc_nulls_last())
+        over = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        of = {"percentile": jsround(F.percent_rank().over(ordered) * 100, 1), "_mean": F.avg("value").over(over), "_sd": F.stddev_pop("value").over(over), "population_size": F.count("*").over(over)}
+        ranked = enough.select("*", *(v.alias(k) for k, v in of.items()))
+    else:
+        every, v = Window.partitionBy(*partition), F.col("value")
+        values = by_value(enough.where("value is not null"), list(partition)).withColumn("_mean", F.sum(v * F.col("n")).over(every) / F.col("total"))
+        off = v - F.col("_mean")
+        values = values.withColumn("_sd", F.sqrt(F.sum(off * off * F.col("n")).over(every) / F.col("total")))
+        rank = F.when(F.col("total") > 1, F.col("below") / (F.col("total") - 1)).otherwise(0.0)
+        values = values.select(*keys, jsround(rank * 100, 1).alias("percentile"), "_mean", "_sd", F.col("total").alias("population_size"))
+        ranked = enough.where("value is not null").join(values, keys).select(*long.columns, "percentile", "_mean", "_sd", "population_size")
     z = F.when(F.col("_sd").isNull() | (F.col("_sd") < 1e-12), 0.0).otherwise(jsround((F.col("value") - F.col("_mean")) / F.col("_sd"), 3))
-    return ranked.select("*", z.alias("z_score"), F.lit(min_minutes).alias("population_min_minutes"), F.lit("+".join(c for c in partition if c != "metric_key")).alias("population_definition")).drop("_mean", "_sd")
+    population = F.lit("+".join(c for c in partition if c != "metric_key"))
+    return ranked.select("*", z.alias("z_score"), F.lit(min_minutes).alias("population_min_minutes"), population.alias("population_definition")).drop("_mean", "_sd")
 
 
 def club_percentiles(team_season: DataFrame, metrics: list[str]) -> DataFrame:
@@ -62,7 +88,7 @@ def latest_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def team_trend(team_match: DataFrame, matches: DataFrame, teams: DataFrame) -> DataFrame:
     """Each team's matches in order of kickoff with four series and a label of the opponent."""
     names = lambda side: teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("team_name").alias(f"_{side}"))
-    rows = team_match.join(matches.select("match_id", "kickoff_at", "home_team_id", "away_team_id"), "match_id").join(F.broadcast(names("home")), "home_team_id", "left").join(F.broadcast(names("away")), "away_team_id", "left")
+    rows = team_match.join(matches.select("match_id", "kickoff_at", "home_team_id", "away_team_id"), "match_id").join(names("home"), "home_team_id", "left").join(names("away"), "away_team_id", "left")
     label = F.when(F.col("team_id") == F.col("home_team_id"), F.concat(F.lit("vs "), "_away")).otherwise(F.concat(F.lit("at "), "_home"))
     n = F.row_number().over(Window.partitionBy("team_id").orderBy("kickoff_at", "match_id"))
     return rows.select("team_id", "match_id", n.alias("n"), label.alias("label"), "xg", "possession", "crosses", "directness")

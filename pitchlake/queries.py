@@ -469,16 +469,31 @@ def heatmap_kde(spark, sf_dir):
     return _shown(spatial.heatmap_kde(_touches(spark, sf_dir), ["team_id"]), "team_id")
 
 
-@query(_heat("team_id", _PTS.replace(f"({_types('TOUCH')})", "('SHOT')"), 24, 16, f"SELECT team_id, c AS col, r AS row, sum(weight * exp(-(pow({_KX} - x, 2) + pow({_KY} - y, 2)) / 72)) AS value, count(*) FILTER (WHERE c = {_C24} AND r = {_R16}) AS n FROM {_AROUND} GROUP BY ALL", _SX))
+_UX, _UY = "(CAST(105 AS DOUBLE) / 24 * (c + 0.5))", "(CAST(68 AS DOUBLE) / 16 * (r + 0.5))"
+_SHOTS = f"{bridge.PRELUDE}, pts AS (SELECT team_id, x, y, {{weight}} AS weight FROM ev WHERE type = 'SHOT')"
+_HERE = f"count(*) FILTER (WHERE c = {_C24} AND r = {_R16}) AS n"
+
+
+@query(_heat("team_id", _SHOTS.format(weight="CAST(1 AS DOUBLE)"), 24, 16, f"SELECT team_id, c AS col, r AS row, sum(weight * exp(-(pow({_UX} - x, 2) + pow({_UY} - y, 2)) / 72)) AS value, {_HERE} FROM {_AROUND} GROUP BY ALL", _SX))
 def heatmap_kde_full(spark, sf_dir):
     shots = spatial.heatmap_points(Tables(spark, sf_dir).events, "SHOT", ["team_id"]).withColumn("weight", F.lit(1.0))
     return _shown(spatial.heatmap_kde_full(shots, ["team_id"]), "team_id")
 
 
-@query()
+# every shot of an even event twice, so that points repeat
+_TWICE = _SHOTS.format(weight="greatest(0.05, xg)").replace("WHERE type = 'SHOT')", "WHERE type = 'SHOT' UNION ALL SELECT team_id, x, y, greatest(0.05, xg) FROM ev WHERE type = 'SHOT' AND event_id % 2 = 0)")
+_SHAPE = """, m AS (SELECT team_id AS t, sum(weight * x) / sum(weight) AS mx, sum(weight * y) / sum(weight) AS my, sum(weight) - sum(weight * weight) / sum(weight) AS norm, stddev_pop(x) AS sd, count(DISTINCT (round(x, 3), round(y, 3))) AS d FROM pts GROUP BY team_id),
+cv AS (SELECT t, sum(weight * (x - mx) * (x - mx)) / any_value(norm) AS cxx, sum(weight * (x - mx) * (y - my)) / any_value(norm) AS cxy, sum(weight * (y - my) * (y - my)) / any_value(norm) AS cyy, any_value(sd) AS sd, any_value(d) AS d FROM pts JOIN m ON t = team_id GROUP BY t),
+dt AS (SELECT *, (cxx * cyy - cxy * cxy) * pow(CAST(6 AS DOUBLE) / greatest(CASE WHEN sd = 0 THEN 1 ELSE sd END, 1e-6) / 10, 2) AS det FROM cv),
+kn AS (SELECT t, CASE WHEN d >= 3 AND det > 1e-12 THEN cyy / det ELSE 1.0 / 36 END AS kxx, CASE WHEN d >= 3 AND det > 1e-12 THEN -cxy / det ELSE 0 END AS kxy, CASE WHEN d >= 3 AND det > 1e-12 THEN cxx / det ELSE 1.0 / 36 END AS kyy FROM dt)"""
+_Q = f"(kxx * pow({_UX} - x, 2) + 2 * kxy * ({_UX} - x) * ({_UY} - y) + kyy * pow({_UY} - y, 2))"
+
+
+@query(_heat("team_id", _TWICE + _SHAPE, 24, 16, f"SELECT team_id, c AS col, r AS row, sum(weight * exp(-{_Q} / 2)) AS value, {_HERE} FROM {_AROUND.replace('pts,', 'pts JOIN kn ON t = team_id,')} GROUP BY ALL", _SX))
 def heatmap_kde_covariance(spark, sf_dir):
-    shots = spatial.heatmap_points(Tables(spark, sf_dir).events, "SHOT", ["team_id"])
-    return spatial.heatmap_kde_full(shots, ["team_id"], method="covariance")
+    e = Tables(spark, sf_dir).events
+    shots = spatial.heatmap_points(e.unionByName(e.where("event_id % 2 = 0")), "SHOT", ["team_id"])
+    return _shown(spatial.heatmap_kde_full(shots, ["team_id"], method="covariance"), "team_id")
 
 
 @query(f"""{_heat('l_suppkey', "WITH pts AS (SELECT l_suppkey, CAST((l_partkey * 7919 + l_orderkey * 31) % 10501 AS DOUBLE) / 100 AS x, CAST((l_partkey * 6151 + l_orderkey * 17) % 6801 AS DOUBLE) / 100 AS y, l_discount AS weight FROM lineitem)", 24, 16, f"SELECT l_suppkey, {_C24} AS col, {_R16} AS row, CAST(sum(CAST(floor(weight * 100 + 0.5) AS BIGINT)) AS DOUBLE) AS value, count(*) AS n FROM pts GROUP BY ALL", _SX)}""")
