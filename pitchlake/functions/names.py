@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ THRESHOLD = 0.86
 
 
 def _decomposed(names: pd.Series) -> pd.Series:
-    return names.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+    return names.str.normalize("NFD")
 
 
 def normalise_name(c: Column) -> Column:
@@ -23,27 +21,24 @@ def normalise_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
-def _shared(left: pd.Series, right: pd.Series) -> pd.Series:
+def shared_tokens(left: Column, right: Column) -> Column:
     """Tokens of the left name that find one of their own in the right, in order; an initial stands for a word."""
+    one = lambda c: F.length(c) == 1
+    same = lambda t, o: (t == o) | (one(t) & F.startswith(o, t)) | (one(o) & F.startswith(t, o))
 
-    def one(a: str, b: str) -> int:
-        if a is None or b is None:
-            return 0
-        free, n = b.split(" "), 0
-        for token in a.split(" "):
-            hit = next((i for i, other in enumerate(free) if token == other or (len(token) == 1 and other.startswith(token)) or (len(other) == 1 and token.startswith(other))), None)
-            if hit is not None:
-                n += 1
-                del free[hit]
-        return n
+    def step(state: Column, token: Column) -> Column:
+        k = F.array_position(F.transform(state["free"], lambda o: same(token, o)), F.lit(True)).cast("int")
+        rest = F.concat(F.slice(state["free"], F.lit(1), F.greatest(k - 1, F.lit(0))), F.slice(state["free"], k + 1, F.size(state["free"])))
+        return F.struct(F.when(k > 0, rest).otherwise(state["free"]).alias("free"), (state["n"] + (k > 0).cast("int")).alias("n"))
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int64")
+    start = F.struct(F.split(right, " ").alias("free"), F.lit(0).alias("n"))
+    return F.aggregate(F.split(left, " "), start, step, lambda s: s["n"])
 
 
 def likeness(left: Column, right: Column) -> Column:
     """Likeness of two normal forms, 0 to 1, 3 decimals: edit distance weighs 0.35, shared tokens 0.65."""
     ratio = 1 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right))
-    tokens = F.pandas_udf(_shared, "long")(left, right) / F.greatest(F.size(F.split(left, " ")), F.size(F.split(right, " ")))
+    tokens = shared_tokens(left, right) / F.greatest(F.size(F.split(left, " ")), F.size(F.split(right, " ")))
     return F.when(left == right, 1.0).when((F.length(left) == 0) | (F.length(right) == 0), 0.0).otherwise(jsround(ratio * 0.35 + tokens * 0.65, 3))
 
 

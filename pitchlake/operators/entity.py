@@ -1,35 +1,45 @@
 """Matching of incoming players and teams to known ones.
 
-Names are compared only within blocks: equal birth dates, or the last token of the name where there is no date. A block
+Names are compared only within blocks: equal birth dates, or names that contain the last token where there is no date. A block
 with very many known names isn't cut short: its pairs are ordinary join rows, which Spark splits where they are skewed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import THRESHOLD, likeness, normalise_name
 
 
+def parts_of(text: Column) -> Column:
+    """All parts of a short text."""
+    lengths = lambda i: F.sequence(F.lit(1), F.length(text) - i + 1)
+    starts = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.transform(lengths(i), lambda n: F.substring(text, i, n)))
+    return F.when(F.length(text) > 0, F.array_distinct(F.flatten(starts))).otherwise(F.array().cast("array<string>"))
+
+
 def match_players(incoming: DataFrame, players: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(incoming_id, player_id, confidence, method) for incoming players that are known.
 
     incoming: incoming_id, full_name, birth_date; players: player_id, full_name, birth_date. Same name and birth date is
-    EXACT; else the most similar name of that date, or without a date of those that hold the last token, is FUZZY.
+    EXACT; else the most similar name of that date, or without a date of those that contain the last token, is FUZZY; of
+    equally similar ones the least id. Ids may be of any type.
     """
-    last = lambda c: F.element_at(F.split(c, " "), -1)
+    tokens_of = lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != "")
     new = incoming.select("incoming_id", F.lower("full_name").alias("lower"), "birth_date", normalise_name(F.col("full_name")).alias("name"))
     known = players.where("full_name is not null").select("player_id", F.lower("full_name").alias("k_lower"), F.col("birth_date").alias("k_date"), normalise_name(F.col("full_name")).alias("k_name"))
-    exact = new.join(known, (F.col("birth_date") == F.col("k_date")) & (F.col("lower") == F.col("k_lower"))).groupBy("incoming_id").agg(F.min("player_id").alias("player_id")).select("incoming_id", "player_id", F.lit(1.0).alias("confidence"), F.lit("EXACT").alias("method"))
+    same = new.join(known, (F.col("birth_date") == F.col("k_date")) & (F.col("lower") == F.col("k_lower")))
+    exact = same.groupBy("incoming_id").agg(F.min("player_id").alias("player_id")).select("incoming_id", "player_id", F.lit(1.0).alias("confidence"), F.lit("EXACT").alias("method"))
     rest = new.join(exact.select("incoming_id"), "incoming_id", "left_anti")
     dated = rest.where("birth_date is not null").join(known, F.col("birth_date") == F.col("k_date"))
-    tokens = known.withColumn("token", F.explode(F.array_distinct(F.split("k_name", " "))))
-    undated = rest.where("birth_date is null").withColumn("token", last(F.col("name"))).join(tokens, "token")
+    # what a token contains is its parts, so that the test is an equality
+    parts = known.withColumn("token", F.explode(tokens_of(F.col("k_lower")))).withColumn("part", F.explode(parts_of(F.col("token")))).select("player_id", "k_name", "part").distinct()
+    undated = rest.where("birth_date is null").withColumn("part", F.try_element_at(tokens_of(F.col("lower")), F.lit(-1))).join(parts, "part")
     pairs = dated.select("incoming_id", "player_id", "name", "k_name").unionByName(undated.select("incoming_id", "player_id", "name", "k_name"))
     scored = pairs.select("incoming_id", "player_id", likeness(F.col("name"), F.col("k_name")).alias("confidence")).where(F.col("confidence") >= threshold)
-    best = scored.groupBy("incoming_id").agg(F.max(F.struct("confidence", (-F.col("player_id")).alias("o"))).alias("b")).select("incoming_id", (-F.col("b.o")).alias("player_id"), "b.confidence", F.lit("FUZZY").alias("method"))
-    return exact.unionByName(best)
+    best = scored.groupBy("incoming_id").agg(F.min(F.struct((-F.col("confidence")).alias("o"), "player_id", "confidence")).alias("b"))
+    return exact.unionByName(best.select("incoming_id", "b.player_id", "b.confidence", F.lit("FUZZY").alias("method")))
 
 
 def match_teams(incoming: DataFrame, teams: DataFrame, aliases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -60,8 +60,11 @@ def _within(c: Column, bounds: tuple) -> Column:
     return out & (c <= bounds[1]) if bounds[1] is not None else out
 
 
-def search_players(season: DataFrame, players: DataFrame, what: Search, percentiles: DataFrame | None = None, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """A page of players' seasons that fit, and their number. Percentile tests join the percentiles of the same season."""
+def search_players(
+    season: DataFrame, players: DataFrame, what: Search, percentiles: DataFrame | None = None, at: Column | None = None, aliases: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A page of players' seasons that fit, and their number. Percentile tests join the percentiles of the same season; a
+    name is looked for in full names and in aliases (player_id, alias)."""
     rows = season.join(players.drop("position_group"), "player_id")
     test = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "eq": lambda c, v: c == v, "between": lambda c, v: c.between(*v)}
     for metric, (op, value) in what.metrics.items():
@@ -76,7 +79,12 @@ def search_players(season: DataFrame, players: DataFrame, what: Search, percenti
         if value is not None:
             rows = rows.where(F.col(column) == value)
     if what.name:
-        rows = rows.where(F.lower("full_name").contains(what.name.lower()))
+        holds = lambda c: F.lower(c).contains(what.name.lower())
+        if aliases is None:
+            rows = rows.where(holds("full_name"))
+        else:
+            other = aliases.where(holds("alias")).select("player_id", F.lit(True).alias("_alias")).distinct()
+            rows = rows.join(other, "player_id", "left").where(holds("full_name") | F.col("_alias")).drop("_alias")
     order = F.desc_nulls_last(what.sort) if what.descending else F.asc_nulls_last(what.sort)
     return rows.orderBy(order, "season_id", "player_id").offset(what.offset).limit(what.limit), rows.agg(F.count("*").alias("total"))
 
@@ -90,28 +98,57 @@ def global_search(term: str, sources: dict[str, tuple[DataFrame, str, str]], lim
     return out
 
 
-def compare_players(ids: list, season: DataFrame, percentiles: DataFrame, players: DataFrame) -> DataFrame:
-    """Two to five players side by side: their season with most minutes, percentiles, strengths from 70 and weaknesses to 30."""
+def compare_players(ids: list, season: DataFrame, percentiles: DataFrame, players: DataFrame, roles: DataFrame | None = None, fits: DataFrame | None = None, dna: DataFrame | None = None) -> DataFrame:
+    """Two to five players side by side: their season with most minutes, percentiles, strengths from 70 and weaknesses to 30.
+
+    Where given: the five best roles and club fits over all seasons, the profile of that season; metric_keys are those
+    metrics that are not zero for all of them.
+    """
     unique = _between(ids)
+    chosen = lambda df: df.where(F.col("player_id").isin(*unique))
     best = Window.partitionBy("player_id").orderBy(F.desc("minutes"), "season_id")
-    own = season.where(F.col("player_id").isin(*unique)).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-    entry = F.struct((-F.col("percentile")).alias("o"), "metric_key", "percentile")
-    ranked = percentiles.where(F.col("player_id").isin(*unique)).groupBy("season_id", "player_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("o")).alias("percentiles"))
-    rows = own.join(ranked, ["season_id", "player_id"], "left").join(players.select("player_id", "full_name", "foot", "height_cm", F.col("country").alias("nationality")), "player_id")
+    own = chosen(season).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    rows = own.join(players.select("player_id", "full_name", "foot", "height_cm", F.col("country").alias("nationality")), "player_id")
+
+    def listed(df: DataFrame, keys: list[str], name: str, order: Column, fields: list[str], most: int | None = None) -> DataFrame:
+        every = F.array_sort(F.collect_list(F.struct(order.alias("o"), *fields)))  # of one player
+        every = F.slice(every, 1, most) if most else every
+        return chosen(df).groupBy(*keys).agg(F.transform(every, lambda e: e.dropFields("o")).alias(name))
+
+    both = ["season_id", "player_id"]
+    rows = rows.join(listed(percentiles, both, "percentiles", -F.col("percentile"), ["metric_key", "percentile"]), both, "left")
+    if roles is not None:
+        rows = rows.join(listed(roles, ["player_id"], "roles", -F.col("score"), ["season_id", "role_key", "score"], 5), "player_id", "left")
+    if fits is not None:
+        rows = rows.join(listed(fits, ["player_id"], "fits", -F.col("fit_score"), ["season_id", "team_id", "fit_score"], 5), "player_id", "left")
+    if dna is not None:
+        rows = rows.join(listed(dna, both, "profile", F.col("category"), ["category", "score"]), both, "left")
+    all_of = Window.partitionBy(F.lit(1))  # of at most five rows
+    shared = F.size(F.collect_set(F.struct("season_id", "position_group")).over(all_of)) == 1
+    metrics = [c for c, t in season.dtypes if t == "double"]
+    seen = F.array(*(F.when(F.max(F.abs(F.coalesce(F.col(c), F.lit(0.0)))).over(all_of) > 0, c) for c in metrics))
     weak = F.filter("percentiles", lambda e: e["percentile"] <= 30)
-    shared = F.size(F.collect_set(F.struct("season_id", "position_group")).over(Window.partitionBy(F.lit(1)))) == 1  # of at most five rows
-    return rows.select("*", F.slice(F.filter("percentiles", lambda e: e["percentile"] >= 70), 1, 5).alias("strengths"), F.slice(F.reverse(weak), 1, 5).alias("weaknesses"), shared.alias("shared_population"))
+    strong = F.filter("percentiles", lambda e: e["percentile"] >= 70)
+    return rows.select(
+        "*", F.slice(strong, 1, 5).alias("strengths"), F.slice(F.reverse(weak), 1, 5).alias("weaknesses"), shared.alias("shared_population"), F.array_compact(seen).alias("metric_keys")
+    )
 
 
-def compare_teams(ids: list, team_season: DataFrame, club_percentiles: DataFrame, team_match: DataFrame, teams: DataFrame) -> DataFrame:
-    """Two to five clubs side by side: the season with most matches, percentiles, defensive actions and crosses a match."""
+def compare_teams(ids: list, team_season: DataFrame, club_percentiles: DataFrame, team_match: DataFrame, teams: DataFrame, style: DataFrame | None = None) -> DataFrame:
+    """Two to five clubs side by side: the season with most matches, percentiles, defensive actions and crosses a match, and style scores where given."""
     unique = _between(ids)
+    chosen = lambda df: df.where(F.col("team_id").isin(*unique))
     best = Window.partitionBy("team_id").orderBy(F.desc("matches"), "season_id")
-    own = team_season.where(F.col("team_id").isin(*unique)).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-    ranked = club_percentiles.where(F.col("team_id").isin(*unique)).groupBy("season_id", "team_id").agg(F.array_sort(F.collect_list(F.struct("metric_key", "percentile"))).alias("percentiles"))
-    actions = team_match.where(F.col("team_id").isin(*unique)).groupBy("team_id").agg(jsround(F.avg(F.col("tackles") + F.col("interceptions") + F.col("recoveries")), 2).alias("defensive_actions_per_match"), jsround(F.avg("crosses"), 2).alias("crosses_per_match"))
+    own = chosen(team_season).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    ranked = chosen(club_percentiles).groupBy("season_id", "team_id").agg(F.array_sort(F.collect_list(F.struct("metric_key", "percentile"))).alias("percentiles"))
+    defence = F.avg(F.col("tackles") + F.col("interceptions") + F.col("recoveries"))
+    actions = chosen(team_match).groupBy("team_id").agg(jsround(defence, 2).alias("defensive_actions_per_match"), jsround(F.avg("crosses"), 2).alias("crosses_per_match"))
     size = team_season.groupBy("season_id").agg(F.count("*").alias("population_size"))
-    return own.join(ranked, ["season_id", "team_id"], "left").join(actions, "team_id", "left").join(size, "season_id").join(teams.select("team_id", "team_name"), "team_id")
+    rows = own.join(ranked, ["season_id", "team_id"], "left").join(actions, "team_id", "left").join(size, "season_id").join(teams.select("team_id", "team_name"), "team_id")
+    if style is None:
+        return rows
+    scores = chosen(style).groupBy("season_id", "team_id").agg(F.array_sort(F.collect_list(F.struct("dimension", "score"))).alias("style"))
+    return rows.join(scores, ["season_id", "team_id"], "left")
 
 
 def _between(ids: list) -> list:

@@ -13,40 +13,53 @@ from ..functions.scalars import jsround
 IMPOSSIBLE, HIGH_SPEED, SPRINT = 12.0, 5.5, 7.0
 
 
-def hull_area(x: np.ndarray, y: np.ndarray) -> float:
-    """Area of the convex hull of points: the edges of the hull are those pairs that have no point on their left.
+def hull_areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Areas of the convex hulls of many point sets at once: rows are sets, padded with points that they have.
 
-    A frame has a dozen points, so that all pairs against all points are one small array.
+    All sets are wrapped together: from its lowest point on, each takes the point that has no other on its right (of
+    those in one line the farthest), until it is back.
     """
-    pts = np.unique(np.column_stack([x, y]), axis=0)
-    if len(pts) < 3:
-        return 0.0
-    d = pts[None, :, :] - pts[:, None, :]
-    side = d[:, :, None, 0] * d[:, None, :, 1] - d[:, :, None, 1] * d[:, None, :, 0]  # of point k, seen from i to j
-    edge = (side >= -1e-9).all(axis=2) & (np.abs(d).sum(axis=2) > 0)
-    i, j = np.nonzero(edge)
-    length = (d[i, j] ** 2).sum(axis=1)
-    best = {}
-    for a, b, n in zip(i.tolist(), j.tolist(), length.tolist()):  # of collinear edges the longest
-        if a not in best or n > best[a][1]:
-            best[a] = (b, n)
-    i, j = np.array(list(best)), np.array([b for b, _ in best.values()])
-    return float(abs((pts[i, 0] * pts[j, 1] - pts[j, 0] * pts[i, 1]).sum()) / 2)
-
-
-def _hulls(points: pd.Series) -> pd.Series:
-    def one(p) -> float:
-        if p is None or len(p) < 3:
-            return 0.0
-        a = np.array([(q["x"], q["y"]) for q in p], float)
-        return float(np.floor(hull_area(a[:, 0], a[:, 1]) * 100 + 0.5) / 100)
-
-    return points.map(one)
+    sets, points = x.shape
+    if not sets or points < 3:
+        return np.zeros(sets)
+    rows = np.arange(sets)
+    start = np.lexsort((x, y), axis=1)[:, 0]
+    now, open_, area = start.copy(), np.ones(sets, bool), np.zeros(sets)
+    for _ in range(points):
+        cx, cy = x[rows, now], y[rows, now]
+        best = now.copy()
+        bx, by, far = np.zeros(sets), np.zeros(sets), np.zeros(sets)
+        for k in range(points):
+            dx, dy = x[:, k] - cx, y[:, k] - cy
+            cross, length = bx * dy - by * dx, dx * dx + dy * dy
+            better = (length > 0) & ((far == 0) | (cross < -1e-9) | ((np.abs(cross) <= 1e-9) & (length > far)))
+            best[better], bx[better], by[better], far[better] = k, dx[better], dy[better], length[better]
+        area += np.where(open_, cx * y[rows, best] - x[rows, best] * cy, 0.0)
+        open_ &= (x[rows, best] != x[rows, start]) | (y[rows, best] != y[rows, start])
+        now = best
+        if not open_.any():
+            break
+    return np.abs(area) / 2
+
+
+def hull_area(x: np.ndarray, y: np.ndarray) -> float:
+    """Area of the convex hull of one set of points."""
+    return float(hull_areas(np.asarray(x, float)[None, :], np.asarray(y, float)[None, :])[0])
+
+
+def _hulls(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    sizes = xs.map(lambda a: 0 if a is None else len(a)).to_numpy()
+    out = np.zeros(len(sizes))
+    for n in np.unique(sizes[sizes >= 3]):  # sets of one size are one array
+        own = sizes == n
+        area = hull_areas(np.stack(xs[own].to_numpy()), np.stack(ys[own].to_numpy()))
+        out[own] = np.floor(area * 100 + 0.5) / 100
+    return pd.Series(out)
 
 
 def convex_hull_area(points: Column) -> Column:
     """Hull area of an array of (x, y), 2 decimals; 0 under three points."""
-    return F.pandas_udf(_hulls, "double")(points)
+    return F.pandas_udf(_hulls, "double")(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
 
 
 PHASES = ["ALL", "IN_POSSESSION", "OUT_OF_POSSESSION"]

@@ -121,3 +121,22 @@ supply AS (SELECT p.season_id, p.player_id, dm.dimension, any_value(dm.dimension
   FROM dna p JOIN dm USING (category) GROUP BY p.season_id, p.player_id, dm.dimension),
 parts AS (SELECT s.season_id, s.player_id, a.team_id, s.dimension, s.dimension_order, a.demand, {rnd('s.supply', 1)} AS supply, {rnd('a.want * 25', 1)} AS max_points, {rnd(f"s.supply / 100 * {rnd('a.want * 25', 1)}", 1)} AS points FROM supply s JOIN asked a ON a.season_id = s.season_id AND a.dimension = s.dimension),
 fit AS (SELECT season_id, player_id, team_id, CASE WHEN sum(max_points) > 0 THEN {rnd('sum(CAST(floor(points * 10 + 0.5) AS BIGINT)) / CAST(sum(CAST(floor(max_points * 10 + 0.5) AS BIGINT)) AS DOUBLE) * 100', 1)} ELSE 0 END AS fit_score FROM parts GROUP BY season_id, player_id, team_id)"""
+
+
+def normal(x: str) -> str:
+    """The normal form of a name."""
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents({x})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def likeness(pairs: str) -> str:
+    """Common table expressions over pairs (id, a, b) of normal names: alike (id, a, b, s)."""
+    hit = "coalesce(list_position(list_transform(free, lambda o: o = ta[k] OR (length(ta[k]) = 1 AND starts_with(o, ta[k])) OR (length(o) = 1 AND starts_with(ta[k], o))), true), 0)"
+    return f"""pairs AS ({pairs}),
+greedy AS (
+  SELECT id, a, b, string_split(a, ' ') AS ta, string_split(b, ' ') AS free, 1 AS k, 0 AS n FROM pairs
+  UNION ALL
+  SELECT id, a, b, ta, CASE WHEN p > 0 THEN list_concat(free[1:p - 1], free[p + 1:]) ELSE free END, k + 1, n + (p > 0)::INT FROM (SELECT *, {hit} AS p FROM greedy WHERE k <= len(ta))),
+alike AS (
+  SELECT id, a, b, CASE WHEN a = b THEN 1.0 WHEN length(a) = 0 OR length(b) = 0 THEN 0.0
+    ELSE {rnd("(1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b))) * 0.35 + CAST(n AS DOUBLE) / greatest(len(ta), len(string_split(b, ' '))) * 0.65", 3)} END AS s
+  FROM greedy WHERE k = len(ta) + 1)"""

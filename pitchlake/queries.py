@@ -238,14 +238,16 @@ def similar_players(spark, sf_dir):
     return found.select("season_id", "player_id", "comparison_player_id", "similarity")
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT a.label AS position_group, a.vec_id AS player_id, b.vec_id AS comparison_player_id, """ + O.rnd("greatest(0, least(1, (list_cosine_similarity(a.e, b.e) + 1) / 2))", 4) + """ AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT position_group, player_id, comparison_player_id, row_number() OVER (PARTITION BY position_group, player_id ORDER BY similarity DESC, comparison_player_id) AS rank, similarity FROM s QUALIFY rank <= 10""")
 def similar_vectors(spark, sf_dir):
     """The ten most similar of each vector of the embeddings table within its label."""
     e = bridge.read(spark, sf_dir, "embeddings")
     keys = [f"k{i:02d}" for i in range(64)]
     vector = F.map_from_arrays(F.array(*map(F.lit, keys)), F.transform("embedding", lambda x: 50 + 50 * x.cast("double")))
     frame = e.select(F.lit(1).alias("season_id"), F.col("label").cast("string").alias("position_group"), F.col("vec_id").alias("player_id"), vector.alias("vector"))
-    return models.similar_players(frame, keys).select("position_group", "player_id", "comparison_player_id", "rank", "similarity")
+    return doubles(models.similar_players(frame, keys).select("position_group", "player_id", "comparison_player_id", "rank", "similarity"))
 
 
 @query(f"{O.STYLES} SELECT season_id, team_id, dimension, score, measured FROM style")
@@ -396,10 +398,13 @@ def ages(spark, sf_dir):
     return doubles(bridge.players(spark, sf_dir).select("player_id", S.age_years(birth, at).alias("age"), S.age_approx(birth, at).alias("approximate")))
 
 
-@query(f"{O.LONG} SELECT DISTINCT metric_key, {' || '.join(['upper(metric_key[1])', 'replace(metric_key[2:], chr(95), chr(32))'])} IS NOT NULL AS known, metric_key LIKE '%p90' AS rate FROM long")
+_LABEL = "regexp_replace(metric_key, '_?p90$', ' per 90')"
+_LABEL = f"array_to_string(list_transform(string_split(lower(replace({_LABEL}, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+@query(f"{O.LONG} SELECT DISTINCT metric_key, {_LABEL} AS label FROM long")
 def metric_names(spark, sf_dir):
-    label = S.humanise(F.col("metric_key"))
-    return Tables(spark, sf_dir).long().select("metric_key", label.isNotNull().alias("known"), label.endswith("Per 90").alias("rate")).distinct()
+    return Tables(spark, sf_dir).long().select("metric_key", S.humanise(F.col("metric_key")).alias("label")).distinct()
 
 
 @query(f"{O.SEASON} SELECT player_id, season_id, {O.rnd('CAST(tackles AS DOUBLE) / minutes * 90', 3)} AS tackles_p90, CASE WHEN touches > 0 THEN {O.rnd('CAST(passes AS DOUBLE) / touches * 100', 3)} ELSE 0 END AS passes_per_100 FROM tot")
@@ -549,10 +554,19 @@ def team_shape(spark, sf_dir):
     return doubles(out.select("team_id", "phase", "frames", "centroid_x", "team_width_m", "team_depth_m", "defensive_line_m", "line_distance_m"))
 
 
-@query()
+@query(f"""{_T}, live AS (SELECT frame_index, team_id, any_value(possession_team_id) AS owner FROM track WHERE ball_in_play GROUP BY frame_index, team_id HAVING count(*) >= 3),
+p AS (SELECT DISTINCT frame_index, team_id, x, y FROM track JOIN live USING (frame_index, team_id)),
+e AS (SELECT frame_index, team_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS be FROM p a JOIN p b USING (frame_index, team_id) WHERE a.x <> b.x OR a.y <> b.y),
+edges AS (SELECT e.* FROM e JOIN p k USING (frame_index, team_id) GROUP BY ALL HAVING min((bx - ax) * (k.y - ay) - (be - ay) * (k.x - ax)) >= -1e-9),
+sides AS (SELECT *, (bx - ax) * (bx - ax) + (be - ay) * (be - ay) AS size FROM edges),
+outgoing AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY frame_index, team_id, ax, ay ORDER BY size DESC) = 1),
+longest AS (SELECT * FROM outgoing QUALIFY row_number() OVER (PARTITION BY frame_index, team_id, bx, be ORDER BY size DESC) = 1),
+hull AS (SELECT frame_index, team_id, {O.rnd('abs(sum(ax * be - ay * bx)) / 2', 2)} AS area FROM longest GROUP BY frame_index, team_id),
+ph AS (SELECT *, 'ALL' AS phase FROM live UNION ALL SELECT *, CASE WHEN owner = team_id THEN 'IN_POSSESSION' ELSE 'OUT_OF_POSSESSION' END FROM live WHERE owner IS NOT NULL)
+SELECT CAST(team_id AS BIGINT) AS team_id, phase, {O.rnd('avg(coalesce(area, 0))', 2)} AS convex_hull_area_m2, {O.rnd('greatest(0, 100 - avg(coalesce(area, 0)) / (105 * 68) * 100)', 1)} AS compactness FROM ph LEFT JOIN hull USING (frame_index, team_id) GROUP BY team_id, phase""")
 def team_hulls(spark, sf_dir):
     """Hull area and compactness of each team and phase."""
-    return tracking.team_shape(bridge.tracking(spark, sf_dir)).select("team_id", "phase", "convex_hull_area_m2", "compactness")
+    return doubles(tracking.team_shape(bridge.tracking(spark, sf_dir)).select("team_id", "phase", "convex_hull_area_m2", "compactness"))
 
 
 @query()
@@ -647,7 +661,9 @@ def view_roles(spark, sf_dir):
     return doubles(views.v_roles(t.roles(), players, seasons).select("player_id", "full_name", "season_name", "role_key", "score", "rank"))
 
 
-@query()
+@query(f"""{O.LONG}, {_COS.format(k='player_id', v='percentile', t='pct', g='a.season_id,', on='a.season_id = b.season_id AND a.position_group = b.position_group AND a.metric_key = b.metric_key')},
+best AS (SELECT season_id, s, c, similarity FROM sim QUALIFY row_number() OVER (PARTITION BY season_id, s ORDER BY similarity DESC, c) <= 10)
+SELECT season_id, s AS player_id, p.full_name AS player_name, c AS comparison_player_id, q.full_name AS comparison_player_name, similarity FROM best JOIN players p ON p.player_id = s JOIN players q ON q.player_id = c""")
 def view_similarity(spark, sf_dir):
     t, players, _, _, _ = _dims(spark, sf_dir)
     return views.v_similarity(models.similar_players(t.vectors(), config.METRICS), players).select("season_id", "player_id", "player_name", "comparison_player_id", "comparison_player_name", "similarity")
@@ -710,14 +726,26 @@ def normalised_names(spark, sf_dir):
     return bridge.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), _normal(F.concat("p_name", F.lit(" É."), "p_type")).alias("name"))
 
 
-@query()
+_REC = bridge.PRELUDE.replace("WITH base", "WITH RECURSIVE base", 1)
+_NEXT = f"SELECT p.player_id AS id, {O.normal('p.full_name')} AS a, {O.normal('q.full_name')} AS b FROM players p JOIN players q ON q.player_id = p.player_id + 1"
+
+
+@query(f"{_REC}, {O.likeness(_NEXT + ' WHERE p.full_name IS NOT NULL AND q.full_name IS NOT NULL')} SELECT id AS player_id, s AS similarity FROM alike")
 def name_similarity(spark, sf_dir):
     """Likeness of each player's name to the one with the next id."""
-    p = bridge.players(spark, sf_dir).select("player_id", "full_name")
+    p = bridge.players(spark, sf_dir).where("full_name is not null").select("player_id", "full_name")
     return p.join(p.select((F.col("player_id") - 1).alias("player_id"), F.col("full_name").alias("other")), "player_id").select("player_id", _likeness(F.col("full_name"), F.col("other")).alias("similarity"))
 
 
-@query()
+_INCOMING = "SELECT player_id AS iid, CASE WHEN player_id % 3 = 0 THEN full_name[1] || '. ' || regexp_extract(full_name, '^\\S+\\s+(.*)$', 1) ELSE full_name END AS iname, CASE WHEN player_id % 5 <> 0 THEN birth_date END AS idate FROM players WHERE full_name IS NOT NULL"
+_CANDIDATES = f"""SELECT [iid, p.player_id] AS id, {O.normal('iname')} AS a, {O.normal('p.full_name')} AS b FROM open JOIN players p ON p.full_name IS NOT NULL
+  AND CASE WHEN idate IS NOT NULL THEN p.birth_date = idate ELSE contains(lower(p.full_name), lower(string_split(iname, ' ')[-1])) END"""
+
+
+@query(f"""{_REC}, incoming AS ({_INCOMING}), exact AS (SELECT iid, min(player_id) AS player_id FROM incoming JOIN players ON birth_date = idate AND lower(full_name) = lower(iname) GROUP BY iid),
+open AS (SELECT * FROM incoming WHERE iid NOT IN (SELECT iid FROM exact)), {O.likeness(_CANDIDATES)},
+best AS (SELECT id[1] AS iid, id[2] AS player_id, s FROM alike WHERE s >= 0.86 QUALIFY row_number() OVER (PARTITION BY id[1] ORDER BY s DESC, id[2]) = 1)
+SELECT iid AS incoming_id, player_id, CAST(1 AS DOUBLE) AS confidence, 'EXACT' AS method FROM exact UNION ALL SELECT iid, player_id, s, 'FUZZY' FROM best""")
 def match_players(spark, sf_dir):
     p = bridge.players(spark, sf_dir)
     short = F.concat(F.substring("full_name", 1, 1), F.lit(". "), F.regexp_extract("full_name", r"^\S+\s+(.*)$", 1))
@@ -725,11 +753,15 @@ def match_players(spark, sf_dir):
     return entity.match_players(new, p)
 
 
-@query("""WITH t AS (SELECT n_nationkey AS id, n_name AS name FROM nation) SELECT CAST(id AS INT) AS incoming_id, id AS team_id, CASE id % 3 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'ALIAS' ELSE 'FUZZY' END AS method FROM t WHERE id % 3 <> 2""")
+@query("""SELECT CAST(n_nationkey AS INT) AS incoming_id, CASE WHEN n_nationkey % 4 <> 3 THEN n_nationkey END AS team_id, CASE n_nationkey % 4 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'ALIAS' ELSE 'FUZZY' END AS method FROM nation WHERE n_nationkey % 4 <> 3""")
 def match_teams(spark, sf_dir):
+    """Nations by their exact name, an alias, and a name with marks and points; a fourth is unknown."""
     n = bridge.read(spark, sf_dir, "nation")
     teams = n.select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name"), F.col("n_regionkey").cast("string").alias("country"))
-    new = n.select(F.col("n_nationkey").alias("incoming_id"), F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("alias of "), "n_name")).otherwise(F.lit("zzzz")).alias("team_name"), F.lit(None).cast("string").alias("country"))
+    kind, name = F.col("n_nationkey") % 4, F.col("n_name")
+    odd = F.concat(F.translate(name, "AEIOU", "ÁÉÍÓÚ"), F.lit("."))
+    given = F.when(kind == 0, F.lower(name)).when(kind == 1, F.concat(F.lit("alias of "), name)).when(kind == 2, odd).otherwise("zzzz")
+    new = n.select(F.col("n_nationkey").alias("incoming_id"), given.alias("team_name"), F.lit(None).cast("string").alias("country"))
     return entity.match_teams(new, teams, teams.select("team_id", F.concat(F.lit("Alias of "), "team_name").alias("alias")))
 
 
@@ -765,10 +797,30 @@ def global_search(spark, sf_dir):
     return search.global_search("A", {"part": (bridge.read(spark, sf_dir, "part"), "p_partkey", "p_name"), "nation": (bridge.read(spark, sf_dir, "nation"), "n_nationkey", "n_name")})
 
 
-@query(f"{O.SEASON} SELECT player_id, season_id, minutes FROM season WHERE player_id IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY minutes DESC, season_id) = 1")
+@query(f"""SELECT * FROM ({O.PERCENTILES.format(minutes=60, order='')}, own AS (SELECT player_id, season_id, position_group, minutes FROM season WHERE player_id IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY minutes DESC, season_id) = 1),
+pc AS (SELECT vp.* FROM vp JOIN own USING (player_id, season_id))
+SELECT player_id, season_id, 'strength' AS part, metric_key AS key, percentile AS value FROM pc WHERE percentile >= 70 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY percentile DESC, metric_key) <= 5
+UNION ALL SELECT player_id, season_id, 'weakness', metric_key, percentile FROM pc WHERE percentile <= 30 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY percentile, metric_key DESC) <= 5
+UNION ALL SELECT player_id, season_id, 'shared', 'population', CAST((SELECT count(DISTINCT (season_id, position_group)) FROM own) = 1 AS INT) FROM own
+UNION ALL SELECT player_id, season_id, 'metric', k, 1 FROM own, (SELECT DISTINCT metric_key AS k FROM long JOIN own o USING (player_id, season_id) WHERE value <> 0))
+UNION ALL SELECT * FROM ({O.ROLE_SCORES} SELECT player_id, season_id, 'role', role_key, score FROM roles WHERE player_id IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY score DESC, season_id, role_key) <= 5)
+UNION ALL SELECT * FROM ({O.FIT}, own AS (SELECT player_id, season_id FROM season WHERE player_id IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY minutes DESC, season_id) = 1),
+every AS (SELECT p.season_id, p.player_id, t.team_id, coalesce(fit_score, 0) AS fit_score FROM (SELECT DISTINCT season_id, player_id FROM dna) p JOIN (SELECT DISTINCT season_id, team_id FROM style) t ON t.season_id = p.season_id LEFT JOIN fit f ON f.season_id = p.season_id AND f.player_id = p.player_id AND f.team_id = t.team_id)
+SELECT player_id, season_id, 'fit', CAST(team_id AS VARCHAR), fit_score FROM every WHERE player_id IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY fit_score DESC, season_id, team_id) <= 5
+UNION ALL SELECT player_id, season_id, 'profile', category, score FROM dna JOIN own USING (player_id, season_id))""")
 def compare_players(spark, sf_dir):
+    """Three players side by side, a row for each strength, weakness, role, fit, profile category and metric."""
     t = Tables(spark, sf_dir)
-    return search.compare_players([1, 3, 5, 3], t.season(), windows.player_percentiles(t.long(), 60), bridge.players(spark, sf_dir)).select("player_id", "season_id", "minutes")
+    rows = search.compare_players([1, 3, 5, 3], t.season(), windows.player_percentiles(t.long(), 60), bridge.players(spark, sf_dir), t.roles(), t.fit(), t.dna())
+    entry = lambda season, part, key, value: F.struct(season.alias("season_id"), F.lit(part).alias("part"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    own = F.col("season_id")
+    listed = {
+        "strengths": lambda e: entry(own, "strength", e["metric_key"], e["percentile"]), "weaknesses": lambda e: entry(own, "weakness", e["metric_key"], e["percentile"]),
+        "roles": lambda e: entry(e["season_id"], "role", e["role_key"], e["score"]), "fits": lambda e: entry(e["season_id"], "fit", e["team_id"], e["fit_score"]),
+        "profile": lambda e: entry(own, "profile", e["category"], e["score"]), "metric_keys": lambda e: entry(own, "metric", e, F.lit(1)),
+    }
+    parts = [F.array(entry(own, "shared", F.lit("population"), F.col("shared_population").cast("int"))), *(F.transform(c, f) for c, f in listed.items())]
+    return rows.select("player_id", F.explode(F.flatten(F.array(*(F.coalesce(p, F.array().cast("array<struct<season_id:int,part:string,key:string,value:double>>")) for p in parts)))).alias("e")).select("player_id", "e.*")
 
 
 @query(f"""{O.TEAM_SEASON}, best AS (SELECT team_id, season_id, matches FROM tsm WHERE team_id IN (1, 2, 4) QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY matches DESC, season_id) = 1)

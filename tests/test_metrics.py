@@ -56,3 +56,30 @@ def test_populations(spark):
     clubs = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([40, 45, 55, 60, 65])], "season_id int, team_id int, possession double")
     assert {r.value: r.percentile for r in windows.club_percentiles(clubs, ["possession"]).collect()} == {40.0: 0.0, 45.0: 25.0, 55.0: 50.0, 60.0: 75.0, 65.0: 100.0}
     assert windows.club_percentiles(clubs.where(F.col("team_id") == 0), ["possession"]).count() == 0
+
+
+def test_hulls_against_a_chain():
+    import numpy as np
+
+    from pitchlake.operators import tracking
+
+    def chain(points):
+        points = sorted(set(map(tuple, points)))
+        if len(points) < 3:
+            return 0.0
+
+        def half(ps):
+            out = []
+            for p in ps:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                    out.pop()
+                out.append(p)
+            return out[:-1]
+
+        hull = half(points) + half(points[::-1])
+        return abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(hull, hull[1:] + hull[:1]))) / 2
+
+    rng = np.random.default_rng(1)
+    for n, values in ((3, 400), (7, 4), (11, 3), (11, 400)):  # few values: many points in one line, many equal
+        x, y = rng.integers(0, values, (40, n)) / 4, rng.integers(0, values, (40, n)) / 4
+        assert np.allclose(tracking.hull_areas(x, y), [chain(zip(a, b)) for a, b in zip(x.tolist(), y.tolist())])
