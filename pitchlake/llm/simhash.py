@@ -186,7 +186,9 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
                 of, word, excess = anchors(own[k : k + 2048])
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(own[k : k + 2048][of]), pa.array(excess <= 1)], names=["anchor", "fp", "probe"])
 
-    rows = fps.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint, probe boolean")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a small table becomes a large one here, so its few partitions are dealt out first
+    rows = fps.select("fp").repartition(n, "fp").mapInArrow(replicate, "anchor bigint, fp bigint, probe boolean")
     large = stored(rows.groupBy("anchor").count().where(F.col("count") > group), "anchors")
     n_large = large.count()
     alone = rows.select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "fp", "probe")
@@ -197,7 +199,6 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
         alone = known.select("anchor", "chunk", "fp", "probe", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))).alias("other")).select(
             "anchor", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "probe"
         )
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return alone.repartition(n, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
