@@ -961,8 +961,9 @@ def stream_events(spark, sf_dir):
     target = _scratch(spark, "stream")
     for run in ("a", "b"):
         stream = incremental.stream_events(spark, f"{sf_dir}/events*.parquet", source, overlap="40 days", keys=("event_id",), format="parquet")
-        incremental.load_stream(stream.select("event_id", "ts", "user_id"), f"{target}/table", f"{target}/{run}", keys=("event_id",)).awaitTermination()
-    return spark.read.parquet(f"{target}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        rows = stream.select("event_id", "ts", "user_id", F.to_date("ts").alias("day"))
+        incremental.load_stream(rows, f"{target}/table", f"{target}/{run}", keys=("event_id",), partition="day").awaitTermination()
+    return spark.read.parquet(f"{target}/table").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id")
 
 
 @query("SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)) AS repeated_ids FROM orders")
@@ -971,12 +972,43 @@ def profile_file(spark, sf_dir):
     return one.select("rows", F.col("columns").cast("bigint").alias("columns")).join(repeated.agg(F.count("*").alias("repeated_ids")))
 
 
-@query(f"{O.TEAM_SEASON} SELECT season_id, team_id, matches, possession FROM tsm")
-def recompute(spark, sf_dir):
-    """All derived tables written by season; the clubs' season table read back."""
+def _sums(prelude: str, *tables: tuple[str, str, str]) -> str:
+    """SQL of (name, season_id, n, total) for tables (name, common table expression, a sum of integers)."""
+    one = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(season_id AS INT) AS season_id, count(*) AS n, CAST(sum({c}) AS BIGINT) AS total FROM {t} GROUP BY season_id" for n, t, c in tables)
+    return f"SELECT * FROM ({prelude} {one})"
+
+
+_TENTHS = "CAST(floor({} * 10 + 0.5) AS BIGINT)"
+_DERIVED = [
+    (O.PERCENTILES.format(minutes=60, order=""), ("player_match_metrics", "pmm", "passes"), ("player_season_metrics", "season", "minutes"), ("data_quality", "season", "matches"), ("player_percentiles", "vp", _TENTHS.format("percentile")), ("model_percentiles", "pct", _TENTHS.format("percentile"))),
+    (O.ROLE_SCORES, ("role_scores", "roles", _TENTHS.format("score"))),
+    (O.FIT + ", every AS (SELECT p.season_id, p.player_id, t.team_id, coalesce(fit_score, 0) AS fit_score FROM (SELECT DISTINCT season_id, player_id FROM dna) p JOIN (SELECT DISTINCT season_id, team_id FROM style) t ON t.season_id = p.season_id LEFT JOIN fit f ON f.season_id = p.season_id AND f.player_id = p.player_id AND f.team_id = t.team_id)",
+     ("team_match_metrics", "tm", "passes"), ("team_season_metrics", "tsm", "matches"), ("player_profiles", "dna", _TENTHS.format("score")), ("team_style", "style", _TENTHS.format("score")), ("club_fit", "every", _TENTHS.format("fit_score"))),
+    (_ZONES.replace("z AS (SELECT player_id,", "z AS (SELECT season_id, team_id, player_id,").replace("za AS (SELECT player_id,", "za AS (SELECT season_id, team_id, player_id,"), ("zone_statistics", "za", "passes")),
+    (f"{O.LONG}, {_COS.format(k='player_id', v='percentile', t='pct', g='a.season_id,', on='a.season_id = b.season_id AND a.position_group = b.position_group AND a.metric_key = b.metric_key')}, best AS (SELECT season_id, similarity FROM sim QUALIFY row_number() OVER (PARTITION BY season_id, s ORDER BY similarity DESC, c) <= 10)", ("similarity", "best", "CAST(floor(similarity * 10000 + 0.5) AS BIGINT)")),
+]
+_MEASURED = {
+    "player_match_metrics": ("passes", 1), "player_season_metrics": ("minutes", 1), "data_quality": ("matches", 1), "player_percentiles": ("percentile", 10), "model_percentiles": ("percentile", 10), "role_scores": ("score", 10),
+    "team_match_metrics": ("passes", 1), "team_season_metrics": ("matches", 1), "player_profiles": ("score", 10), "team_style": ("score", 10), "club_fit": ("fit_score", 10), "zone_statistics": ("passes", 1), "similarity": ("similarity", 10000),
+}
+
+
+def _derived(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = R.recompute({"events": t.events, "appearances": t.appearances}, _scratch(spark, "recompute"), min_minutes=60)
-    return out["team_season_metrics"].select("season_id", "team_id", "matches", S.jsround(F.col("possession"), 6).alias("possession"))
+    return t, R.recompute({"events": t.events, "appearances": t.appearances}, _scratch(spark, "recompute"), min_minutes=60)
+
+
+@query(" UNION ALL ".join(_sums(*x) for x in _DERIVED))
+def recompute(spark, sf_dir):
+    """All derived tables written by season and read back: rows and a sum of each by season."""
+    _, out = _derived(spark, sf_dir)
+    part = lambda n, c, k: out[n].groupBy("season_id").agg(F.count("*").alias("n"), F.sum(F.floor(F.col(c) * k + 0.5)).cast("bigint").alias("total")).select(F.lit(n).alias("name"), F.col("season_id").cast("int").alias("season_id"), "n", "total")
+    parts = [part(n, c, k) for n, (c, k) in _MEASURED.items()]
+    assert out.keys() == _MEASURED.keys()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
 
 
 @query(f"{O.SEASON} SELECT position_group, count(*) AS players, max(minutes) AS most FROM season GROUP BY position_group")
@@ -1020,12 +1052,28 @@ def archive_raw(spark, sf_dir):
     return back.groupBy(F.col("match_external_id").alias("match_id")).agg(F.count("*").alias("n"), F.min("payload").alias("least"))
 
 
-@query(f"{O.ROLE_SCORES} SELECT roles.player_id, role_key, score FROM roles JOIN players USING (player_id)")
+_COUNTED = {
+    "players": (O.SEASON, "season JOIN players USING (player_id) JOIN seasons USING (season_id)"), "player_match_stats": (O.PLAYER_MATCH, "pmm JOIN players USING (player_id) JOIN teams USING (team_id) JOIN matches USING (match_id)"),
+    "player_percentiles": (O.PERCENTILES.format(minutes=60, order=""), "vp JOIN players USING (player_id)"), "teams": (O.TEAM_SEASON, "tsm JOIN teams USING (team_id)"), "team_match_stats": (O.TEAM_MATCH, "tm JOIN teams USING (team_id)"),
+    "matches": (bridge.PRELUDE, "matches JOIN teams h ON h.team_id = home_team_id JOIN teams a ON a.team_id = away_team_id"), "events": (bridge.PRELUDE, "ev"), "metrics": (O.LONG, "long JOIN players USING (player_id)"),
+    "heatmap_zones": (_DERIVED[3][0], "za"), "roles": (O.ROLE_SCORES, "roles JOIN players USING (player_id)"), "similarity": (_DERIVED[4][0], "best"),
+    "club_fit": (_DERIVED[2][0], "every JOIN players USING (player_id) JOIN teams USING (team_id)"), "tracking_aggregates": (f"WITH {bridge.TRACK}", "(SELECT DISTINCT player_id FROM track)"), "shortlists": ("", "orders WHERE o_orderstatus = 'O'"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({prelude} SELECT '{name}' AS dataset, count(*) AS n FROM {source})" for name, (prelude, source) in _COUNTED.items()))
 def named_dataset(spark, sf_dir):
-    """An export by name, over the registered view."""
-    t, players, _, seasons, _ = _dims(spark, sf_dir)
-    R.register_views({"vw_player_roles": views.v_roles(t.roles(), players, seasons)})
-    return R.dataset(spark, "roles").select("player_id", "role_key", "score")
+    """The rows of every export by name, over the analyst views of the recomputed tables."""
+    t, players, teams, seasons, matches = _dims(spark, sf_dir)
+    _, out = _derived(spark, sf_dir)
+    shown = R.analyst_views(out, {"players": players, "teams": teams, "matches": matches, "seasons": seasons, "appearances": t.appearances, "events": t.flat})
+    shortlists = bridge.read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("player_id"), F.col("o_orderkey").alias("shortlist_id"))
+    R.register_views(shown | {"events": t.flat, "tracking_aggregates": tracking.player_physical(bridge.tracking(spark, sf_dir)), "shortlists": shortlists})
+    parts = [R.dataset(spark, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset"), "n") for name in R.DATASETS]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
 
 
 @query(f"{bridge.PRELUDE}, z AS (SELECT {_KEY3} AS zone_key FROM ev) SELECT k AS zone_key, count(z.zone_key) AS n FROM (SELECT DISTINCT t || '/' || l AS k FROM (VALUES {O.values([(x,) for x in S.THIRDS])}) a(t), (VALUES {O.values([(x,) for x in S.LANES])}) b(l)) LEFT JOIN z ON z.zone_key = k GROUP BY k")

@@ -12,6 +12,7 @@ from .plans import bridge
 from .queries import _EST, _scratch, query
 from .sources import readers
 from .sources.canonical import canonical_events
+from .streaming import incremental
 
 _string = lambda c: F.col(c).cast("string")
 
@@ -113,6 +114,18 @@ def match_metrics_from_files(spark, sf_dir):
     return found.select("match_id", "player_id", *(c for c in _FROM_FILES if c not in ("shots_on_target", "key_passes")))
 
 
+@query(f"{bridge.PRELUDE} SELECT CAST(match_id AS VARCHAR) AS match_id, CAST(event_id AS VARCHAR) AS event_id, x, y, CASE WHEN type = 'SHOT' THEN CASE WHEN event_id % 2 = 0 THEN xg WHEN is_penalty THEN 0.76 ELSE {_EST} END END AS xg FROM ev")
+def stream_provider_events(spark, sf_dir):
+    """The same files as a stream, loaded twice into one table of canonical events: once each."""
+    path = _scratch(spark, "events-stream")
+    _events_120x80(spark, sf_dir, path)
+    for run in ("a", "b"):
+        raw = readers.read_events_120x80(spark, path, stream=True)
+        incremental.load_provider_events(raw, "STATSBOMB_120_80", f"{path}/table", f"{path}/checkpoint-{run}").awaitTermination()
+    found = spark.read.parquet(f"{path}/table")
+    return found.select("match_id", F.col("provider_event_id").alias("event_id"), "x", "y", "shot.xg")
+
+
 @query(f"""{bridge.PRELUDE}, side AS (SELECT match_id, home_team_id AS team_id FROM matches UNION ALL SELECT match_id, away_team_id FROM matches)
 SELECT 'competition' AS entity, CAST(season_id + 100 AS VARCHAR) AS external_id, any_value(competition_name) AS name, 'LEAGUE' AS detail FROM seasons GROUP BY season_id
 UNION ALL SELECT 'season', CAST(season_id AS VARCHAR), season_name, CAST(season_id + 100 AS VARCHAR) FROM seasons

@@ -76,9 +76,10 @@ def derive_details(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_events_120x80(spark: SparkSession, path: str) -> DataFrame:
-    """Events of files <path>/events/<match>.json, or of folders of part files named so."""
-    raw = spark.read.schema(EVENTS_120X80).option("recursiveFileLookup", True).json(f"{path}/events", multiLine=True)
+def read_events_120x80(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Events of files <path>/events/<match>.json, or of folders of part files named so; stream: as a stream of arriving files."""
+    source = spark.readStream if stream else spark.read
+    raw = source.schema(EVENTS_120X80).option("recursiveFileLookup", True).option("multiLine", True).json(f"{path}/events")
     return derive_details(raw.select("*", folder_id("events").alias("match_external_id")))
 
 

@@ -47,15 +47,40 @@ def stream_events(spark: SparkSession, path: str, schema, overlap: str = "24 hou
     return arrived.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, overlap).dropDuplicatesWithinWatermark(list(keys))
 
 
-def load_stream(events: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("provider_id", "provider_event_id"), prepare=None) -> StreamingQuery:
-    """Appends what arrived to a Parquet table in micro-batches. A batch that is run again writes only what is missing."""
+#: Partitions of a target that a micro-batch names at most before it looks at all of them.
+NAMED = 1000
+
+
+def load_stream(
+    events: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("provider_id", "provider_event_id"), prepare=None, partition: str | None = None
+) -> StreamingQuery:
+    """Appends what arrived to a Parquet table in micro-batches. A batch that is run again writes only what is missing.
+
+    partition: a column that equal keys share, such as the match or the day. The table is partitioned by it, and a batch
+    is held only against the partitions that it has rows for.
+    """
 
     def load(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = prepare(batch) if prepare else batch
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            rows = rows.join(spark.read.parquet(target).select(*keys), list(keys), "left_anti")
-        rows.write.mode("append").parquet(target)
+            stored = spark.read.schema(rows.schema).parquet(target)
+            if partition:
+                own = [r[0] for r in rows.select(partition).distinct().limit(NAMED + 1).collect()]
+                stored = stored.where(F.col(partition).isin(own)) if len(own) <= NAMED else stored
+            rows = rows.join(stored.select(*keys), list(keys), "left_anti")
+        out = rows.write.mode("append")
+        (out.partitionBy(partition) if partition else out).parquet(target)
 
     return events.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def load_provider_events(raw: DataFrame, system: str, target: str, checkpoint: str, mapping: DataFrame | None = None) -> StreamingQuery:
+    """A stream of a reader's events, made canonical and appended by match, each event once. mapping: as for canonical_events()."""
+    from ..sources.canonical import canonical_events
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return canonical_events(batch, system, mapping).dropDuplicates(["match_external_id", "provider_event_id"])
+
+    return load_stream(raw, target, checkpoint, ("match_external_id", "provider_event_id"), prepare, "match_external_id")
