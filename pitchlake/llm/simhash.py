@@ -182,9 +182,9 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy()
-            for k in range(0, len(own), 2048):
-                of, word, excess = anchors(own[k : k + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(own[k : k + 2048][of]), pa.array(excess <= 1)], names=["anchor", "fp", "probe"])
+            for k in range(0, len(own), 1024):
+                of, word, excess = anchors(own[k : k + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(own[k : k + 1024][of]), pa.array(excess <= 1)], names=["anchor", "fp", "probe"])
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a small table becomes a large one here, so its few partitions are dealt out first

@@ -36,6 +36,8 @@ from .labelled import sample
 
 #: Labelled rows, entries and exception phrases at most; clean texts that an exception phrase needs.
 SAMPLE, ENTRIES, PHRASES, CLEAN = 6000, 2000, 2000, 3
+#: Strings that a task counts before it hands its counts on.
+HELD = 50_000
 #: Letters of other scripts, signs and digits, and the Latin letters that they are used for.
 LOOKS = dict(zip("аеорсухіјѕһԁԛԝкмнтвгαορντικυεη" "0134572689" "@$", "aeopcyxijshdqwkmhtbraopvtikuen" "oieastzgbg" "as"))
 
@@ -145,14 +147,20 @@ class Lexicon:
 def counted(rows: DataFrame, of) -> DataFrame:
     """(entry, pos, neg): in how many texts of either label each string of of()(text) stands; of() is called once a task."""
 
+    def part(by: tuple[Counter, Counter]) -> pa.RecordBatch:
+        keys = list(by[0].keys() | by[1].keys())
+        numbers = [pa.array([by[k][x] for x in keys], pa.int64()) for k in (1, 0)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *numbers], names=["entry", "pos", "neg"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, strings = (Counter(), Counter()), of()
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 by[y > 0].update(strings(text))
-        keys = list(by[0].keys() | by[1].keys())
-        numbers = [pa.array([by[k][x] for x in keys], pa.int64()) for k in (1, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *numbers], names=["entry", "pos", "neg"])
+                if len(by[0]) + len(by[1]) > HELD:  # partial sums meet in the shuffle
+                    yield part(by)
+                    by = (Counter(), Counter())
+        yield part(by)
 
     by_task = rows.mapInArrow(count, "entry string, pos bigint, neg bigint")
     return by_task.groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
