@@ -890,11 +890,24 @@ def _player_payloads(spark, sf_dir):
     return payloads.player_report_payloads(identity, pct, t.dna(), t.roles(), models.similar_players(t.vectors(), config.METRICS), t.fit(), shots, heat)
 
 
-@query(f"{O.SEASON}, sh AS (SELECT season_id, player_id, count(*) AS shots FROM ev WHERE type = 'SHOT' GROUP BY ALL) SELECT s.season_id, s.player_id, CAST(38 AS BIGINT) AS metrics, coalesce(shots, 0) AS shots FROM season s LEFT JOIN sh ON sh.season_id = s.season_id AND sh.player_id = s.player_id")
+def _sections(payloads_: DataFrame, keys: list[str], parts: dict[str, Callable]) -> DataFrame:
+    """(keys, section, key, value): what the sections of payloads hold."""
+    entry = lambda name, key, value: F.struct(F.lit(name).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    none = F.array().cast("array<struct<section:string,key:string,value:double>>")
+    each = lambda name, f: F.coalesce(F.transform(name, lambda e: entry(name, *f(e))), none)
+    listed = [each(name, f) for name, f in parts.items()]
+    return payloads_.select(*keys, F.explode(F.flatten(F.array(*listed))).alias("e")).select(*keys, "e.*")
+
+
+@query(f"""SELECT * FROM ({O.PERCENTILES.format(minutes=60, order='')} SELECT season_id, player_id, 'percentiles' AS section, metric_key AS key, percentile AS value FROM vp JOIN season USING (season_id, player_id)
+UNION ALL SELECT season_id, player_id, 'shots', match_id || '/' || minute, xg FROM ev JOIN season USING (season_id, player_id) WHERE type = 'SHOT')
+UNION ALL SELECT * FROM ({O.PROFILES} SELECT season_id, player_id, 'profile', category, score FROM dna) UNION ALL SELECT * FROM ({O.ROLE_SCORES} SELECT season_id, player_id, 'roles', role_key, score FROM roles WHERE rank <= 6)""")
 def player_report_payloads(spark, sf_dir):
-    """The size of two sections of each payload, whose ids are unique."""
-    p = _player_payloads(spark, sf_dir)
-    return p.select("season_id", "player_id", F.size("percentiles").cast("bigint").alias("metrics"), F.coalesce(F.size("shots"), F.lit(0)).cast("bigint").alias("shots"))
+    """What four sections of each payload hold."""
+    return _sections(_player_payloads(spark, sf_dir), ["season_id", "player_id"], {
+        "percentiles": lambda e: (e["metric_key"], e["percentile"]), "shots": lambda e: (F.concat(e["match_id"].cast("string"), F.lit("/"), e["minute"].cast("string")), e["xg"]),
+        "profile": lambda e: (e["category"], e["score"]), "roles": lambda e: (e["role_key"], e["score"]),
+    })
 
 
 @query()
@@ -902,23 +915,28 @@ def player_report_snapshots(spark, sf_dir):
     return _player_payloads(spark, sf_dir).select("season_id", "player_id", "snapshot_id")
 
 
-@query(f"{O.TEAM_SEASON} SELECT season_id, team_id, matches AS games, CAST(14 AS BIGINT) AS dimensions FROM tsm")
+@query(f"""SELECT * FROM ({O.STYLES} SELECT season_id, team_id, 'style' AS section, dimension AS key, score AS value FROM style)
+UNION ALL SELECT * FROM ({O.TEAM_SEASON} SELECT season_id, team_id, 'log', CAST(match_id AS VARCHAR), xg FROM tm) UNION ALL SELECT * FROM ({O.SEASON} SELECT season_id, team_id, 'squad', CAST(player_id AS VARCHAR), minutes FROM season)""")
 def club_report_payloads(spark, sf_dir):
+    """What three sections of each payload hold."""
     t, _, teams, seasons, matches = _dims(spark, sf_dir)
     season = t.team_season()
     identity = views.v_team_season(season, teams, seasons)
     p = payloads.club_report_payloads(identity, windows.club_percentiles(season, config.CLUB_METRICS), t.style(), views.team_match_log(t.team_match(), matches, teams), t.season())
-    return p.select("season_id", "team_id", F.size("log").cast("bigint").alias("games"), F.size("style").cast("bigint").alias("dimensions"))
+    return _sections(p, ["season_id", "team_id"], {"style": lambda e: (e["dimension"], e["score"]), "log": lambda e: (e["match_id"], e["xg"]), "squad": lambda e: (e["player_id"], e["minutes"])})
 
 
-@query(f"{bridge.PRELUDE} SELECT match_id, CAST(count(*) FILTER (WHERE type = 'SHOT') AS BIGINT) AS shots, CAST(count(DISTINCT player_id) AS BIGINT) AS players FROM ev GROUP BY match_id")
+@query(f"""SELECT * FROM ({O.PLAYER_MATCH} SELECT match_id, 'players' AS section, CAST(player_id AS VARCHAR) AS key, passes AS value FROM pmm UNION ALL SELECT match_id, 'shots', CAST(minute AS VARCHAR), xg FROM ev WHERE type = 'SHOT')
+UNION ALL SELECT * FROM ({_net('')} SELECT match_id, 'network_edges', player_id || '>' || to_id, count(*) FROM p WHERE to_id IS NOT NULL GROUP BY match_id, team_id, player_id, to_id HAVING count(*) >= 2)""")
 def match_report_payloads(spark, sf_dir):
+    """What three sections of each payload hold."""
     t, _, teams, seasons, matches = _dims(spark, sf_dir)
     nodes, edges, _ = spatial.passing_network(t.events)
     shots = t.events.where("type = 'SHOT'").select("match_id", "event_id", "team_id", "player_id", "minute", "x", "y", "shot.xg", "shot.is_goal")
     summary = matches.select("match_id", "season_id", "kickoff_at", "home_team_id", "away_team_id")
     p = payloads.match_report_payloads(summary, t.player_match(), shots, nodes, edges)
-    return p.select("match_id", F.coalesce(F.size("shots"), F.lit(0)).cast("bigint").alias("shots"), F.size("players").cast("bigint").alias("players"))
+    pair = lambda e: F.concat(e["from_id"].cast("string"), F.lit(">"), e["to_id"].cast("string"))
+    return _sections(p, ["match_id"], {"players": lambda e: (e["player_id"], e["passes"]), "shots": lambda e: (e["minute"], e["xg"]), "network_edges": lambda e: (pair(e), e["passes"])})
 
 
 def _schedules(spark):
