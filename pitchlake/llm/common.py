@@ -26,9 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: The folder of this driver's tables in the shared folder.
+RUN = f"run-{uuid.uuid4().hex}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this run's folder in the shared folder."""
+    return f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes this run's folder. DataFrames that the operators returned can't be read any more, so write them first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
