@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from pitchlake import queries
+from pitchlake import queries, queries_sources  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = "player_match_metrics player_season_metrics player_percentiles player_dna rank_roles team_match_metrics team_style heatmap_kde passing_network_edges player_physical zone_rollup new_events search_players global_search rating_consensus stream_events".split()
+CHECKED = "player_match_metrics player_season_metrics player_percentiles player_dna rank_roles team_match_metrics team_style heatmap_kde passing_network_edges player_physical zone_rollup new_events search_players global_search rating_consensus stream_events"
+CHECKED = f"{CHECKED} club_fit heatmap_kde_covariance match_players name_similarity team_hulls read_events_120x80 read_match_index read_csv_inbox read_api_dump_data stream_provider_events".split()
 
 
 def plain(v):
