@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ANALYTICS_VERSION
+from ..functions.scalars import jsround
 from ..operators import metrics, models, spatial, views, windows
 from . import config
 
@@ -30,7 +31,9 @@ def recompute(tables: dict[str, DataFrame], path: str, version: str = ANALYTICS_
     season = keep("player_season_metrics", metrics.player_season_metrics(metrics.player_season_totals(match)))
     keep("data_quality", metrics.quality_records(season).withColumn("season_id", F.element_at(F.split("subject_id", ":"), -1).cast("int")))
     team_match = keep("team_match_metrics", metrics.team_match_metrics(match))
-    team_season = keep("team_season_metrics", metrics.team_season_metrics(team_match))
+    means = metrics.team_season_metrics(team_match)
+    # 6 decimals, so that the order of summing can't part equal clubs
+    team_season = keep("team_season_metrics", means.withColumns({c: jsround(F.col(c), 6) for c, kind in means.dtypes if kind == "double"}))
     long = windows.unpivot(season, config.METRICS, ["season_id", "player_id", "team_id", "position_group", "minutes", "matches"])
     keep("player_percentiles", windows.player_percentiles(long, min_minutes))
     pct = keep("model_percentiles", models.percentiles(season, config.METRICS))
