@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, lz, periods, pii, quality, simhash, tokenfiles, toxicity, variants, warc
+from . import bpe, caps, decontam, linededup, lz, periods, pii, quality, simhash, tokenfiles, toxicity, variants, warc
 from .labelled import held_out
 
 
@@ -84,9 +84,13 @@ def op12_asymmetric_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.words(table(spark, sf_dir, "documents"), thin=True))
 
 
+def op13_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lz_fingerprints, op2_byte_bpe, op3_pii_surrogates, op4_warc_zstd, op5_separator_scan, op6_inverted_index, op7_toxicity, op8_line_templates, op9_quality, op10_simhash_anchors, op11_block_convolution, op12_asymmetric_chunks)}
+    return {f.__name__: f for f in (op1_lz_fingerprints, op2_byte_bpe, op3_pii_surrogates, op4_warc_zstd, op5_separator_scan, op6_inverted_index, op7_toxicity, op8_line_templates, op9_quality, op10_simhash_anchors, op11_block_convolution, op12_asymmetric_chunks, op13_spherical_caps)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zstd": warc.ORACLE, "op6_inverted_index": decontam.ORACLE, "op8_line_templates": linededup.ORACLE, "op12_asymmetric_chunks": variants.ORACLE}
+    return {"op4_warc_zstd": warc.ORACLE, "op6_inverted_index": decontam.ORACLE, "op8_line_templates": linededup.ORACLE, "op12_asymmetric_chunks": variants.ORACLE, "op13_spherical_caps": caps.ORACLE}

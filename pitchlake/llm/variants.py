@@ -156,15 +156,15 @@ def variants(found: DataFrame, common: int = COMMON, group: int = GROUP) -> Data
 #: DuckDB SQL of the registered query: all words without one letter, instead of chunks.
 ORACLE = rf"""
 WITH RECURSIVE
-crc AS (SELECT list_transform(range(256), i -> list_reduce(list_prepend(i, range(8)), (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
 runs AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w
   FROM documents WHERE text IS NOT NULL),
 own AS (SELECT id, w, count(*) AS n FROM runs WHERE length(w) >= {LEAST} GROUP BY id, w),
 coded AS (SELECT *, hex(encode(coalesce(id, '') || ':' || w)) AS x FROM own),
-bytes AS (SELECT *, list_transform(range(1, length(x), 2), k -> CAST('0x' || substr(x, k, 2) AS BIGINT)) AS b FROM coded),
+bytes AS (SELECT *, list_transform(range(1, length(x), 2), lambda k: CAST('0x' || substr(x, k, 2) AS BIGINT)) AS b FROM coded),
 summed AS (
-  SELECT id, w, n, xor(list_reduce(list_prepend(4294967295, b), (c, v) -> xor(c // 256, t[xor(c % 256, v) + 1])), 4294967295) AS h FROM bytes, crc),
+  SELECT id, w, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, v: xor(c // 256, t[xor(c % 256, v) + 1])), 4294967295) AS h FROM bytes, crc),
 cut AS (SELECT CASE WHEN id IS NOT NULL AND h % {THINNED} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM summed),
 words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut GROUP BY word HAVING sum(n) >= {OCCURRENCES} AND length(word) >= {LEAST}),
 places AS (SELECT word, n, unnest(range(length(word))) AS p FROM words),
