@@ -110,8 +110,29 @@ def parsed(data: bytes) -> dict:
     return {"record_id": headers["warc-record-id"], "url": headers.get("warc-target-uri"), "record_type": headers["warc-type"], "refers_to": headers.get("warc-refers-to"), "payload_digest": digest, "payload_bytes": size, "payload": payload if headers["warc-type"] == "response" else None}
 
 
+def frame_end(view: memoryview, at: int) -> int:
+    """Where the Zstandard frame at a place ends, by its header and the headers of its blocks; nothing is decompressed."""
+    head = view[at : at + 18]
+    try:
+        checked = zstandard.get_frame_parameters(head).has_checksum
+        at += zstandard.frame_header_size(head)
+    except zstandard.ZstdError as e:
+        raise ValueError("an archive with a frame without a header") from e
+    last = False
+    while not last:
+        block = int.from_bytes(view[at : at + 3], "little")
+        last, kind, size = bool(block & 1), block >> 1 & 3, block >> 3
+        at += 3 + (1 if kind == 1 else size)  # a block of one byte repeated holds it once
+        if at > len(view):
+            break
+    at += 4 * checked
+    if at > len(view):
+        raise ValueError("an archive ends within a frame")
+    return at
+
+
 def frames(archive: bytes) -> Iterator[bytes]:
-    """The content of each frame, by the dictionary of the leading skippable frame."""
+    """The content of each frame, by the dictionary of the leading skippable frame. Each byte of an archive is read once."""
     at, view, reader = 0, memoryview(archive), zstandard.ZstdDecompressor()
     while at < len(archive):
         if len(archive) - at < 8:
@@ -128,11 +149,14 @@ def frames(archive: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME_MAGIC:
             raise ValueError("an archive with bytes that are no frame")
-        one = reader.decompressobj()
-        out = one.decompress(view[at:])
-        if not one.eof:
+        end, one = frame_end(view, at), reader.decompressobj()
+        try:
+            out = one.decompress(view[at:end])
+        except zstandard.ZstdError as e:
+            raise ValueError("an archive with a frame that can't be decompressed") from e
+        if not one.eof or one.unused_data:
             raise ValueError("an archive ends within a frame")
-        at = len(archive) - len(one.unused_data)
+        at = end
         yield out
 
 

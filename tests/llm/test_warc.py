@@ -1,5 +1,7 @@
 import hashlib
+import os
 import struct
+import time
 
 import pytest
 import zstandard
@@ -48,8 +50,6 @@ def test_files_start_with_the_dictionary_and_have_a_frame_for_each_record(spark)
 
 
 def test_files_are_bounded_by_bytes(spark):
-    import os
-
     pages = spark.createDataFrame([(i, "u", os.urandom(3000).hex()) for i in range(100)], "page_id bigint, url string, html string").coalesce(1)
     path = shared_path(spark, "warc")
     warc.write(pages, path, size=40_000)
@@ -69,3 +69,14 @@ def test_invalid_archives_are_refused():
     for bad in (frame[:-3], frame + b"junkjunkjunk", struct.pack("<II", 0x184D2A50, 99)):
         with pytest.raises(ValueError):
             list(warc.frames(bad))
+
+
+def test_large_archives_are_read_in_proportion():
+    """Twenty thousand records in one archive; blocks that repeat a byte, aren't compressed, and are several in a frame."""
+    odd = [b"a" * 300_000, os.urandom(300_000), b"", b"x", os.urandom(1000) * 400]
+    contents = [*odd, *(b"record %d " % i + os.urandom(500) for i in range(20_000))]
+    writers = [zstandard.ZstdCompressor(write_checksum=c, write_content_size=s) for c in (True, False) for s in (True, False)]
+    archive = b"".join(writers[i % 4].compress(c) for i, c in enumerate(contents))
+    began = time.time()
+    assert list(warc.frames(archive)) == contents
+    assert time.time() - began < 5
