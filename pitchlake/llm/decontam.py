@@ -9,8 +9,8 @@ in the shared folder, so a lost executor costs only the segments that it was rea
 
 The items are a stated query set. They go to the segments in blocks of about BLOCK bytes of text, one after the other: the
 driver passes on one block's packed words and numbers at a time (less than twice its text), a Python worker holds about
-20 bytes for each byte of it at worst. A segment looks its own words up among the block's; only windows of which it has
-every word are searched.
+30 bytes for each byte of it at worst. A segment looks its own words up among the block's; only windows of which it has
+every word and every pair of neighbours are searched, all in one step, from the rarest pair on.
 
 Defined results: a null or empty text has no words, is never hit, and as an item has no window; repeated rows of
 documents get equal results, and rows of one id are told apart by tie, the hash of their text; null ids stay null;
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, shared_path, stored, texts, utf8
 
-WINDOW, SEGMENT, BLOCK = 13, 200_000, 4 << 20
+#: Words of a window, words of a segment, bytes of a block of items, postings that are held against windows at once.
+WINDOW, SEGMENT, BLOCK, AT_ONCE = 13, 200_000, 4 << 20, 1 << 20
 #: A-Z become lower case; what is no digit, letter or byte of a longer character separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 INDEX = "segment string, docs binary, ties binary, sizes binary, terms binary, counts binary, positions binary"
@@ -105,12 +106,30 @@ class Segment:
         self.counts, self.steps = unpacked(row["counts"], np.int32), unpacked(row["positions"], np.int32)
         self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
         self.lists: dict[int, np.ndarray] = {}
+        self._pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' numbers by position (-1 between documents), and the postings of all pairs of neighbours: their codes in
+        order, and the positions."""
+        if self._pairs is None:
+            at = np.full(int((self.sizes + 1).sum()) + 1, -1, np.int64)
+            at[self.places()] = np.repeat(np.arange(len(self.counts)), self.counts)
+            both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+            codes = at[both] * len(self.counts) + at[both + 1]
+            order = np.argsort(codes, kind="stable")
+            self._pairs = at, codes[order], both[order]
+        return self._pairs
 
     def positions(self, term: int) -> np.ndarray:
         if term not in self.lists:
             self.lists[term] = np.cumsum(self.steps[self.starts[term] : self.starts[term] + self.counts[term]], dtype=np.int64)
         return self.lists[term]
 
+    def places(self) -> np.ndarray:
+        """The positions of all words, list after list."""
+        ends = np.cumsum(self.steps, dtype=np.int64)
+        return ends - np.repeat(ends[self.starts] - self.steps[self.starts], self.counts) if len(ends) else ends
+
     def phrase(self, terms: list[int]) -> np.ndarray:
         """Positions where the words of a phrase follow each other."""
         found = None
@@ -220,19 +239,66 @@ class Items:
         first = np.cumsum(sizes, dtype=np.int64) - sizes
         self.start = np.arange(len(self.item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + first[self.item]
         self.end = self.start + np.minimum(sizes, window)[self.item]
+        self.same = np.arange(len(self.item))  # of equal windows the one that stands for all, where they have been searched
+
+    def found_in(self, s: Segment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, position, length) of all occurrences of windows in a segment; of equal windows one stands for all.
 
-    def windows_in(self, s: Segment) -> Iterator[tuple[np.ndarray, list[int]]]:
-        """Distinct windows of which a segment has every word: the words' numbers there, and the items that have it."""
+        A window occurs only if all its pairs of neighbours do. Those that are left are searched all at once: the postings of
+        each one's rarest pair, shifted by its place in the window, are held against its other words, the rarest first.
+        """
         get = self.terms.get
         own = np.array([get(t, -1) for t in s.terms], np.int64)
         there = np.full(len(self.terms) + 1, -1, np.int64)
         there[own[own >= 0]] = np.flatnonzero(own >= 0)
-        lacking = np.concatenate([[0], np.cumsum(there[self.tokens] < 0)])
-        found: dict[bytes, list[int]] = defaultdict(list)
-        for k in np.flatnonzero(lacking[self.end] == lacking[self.start]).tolist():
-            found[self.tokens[self.start[k] : self.end[k]].tobytes()].append(int(self.item[k]))
-        for words, items in found.items():
-            yield there[np.frombuffer(words, np.int32)], items
+        at, codes, places = s.pairs()
+        tokens, n_terms = there[self.tokens], len(s.counts)
+        code = np.where((tokens[:-1] >= 0) & (tokens[1:] >= 0), tokens[:-1] * n_terms + tokens[1:], -1)
+        low, high = (np.searchsorted(codes, code, side=side) for side in ("left", "right"))
+        missing = np.concatenate([[0], np.cumsum(high == low)])  # pairs, also those that two items share
+        absent = np.concatenate([[0], np.cumsum(tokens < 0)])
+        alive = np.flatnonzero((absent[self.end] == absent[self.start]) & (missing[self.end - 1] == missing[self.start]))
+        found: tuple[list, list, list] = ([], [], [])
+        size = (self.end - self.start)[alive]
+        for n in np.unique(size).tolist():
+            windows = alive[size == n]
+            words = tokens[self.start[windows][:, None] + np.arange(n)]
+            _, first, back = np.unique(words, axis=0, return_index=True, return_inverse=True)
+            self.same[windows] = windows[first][back.reshape(-1)]
+            windows, words = windows[first], words[first]
+            if n == 1:
+                count, start, shift = s.counts[words[:, 0]].astype(np.int64), s.starts[words[:, 0]], np.zeros(len(windows), np.int64)
+                postings = s.places()
+            else:
+                pair = self.start[windows][:, None] + np.arange(n - 1)
+                shift = np.argmin(high[pair] - low[pair], axis=1)
+                rarest = pair[np.arange(len(pair)), shift]
+                count, start, postings = high[rarest] - low[rarest], low[rarest], places
+            order = np.argsort(s.counts[words], axis=1)
+            part = np.cumsum(count) // AT_ONCE
+            for k in np.unique(part).tolist():
+                own = np.flatnonzero(part == k)
+                of = np.repeat(own, count[own])
+                p = postings[np.arange(len(of)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + start[of]] - shift[of]
+                keep = (p >= 0) & (p + n < len(at))
+                of, p = of[keep], p[keep]
+                for rank in range(n):
+                    o = order[of, rank]
+                    keep = at[p + o] == words[of, o]
+                    of, p = of[keep], p[keep]
+                for x, y in zip(found, (windows[of], p, np.full(len(of), n, np.int64))):
+                    x.append(y)
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+
+    def items_of(self, windows: np.ndarray, docs: np.ndarray) -> dict[int, set[int]]:
+        """For each document the items of the windows that occur in it, of which found_in() has named one of those that are equal."""
+        own = np.unique(np.stack([windows, docs]), axis=1)
+        order = np.argsort(self.same, kind="stable")
+        low, high = (np.searchsorted(self.same[order], own[0], side=side) for side in ("left", "right"))
+        out: dict[int, set[int]] = defaultdict(set)
+        for doc, a, b in zip(own[1].tolist(), low.tolist(), high.tolist()):
+            out[doc].update(self.item[order[a:b]].tolist())
+        return out
 
 
 HITS = "segment string, no int, hit array<int>, items array<string>"
@@ -277,14 +343,11 @@ def _windows_in(data, window: int):
     def search(s: Segment) -> pa.RecordBatch:
         if not known:
             known.append(Items(data.value, window))
-        edges, items = np.zeros(int((s.sizes + 1).sum()) + 1, np.int64), defaultdict(set)
-        for terms, own in known[0].windows_in(s):
-            found = s.phrase(terms)
-            if len(found):
-                np.add.at(edges, found, 1)
-                np.add.at(edges, found + len(terms), -1)
-                for d in np.unique(np.searchsorted(s.first, found, side="right") - 1).tolist():
-                    items[d].update(own)
+        edges = np.zeros(int((s.sizes + 1).sum()) + 1, np.int64)
+        windows, found, size = known[0].found_in(s)
+        np.add.at(edges, found, 1)
+        np.add.at(edges, found + size, -1)
+        items = known[0].items_of(windows, np.searchsorted(s.first, found, side="right") - 1)
         hit = np.flatnonzero(np.cumsum(edges) > 0)
         of = np.searchsorted(s.first, hit, side="right") - 1
         docs = sorted(items)

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+import pytest
 
 from pitchlake.llm import decontam, queries
 from pitchlake.llm.common import stored
@@ -57,3 +61,41 @@ def test_phrases_and_proximity(spark):
     index = decontam.build_index(d)
     assert sorted(map(tuple, decontam.phrase_matches(index, ["The cat", "mat cat"]).collect())) == [("The cat", 1, 0), ("The cat", 3, 2)]
     assert {(r.phrase, r.doc_id) for r in decontam.proximity_matches(index, ["cat mat"], 2).collect()} == {("cat mat", 2), ("cat mat", 3)}
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_windows_of_few_words(spark, letters):
+    """Windows that overlap, repeat and are of all lengths up to the longest."""
+    r = random.Random(letters)
+    text = lambda n: " ".join(r.choice("abcd"[:letters]) for _ in range(n))
+    docs = [(k, text(r.randrange(60))) for k in range(60)]
+    items = [(k, text(r.randrange(18))) for k in range(60)]
+    index = stored(decontam.build_index(spark.createDataFrame(docs, "doc_id bigint, text string"), segment=100), "index")
+    found = decontam.contamination(index, spark.createDataFrame(items, "item_id bigint, text string"), block=300)
+    assert sorted((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in found.collect()) == brute(docs, items)
+
+
+def test_many_items_against_a_segment_of_their_words(spark):
+    """A block of 4 MB whose words are all in a segment, and a few windows of it that are there: well under a second for each MB."""
+    r = random.Random(4)
+    lexicon = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(3000)]
+    weights = [1 / (k + 1) for k in range(len(lexicon))]
+    items = [" ".join(r.choices(lexicon, weights, k=200)) for _ in range(4000)]
+    text = r.choices(lexicon, weights, k=200_000)
+    for k, item in zip(range(1000, 190_000, 20_000), items):
+        text[k : k + 50] = item.split()[30:80]
+    index = decontam.build_index(spark.createDataFrame([(1, " ".join(text))], "doc_id bigint, text string")).first()
+    segment = decontam.Segment({c: index[c] for c in decontam.NAMES})
+    blocks = decontam.item_blocks(spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    assert len(blocks) == 1
+    block = decontam.Items([bytes(x) for x in blocks[0]["data"]], decontam.WINDOW)
+    began = time.time()
+    windows, found, size = block.found_in(segment)
+    assert time.time() - began < 4
+    assert len(block.item) > 700_000 and len(found) >= 10 * 38 and set(size.tolist()) == {13}
+    assert all([segment.pairs()[0][p + o] for o in range(13)] == segment_words(segment, block, w) for w, p in zip(windows[:50].tolist(), found[:50].tolist()))
+
+
+def segment_words(segment, block, window):
+    names = list(block.terms)
+    return [segment.terms[names[t]] for t in block.tokens[block.start[window] : block.end[window]].tolist()]
