@@ -3,7 +3,8 @@ stays, contaminated documents go, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and
 reads again for the next one. All stages but the last return the columns of documents. Decisions are about rows, told apart by
-id and text: what one row is found to be takes no other row of its id along.
+id and text: what one row is found to be takes no other row of its id along. A row travels as one value beside its key, so
+columns of documents may have any names; all but the last stage hand them on unchanged.
 """
 
 from __future__ import annotations
@@ -21,29 +22,29 @@ from pitchlake.llm.common import stored
 TOXIC, CONTAMINATED = 0.7, 20
 
 
-TIE = "__tie"
+def _rows(docs: DataFrame) -> DataFrame:
+    """(key, row, text): the row is one value with all columns of docs, so none can clash. The key is what decisions are about:
+    an id and the hash of a text. Equal rows share it, other rows of one id don't."""
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    return docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
 
 
-def _row(id_col: str = "doc_id") -> Column:
-    """What decisions are about: an id and the hash of a text. Equal rows share it, other rows of one id don't."""
-    return F.struct(F.col(id_col).alias("id"), F.col(TIE).alias("tie"))
-
-
-def _tied(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(TIE, F.xxhash64(F.coalesce("text", F.lit(""))))
+def _of(keys: DataFrame) -> Column:
+    """Whether a row of _rows() has one of the keys (id, tie)."""
+    return F.col("key.id").eqNullSafe(keys["id"]) & (F.col("key.tie") == keys["tie"])
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose row (id and tie) isn't in gone."""
-    rows = stored(gone.select(F.col("row.id").alias("_id"), F.col("row.tie").alias("_tie")).distinct(), "gone")
-    return _tied(docs).join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(TIE) == F.col("_tie")), "left_anti").select(*docs.columns)
+    """The documents whose key isn't in gone (key)."""
+    keys = stored(gone.select("key.*").distinct(), "gone")
+    return _rows(docs).join(keys, _of(keys), "left_anti").select("row.*")
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows whose text is toxic; null texts count as empty, also in the stages below."""
     lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(_tied(docs).select(_row().alias("row"), "text"), lexicon, id_col="row")
-    return _without(docs, scored.where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("row")))
+    scored = toxicity.score(_rows(docs).select("key", "text"), lexicon, id_col="key")
+    return _without(docs, scored.where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("key")))
 
 
 def recurring_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,22 +54,20 @@ def recurring_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links reach the row with the least id and tie (no id comes first); of equal rows one."""
-    found = simhash.near_duplicates(_tied(docs).select(_row().alias("row"), "text"), id_col="row")
-    found = stored(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("first")), "near-duplicates")
-    kept = _without(docs, found.where(F.col("row") != F.col("first")).select("row"))
+    found = simhash.near_duplicates(_rows(docs).select("key", "text"), id_col="key")
+    found = stored(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("first")), "near-duplicates")
+    kept = _rows(_without(docs, found.where(F.col("key") != F.col("first")).select("key")))
     # rows that occur several times: only they are moved to keep one of each
-    several = found.groupBy("row").count().where("count > 1").select(F.col("row.id").alias("_id"), F.col("row.tie").alias("_tie"))
-    several = stored(several, "equal-rows")
-    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(TIE) == F.col("_tie"))
-    once = _tied(kept).join(several, own, "left_semi").dropDuplicates(["doc_id", TIE]).select(*docs.columns)
-    return _tied(kept).join(several, own, "left_anti").select(*docs.columns).unionByName(once)
+    several = stored(found.groupBy("key").count().where("count > 1").select("key.*"), "equal-rows")
+    once = kept.join(several, _of(several), "left_semi").dropDuplicates(["key"])
+    return kept.join(several, _of(several), "left_anti").unionByName(once).select("row.*")
 
 
 def contaminated_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows of which enough words stand in passages of the benchmark."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = (F.col("n_hit") > 0) & (CONTAMINATED * F.col("n_hit") >= F.col("n_words"))
-    return _without(docs, found.where(bad).select(F.struct(F.col("doc_id").alias("id"), "tie").alias("row")))
+    return _without(docs, found.where(bad).select(F.struct(F.col("doc_id").alias("id"), "tie").alias("key")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
