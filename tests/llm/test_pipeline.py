@@ -3,6 +3,7 @@
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from pitchlake.llm import bpe, toxicity
@@ -88,3 +89,18 @@ def test_decisions_are_about_rows(spark):
     docs = spark.createDataFrame([*(row(i, t) for i, t in before.items()), row(10_000, bad), row(10_000, clean[3]), row(None, bad)], columns)
     after = [(r.doc_id, r.text) for r in P.toxic_documents_go(spark, docs, large).collect()]
     assert (10_000, clean[3]) in after and (10_000, bad) not in after and (None, bad) not in after
+
+
+def test_clashing_columns(spark):
+    """Columns with the names that the stages use, at all stages."""
+    names = ["__tie", "_id", "_tie", "row", "text_", "key", "tie", "id", "gone", "first", "score", "n_hit", "fp", "ids", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    plain, wide = docs, docs.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names))
+    wide, plain = stored(wide, "wide"), stored(plain, "plain")
+    for name, stage in P.STAGES[:-1]:
+        plain, wide = (stored(stage(spark, x, SF), f"{name.replace(' ', '-')}-{k}") for k, x in enumerate((plain, wide)))
+        assert wide.columns == [*docs.columns, *names]
+        assert texts(wide) == texts(plain) != {}
+        assert all(r[n] == f"{n} {r.doc_id}" for r in wide.collect() for n in names)
+    last = [{r.doc_id: list(r.ids) for r in P.encoded(spark, x, SF).collect()} for x in (plain, wide)]
+    assert last[0] == last[1]
