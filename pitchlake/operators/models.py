@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import assess_quality, jsround
+from . import similarity
 from .windows import percentile_at_or_below, unpivot
 
 
@@ -91,24 +92,26 @@ def weighted_cosine(a: Column, b: Column, weights: Column | None = None) -> Colu
     return F.aggregate(pairs, start, step, finish)
 
 
-def similar_players(vectors: DataFrame, keys: list[str], limit: int = 10, weights: dict[str, float] | None = None, salt: int = 8) -> DataFrame:
+def similar_players(vectors: DataFrame, keys: list[str], limit: int = 10, weights: dict[str, float] | None = None, block: int = similarity.BLOCK) -> DataFrame:
     """The `limit` most similar players of the same season and position group, with what they agree and differ in most.
 
-    vectors: season_id, player_id, position_group, vector (map). The comparison side is split into `salt` parts, so a
-    large group is many tasks; the best of each part are kept before the parts meet, and details are made only for the
-    final rows.
+    vectors: season_id, player_id, position_group, vector (map). Groups are cut into blocks that meet as matrices; the best
+    of each pair of blocks are kept before they meet, and details are made only for the final rows.
     """
-    dense = vectors.select("season_id", "position_group", "player_id", F.array(*(F.col("vector")[k] for k in keys)).alias("v"))
-    subject = dense.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    other = dense.select("season_id", "position_group", F.col("player_id").alias("comparison_player_id"), F.col("v").alias("o"), F.pmod(F.xxhash64("player_id"), F.lit(salt)).cast("int").alias("part"))
-    w = F.array(*(F.lit(float(weights.get(k, 1.0))) for k in keys)) if weights else None
-    pairs = subject.join(other, ["season_id", "position_group", "part"]).where("player_id <> comparison_player_id").withColumn("similarity", weighted_cosine(F.col("v"), F.col("o"), w))
-    best = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "comparison_player_id"))).where(F.col("rank") <= limit)
-    top = best(best(pairs, ["season_id", "position_group", "player_id", "part"]).drop("rank"), ["season_id", "position_group", "player_id"])
+    by = ["season_id", "position_group"]
+    dense = vectors.select(*by, "player_id", F.array(*(F.col("vector")[k] for k in keys)).alias("v"))
+    found = similarity.best_matches(dense, by, "player_id", [float((weights or {}).get(k, 1.0)) for k in keys], limit, block)
+    order = Window.partitionBy(*by, "player_id").orderBy(F.desc("similarity"), "other")  # of a player's best, a few for each block
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumnRenamed("other", "comparison_player_id")
+    top = top.join(dense, [*by, "player_id"]).join(dense.select(*by, F.col("player_id").alias("comparison_player_id"), F.col("v").alias("o")), [*by, "comparison_player_id"])
     names = F.array(*map(F.lit, keys))
-    compared = F.filter(F.zip_with(names, F.zip_with("v", "o", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda k, p: F.struct(jsround(F.abs(p["x"] - p["y"]), 1).alias("difference"), k.alias("metric_key"), p["x"].alias("subject"), p["y"].alias("comparison"))), lambda s: s["difference"].isNotNull())
-    ordered = F.array_sort(compared)
-    return top.select("season_id", "position_group", "player_id", "comparison_player_id", "rank", "similarity", F.size(ordered).alias("dimensions"), F.slice(ordered, 1, 5).alias("agreements"), F.reverse(F.slice(ordered, F.greatest(F.size(ordered) - 4, F.lit(1)), F.lit(5))).alias("differences"))
+    difference = lambda k, p: F.struct(jsround(F.abs(p["x"] - p["y"]), 1).alias("difference"), k.alias("metric_key"), p["x"].alias("subject"), p["y"].alias("comparison"))
+    compared = F.zip_with(names, F.zip_with("v", "o", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), difference)
+    ordered = F.array_sort(F.filter(compared, lambda s: s["difference"].isNotNull()))
+    last = F.reverse(F.slice(ordered, F.greatest(F.size(ordered) - 4, F.lit(1)), F.lit(5)))
+    return top.select(
+        *by, "player_id", "comparison_player_id", "rank", "similarity", F.size(ordered).alias("dimensions"), F.slice(ordered, 1, 5).alias("agreements"), last.alias("differences")
+    )
 
 
 def team_style(team_season: DataFrame, definition: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _scratch(spark, name):
+    """A new folder beside the session's checkpoints, or a temporary one in local mode."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return f"{root or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 class Tables:
     """The derived tables of a scale, each planned once per query."""
 
@@ -47,11 +59,19 @@ class Tables:
     def season(self) -> DataFrame:
         return M.player_season_metrics(self.totals())
 
+    @cached_property
+    def kept_season(self) -> DataFrame:
+        """season(), written once: for what reads it several times."""
+        path = _scratch(self.spark, "season")
+        rows = self.season()
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def long(self) -> DataFrame:
-        return windows.unpivot(self.season(), config.METRICS, ["season_id", "player_id", "team_id", "position_group", "minutes", "matches"])
+        return windows.unpivot(self.kept_season, config.METRICS, ["season_id", "player_id", "team_id", "position_group", "minutes", "matches"])
 
     def pct(self) -> DataFrame:
-        return models.percentiles(self.season(), config.METRICS)
+        return models.percentiles(self.kept_season, config.METRICS)
 
     def dna(self) -> DataFrame:
         return models.player_dna(self.pct(), config.profile_weights(self.spark), config.profile_relevance(self.spark))
@@ -961,17 +981,6 @@ def upsert(spark, sf_dir):
     return incremental.upsert(s, s.where("season_id = 2").withColumn("minutes", F.col("minutes") + 1), ["season_id", "player_id"])
 
 
-def _scratch(spark, name):
-    """A new folder beside the session's checkpoints, or a temporary one in local mode."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{root or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, ts, user_id FROM events")
 def stream_events(spark, sf_dir):
     """All events as a stream of files, loaded twice into one table: once each."""

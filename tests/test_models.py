@@ -32,6 +32,50 @@ def test_cosine(spark):
     assert r.a == 1.0 and r.b > 0.9 and r.c < 0.1 and r.d == 0.0 and r.e == 1.0
 
 
+def brute_similar(rows, weights, limit):
+    """rows: (season, player, group, vector with None); the contract of similar_players by all pairs."""
+    import math
+
+    out = []
+    for s, p, g, v in rows:
+        best = []
+        for t, q, h, o in rows:
+            if s == t and g == h and p != q and g is not None:
+                both = [(math.sqrt(w) * (x - 50), math.sqrt(w) * (y - 50)) for x, y, w in zip(v, o, weights) if x is not None and y is not None]
+                norm = math.sqrt(sum(x * x for x, _ in both)) * math.sqrt(sum(y * y for _, y in both))
+                cosine = 1.0 if norm == 0 else sum(x * y for x, y in both) / norm
+                best.append((-math.floor(max(0, min(1, (cosine + 1) / 2)) * 10_000 + 0.5) if both else 0, q))
+        out += [(s, g, p, q, k + 1, -n / 10_000) for k, (n, q) in enumerate(sorted(best)[:limit])]
+    return sorted(out)
+
+
+def test_similar_players_in_blocks(spark):
+    """One block or many: same rows. Missing metrics, ties, equal players, no shared metric, a group of one, no group."""
+    r = np.random.default_rng(1)
+    rows = [(1 + k % 2, k, "MF" if k % 3 else "DF", [None if r.random() < 0.1 else float(np.round(100 * r.random(), 1)) for _ in range(5)]) for k in range(200)]
+    rows += [(1, 300 + k, "MF", [80.0, 20.0, 50.0, 60.0, 10.0]) for k in range(15)] + [(1, 400, "FW", [1.0] * 5), (1, 401, None, [1.0] * 5), (2, 402, "MF", [None] * 5), (2, 403, "MF", [50.0] * 5)]
+    keys, weights = list("abcde"), {"a": 2.0, "c": 0.5}
+    frame = spark.createDataFrame([(s, p, g, dict(zip(keys, v))) for s, p, g, v in rows], "season_id int, player_id bigint, position_group string, vector map<string,double>")
+    for w in (None, weights):
+        want = brute_similar(rows, [(w or {}).get(k, 1.0) for k in keys], 10)
+        for block in (7, 50, 2000):
+            found = models.similar_players(frame, keys, weights=w, block=block)
+            got = sorted((x.season_id, x.position_group, x.player_id, x.comparison_player_id, x["rank"], x.similarity) for x in found.collect())
+            assert got == want
+    assert models.similar_players(frame.limit(0), keys).count() == 0
+
+
+def test_a_large_group_in_bounded_memory():
+    """Two blocks of many rows meet in matrices of a bounded size."""
+    from pitchlake.operators import similarity
+
+    r = np.random.default_rng(2)
+    x = r.random((5000, 38)) - 0.5
+    m, own = np.ones_like(x), np.arange(5000)
+    p, q, s = similarity._best(x, m, own, x, m, own, 10)
+    assert len(p) == 50_000 and not (p == q).any() and s.min() >= 0 and s.max() <= 10_000
+
+
 def test_fit_and_style(spark):
     style = spark.createDataFrame([(1, 9, "high_press", 8, 95.0, True), (1, 9, "possession", 0, 50.0, True), (1, 8, "possession", 0, 10.0, True)], "season_id int, team_id int, dimension string, dimension_order int, score double, measured boolean")
     dna = spark.createDataFrame([(1, 1, "MF", "Pressing", 10.0), (1, 1, "MF", "Passing", 90.0)], "season_id int, player_id int, position_group string, category string, score double")
