@@ -44,7 +44,11 @@ _NAME = r"\p{Lu}(?:\p{L}|['’](?!s?(?!\p{L}))|-(?=\p{L}))+"
 #: Words in lower case that are part of a name, and what secrets start with.
 PARTICLES = "van von der den de del della di da dos das la le ten ter zu af av bin al el".split()
 PREFIX = "(?:sk|pk|ghp|key)[-_]"
-_TITLES = "|".join(dict.fromkeys(x for v in TITLES.values() for t in v for x in (t, t.upper(), t.lower())))
+ABBREVIATED = "Mr Mrs Ms Sr Sra Mme Dr Prof".split()
+#: Titles as they are written or in capitals; abbreviated ones also in lower case if a full stop follows.
+_WRITTEN = [x for v in TITLES.values() for t in v for x in dict.fromkeys((t, t.upper()))]
+_FIRST = "[" + "".join(sorted({t[0] for t in _WRITTEN})) + "]"
+_TITLES = f"(?={_FIRST})(?:{'|'.join(_WRITTEN)})|(?:{'|'.join(t.lower() for t in ABBREVIATED)})(?=\\.)"
 _PARTICLE = rf"(?: (?:{'|'.join(PARTICLES)})(?!\p{{L}}))*"
 #: What finds each type, in the order in which alternatives are tried.
 PATTERNS = {
@@ -61,7 +65,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Also capitalised words, for documents in which names are known.
 WIDE = rf"{ANY}|(?<!\p{{L}}){_NAME}"
 #: What every text with an entity has: a digit, an at sign, the start of a secret or a title. Far cheaper to look for than ANY.
-HINT = rf"[0-9@]|[a-fA-F]{{32}}|{PREFIX}|(?:{_TITLES})\.? "
+HINT = rf"[0-9@]|[a-fA-F]{{32}}|{PREFIX}|(?={_FIRST})(?:{'|'.join(_WRITTEN)})\.? |[mdsp](?:rs?|s|ra|me|rof)\. "
 #: Given names by script and gender, the endings of made-up ones, and the syllables of made-up names.
 GIVEN = {
     ("latin", "m"): "adrian bruno conrad damian edgar felix gregor hugo ivan jonas kilian lorenz marius nestor oscar pascal".split(),

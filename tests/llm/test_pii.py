@@ -59,8 +59,10 @@ def test_query_over_a_whole_table(spark):
     assert pairs and len(set(pairs.values())) == len(pairs)
 
 
-GENDER = {x: g for g, v in pii.TITLES.items() for t in v for x in (t, t.upper(), t.lower())}
-TITLE = "|".join(GENDER)
+GENDER = {x: g for g, v in pii.TITLES.items() for t in v for x in (t, t.upper())}
+SHORT = {t.lower(): g for g, v in pii.TITLES.items() for t in v if t in "Mr Mrs Ms Sr Sra Mme Dr Prof".split()}
+TITLE = "|".join([*GENDER, *(rf"{t}(?=\.)" for t in SHORT)])
+GENDER |= SHORT
 PARTICLES = "van von der den de del della di da dos das la le ten ter zu af av bin al el".split()
 
 
