@@ -1025,10 +1025,8 @@ def _derived(spark, sf_dir):
     return t, R.recompute({"events": t.events, "appearances": t.appearances}, _scratch(spark, "recompute"), min_minutes=60)
 
 
-@query(" UNION ALL ".join(_sums(*x) for x in _DERIVED))
-def recompute(spark, sf_dir):
-    """All derived tables written by season and read back: rows and a sum of each by season."""
-    _, out = _derived(spark, sf_dir)
+def _measured(out: dict[str, DataFrame]) -> DataFrame:
+    """(name, season_id, n, total): rows and a sum of each derived table by season."""
     part = lambda n, c, k: out[n].groupBy("season_id").agg(F.count("*").alias("n"), F.sum(F.floor(F.col(c) * k + 0.5)).cast("bigint").alias("total")).select(F.lit(n).alias("name"), F.col("season_id").cast("int").alias("season_id"), "n", "total")
     parts = [part(n, c, k) for n, (c, k) in _MEASURED.items()]
     assert out.keys() == _MEASURED.keys()
@@ -1038,6 +1036,25 @@ def recompute(spark, sf_dir):
     return every
 
 
+@query(" UNION ALL ".join(_sums(*x) for x in _DERIVED))
+def recompute(spark, sf_dir):
+    """All derived tables written by season and read back: rows and a sum of each by season."""
+    return _measured(_derived(spark, sf_dir)[1])
+
+
+@query(" UNION ALL ".join(_sums(*x) for x in _DERIVED))
+def refresh_matches(spark, sf_dir):
+    """The tables of a season whose last match lacked events and two of whose appearances were other, after a refresh of that match."""
+    t, path = Tables(spark, sf_dir), _scratch(spark, "refresh")
+    last = t.appearances.where("season_id = 2").agg(F.max("match_id").alias("match_id"))
+    mine = lambda rows: rows.join(last, "match_id", "left_semi")
+    other = lambda rows: rows.join(last, "match_id", "left_anti")
+    before = other(t.events).unionByName(mine(t.events).where("event_id % 3 <> 0"))
+    played = other(t.appearances).unionByName(mine(t.appearances).withColumn("minutes", (F.col("minutes") + F.col("player_id") % 2).cast("int")))
+    R.recompute({"events": before, "appearances": played}, path, min_minutes=60)
+    return _measured(R.refresh({"events": t.events, "appearances": t.appearances}, path, last, min_minutes=60))
+
+
 @query(f"{O.SEASON} SELECT position_group, count(*) AS players, max(minutes) AS most FROM season GROUP BY position_group")
 def analyst_select(spark, sf_dir):
     """An analyst's SELECT over a registered view."""
