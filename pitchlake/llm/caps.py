@@ -293,9 +293,9 @@ WITH RECURSIVE
 own AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sound AS (SELECT * FROM own WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 pairs AS (SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.r < b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {COSINE}),
-both AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-reached AS (SELECT r, r AS o FROM own UNION SELECT t.r, b FROM reached t JOIN both ON both.a = t.o),
+sides AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT r, r AS o FROM own UNION SELECT t.r, b FROM reached t JOIN sides s ON s.a = t.o),
 least AS (SELECT t.r, min(vec_id) AS component_id FROM reached t JOIN own ON own.r = t.o GROUP BY t.r),
-counts AS (SELECT a AS r, count(*) AS n FROM both GROUP BY a)
+counts AS (SELECT a AS r, count(*) AS n FROM sides GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM own JOIN least USING (r) LEFT JOIN counts USING (r)
 """
