@@ -13,8 +13,10 @@ fields is left stands for itself, so that rows of numbers aren't taken for each
 The lines are parsed once, into hashes of leaf and masked form, and summed to distinct forms before the shuffle; all that
 follows is about forms, and only those of leaves that hold several need their texts. Texts move twice: to fetch these
 forms, and to meet the lines that are dropped. The joins on hot leaves and forms are plain ones whose large partitions
-Spark splits. The further templates of a leaf are found by rounds, through signatures of which alike forms share one, so
-that no form meets all others of its leaf.
+Spark splits. Alike forms share one of their signatures, so a form that shares none is a template without any comparison.
+The others of a leaf are settled in the order of their places, in chunks of a bounded number of tokens: a chunk meets the
+templates found so far through signatures, and what is left of it is settled in one go, one form after the other. A round
+takes the next chunk of every leaf, so there are as many rounds as the largest leaf has chunks; most leaves have one.
 
 Defined results: null texts stay null and lose no line; blank lines are always kept; rows with equal ids count as one
 document, rows of one id are told apart by their text, and equal rows get equal results; rows without an id are together
@@ -26,12 +28,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, stored
 
 MIN_TOKENS, SHORT, LEADING, SIMILAR, DOCUMENTS = 1, 5, 3, 0.8, 2
+#: Forms, and tokens of forms, that are settled in one go; forms at least, however many tokens they have.
+CHUNK, TOKENS, FEWEST = 1000, 100_000, 16
 FIELD = "<*>"
 #: White space within lines, what shows that there may be other than single spaces, and scripts without spaces between words.
 SPACE = r"[\s\p{Z}\x{85}&&[^\n]]+"
@@ -152,42 +156,61 @@ def signatures(form: Column, leading: int, similar: float) -> Column:
     return let(F.split(form, " "), lambda t: let(rest(t), lambda free: of(F.size(t), free)))
 
 
-def further_templates(forms: DataFrame, leading: int = LEADING, similar: float = SIMILAR) -> DataFrame | None:
-    """(leaf, template, of): the template `of` that forms (leaf, template, form, place) take, for those that take another's.
+def settled(rows: Column, place: str, similar: float) -> Column:
+    """(template, at, of) for forms (place, template, tokens) in the order of their places: each takes the first template before it
+    that it is alike to, or is one."""
+    kind = f"array<struct<at:{place},of:bigint,tokens:array<bigint>>>"
+    none = F.struct(F.array().cast(kind).alias("templates"), F.array().cast(f"array<struct<template:bigint,at:{place},of:bigint>>").alias("taken"))
 
-    In each round every open form that is the first of all open ones it shares a signature with is a template, since no
-    form before it is alike. Forms alike to it are open no more; they stay only to meet earlier templates that later
-    rounds find, and take the first of all. A form that shares no signature with any is its own template.
+    def near(a: Column, b: Column) -> Column:
+        return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= similar * F.size(a) - 1e-9
+
+    def step(seen: Column, row: Column) -> Column:
+        def take(first: Column) -> Column:
+            own = F.struct(row["place"].alias("at"), row["template"].alias("of"), row["tokens"].alias("tokens"))
+            templates = F.when(first.isNull(), F.concat(seen["templates"], F.array(own))).otherwise(seen["templates"])
+            taken = F.struct(row["template"].alias("template"), F.coalesce(first["at"], row["place"]).alias("at"), F.coalesce(first["of"], row["template"]).alias("of"))
+            return F.struct(templates.alias("templates"), F.concat(seen["taken"], F.array(taken)).alias("taken"))
+
+        return let(F.get(F.filter(seen["templates"], lambda t: near(t["tokens"], row["tokens"])), F.lit(0)), take)
+
+    return F.aggregate(rows, none, step, lambda seen: seen["taken"])
+
+
+def further_templates(forms: DataFrame, leading: int = LEADING, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame | None:
+    """(leaf, template, of): the template `of` that forms (leaf, template, form, place) take, for those that share a signature.
+
+    The first of a leaf's forms in order is a template, and each one that is unlike all templates before it.
     """
-    signed = forms.select(*FORM, "place", F.explode(F.array_distinct(signatures(F.col("form"), leading, similar))).alias("signature"))
-    left = stored(signed.withColumn("best", F.lit(None).cast(forms.schema["place"].dataType)), "signatures")
-    texts, path, rounds = forms.select(*FORM, "form"), shared_path(forms.sparkSession, "taken"), 0
-    while True:
-        least = F.min(F.when(F.col("best").isNull(), F.struct("place", "template"))).alias("least")
-        groups = left.groupBy("leaf", "signature").agg(least, F.count("*").alias("n")).where("n > 1 and least is not null").drop("n")
-        groups = stored(groups, "groups")
-        if groups.isEmpty():
-            break
-        shared = left.join(groups.hint("merge"), ["leaf", "signature"]).where(F.col("best").isNull() | (F.col("best") > F.col("least.place")))
-        shared = stored(shared, "shared")
-        first = F.col("least.template") == F.col("template")
-        new = shared.where("best is null").groupBy(*FORM).agg(F.every(first).alias("new")).where("new").select(*FORM)
-        new = stored(new, "new-templates")
-        # each form with the new templates that come first for one of its signatures
-        pairs = shared.where(~first).select(*FORM, F.col("least.template").alias("of"), F.col("least.place").alias("at")).distinct()
-        pairs = pairs.join(new.withColumnRenamed("template", "of").hint("merge"), ["leaf", "of"])
-        other = texts.select("leaf", F.col("template").alias("of"), F.col("form").alias("other"))
-        both = pairs.join(texts.hint("merge"), FORM).join(other.hint("merge"), ["leaf", "of"]).where(alike("form", "other", similar))
-        taken = both.groupBy(*FORM).agg(F.min(F.struct("at", "of")).alias("t")).select(*FORM, "t.*")
-        taken.write.parquet(f"{path}/{rounds}")
-        taken = forms.sparkSession.read.schema(taken.schema).parquet(f"{path}/{rounds}")
-        rounds += 1
-        still = shared.drop("least").join(new.hint("merge"), FORM, "left_anti").join(taken.drop("of").hint("merge"), FORM, "left")
-        left = stored(still.withColumn("best", F.least("best", "at")).drop("at"), "signatures")
-    if not rounds:
+    spark, path, kind = forms.sparkSession, shared_path(forms.sparkSession, "taken"), forms.schema["place"].dataType.simpleString()
+    signed = stored(forms.select(*FORM, F.explode(F.array_distinct(signatures(F.col("form"), leading, similar))).alias("signature")), "signatures")
+    groups = signed.groupBy("leaf", "signature").agg(F.count("*").alias("n")).where("n > 1").select("leaf", "signature")
+    shared = stored(signed.join(groups.hint("merge"), ["leaf", "signature"]), "shared")
+    tokens = F.transform(F.split("form", " "), lambda t: F.xxhash64(t))
+    some = forms.join(shared.select(*FORM).distinct().hint("merge"), FORM).withColumn("tokens", tokens)
+    size = F.greatest(F.lit(FEWEST), F.least(F.lit(chunk), F.floor(TOKENS / F.size("tokens")))) if chunk >= FEWEST else F.lit(chunk)
+    number = F.row_number().over(Window.partitionBy("leaf").orderBy("place", "template"))
+    some = stored(some.select(*FORM, "place", "tokens", F.floor((number - 1) / size).cast("int").alias("chunk")), "open")
+    rounds = some.agg(F.max("chunk").alias("n")).first()["n"]
+    if rounds is None:
         return None
-    every = forms.sparkSession.read.schema(taken.schema).option("recursiveFileLookup", True).parquet(path)
-    return every.groupBy(*FORM).agg(F.min(F.struct("at", "of"))["of"].alias("of"))
+    out = "leaf bigint, template bigint, at " + kind + ", of bigint"
+    for k in range(rounds + 1):
+        mine = some.where(F.col("chunk") == k)
+        if k:
+            before = spark.read.schema(out).option("recursiveFileLookup", True).parquet(path).where("of = template").select("leaf", "of", "at")
+            known = before.join(some.select("leaf", F.col("template").alias("of"), F.col("tokens").alias("others")).hint("merge"), ["leaf", "of"])
+            known = known.join(shared.select("leaf", F.col("template").alias("of"), "signature").hint("merge"), ["leaf", "of"])
+            own = mine.select(*FORM, "tokens").join(shared.hint("merge"), FORM)
+            agree = F.size(F.filter(F.zip_with("tokens", "others", lambda x, y: x == y), lambda x: x)) >= similar * F.size("tokens") - 1e-9
+            met = own.join(known.hint("merge"), ["leaf", "signature"]).where(agree).groupBy(*FORM).agg(F.min(F.struct("at", "of")).alias("t"))
+            met = stored(met.select(*FORM, "t.*"), "met")
+            met.write.parquet(f"{path}/met-{k}")
+            mine = mine.join(met.select(*FORM).hint("merge"), FORM, "left_anti")
+        rows = mine.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "template", "tokens"))).alias("rows"))  # of one chunk
+        found = rows.select("leaf", F.explode(settled(F.col("rows"), kind, similar)).alias("t")).select("leaf", "t.*")
+        found.write.parquet(f"{path}/settled-{k}")
+    return spark.read.schema(out).option("recursiveFileLookup", True).parquet(path).select(*FORM, "of")
 
 
 def recurring(docs: DataFrame, every: DataFrame, id_col: str, text_col: str, documents: int, leading: int, similar: float) -> DataFrame:

@@ -1,5 +1,9 @@
 import random
 import re
+import time
+from functools import partial
+
+import pytest
 
 from pitchlake.llm import linededup
 
@@ -127,7 +131,9 @@ def test_a_leaf_has_several_templates(spark):
     assert {i: x[0] for i, x in got.items()} == brute([(r[0], r[1]) for r in rows])
 
 
-def test_lines_against_one_after_the_other(spark):
+@pytest.mark.parametrize("chunk", [7, 1000])
+def test_lines_against_one_after_the_other(spark, monkeypatch, chunk):
+    monkeypatch.setattr(linededup, "further_templates", partial(linededup.further_templates, chunk=chunk))
     for seed in (3, 4):
         random.seed(seed)
         texts = []
@@ -155,3 +161,16 @@ def test_query_against_one_line_after_the_other(spark):
 
     expected = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in brute(docs).items()}
     assert {r.doc_id: r.text_sha256 for r in queries.op8_line_templates(spark, sf).collect()} == expected
+
+
+def test_a_leaf_of_unlike_lines_that_share_parts(spark):
+    """Two thousand lines of one leaf that all end alike, and one that is alike to the last of them: two chunks."""
+    r = random.Random(6)
+    words = ["".join(r.choice("bcdfgaeiou") for _ in range(5)) for _ in range(400)]
+    lines = [" ".join(["posted", "in", "the", *r.sample(words, 5), "read", "more", "of", "this"]) for _ in range(2000)]
+    alike = " ".join("other" if k == 4 else w for k, w in enumerate(lines[-1].split(" ")))
+    rows = [row(k // 10, "\n".join(lines[k : k + 10])) for k in range(0, 2000, 10)] + [row(500, alike)]
+    began = time.time()
+    got = run(spark, rows)
+    assert time.time() - began < 120
+    assert got[500][0] == "" and all(got[i][0] == t for i, t, *_ in rows[:-1])
