@@ -198,9 +198,22 @@ def read_events_normalized(spark, sf_dir):
     )
 
 
-@query(f"""WITH {bridge.TRACK} SELECT frame_index, 'normalized-' || frame_index % 5 || CASE WHEN team_id = 0 THEN '-home-' ELSE '-away-' END || player_id AS player_id, frame_index * 100 AS timestamp_ms, ball_in_play, {O.rnd('x', 4)} AS x, {O.rnd('y', 4)} AS y FROM track""")
+_TRACKING_NORMALIZED = f"""WITH {bridge.TRACK} SELECT frame_index, 'normalized-' || frame_index % 5 || CASE WHEN team_id = 0 THEN '-home-' ELSE '-away-' END || player_id AS player_id, frame_index * 100 AS timestamp_ms, ball_in_play, {O.rnd('x', 4)} AS x, {O.rnd('y', 4)} AS y FROM track"""
+
+
+@query(_TRACKING_NORMALIZED)
 def read_tracking_normalized(spark, sf_dir):
     """Tracking frames in a 0..1 space, five games."""
+    return _back_normalized(readers.read_tracking_normalized(spark, _tracking_normalized(spark, sf_dir), "part-*"))
+
+
+@query(_TRACKING_NORMALIZED)
+def read_large_tracking_normalized(spark, sf_dir):
+    """The same files in byte ranges of 50 kB, so that a file of frames is several tasks."""
+    return _back_normalized(readers.read_large_tracking_normalized(spark, _tracking_normalized(spark, sf_dir), "part-*", 50_000)[0])
+
+
+def _tracking_normalized(spark, sf_dir) -> str:
     path, t = _scratch(spark, "tracking-normalized"), bridge.tracking(spark, sf_dir)
     player = F.struct(_string("player_id").alias("playerId"), F.array(F.col("x") / 105, 1 - F.col("y") / 68).alias("xyz"))
     side = lambda k: F.collect_list(F.when(F.col("team_id") == k, player))  # noqa: E731  of one frame
@@ -210,7 +223,10 @@ def read_tracking_normalized(spark, sf_dir):
     # lists of a hundred frames, several to a game
     lists = frames.groupBy((F.col("frame_index") % 5).alias("game"), F.floor(F.col("frame_index") / 500).alias("n")).agg(F.to_json(F.collect_list(frame)).alias("value"))
     lists.select("game", "value").repartition("game", "value").write.option("maxRecordsPerFile", 1).partitionBy("game").text(path)
-    r = readers.read_tracking_normalized(spark, path, "part-*")
+    return path
+
+
+def _back_normalized(r: DataFrame) -> DataFrame:
     back = lambda c, size: S.jsround(c * size, 4)
     return r.select("frame_index", F.col("player_external_id").alias("player_id"), "timestamp_ms", "ball_in_play", back(F.col("x"), 105).alias("x"), back(1 - F.col("y"), 68).alias("y"))
 

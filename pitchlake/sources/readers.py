@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock_ms, map_event_type, minutes_from_spells
+from . import ranges
 
 _NAMED = "struct<id:bigint,name:string>"
 _WORD = "struct<name:string>"
@@ -153,11 +154,29 @@ def read_events_normalized(spark: SparkSession, path: str, files: str = "*_event
     )
 
 
+_PLAYERS = "array<struct<playerId:string,xyz:array<double>>>"
+#: Frames of tracking in a 0..1 space, and the keys that only frames have.
+FRAMES_NORMALIZED = f"frameIdx bigint, period int, time double, ball struct<xyz:array<double>>, homePlayers {_PLAYERS}, awayPlayers {_PLAYERS}"
+KEYS_NORMALIZED = ("frameIdx", "period", "time", "gameClock", "wallClock", "ball", "homePlayers", "awayPlayers")
+
+
 def read_tracking_normalized(spark: SparkSession, path: str, files: str = "*_tracking.json") -> DataFrame:
     """Positions in a 0..1 space of files whose path names the game, a row for each frame and player."""
-    player = "array<struct<playerId:string,xyz:array<double>>>"
-    raw = spark.read.schema(f"frameIdx bigint, period int, time double, ball struct<xyz:array<double>>, homePlayers {player}, awayPlayers {player}").option("pathGlobFilter", files).option("recursiveFileLookup", True).json(path, multiLine=True)
-    game = _game(F.col("_metadata.file_path"))
+    raw = spark.read.schema(FRAMES_NORMALIZED).option("pathGlobFilter", files).option("recursiveFileLookup", True).json(path, multiLine=True)
+    return _positions_normalized(raw.select("*", F.col("_metadata.file_path").alias("path")))
+
+
+def read_large_tracking_normalized(spark: SparkSession, path: str, files: str = "*_tracking.json", size: int = ranges.RANGE) -> tuple[DataFrame, DataFrame]:
+    """read_tracking_normalized() for files of any size: each is read in byte ranges, and parsed by all of their tasks. Also the
+    frames that can't be parsed (path, start, record)."""
+    frames, rejected = ranges.read_records(spark, path, files, KEYS_NORMALIZED, FRAMES_NORMALIZED, size)
+    return _positions_normalized(frames), rejected
+
+
+def _positions_normalized(raw: DataFrame) -> DataFrame:
+    """A row for each frame and player of frames with their path."""
+    player = _PLAYERS
+    game = _game(F.col("path"))
     side = lambda c, s: F.transform(F.coalesce(c, F.array().cast(player)), lambda p: F.struct(F.lit(s).alias("side"), p["playerId"].alias("id"), F.get(p["xyz"], F.lit(0)).alias("x"), F.get(p["xyz"], F.lit(1)).alias("y")))
     rows = raw.select(game.alias("game"), "frameIdx", "period", "time", "ball", F.explode(F.concat(side("homePlayers", "home"), side("awayPlayers", "away"))).alias("p"))
     team = F.concat_ws("-", F.lit("normalized"), "game", "p.side")
@@ -167,6 +186,10 @@ def read_tracking_normalized(spark: SparkSession, path: str, files: str = "*_tra
     )
 
 
+#: Frames of centre-origin tracking, and the keys that only frames have.
+_OBJECTS = "array<struct<trackable_object:bigint,group_name:string,x:double,y:double,z:double>>"
+FRAMES_CENTERED = f"frame bigint, timestamp string, period int, possession struct<group:string>, data {_OBJECTS}"
+KEYS_CENTERED = ("frame", "timestamp", "period", "possession", "data", "image_corners_projection", "ball_data", "player_data")
 #: Fixed value: the object number of the ball in centre-origin tracking.
 BALL = 55
 
@@ -174,9 +197,19 @@ BALL = 55
 def read_tracking_centered(spark: SparkSession, path: str) -> DataFrame:
     """Positions of <path>/matches/<id>/structured_data.json with the origin at the centre, moved to the corner; players
     and teams come from match_data.json beside it."""
-    of_match = folder_id("matches")
-    objects = "array<struct<trackable_object:bigint,group_name:string,x:double,y:double,z:double>>"
-    frames = spark.read.schema(f"frame bigint, timestamp string, period int, possession struct<group:string>, data {objects}").json(f"{path}/matches/*/structured_data.json", multiLine=True).select("*", of_match.alias("match_external_id"))
+    raw = spark.read.schema(FRAMES_CENTERED).json(f"{path}/matches/*/structured_data.json", multiLine=True)
+    return _positions_centered(spark, path, raw.select("*", F.col("_metadata.file_path").alias("path")))
+
+
+def read_large_tracking_centered(spark: SparkSession, path: str, size: int = ranges.RANGE) -> tuple[DataFrame, DataFrame]:
+    """read_tracking_centered() for files of any size, in byte ranges. Also the frames that can't be parsed (path, start, record)."""
+    frames, rejected = ranges.read_records(spark, f"{path}/matches", "structured_data.json", KEYS_CENTERED, FRAMES_CENTERED, size)
+    return _positions_centered(spark, path, frames), rejected
+
+
+def _positions_centered(spark: SparkSession, path: str, raw: DataFrame) -> DataFrame:
+    """A row for each frame and player of frames with their path."""
+    of_match, frames = folder_id("matches"), raw.select("*", folder_id("matches", F.col("path")).alias("match_external_id"))
     about = spark.read.schema("home_team struct<id:bigint>, away_team struct<id:bigint>, players array<struct<id:bigint,trackable_object:bigint,team_id:bigint>>").json(f"{path}/matches/*/match_data.json", multiLine=True).select("*", of_match.alias("match_external_id"))
     sides = about.select("match_external_id", _text("home_team.id").alias("_home"), _text("away_team.id").alias("_away"))
     who = about.select("match_external_id", F.explode("players").alias("p")).select("match_external_id", F.coalesce("p.trackable_object", "p.id").alias("object"), F.coalesce("p.id", "p.trackable_object").cast("string").alias("player_external_id"), _text("p.team_id").alias("team_external_id")).dropDuplicates(["match_external_id", "object"])
