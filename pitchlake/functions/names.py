@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,26 @@ from .scalars import jsround
 THRESHOLD = 0.86
 
 
-def _decomposed(names: pd.Series) -> pd.Series:
-    return names.str.normalize("NFD")
+@cache
+def bases() -> tuple[str, str]:
+    """Characters beyond ASCII whose canonical decomposition has a letter a-z, a digit or a white space, and that, in lower case.
+
+    A text's decomposition is that of its characters one by one, but for the order of marks, which are dropped. None has more
+    than one such letter.
+    """
+    found = {}
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<"):
+            base = "".join(x for x in unicodedata.normalize("NFD", c).lower() if x.isascii() and (x.isalnum() or x.isspace()))
+            if base:
+                found[c] = base
+    return "".join(found), "".join(found.values())
 
 
 def normalise_name(c: Column) -> Column:
     """Lower case without marks, only letters a-z, digits and single spaces."""
-    plain = F.lower(F.pandas_udf(_decomposed, "string")(c))
+    plain = F.lower(F.translate(c, *bases()))
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 

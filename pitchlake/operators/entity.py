@@ -6,17 +6,11 @@ with very many known names isn't cut short: its pairs are ordinary join rows, wh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import THRESHOLD, likeness, normalise_name
-
-
-def parts_of(text: Column) -> Column:
-    """All parts of a short text."""
-    lengths = lambda i: F.sequence(F.lit(1), F.length(text) - i + 1)
-    starts = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.transform(lengths(i), lambda n: F.substring(text, i, n)))
-    return F.when(F.length(text) > 0, F.array_distinct(F.flatten(starts))).otherwise(F.array().cast("array<string>"))
+from . import ngrams
 
 
 def match_players(incoming: DataFrame, players: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -33,9 +27,11 @@ def match_players(incoming: DataFrame, players: DataFrame, threshold: float = TH
     exact = same.groupBy("incoming_id").agg(F.min("player_id").alias("player_id")).select("incoming_id", "player_id", F.lit(1.0).alias("confidence"), F.lit("EXACT").alias("method"))
     rest = new.join(exact.select("incoming_id"), "incoming_id", "left_anti")
     dated = rest.where("birth_date is not null").join(known, F.col("birth_date") == F.col("k_date"))
-    # what a token contains is its parts, so that the test is an equality
-    parts = known.withColumn("token", F.explode(tokens_of(F.col("k_lower")))).withColumn("part", F.explode(parts_of(F.col("token")))).select("player_id", "k_name", "part").distinct()
-    undated = rest.where("birth_date is null").withColumn("part", F.try_element_at(tokens_of(F.col("lower")), F.lit(-1))).join(parts, "part")
+    # the distinct tokens of known names that contain a last token, then the names that have them
+    tokens = known.select("player_id", "k_name", F.explode(tokens_of(F.col("k_lower"))).alias("token"))
+    open_ = rest.where("birth_date is null").withColumn("term", F.try_element_at(tokens_of(F.col("lower")), F.lit(-1)))
+    holding = ngrams.containing(ngrams.postings(tokens, "token"), open_).withColumnRenamed("label", "token")
+    undated = open_.join(holding, "term").join(tokens, "token").select("incoming_id", "player_id", "name", "k_name").distinct()
     pairs = dated.select("incoming_id", "player_id", "name", "k_name").unionByName(undated.select("incoming_id", "player_id", "name", "k_name"))
     scored = pairs.select("incoming_id", "player_id", likeness(F.col("name"), F.col("k_name")).alias("confidence")).where(F.col("confidence") >= threshold)
     best = scored.groupBy("incoming_id").agg(F.min(F.struct((-F.col("confidence")).alias("o"), "player_id", "confidence")).alias("b"))

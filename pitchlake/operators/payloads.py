@@ -4,11 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def snapshot_id(payload: Column) -> Column:
-    """The first 32 hexadecimal digits of the SHA-256 of a payload's JSON."""
-    return F.substring(F.sha2(F.to_json(payload), 256), 1, 32)
+def canonical_text(value: Column, kind: T.DataType) -> Column:
+    """A value as text that any engine can build alike: fields of a struct in order of their names, numbers in millionths (half
+    up), texts in double quotes with backslashes before quotes and backslashes, times as they are cast, and null for what is
+    missing. Only the order of an array is its own."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        body = F.concat_ws(",", *(F.concat(F.lit(f'"{f.name}":'), canonical_text(value[f.name], f.dataType)) for f in fields))
+        text = F.concat(F.lit("{"), body, F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda e: canonical_text(e, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(value))
+        text = canonical_text(entries, T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    elif isinstance(kind, T.IntegralType):
+        text = F.concat(value.cast("string"), F.lit("000000"))
+        text = F.when(value == 0, "0").otherwise(text)
+    elif isinstance(kind, T.NumericType):
+        text = F.floor(value.cast("double") * 1e6 + 0.5).cast("bigint").cast("string")
+    elif isinstance(kind, T.BooleanType):
+        text = value.cast("string")
+    else:
+        own = value.cast("string")
+        text = F.concat(F.lit('"'), F.replace(F.replace(own, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.when(value.isNull(), "null").otherwise(text)
+
+
+def snapshot_id(payload: Column, kind: T.DataType) -> Column:
+    """The first 32 hexadecimal digits of the SHA-256 of a payload's canonical text. kind: the payload's type."""
+    return F.substring(F.sha2(canonical_text(payload, kind), 256), 1, 32)
 
 
 def section(rows: DataFrame, keys: list[str], name: str, fields: list[str], order: Column | None = None, most: int | None = None) -> DataFrame:
@@ -27,7 +54,7 @@ def assembled(base: DataFrame, keys: list[str], sections: list[DataFrame]) -> Da
     """base with all sections and snapshot_id."""
     for s in sections:
         base = base.join(s, keys, "left")
-    return base.withColumn("snapshot_id", snapshot_id(F.struct(*base.columns)))
+    return base.withColumn("snapshot_id", snapshot_id(F.struct(*base.columns), base.schema))
 
 
 def player_report_payloads(identity: DataFrame, percentiles: DataFrame, dna: DataFrame, roles: DataFrame, similar: DataFrame, fit: DataFrame, shots: DataFrame, heatmap: DataFrame | None = None, notes: DataFrame | None = None, ratings: DataFrame | None = None) -> DataFrame:

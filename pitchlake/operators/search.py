@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import age_approx, jsround
+from . import ngrams
 
 
 def browse_events(events: DataFrame, match_id=None, player_id=None, team_id=None, types: list[str] | None = None, minutes: tuple[int | None, int | None] = (None, None), limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -61,10 +62,18 @@ def _within(c: Column, bounds: tuple) -> Column:
 
 
 def search_players(
-    season: DataFrame, players: DataFrame, what: Search, percentiles: DataFrame | None = None, at: Column | None = None, aliases: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
+    season: DataFrame, players: DataFrame, what: Search, percentiles: DataFrame | None = None, at: Column | None = None, aliases: DataFrame | None = None,
+    index: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """A page of players' seasons that fit, and their number. Percentile tests join the percentiles of the same season; a
-    name is looked for in full names and in aliases (player_id, alias)."""
+    name is looked for in full names and in aliases (player_id, alias). index: the stored ngrams.postings() of both in lower
+    case; only players whose name it names are looked at then."""
+    if index is not None and what.name:
+        asked = season.sparkSession.createDataFrame([(what.name.lower(),)], "term string")
+        named = ngrams.containing(index, asked).select("label")
+        of = lambda rows, c: rows.join(named, F.lower(rows[c]) == F.col("label"), "left_semi").select("player_id")
+        ids = of(players, "full_name") if aliases is None else of(players, "full_name").unionByName(of(aliases, "alias"))
+        players = players.join(ids, "player_id", "left_semi")
     rows = season.join(players.drop("position_group"), "player_id")
     test = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "eq": lambda c, v: c == v, "between": lambda c, v: c.between(*v)}
     for metric, (op, value) in what.metrics.items():
@@ -89,10 +98,17 @@ def search_players(
     return rows.orderBy(order, "season_id", "player_id").offset(what.offset).limit(what.limit), rows.agg(F.count("*").alias("total"))
 
 
-def global_search(term: str, sources: dict[str, tuple[DataFrame, str, str]], limit: int = 5) -> DataFrame:
-    """(kind, id, label): the first of each source whose label holds the term. sources: kind -> (rows, id, label)."""
+def global_search(term: str, sources: dict[str, tuple[DataFrame, str, str]], limit: int = 5, indexes: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(kind, id, label): the first of each source whose label holds the term. sources: kind -> (rows, id, label).
+
+    indexes: for some kinds the stored ngrams.postings() of their labels in lower case; only rows whose label the index names are
+    looked at then.
+    """
     out = None
     for kind, (rows, key, label) in sources.items():
+        if indexes and kind in indexes and term:
+            asked = rows.sparkSession.createDataFrame([(term.lower(),)], "term string")
+            rows = rows.join(ngrams.containing(indexes[kind], asked).select("label"), F.lower(rows[label]) == F.col("label"), "left_semi")
         part = rows.where(F.lower(label).contains(term.lower())).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col(label).alias("label")).orderBy("label", "id").limit(limit)
         out = part if out is None else out.unionByName(part)
     return out

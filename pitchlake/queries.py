@@ -599,7 +599,7 @@ def cluster_players(spark, sf_dir):
 
 from .functions.names import name_similarity as _likeness  # noqa: E402
 from .functions.names import normalise_name as _normal  # noqa: E402
-from .operators import entity, payloads, search  # noqa: E402
+from .operators import entity, ngrams, payloads, search  # noqa: E402
 from .plans import recompute as R  # noqa: E402
 from .sources import sinks  # noqa: E402
 from .streaming import incremental  # noqa: E402
@@ -812,11 +812,41 @@ def search_players(spark, sf_dir):
     return search.search_players(t.season(), bridge.players(spark, sf_dir), what, windows.player_percentiles(t.long(), min_minutes=60))[0].select("season_id", "player_id", "minutes")
 
 
+@query(f"""{O.SEASON} SELECT s.season_id, s.player_id, s.minutes FROM season s JOIN players p USING (player_id) WHERE contains(lower(full_name), 'gear') ORDER BY s.minutes DESC, s.season_id, s.player_id LIMIT 25""")
+def search_players_by_name(spark, sf_dir):
+    """A name that players' names or aliases contain, through postings of both."""
+    players = bridge.players(spark, sf_dir)
+    aliases = players.select("player_id", F.upper("full_name").alias("alias"))
+    index = ngrams.postings(players.select(F.lower("full_name").alias("label")).unionByName(aliases.select(F.lower("alias").alias("label"))))
+    found, _ = search.search_players(Tables(spark, sf_dir).season(), players, search.Search(name="GEAR"), aliases=aliases, index=index)
+    return found.select("season_id", "player_id", "minutes")
+
+
 @query("SELECT * FROM (SELECT 'part' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS label FROM part WHERE contains(lower(p_name), 'a') ORDER BY label, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), 'a') ORDER BY 3, 2 LIMIT 5)")
 def global_search(spark, sf_dir):
     return search.global_search("A", {"part": (bridge.read(spark, sf_dir, "part"), "p_partkey", "p_name"), "nation": (bridge.read(spark, sf_dir, "nation"), "n_nationkey", "n_name")})
 
 
+@query("SELECT * FROM (SELECT 'part' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS label FROM part WHERE contains(lower(p_name), 'ar') ORDER BY label, id LIMIT 50) UNION ALL SELECT * FROM (SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), 'ar') ORDER BY 3, 2 LIMIT 50)")
+def global_search_indexed(spark, sf_dir):
+    """A search through stored postings of the parts' names, and through the nations' names themselves."""
+    parts, path = bridge.read(spark, sf_dir, "part"), _scratch(spark, "postings")
+    ngrams.postings(parts.select(F.lower("p_name").alias("label"))).write.parquet(path)
+    sources = {"part": (parts, "p_partkey", "p_name"), "nation": (bridge.read(spark, sf_dir, "nation"), "n_nationkey", "n_name")}
+    return search.global_search("AR", sources, 50, {"part": spark.read.parquet(path)})
+
+
+@query("""WITH words AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part), names AS (SELECT DISTINCT lower(p_name) AS label FROM part),
+terms AS (SELECT substr(w, 2, 4) AS term FROM words UNION SELECT substr(w, 1, 2) FROM words UNION SELECT right(w, 1) FROM words)
+SELECT term, label FROM terms JOIN names ON contains(label, term) WHERE term <> ''""")
+def names_containing(spark, sf_dir):
+    """Which names of parts contain the ends and middles of all words of their names and types."""
+    part = bridge.read(spark, sf_dir, "part")
+    w = F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w")
+    terms = part.select(w).select(F.explode(F.array(F.substring("w", 2, 4), F.substring("w", 1, 2), F.expr("right(w, 1)"))).alias("term"))
+    return ngrams.containing(ngrams.postings(part.select(F.lower("p_name").alias("label"))), terms)
+
+
 @query(f"""SELECT * FROM ({O.PERCENTILES.format(minutes=60, order='')}, own AS (SELECT player_id, season_id, position_group, minutes FROM season WHERE player_id IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY minutes DESC, season_id) = 1),
 pc AS (SELECT vp.* FROM vp JOIN own USING (player_id, season_id))
 SELECT player_id, season_id, 'strength' AS part, metric_key AS key, percentile AS value FROM pc WHERE percentile >= 70 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY percentile DESC, metric_key) <= 5
@@ -930,6 +960,24 @@ def player_report_payloads(spark, sf_dir):
     })
 
 
+_MICRO = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' ELSE CAST(CAST(floor(CAST({c} AS DOUBLE) * 1000000 + 0.5) AS BIGINT) AS VARCHAR) END"
+_QUOTED = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || replace(replace({c}, '\\', '\\\\'), '\"', '\\\"') || '\"' END"
+
+
+@query(f"""{O.PERCENTILES.format(minutes=60, order='')},
+parts AS (SELECT season_id, player_id, string_agg('{{"metric_key":' || {_QUOTED('metric_key')} || ',"percentile":' || {_MICRO('percentile')} || ',"population_size":' || {_MICRO('population_size')} || ',"value":' || {_MICRO('value')} || '}}', ',' ORDER BY metric_key) AS p FROM vp GROUP BY ALL),
+text AS (SELECT season_id, player_id, '{{"birth_date":' || {_QUOTED('CAST(birth_date AS VARCHAR)')} || ',"full_name":' || {_QUOTED('full_name')} || ',"height_cm":' || {_MICRO('height_cm')} || ',"minutes":' || {_MICRO('minutes')}
+  || ',"percentiles":' || CASE WHEN p IS NULL THEN 'null' ELSE '[' || p || ']' END || ',"player_id":' || {_MICRO('player_id')} || ',"season_id":' || {_MICRO('season_id')} || '}}' AS t
+  FROM season JOIN players USING (player_id) LEFT JOIN parts USING (season_id, player_id))
+SELECT season_id, player_id, substr(sha256(t), 1, 32) AS snapshot_id FROM text""")
+def snapshot_ids(spark, sf_dir):
+    """Content-addressed ids of payloads of a player's season: texts, dates, numbers, nulls and an array of structs."""
+    t = Tables(spark, sf_dir)
+    base = t.kept_season.select("season_id", "player_id", "minutes").join(bridge.players(spark, sf_dir).select("player_id", "full_name", "birth_date", "height_cm"), "player_id")
+    part = payloads.section(windows.player_percentiles(t.long(), 60), ["season_id", "player_id"], "percentiles", ["metric_key", "value", "percentile", "population_size"], F.col("metric_key"))
+    return payloads.assembled(base, ["season_id", "player_id"], [part]).select("season_id", "player_id", "snapshot_id")
+
+
 @query()
 def player_report_snapshots(spark, sf_dir):
     return _player_payloads(spark, sf_dir).select("season_id", "player_id", "snapshot_id")
