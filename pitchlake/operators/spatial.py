@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import LENGTH, WIDTH, jsround, zone_of
 from ..plans.config import DEAD_BALL, HEATMAPS
+from . import grids
 
 KINDS = ["touches", "passes", "carries", "shots", "defensive_actions", "pressures"]
 
@@ -98,44 +99,29 @@ def heatmap_hexbin(points: DataFrame, subject: list[str], cols: int = 24, rows:
 
 
 def heatmap_kde(points: DataFrame, subject: list[str], cols: int = 24, rows: int = 16, bandwidth: float = 6.0, normalize: bool = True) -> DataFrame:
-    """Gaussian density, cut at three bandwidths; count is that of the cell that a point lies in.
-
-    Equal points are summed before they meet the cells around them.
-    """
-    w, h, reach = LENGTH / cols, WIDTH / rows, 3 * bandwidth
-    own = _in_bounds(points).groupBy(*subject, "x", "y").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).withColumns({"c0": _cell("x", LENGTH, cols), "r0": _cell("y", WIDTH, rows)})
-    near = lambda c, size, most: F.sequence(F.greatest(F.lit(0), F.col(c) - math.ceil(reach / size)), F.least(F.lit(most - 1), F.col(c) + math.ceil(reach / size)))
-    around = own.withColumn("col", F.explode(near("c0", w, cols))).withColumn("row", F.explode(near("r0", h, rows)))
-    dx, dy = jsround(w * (F.col("col") + 0.5), 2) - F.col("x"), jsround(h * (F.col("row") + 0.5), 2) - F.col("y")
-    centre = (F.col("col") == F.col("c0")) & (F.col("row") == F.col("r0"))
-    squared = dx * dx + dy * dy
-    cells = around.groupBy(*subject, "col", "row").agg(
-        F.sum(F.when(squared <= reach * reach, F.col("weight") * F.exp(-squared / (2 * bandwidth * bandwidth))).otherwise(0.0)).alias("value"), F.sum(F.when(centre, F.col("n")).otherwise(0)).alias("count"), F.sum(F.when(centre, F.col("weight")).otherwise(0.0)).alias("weight")
-    )
+    """Gaussian density, cut at three bandwidths; count is that of the cell that a point lies in."""
+    w, h = LENGTH / cols, WIDTH / rows
+    centre = lambda size, n: [math.floor(size * (k + 0.5) * 100 + 0.5) / 100 for k in range(n)]  # noqa: E731  rounded as the cells' places are
+    cells = grids.density(_in_bounds(points), subject, centre(w, cols), centre(h, rows), LENGTH, WIDTH, bandwidth, 3 * bandwidth)
     return _complete(cells, subject, cols, rows, False, normalize)
 
 
 def heatmap_kde_full(points: DataFrame, subject: list[str], cols: int = 24, rows: int = 16, bandwidth: float = 6.0, method: str = "exact", normalize: bool = True) -> DataFrame:
     """Gaussian density at the centres of all cells: round kernels ("exact"), or kernels in the shape of the points' own covariance.
 
-    The latter need three distinct points (3 decimals) and a regular covariance, else they are round. Equal points are
-    summed first, with what the covariance needs of each of them: their number, weights and squared weights.
+    The latter need three distinct points (3 decimals) and a regular covariance, else they are round. For the covariance equal
+    points are summed first, with what it needs of each of them: their number, weights and squared weights.
     """
     w, h = LENGTH / cols, WIDTH / rows
-    squares = F.sum(F.col("weight") * F.col("weight"))
-    own = _in_bounds(points).groupBy(*subject, "x", "y").agg(F.sum("weight").alias("weight"), squares.alias("w2"), F.count("*").alias("n"))
-    round_kernel = F.struct(F.lit(1 / bandwidth**2).alias("xx"), F.lit(0.0).alias("xy"), F.lit(1 / bandwidth**2).alias("yy"))
-    shaped = own.withColumn("k", round_kernel)
+    shaped = inside = _in_bounds(points)
     if method == "covariance":
+        squares = F.sum(F.col("weight") * F.col("weight"))
+        own = inside.groupBy(*subject, "x", "y").agg(F.sum("weight").alias("weight"), squares.alias("w2"), F.count("*").alias("n"))
+        round_kernel = F.struct(F.lit(1 / bandwidth**2).alias("xx"), F.lit(0.0).alias("xy"), F.lit(1 / bandwidth**2).alias("yy"))
         kernel = F.coalesce(_covariance_kernel(bandwidth), round_kernel)
-        shaped = own.join(_moments(own, subject).select(*subject, kernel.alias("k")), subject)
-    cells_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    around = shaped.withColumn("col", cells_of(cols)).withColumn("row", cells_of(rows))
-    dx, dy = w * (F.col("col") + 0.5) - F.col("x"), h * (F.col("row") + 0.5) - F.col("y")
-    q = F.col("k.xx") * dx * dx + 2 * F.col("k.xy") * dx * dy + F.col("k.yy") * dy * dy
-    here = (_cell("x", LENGTH, cols) == F.col("col")) & (_cell("y", WIDTH, rows) == F.col("row"))
-    at = lambda c, none: F.sum(F.when(here, F.col(c)).otherwise(none))
-    cells = around.groupBy(*subject, "col", "row").agg(F.sum(F.col("weight") * F.exp(-q / 2)).alias("value"), at("n", 0).alias("count"), at("weight", 0.0).alias("weight"))
+        shaped = inside.join(_moments(own, subject).select(*subject, kernel.alias("k")), subject)
+    centre = lambda size, n: [size * (k + 0.5) for k in range(n)]
+    cells = grids.density(shaped, subject, centre(w, cols), centre(h, rows), LENGTH, WIDTH, bandwidth, kernel=method == "covariance")
     return _complete(cells, subject, cols, rows, False, normalize)
 
 

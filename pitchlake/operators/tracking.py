@@ -106,15 +106,3 @@ def player_physical(positions: DataFrame, frame_rate_hz: float = 10.0, keys: tup
         F.min_by("team_id", "frame_index").alias("team_id"), F.count("*").alias("frames"), jsround(F.avg("x"), 2).alias("avg_x"), jsround(F.avg("y"), 2).alias("avg_y"), jsround(F.coalesce(F.sum(moved), F.lit(0.0)), 2).alias("distance_m"),
         jsround(F.coalesce(F.sum(F.when(F.col("speed") >= HIGH_SPEED, moved)), F.lit(0.0)), 2).alias("high_speed_distance_m"), F.count_if("start").alias("sprint_count"), jsround(F.coalesce(F.max("speed"), F.lit(0.0)), 2).alias("max_speed_ms"),
     )
-
-
-def cluster_players(vectors: DataFrame, keys: list[str], k: int = 4, seed: int = 42) -> tuple[DataFrame, list[list[float]], float]:
-    """K-means clusters of style vectors: players with their cluster, the centres, and the inertia. Missing percentiles count as 50."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    if vectors.limit(k).count() < k:
-        raise ValueError(f"{k} clusters need at least {k} players")
-    ready = vectors.withColumn("features", array_to_vector(F.array(*(F.coalesce(F.col("vector")[m], F.lit(50.0)) for m in keys))))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready)
-    return model.transform(ready).drop("features"), [c.tolist() for c in model.clusterCenters()], model.summary.trainingCost

@@ -282,7 +282,7 @@ def club_fit(spark, sf_dir):
 
 # --- scalar functions over all events
 
-from .operators import spatial, tracking, views  # noqa: E402
+from .operators import clusters, spatial, tracking, views  # noqa: E402
 
 _XY = "x", "y", "end_x", "end_y"
 
@@ -589,10 +589,23 @@ def team_hulls(spark, sf_dir):
     return doubles(tracking.team_shape(bridge.tracking(spark, sf_dir)).select("team_id", "phase", "convex_hull_area_m2", "compactness"))
 
 
-@query()
+@query(f"{O.LONG} SELECT DISTINCT season_id, player_id, TRUE AS is_nearest, TRUE AS is_mean, TRUE AS adds_up FROM pct")
 def cluster_players(spark, sf_dir):
-    found, _, _ = tracking.cluster_players(Tables(spark, sf_dir).vectors(), config.METRICS)
-    return found.select("season_id", "player_id", "cluster")
+    """Clusters of all players' seasons, held against what makes them right: each player has the nearest of the centres, each centre
+    is the mean of its players, and the inertia is the sum of the squared distances."""
+    vectors, path = Tables(spark, sf_dir).vectors(), _scratch(spark, "clusters")
+    found, centres, inertia = clusters.cluster_players(vectors, config.METRICS)
+    found.select("season_id", "player_id", "cluster", "distance", F.array(*(F.coalesce(F.col("vector")[m], F.lit(50.0)) for m in config.METRICS)).alias("v")).write.parquet(path)
+    found = spark.read.parquet(path)
+    listed = F.array(*(F.array(*map(F.lit, c)) for c in centres))
+    squared = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    own = found.withColumn("all", F.transform(listed, lambda c: squared("v", c)))
+    is_nearest = F.abs(F.array_min("all") - F.get("all", F.col("cluster"))) < 1
+    means = found.select("cluster", F.posexplode("v").alias("k", "x")).groupBy("cluster", "k").agg(F.avg("x").alias("m"))
+    off = means.agg(F.max(F.abs(F.col("m") - F.get(F.get(listed, F.col("cluster")), F.col("k")))).alias("off"))
+    total = found.agg(F.sum("distance").alias("total"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(own).join(one(off), "one").join(one(total), "one").select("season_id", "player_id", is_nearest.alias("is_nearest"), (F.col("off") < 0.001).alias("is_mean"), (F.abs(F.col("total") - inertia) < 0.01).alias("adds_up"))
 
 
 # --- views
