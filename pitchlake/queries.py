@@ -1042,6 +1042,15 @@ def upsert(spark, sf_dir):
     return incremental.upsert(s, s.where("season_id = 2").withColumn("minutes", F.col("minutes") + 1), ["season_id", "player_id"])
 
 
+@query(f"{O.SEASON} SELECT season_id, player_id, CAST(CASE WHEN player_id % 20 = 0 THEN minutes + 1 ELSE minutes END AS BIGINT) AS minutes FROM season")
+def upsert_keyed(spark, sf_dir):
+    """A table by buckets of players, after rows of every twentieth player are replaced; one row is new."""
+    s, path = Tables(spark, sf_dir).kept_season.select("season_id", "player_id", "minutes"), _scratch(spark, "keyed")
+    incremental.write_keyed(s.where("player_id <> 40"), path, ["player_id", "season_id"], 32)
+    incremental.upsert_keyed(path, s.where("player_id % 20 = 0").withColumn("minutes", F.col("minutes") + 1), ["player_id", "season_id"], buckets=32)
+    return spark.read.parquet(path).select("season_id", "player_id", "minutes")
+
+
 @query("SELECT event_id, ts, user_id FROM events")
 def stream_events(spark, sf_dir):
     """All events as a stream of files, loaded twice into one table: once each."""

@@ -296,13 +296,16 @@ def read_csv_inbox(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         full = F.coalesce(*(F.nullif(c, F.lit("")) for c in cells), F.lit("")) != "" if cells else F.lit(False)
         have = {c.strip().lower(): c for c in raw.columns}
         cell = lambda names: F.coalesce(*(F.nullif(F.trim(F.col(f"`{have[n]}`")), F.lit("")) for n in names if n in have), F.lit(None).cast("string"))
-        rows = raw.where(full).select(*(cell(names).alias(c) for c, names in columns.items()))
+        of = [F.col("_metadata.file_path").alias("_file"), (F.xxhash64(*cells) if cells else F.lit(0)).alias("_hash")] if kind == "events" else []
+        rows = raw.where(full).select(*(cell(names).alias(c) for c, names in columns.items()), *of)
         if kind == "players":
             words = F.split("full_name", " ")
             rows = rows.withColumns({"first_name": words[0], "last_name": F.array_join(F.slice(words, 2, 100), " "), "height_cm": F.col("height_cm").try_cast("double")})
         if kind == "events":
-            n = F.concat(F.lit("csv-"), F.monotonically_increasing_id().cast("string"))
-            rows = rows.withColumns({"external_id": F.coalesce("external_id", n), "type": F.upper(F.coalesce("type", F.lit("OTHER"))), **{c: F.coalesce(F.col(c).try_cast("int"), F.lit(d)) for c, d in (("minute", 0), ("second", 0), ("period", 1))}, **{c: F.col(c).try_cast("double") for c in ("x", "y", "end_x", "end_y")}})
+            # without an id: the file's name, a hash of the row, and a number among equal rows; the same in each run
+            equal = F.row_number().over(Window.partitionBy("_file", "_hash").orderBy(F.lit(0)))
+            n = F.concat_ws("-", F.lit("csv"), F.regexp_extract("_file", r"([^/]*?)(?:\.csv)?$", 1), F.hex("_hash"), equal.cast("string"))
+            rows = rows.withColumns({"external_id": F.coalesce("external_id", n), "type": F.upper(F.coalesce("type", F.lit("OTHER"))), **{c: F.coalesce(F.col(c).try_cast("int"), F.lit(d)) for c, d in (("minute", 0), ("second", 0), ("period", 1))}, **{c: F.col(c).try_cast("double") for c in ("x", "y", "end_x", "end_y")}}).drop("_file", "_hash")
         out[kind] = rows
     return out
 

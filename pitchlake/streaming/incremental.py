@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,6 +36,60 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     return existing.join(incoming.select(*keys), keys, "left_anti").select(existing.columns).unionByName(incoming.select(existing.columns))
 
 
+#: Buckets of a keyed table, and keys of incoming rows that are broadcast at once at most.
+BUCKETS, KEYS = 256, 1_000_000
+
+
+def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+
+
+def write_keyed(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """A new table by buckets of its keys, for upsert_keyed()."""
+    rows.withColumn("_bucket", bucket_of(keys, buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+
+
+def kept_of(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a target that incoming ones don't replace. The incoming keys go to the target, which stays where it is."""
+    return target.join(F.broadcast(incoming.select(*keys)), keys, "left_anti")
+
+
+def upsert_keyed(path: str, incoming: DataFrame, keys: list[str], order: str | None = None, buckets: int = BUCKETS, most: int = KEYS) -> list[int]:
+    """upsert() into a table of write_keyed(): only the buckets that incoming rows fall into are read and rewritten; these are returned.
+
+    Buckets are taken together as long as their incoming keys are `most` at most, and these keys are broadcast; the table's own
+    rows aren't moved. A bucket that alone has more keys is joined by a shuffle of that bucket.
+    """
+    spark = incoming.sparkSession
+    if order:
+        w = Window.partitionBy(*keys).orderBy(F.desc(order))
+        incoming = incoming.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    else:
+        incoming = incoming.dropDuplicates(keys)
+    incoming = incoming.withColumn("_bucket", bucket_of(keys, buckets)).persist()
+    try:
+        sizes = {r["_bucket"]: r["count"] for r in incoming.groupBy("_bucket").count().collect()}  # of the buckets
+        groups: list[list[int]] = []
+        room = 0
+        for bucket in sorted(sizes):
+            if not groups or sizes[bucket] > room:
+                groups.append([])
+                room = most
+            groups[-1].append(bucket)
+            room -= sizes[bucket]
+        table = spark.read.parquet(path)
+        for group in groups:
+            own = lambda df: df.where(F.col("_bucket").isin(group))
+            new = own(incoming)
+            large = sum(sizes[b] for b in group) > most
+            kept = own(table).join(new.select(*keys), keys, "left_anti") if large else kept_of(own(table), new, keys)
+            rows = kept.select(*table.columns).unionByName(new.select(*table.columns).repartition("_bucket"))
+            write_partitions(rows, path, ["_bucket"])
+        return sorted(sizes)
+    finally:
+        incoming.unpersist()
+
+
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replaces only the partitions that df has."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

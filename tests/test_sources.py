@@ -148,3 +148,42 @@ def test_an_unknown_dataset_is_refused(spark):
     register_views({"vw_player_roles": spark.range(5)})
     rows, more = run_select(spark, "SELECT * FROM vw_player_roles", 3)
     assert rows.count() == 3 and more and dataset(spark, "roles").count() == 5
+
+
+def test_csv_events_without_ids_get_the_same_ones_again(spark, tmp_path):
+    """However the files are read; equal rows are told apart, rows with an id keep it."""
+    lines = [f"5,pass,{k % 7}.5" for k in range(30)]
+    path = put(tmp_path, {"events-a.csv": "match_id,type,x\n" + "\n".join(lines), "events-b.csv": "match_id,type,x\n5,pass,1.5\n", "teams.csv": "name\nReds\n", "players.csv": "name\nAnn\n"})
+    ids = []
+    for size in ("128m", "64b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        ids.append(sorted(r.external_id for r in readers.read_csv_inbox(spark, path)["events"].collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len(set(ids[0])) == 31
+    events = readers.read_csv_inbox(spark, path)["events"]
+    known = incremental.upsert(events, events, ["external_id"])
+    assert known.count() == 31
+
+
+def test_upsert_by_buckets(spark, tmp_path):
+    """Only the buckets of incoming rows are rewritten, the table isn't moved, and several passes give what one gives."""
+    import glob
+
+    path, keys = f"{tmp_path}/keyed", ["a", "b"]
+    old = spark.createDataFrame([(k, str(k % 3), k) for k in range(500)], "a long, b string, v long")
+    incremental.write_keyed(old, path, keys, 16)
+    files = lambda: {f for f in glob.glob(f"{path}/_bucket=*/*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(3, "0", 1000), (3, "0", 1001), (7, "9", 1002)], "a long, b string, v long")
+    touched = incremental.upsert_keyed(path, new, keys, "v", 16)
+    assert {f for f in before - files()} == {f for f in before if int(f.split("_bucket=")[1].split("/")[0]) in touched} and 1 <= len(touched) <= 2
+    want = {(r.a, r.b): r.v for r in old.collect()} | {(3, "0"): 1001, (7, "9"): 1002}
+    rows = lambda: {(r.a, r.b): r.v for r in spark.read.parquet(path).collect()}
+    assert rows() == want and spark.read.parquet(path).count() == len(want)
+    more = spark.createDataFrame([(k, str(k % 3), -k) for k in range(0, 600, 2)], "a long, b string, v long")
+    for most in (30, 5, 10**6):  # groups of buckets, buckets of their own that are too large, all at once
+        assert incremental.upsert_keyed(path, more, keys, buckets=16, most=most) == list(range(16))
+        assert rows() == want | {(k, str(k % 3)): -k for k in range(0, 600, 2)}
+    plan = incremental.kept_of(spark.read.parquet(path), more, keys)._jdf.queryExecution().executedPlan().toString()
+    target = plan[: plan.index("BroadcastExchange")]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in target
