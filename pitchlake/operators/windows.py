@@ -50,6 +50,11 @@ def _on(partition: list[str], left: str, right: str):
     return on
 
 
+def _plain(side: str, columns: list[str]) -> list:
+    """Columns of one side of a join by their own names, without the side's."""
+    return [F.col(f"{side}.`{c}`").alias(c) for c in columns]
+
+
 def percentile_at_or_below(df: DataFrame, partition: list[str], value: str = "value", inverted: bool = False, small: bool = False) -> DataFrame:
     """percentile: the share of the population at or below a value, 0 to 100, 1 decimal. Nulls are left out.
 
@@ -77,7 +82,8 @@ def zscore(df: DataFrame, partition: list[str], value: str = "value") -> DataFra
     spread = F.when(F.sum("_n") < 2, 0.0).otherwise(cut(F.sqrt(F.sum(off * off * n) / F.sum("_n"))))
     both = counted.alias("c").join(means.alias("m"), _on(partition, "c", "m"))
     told = both.groupBy(*(F.col(f"c.{c}").alias(c) for c in partition)).agg(F.first("m.mean").alias("mean"), spread.alias("stddev"))
-    rows = df.alias("d").join(told.alias("t"), _on(partition, "d", "t"), "left").select("d.*", "t.mean", F.coalesce("t.stddev", F.lit(0.0)).alias("stddev"))
+    joined = df.alias("d").join(told.alias("t"), _on(partition, "d", "t"), "left")
+    rows = joined.select(*_plain("d", df.columns), *_plain("t", ["mean"]), F.coalesce("t.stddev", F.lit(0.0)).alias("stddev"))
     return rows.withColumn("z", F.when(F.col("stddev") == 0, 0.0).otherwise(cut((F.col(value) - F.col("mean")) / F.col("stddev"))))
 
 
@@ -99,7 +105,7 @@ def player_percentiles(long: DataFrame, min_minutes: int = 450, frame: str = "po
         values = values.withColumns({"_sd": F.sqrt(F.sum(off * off * F.col("n")).over(every) / F.col("total")), "population_size": F.col("total")})
     made = ["percentile", "_mean", "_sd", "population_size"]
     values = values.withColumn("percentile", jsround(rank * 100, 1)).select(*keys, *made)
-    ranked = enough.alias("e").join(values.alias("v"), _on(keys, "e", "v")).select("e.*", *(f"v.{c}" for c in made))
+    ranked = enough.alias("e").join(values.alias("v"), _on(keys, "e", "v")).select(*_plain("e", enough.columns), *_plain("v", made))
     z = F.when(F.col("_sd").isNull() | (F.col("_sd") < 1e-12), 0.0).otherwise(jsround((F.col("value") - F.col("_mean")) / F.col("_sd"), 3))
     population = F.lit("+".join(c for c in partition if c != "metric_key"))
     return ranked.select("*", z.alias("z_score"), F.lit(min_minutes).alias("population_min_minutes"), population.alias("population_definition")).drop("_mean", "_sd")
