@@ -254,3 +254,30 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")), milli.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: DuckDB SQL of the registered query: pairs of equal triples of words at equal distances, instead of blocks.
+ORACLE = rf"""
+WITH
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, hex(encode(CAST(doc_id AS VARCHAR))) AS x FROM documents),
+summed AS (
+  SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda k: CAST('0x' || substr(x, k, 2) AS BIGINT))),
+    lambda c, v: xor(c // 256, t[xor(c % 256, v) + 1])), 4294967295) AS h FROM split, crc),
+placed AS (SELECT *, (h // 10) % greatest(n, 1) AS a FROM summed),
+spaced AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM placed),
+docs AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM spaced),
+triples AS (SELECT doc_id, n, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM (SELECT *, unnest(range(n - 2)) AS i FROM docs WHERE n >= {LEAST})),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM triples a JOIN triples b ON a.doc_id = b.doc_id AND a.g = b.g AND b.i > a.i AND {TIMES} * (b.i - a.i) <= a.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + 2 + q AS l FROM islands GROUP BY doc_id, q, k HAVING count(*) + 2 + q >= greatest({LEAST}, {TIMES} * q)),
+runs AS (
+  SELECT * FROM stretches r WHERE NOT EXISTS (SELECT 1 FROM stretches o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.l >= r.s + r.l)),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({{'s': s, 'l': l, 'q': q}}, {{'k': -l, 's': s, 'q': q}}) AS best, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    list({{'a': s + q, 'b': s + l}}) AS gone FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(range(n), w), lambda e: len(list_filter(gone, lambda g: e[1] >= g.a AND e[1] < g.b)) = 0), lambda e: e[2]) END, ' ')) AS collapsed_sha256
+FROM docs d LEFT JOIN told USING (doc_id)
+"""

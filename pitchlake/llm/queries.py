@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zstd": warc.ORACLE, "op6_inverted_index": decontam.ORACLE, "op8_line_templates": linededup.ORACLE, "op12_asymmetric_chunks": variants.ORACLE, "op13_spherical_caps": caps.ORACLE}
+    return {"op4_warc_zstd": warc.ORACLE, "op6_inverted_index": decontam.ORACLE, "op8_line_templates": linededup.ORACLE, "op11_block_convolution": periods.ORACLE, "op12_asymmetric_chunks": variants.ORACLE, "op13_spherical_caps": caps.ORACLE}
