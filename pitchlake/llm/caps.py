@@ -86,8 +86,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def numbered(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, key, dims, data): each row with its vector's bytes (single or double precision, as given) and their hash; null where it links with nothing."""
+def numbered(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
+    """(vec_id, key, dims, data): each row with its vector's bytes and their hash, null where it links with nothing; and the bytes'
+    precision, single or double as the column's."""
     kind = "f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "f8"
     wanted = "float" if kind == "f4" else "double"
     slim = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast(f"array<{wanted}>").alias("vector"))
