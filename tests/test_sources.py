@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators import entity, views
-from pitchlake.sources import readers, sinks
+from pitchlake.sources import readers, rejects, sinks
 from pitchlake.streaming import incremental
 
 
@@ -187,3 +187,13 @@ def test_upsert_by_buckets(spark, tmp_path):
     plan = incremental.kept_of(spark.read.parquet(path), more, keys)._jdf.queryExecution().executedPlan().toString()
     target = plan[: plan.index("BroadcastExchange")]
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in target
+
+
+def test_what_cannot_be_read_is_told(spark, tmp_path):
+    path = put(tmp_path, {"a_events.json": '[{"index": 1}]', "b_events.json": '[{"index": 1', "c_events.json": " ", "d.txt": "nothing", "e_events.json": "not at all " * 99})
+    bad = {r.path.rsplit("/", 1)[1]: (r.severity, r.message, r.shown) for r in rejects.broken_json(spark, path, "*_events.json").collect()}
+    assert bad.keys() == {"b_events.json", "c_events.json", "e_events.json"} and bad["b_events.json"] == ("ERROR", "the file isn't JSON", '[{"index": 1')
+    assert bad["c_events.json"][1] == "the file is empty" and len(bad["e_events.json"][2]) == rejects.SHOWN
+    cells = spark.createDataFrame([("7", "x"), (" ", None), ("7.5", "3")], "minute string, x string")
+    found = rejects.unread_cells(cells, {"minute": "int", "x": "double", "none": "int"}, F.lit("p"))
+    assert sorted((r.path, r.severity, r.message, r.shown) for r in found.collect()) == [("p", "WARNING", "no double in column x", "x"), ("p", "WARNING", "no int in column minute", "7.5")]
