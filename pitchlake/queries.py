@@ -51,7 +51,13 @@ class Tables:
         self.appearances = bridge.appearances(self.flat)
 
     def player_match(self) -> DataFrame:
-        return M.player_match_metrics(self.events, self.appearances)
+        kept = self.__dict__.get("kept_match")
+        return kept if kept is not None else M.player_match_metrics(self.events, self.appearances)
+
+    @cached_property
+    def kept_match(self) -> DataFrame:
+        """player_match(), written once: for what reads it both by player and by team."""
+        return self._kept(self.player_match(), "match")
 
     def totals(self) -> DataFrame:
         return M.player_season_totals(self.player_match())
@@ -62,8 +68,10 @@ class Tables:
     @cached_property
     def kept_season(self) -> DataFrame:
         """season(), written once: for what reads it several times."""
-        path = _scratch(self.spark, "season")
-        rows = self.season()
+        return self._kept(self.season(), "season")
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        path = _scratch(self.spark, name)
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
@@ -90,6 +98,7 @@ class Tables:
         return models.team_style(self.team_season(), config.style_weights(self.spark))
 
     def fit(self) -> DataFrame:
+        self.kept_match  # noqa: B018  players and teams are both made of it
         return models.club_fit(self.dna(), self.style(), config.demand_model(self.spark))
 
     def vectors(self) -> DataFrame:
