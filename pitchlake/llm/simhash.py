@@ -8,8 +8,10 @@ fingerprint is replicated to every anchor within the radius plus 2 bits (over al
 anchor's group those within the radius plus 1, some 16, are compared with all: no link is missed. There are 2^35 anchors:
 of 10^10 fingerprints that are spread evenly a group has 45.
 
-Fingerprints are compared once, however many documents share them. A group of more than GROUP rows is split into chunks,
-and each pair of chunks is a task of its own. Of the links in a large group a spanning forest goes on, not all pairs.
+Fingerprints are compared once, however many documents share them. A group of about GROUP rows or more is split into chunks
+of half as many, and each pair of chunks is compared by itself. How large groups are is told from a sample by hash, in which
+a group of GROUP rows has SHOWN; so replicas are made once, and an odd sample changes only how even the tasks are, never
+what is compared. Of the links in a large group a spanning forest goes on, not all pairs.
 
 Defined results: null counts as empty; texts without words have fingerprint zero and link like any other; repeated rows
 get equal results; rows without an id are linked like others, and have no say in the least id (a component without any id
@@ -33,6 +35,8 @@ from .components import components
 
 #: Words in a shingle, seed of its hash, differing bits of linked fingerprints, rows of a group that one task compares.
 SHINGLE, SEED, THRESHOLD, GROUP = 3, 42, 3, 4096
+#: Fingerprints of a group of GROUP rows from which its size is told.
+SHOWN = 64
 #: Fixed values of perfect binary codes: length, covering radius, generator polynomial; of each block of bits.
 GOLAY, HAMMING = (23, 3, 0b110001110101), (15, 1, 0b10011)
 BLOCKS = (GOLAY, GOLAY, HAMMING)
@@ -188,13 +192,18 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a small table becomes a large one here, so its few partitions are dealt out first
-    rows = fps.select("fp").repartition(n, "fp").mapInArrow(replicate, "anchor bigint, fp bigint, probe boolean")
-    large = stored(rows.groupBy("anchor").count().where(F.col("count") > group), "anchors")
+    own, replicas = fps.select("fp").repartition(n, "fp"), "anchor bigint, fp bigint, probe boolean"
+    rows = own.mapInArrow(replicate, replicas)
+    # sizes of groups only say how they are cut into tasks, so one fingerprint in `each` tells them well enough
+    each = max(1, group // SHOWN)
+    some = own.where(F.pmod(F.xxhash64("fp"), F.lit(each)) == 0).mapInArrow(replicate, replicas)
+    sizes = some.groupBy("anchor").agg((F.count("*") * each).alias("count"))
+    large = stored(sizes.where(F.col("count") > group // 2), "anchors")
     n_large = large.count()
     alone = rows.select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "fp", "probe")
     if n_large:
         large = F.broadcast(large) if n_large <= 1_000_000 else large
-        chunks = F.ceil(F.col("count") / group).cast("int")
+        chunks = F.ceil(2 * F.col("count") / group).cast("int")
         known = rows.join(large, "anchor", "left").withColumn("chunk", F.when(F.col("count").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), chunks).cast("int")))
         alone = known.select("anchor", "chunk", "fp", "probe", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))).alias("other")).select(
             "anchor", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "probe"

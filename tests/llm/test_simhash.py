@@ -65,7 +65,7 @@ def test_links_connect_all_with_and_without_split_groups(spark):
     signed = {i: (x if x < 1 << 63 else x - (1 << 64)) for i, x in fps.items()}
     expected = brute_components(fps)
     frame = spark.createDataFrame([(x,) for x in set(signed.values())], "fp bigint")
-    for group in (simhash.GROUP, 10, 100):
+    for group in (simhash.GROUP, 10, 100, 200):
         roots = {r.v: r.root for r in simhash.components(simhash.links(frame, group)).collect()}
         classes = Counter((expected[i], roots.get(x, x)) for i, x in signed.items())
         assert len(classes) == len({c for c, _ in classes}) == len({r for _, r in classes})
