@@ -959,7 +959,11 @@ def _player_payloads(spark, sf_dir):
     shots = t.events.where("type = 'SHOT'").select("season_id", "player_id", "match_id", "event_id", "minute", "x", "y", "shot.xg", "shot.is_goal")
     heat = spatial.heatmap_kde(spatial.heatmap_points(t.events, "TOUCH", ["season_id", "player_id"]), ["season_id", "player_id"])
     identity = views.v_player_season(t.season(), players, teams, seasons).select("season_id", "player_id", "full_name", "team_name", "age", "minutes", "matches", "totals")
-    return payloads.player_report_payloads(identity, pct, t.dna(), t.roles(), models.similar_players(t.vectors(), config.METRICS), t.fit(), shots, heat)
+    orders = bridge.read(spark, sf_dir, "orders")
+    notes = orders.select(F.col("o_custkey").alias("player_id"), F.col("o_orderkey").alias("note_id"), F.col("o_orderpriority").alias("note"))
+    similar = models.similar_players(t.vectors(), config.METRICS)
+    ratings = rating_consensus(spark, sf_dir)
+    return payloads.player_report_payloads(identity, pct, t.dna(), t.roles(), similar, t.fit(), shots, heat, notes, ratings)
 
 
 def _sections(payloads_: DataFrame, keys: list[str], parts: dict[str, Callable]) -> DataFrame:
@@ -971,15 +975,49 @@ def _sections(payloads_: DataFrame, keys: list[str], parts: dict[str, Callable])
     return payloads_.select(*keys, F.explode(F.flatten(F.array(*listed))).alias("e")).select(*keys, "e.*")
 
 
-@query(f"""SELECT * FROM ({O.PERCENTILES.format(minutes=60, order='')} SELECT season_id, player_id, 'percentiles' AS section, metric_key AS key, percentile AS value FROM vp JOIN season USING (season_id, player_id)
-UNION ALL SELECT season_id, player_id, 'shots', match_id || '/' || minute, xg FROM ev JOIN season USING (season_id, player_id) WHERE type = 'SHOT')
-UNION ALL SELECT * FROM ({O.PROFILES} SELECT season_id, player_id, 'profile', category, score FROM dna) UNION ALL SELECT * FROM ({O.ROLE_SCORES} SELECT season_id, player_id, 'roles', role_key, score FROM roles WHERE rank <= 6)""")
+_SIMILAR = _COS.format(
+    k="player_id", v="percentile", t="pct", g="a.season_id,", on="a.season_id = b.season_id AND a.position_group = b.position_group AND a.metric_key = b.metric_key"
+)
+_NEAR_CELL = f"abs(c - {_C24}) <= 5 AND abs(r - {_R16}) <= 5 AND pow({_KX} - x, 2) + pow({_KY} - y, 2) <= 324"
+_DENSE = f"sum(CASE WHEN {_NEAR_CELL} THEN exp(-(pow({_KX} - x, 2) + pow({_KY} - y, 2)) / 72) ELSE 0 END)"
+_PLAYER_HEAT = f"""pts AS (SELECT season_id, player_id, x, y FROM ev WHERE type IN ({_types('TOUCH')})),
+cells AS (SELECT season_id, player_id, c, r, {_DENSE} AS v FROM {_AROUND} GROUP BY ALL),
+heat AS (SELECT *, {O.rnd('v / max(v) OVER (PARTITION BY season_id, player_id)', 4)} AS density FROM cells)"""
+
+
+@query(f"""SELECT * FROM ({O.PERCENTILES.format(minutes=60, order='')}, {_PLAYER_HEAT}
+SELECT season_id, player_id, 'percentiles' AS section, metric_key AS key, percentile AS value FROM vp JOIN season USING (season_id, player_id)
+UNION ALL SELECT season_id, player_id, 'shots', match_id || '/' || minute, xg FROM ev JOIN season USING (season_id, player_id) WHERE type = 'SHOT'
+UNION ALL SELECT season_id, player_id, 'heatmap', c || '/' || r, density FROM heat JOIN season USING (season_id, player_id) WHERE density > 0
+UNION ALL SELECT season_id, player_id, 'notes', o_orderpriority, o_orderkey FROM season JOIN orders ON o_custkey = player_id
+UNION ALL SELECT season_id, player_id, 'ratings', CAST(n AS VARCHAR), overall FROM season JOIN (
+  SELECT o_custkey AS player_id, count(*) AS n, {O.rnd(f"avg(1 + (o_orderkey * {_FIELDS['overall']}) % 100)")} AS overall FROM orders GROUP BY o_custkey HAVING count(*) > 1
+) USING (player_id))
+UNION ALL SELECT * FROM ({O.PROFILES} SELECT season_id, player_id, 'profile', category, score FROM dna)
+UNION ALL SELECT * FROM ({O.ROLE_SCORES} SELECT season_id, player_id, 'roles', role_key, score FROM roles WHERE rank <= 6)
+UNION ALL SELECT * FROM ({O.LONG}, {_SIMILAR} SELECT season_id, s, 'similar', CAST(c AS VARCHAR), similarity FROM sim
+  QUALIFY row_number() OVER (PARTITION BY season_id, s ORDER BY similarity DESC, c) <= 8)
+UNION ALL SELECT * FROM ({O.FIT}, every AS (
+  SELECT p.season_id, p.player_id, t.team_id, coalesce(fit_score, 0) AS fit_score FROM (SELECT DISTINCT season_id, player_id FROM dna) p
+  JOIN (SELECT DISTINCT season_id, team_id FROM style) t ON t.season_id = p.season_id
+  LEFT JOIN fit f ON f.season_id = p.season_id AND f.player_id = p.player_id AND f.team_id = t.team_id)
+  SELECT season_id, player_id, 'fits', CAST(team_id AS VARCHAR), fit_score FROM every
+  QUALIFY row_number() OVER (PARTITION BY season_id, player_id ORDER BY fit_score DESC, team_id) <= 8)""")
 def player_report_payloads(spark, sf_dir):
-    """What four sections of each payload hold."""
-    return _sections(_player_payloads(spark, sf_dir), ["season_id", "player_id"], {
-        "percentiles": lambda e: (e["metric_key"], e["percentile"]), "shots": lambda e: (F.concat(e["match_id"].cast("string"), F.lit("/"), e["minute"].cast("string")), e["xg"]),
-        "profile": lambda e: (e["category"], e["score"]), "roles": lambda e: (e["role_key"], e["score"]),
-    })
+    """What all sections of each payload hold."""
+    text, joined = lambda c: c.cast("string"), lambda a, b: F.concat_ws("/", a.cast("string"), b.cast("string"))
+    parts = {
+        "percentiles": lambda e: (e["metric_key"], e["percentile"]),
+        "shots": lambda e: (joined(e["match_id"], e["minute"]), e["xg"]),
+        "heatmap": lambda e: (joined(e["col"], e["row"]), e["value"]),
+        "notes": lambda e: (e["note"], e["note_id"]),
+        "ratings": lambda e: (text(e["n_ratings"]), e["overall"]),
+        "profile": lambda e: (e["category"], e["score"]),
+        "roles": lambda e: (e["role_key"], e["score"]),
+        "similar": lambda e: (text(e["comparison_player_id"]), e["similarity"]),
+        "fits": lambda e: (text(e["team_id"]), e["fit_score"]),
+    }
+    return _sections(_player_payloads(spark, sf_dir), ["season_id", "player_id"], parts)
 
 
 _MICRO = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' ELSE CAST(CAST(floor(CAST({c} AS DOUBLE) * 1000000 + 0.5) AS BIGINT) AS VARCHAR) END"
@@ -1005,28 +1043,36 @@ def player_report_snapshots(spark, sf_dir):
     return _player_payloads(spark, sf_dir).select("season_id", "player_id", "snapshot_id")
 
 
+_CLUB_PCT = f"""{O.TEAM_SEASON},
+l AS (SELECT * FROM (UNPIVOT (SELECT season_id, team_id, {', '.join(config.CLUB_METRICS)} FROM tsm) ON {', '.join(config.CLUB_METRICS)} INTO NAME metric_key VALUE value)),
+clubs AS (SELECT season_id, team_id, metric_key, {O.rnd('percent_rank() OVER (PARTITION BY season_id, metric_key ORDER BY value) * 100', 1)} AS percentile FROM l
+  QUALIFY count(*) OVER (PARTITION BY season_id, metric_key) >= 2)"""
+
+
 @query(f"""SELECT * FROM ({O.STYLES} SELECT season_id, team_id, 'style' AS section, dimension AS key, score AS value FROM style)
+UNION ALL SELECT * FROM ({_CLUB_PCT} SELECT season_id, team_id, 'percentiles', metric_key, percentile FROM clubs)
 UNION ALL SELECT * FROM ({O.TEAM_SEASON} SELECT season_id, team_id, 'log', CAST(match_id AS VARCHAR), xg FROM tm) UNION ALL SELECT * FROM ({O.SEASON} SELECT season_id, team_id, 'squad', CAST(player_id AS VARCHAR), minutes FROM season)""")
 def club_report_payloads(spark, sf_dir):
-    """What three sections of each payload hold."""
+    """What all sections of each payload hold."""
     t, _, teams, seasons, matches = _dims(spark, sf_dir)
     season = t.team_season()
     identity = views.v_team_season(season, teams, seasons)
     p = payloads.club_report_payloads(identity, windows.club_percentiles(season, config.CLUB_METRICS), t.style(), views.team_match_log(t.team_match(), matches, teams), t.season())
-    return _sections(p, ["season_id", "team_id"], {"style": lambda e: (e["dimension"], e["score"]), "log": lambda e: (e["match_id"], e["xg"]), "squad": lambda e: (e["player_id"], e["minutes"])})
+    return _sections(p, ["season_id", "team_id"], {"percentiles": lambda e: (e["metric_key"], e["percentile"]), "style": lambda e: (e["dimension"], e["score"]), "log": lambda e: (e["match_id"], e["xg"]), "squad": lambda e: (e["player_id"], e["minutes"])})
 
 
 @query(f"""SELECT * FROM ({O.PLAYER_MATCH} SELECT match_id, 'players' AS section, CAST(player_id AS VARCHAR) AS key, passes AS value FROM pmm UNION ALL SELECT match_id, 'shots', CAST(minute AS VARCHAR), xg FROM ev WHERE type = 'SHOT')
-UNION ALL SELECT * FROM ({_net('')} SELECT match_id, 'network_edges', player_id || '>' || to_id, count(*) FROM p WHERE to_id IS NOT NULL GROUP BY match_id, team_id, player_id, to_id HAVING count(*) >= 2)""")
+UNION ALL SELECT * FROM ({_net('')} SELECT match_id, 'network_edges', player_id || '>' || to_id, count(*) FROM p WHERE to_id IS NOT NULL GROUP BY match_id, team_id, player_id, to_id HAVING count(*) >= 2
+UNION ALL SELECT match_id, 'network_nodes', CAST(player_id AS VARCHAR), sum(given) FROM ends GROUP BY match_id, team_id, player_id)""")
 def match_report_payloads(spark, sf_dir):
-    """What three sections of each payload hold."""
+    """What all sections of each payload hold."""
     t, _, teams, seasons, matches = _dims(spark, sf_dir)
     nodes, edges, _ = spatial.passing_network(t.events)
     shots = t.events.where("type = 'SHOT'").select("match_id", "event_id", "team_id", "player_id", "minute", "x", "y", "shot.xg", "shot.is_goal")
     summary = matches.select("match_id", "season_id", "kickoff_at", "home_team_id", "away_team_id")
     p = payloads.match_report_payloads(summary, t.player_match(), shots, nodes, edges)
     pair = lambda e: F.concat(e["from_id"].cast("string"), F.lit(">"), e["to_id"].cast("string"))
-    return _sections(p, ["match_id"], {"players": lambda e: (e["player_id"], e["passes"]), "shots": lambda e: (e["minute"], e["xg"]), "network_edges": lambda e: (pair(e), e["passes"])})
+    return _sections(p, ["match_id"], {"players": lambda e: (e["player_id"], e["passes"]), "shots": lambda e: (e["minute"], e["xg"]), "network_nodes": lambda e: (e["player_id"], e["passes"]), "network_edges": lambda e: (pair(e), e["passes"])})
 
 
 def _schedules(spark):
@@ -1072,10 +1118,21 @@ def stream_events(spark, sf_dir):
     return spark.read.parquet(f"{target}/table").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id")
 
 
-@query("SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)) AS repeated_ids FROM orders")
+_BLANKED = "CASE WHEN o_orderkey % 2 = 0 THEN ' ' END"
+
+
+@query(f"""WITH o AS (SELECT *, {_BLANKED} AS remark, NULL AS mark FROM orders), ids AS (SELECT o_custkey AS id, count(*) AS n FROM o GROUP BY o_custkey HAVING count(*) > 1)
+SELECT 'rows' AS item, CAST(NULL AS BIGINT) AS id, count(*) AS n FROM o UNION ALL SELECT 'columns', NULL, 8
+UNION ALL SELECT 'blank: remark', NULL, 1 FROM o HAVING count(nullif(trim(remark), '')) = 0 UNION ALL SELECT 'blank: mark', NULL, 1 FROM o HAVING count(mark) = 0
+UNION ALL SELECT 'repeated id', id, n FROM ids""")
 def profile_file(spark, sf_dir):
-    one, repeated = sinks.profile_file(bridge.read(spark, sf_dir, "orders"), "o_custkey")
-    return one.select("rows", F.col("columns").cast("bigint").alias("columns")).join(repeated.agg(F.count("*").alias("repeated_ids")))
+    """A file's rows, columns, blank columns (white space and nulls alone) and each repeated id with its count."""
+    orders = bridge.read(spark, sf_dir, "orders").selectExpr("*", f"{_BLANKED} AS remark", "CAST(NULL AS STRING) AS mark")
+    one, repeated = sinks.profile_file(orders, "o_custkey")
+    item = lambda name, n: F.struct(F.lit(name).alias("item"), F.lit(None).cast("bigint").alias("id"), n.cast("bigint").alias("n"))
+    blank = F.transform("blank_columns", lambda c: F.struct(F.concat(F.lit("blank: "), c).alias("item"), F.lit(None).cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("n")))
+    counted = one.select(F.explode(F.concat(F.array(item("rows", F.col("rows")), item("columns", F.col("columns"))), blank)).alias("e")).select("e.*")
+    return counted.unionByName(repeated.select(F.lit("repeated id").alias("item"), F.col("id").cast("bigint").alias("id"), "n"))
 
 
 def _sums(prelude: str, *tables: tuple[str, str, str]) -> str:
