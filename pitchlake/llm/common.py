@@ -26,18 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: The folder of this driver's tables in the shared folder.
-RUN = f"run-{uuid.uuid4().hex}"
+#: The folder of this driver's tables in the shared folder, and the setting by which a session names one of its own.
+RUN, RUN_SETTING = f"run-{uuid.uuid4().hex}", "pitchlake.run"
+
+
+def run_folder(spark: SparkSession, run: str | None = None) -> str:
+    """The folder of a run in the shared folder: the one that is named, else the session's own, else this driver's."""
+    return f"{shared_dir(spark)}/{run or spark.conf.get(RUN_SETTING, RUN)}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in this run's folder in the shared folder."""
-    return f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
+    """A new path in this run's folder. Runs that share a driver have folders of their own if each has a session of its own
+    (spark.newSession()) that names its run in RUN_SETTING."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes this run's folder. DataFrames that the operators returned can't be read any more, so write them first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
+def drop_tables(spark: SparkSession, run: str | None = None) -> None:
+    """Deletes a run's folder, by default this session's. DataFrames that the operators returned can't be read any more, so
+    write them first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark, run))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -8,6 +8,7 @@ Defined results: null counts as the empty text; empty texts have equal fingerpri
 like any other text; equal texts have equal fingerprints. Documents follow each other by ascending doc_id, rows with
 equal doc_id by a hash of the text, rows without an id first; the last is followed by the first, a single one by itself.
 Only id and text are read, so extra columns can't clash; an empty table gives an empty one. Texts are parsed whole.
+with_edits() orders by whole numbers of 64 bits; text that is no such number ends the job, as no order is defined for it.
 """
 
 from __future__ import annotations
