@@ -31,8 +31,9 @@ def _schema(points: DataFrame, subject: list[str]) -> str:
 
 
 def density(points: DataFrame, subject: list[str], xs: list[float], ys: list[float], width: float, height: float, bandwidth: float, reach: float | None = None, kernel: bool = False) -> DataFrame:
-    """(subject, col, row, value, count, weight): the sum of Gaussian kernels of weighted points (x, y, weight) at all cells' centres
-    (xs, ys), and the number and weight of the points that lie in each cell of a field of width and height.
+    """(subject, col, row, value, count, weight, peak, sample_size, total_weight): the sum of Gaussian kernels of weighted points
+    (x, y, weight) at all cells' centres (xs, ys), the number and weight of the points that lie in each cell of a field of width
+    and height, and of each subject the largest value and the number and weight of all its points.
 
     reach: kernels are zero beyond this distance. kernel: points have a column k of the inverse covariance (xx, xy, yy); else
     kernels are round. A task adds its points up in a grid for each subject; a row for each subject and task is shuffled,
@@ -114,6 +115,8 @@ def density(points: DataFrame, subject: list[str], xs: list[float], ys: list[flo
     some = points.select(*subject, F.col("x").cast("double"), F.col("y").cast("double"), F.col("weight").cast("double"), *extra).mapInArrow(partial, schema)
     whole = some.repartition(*subject).sortWithinPartitions(*subject).mapInArrow(added, schema)
     at = lambda k: F.slice("grid", k * size + 1, size)
-    cells = whole.select(*subject, F.posexplode(F.arrays_zip(at(0).alias("value"), at(1).alias("count"), at(2).alias("weight"))).alias("n", "c"))
+    total = lambda k: F.aggregate(at(k), F.lit(0.0), lambda a, v: a + v)
+    of = {"peak": F.array_max(at(0)), "sample_size": total(1).cast("bigint"), "total_weight": total(2)}  # before cells are rows, so that no cell is moved
+    cells = whole.select(*subject, *(c.alias(n) for n, c in of.items()), F.posexplode(F.arrays_zip(at(0).alias("value"), at(1).alias("count"), at(2).alias("weight"))).alias("n", "c"))
     col, row = F.floor(F.col("n") / rows).cast("int"), (F.col("n") % rows).cast("int")
-    return cells.select(*subject, col.alias("col"), row.alias("row"), "c.value", F.col("c.count").cast("bigint").alias("count"), "c.weight")
+    return cells.select(*subject, col.alias("col"), row.alias("row"), "c.value", F.col("c.count").cast("bigint").alias("count"), "c.weight", *of)

@@ -73,11 +73,16 @@ def _cell(c: str, size: float, count: int) -> Column:
 
 def _complete(cells: DataFrame, subject: list[str], cols: int, rows: int, hexagons: bool, normalize: bool) -> DataFrame:
     """Adds the empty cells of the grid, the cells' centres, and divides by the subject's peak."""
-    w, h = LENGTH / cols, WIDTH / rows
     grid = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.struct(c.alias("col"), r.alias("row"))))))
     of = cells.groupBy(*subject).agg(F.max("value").alias("peak"), F.sum("count").alias("sample_size"), F.sum("weight").alias("total_weight"))
     every = of.select(*subject, "peak", "sample_size", "total_weight", grid.alias("g")).select(*subject, "peak", "sample_size", "total_weight", "g.col", "g.row")
     out = every.join(cells.select(*subject, "col", "row", "value", "count"), [*subject, "col", "row"], "left").fillna(0.0, ["value"]).fillna(0, ["count"])
+    return _placed(out, subject, cols, rows, hexagons, normalize)
+
+
+def _placed(out: DataFrame, subject: list[str], cols: int, rows: int, hexagons: bool, normalize: bool) -> DataFrame:
+    """Adds the centres of a whole grid's cells, and divides by the subject's peak."""
+    w, h = LENGTH / cols, WIDTH / rows
     x = F.least(F.lit(LENGTH), w * F.col("col") + F.when(F.col("row") % 2 == 1, w / 2).otherwise(0.0) + w / 2) if hexagons else w * (F.col("col") + 0.5)
     value = F.when(F.col("peak") > 0, jsround(F.col("value") / F.col("peak"), 4)).otherwise(0.0) if normalize else jsround(F.col("value"), 4)
     return out.select(*subject, "col", "row", jsround(x, 2).alias("x"), jsround(h * (F.col("row") + 0.5), 2).alias("y"), value.alias("value"), "count", "peak", "sample_size", "total_weight")
@@ -103,7 +108,7 @@ def heatmap_kde(points: DataFrame, subject: list[str], cols: int = 24, rows: int
     w, h = LENGTH / cols, WIDTH / rows
     centre = lambda size, n: [math.floor(size * (k + 0.5) * 100 + 0.5) / 100 for k in range(n)]  # noqa: E731  rounded as the cells' places are
     cells = grids.density(_in_bounds(points), subject, centre(w, cols), centre(h, rows), LENGTH, WIDTH, bandwidth, 3 * bandwidth)
-    return _complete(cells, subject, cols, rows, False, normalize)
+    return _placed(cells, subject, cols, rows, False, normalize)
 
 
 def heatmap_kde_full(points: DataFrame, subject: list[str], cols: int = 24, rows: int = 16, bandwidth: float = 6.0, method: str = "exact", normalize: bool = True) -> DataFrame:
@@ -122,7 +127,7 @@ def heatmap_kde_full(points: DataFrame, subject: list[str], cols: int = 24, rows
         shaped = inside.join(_moments(own, subject).select(*subject, kernel.alias("k")), subject)
     centre = lambda size, n: [size * (k + 0.5) for k in range(n)]
     cells = grids.density(shaped, subject, centre(w, cols), centre(h, rows), LENGTH, WIDTH, bandwidth, kernel=method == "covariance")
-    return _complete(cells, subject, cols, rows, False, normalize)
+    return _placed(cells, subject, cols, rows, False, normalize)
 
 
 def _moments(own: DataFrame, subject: list[str]) -> DataFrame:

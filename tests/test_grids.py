@@ -43,3 +43,14 @@ def test_what_is_shuffled(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("RepartitionByExpression") :]
     assert "MapInArrow" in below.split("\n", 2)[1] and grids.density(df.limit(0), ["a"], [1.0], [1.0], 105.0, 68.0, 6.0).count() == 0
+
+
+def test_no_cell_is_joined(spark):
+    """A density has all its cells: they aren't joined to a grid, where they would be broadcast, but come with their subject's peak."""
+    df = spark.range(2000).selectExpr("id % 300 AS a", "id % 105 * 1.0D AS x", "id % 68 * 1.0D AS y", "1.0D AS weight").unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS a, 50.0D AS x, 30.0D AS y, 2.0D AS weight"))
+    for heat in (spatial.heatmap_kde(df, ["a"], 6, 4), spatial.heatmap_kde_full(df, ["a"], 6, 4)):
+        assert "Join" not in heat._jdf.queryExecution().optimizedPlan().toString()
+        rows = heat.collect()
+        assert len(rows) == 301 * 24 and sum(r["count"] for r in rows) == 2001
+        assert {r.a for r in rows if r.value == 1} == {*range(300), None}
+        assert {(r.sample_size, r.total_weight) for r in rows if r.a is None} == {(1, 2.0)}
