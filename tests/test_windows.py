@@ -70,3 +70,10 @@ def test_windows_hold_distinct_values(long):
         below = [plan[m.start() :] for m in re.finditer(r"\bWindow \[", plan)]
         assert all("Aggregate" in x for x in below)
     assert "Window" not in windows.zscore(long, KEYS)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_not_broadcast(long):
+    """Distinct values may be as many as players, whatever Spark takes them for."""
+    for made in (windows.player_percentiles(long, 60), windows.percentile_at_or_below(long, KEYS)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
