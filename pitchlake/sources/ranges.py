@@ -16,16 +16,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a range; bytes that are read at once behind a range until its last record ends; bytes that a record's start may take.
 RANGE, BEHIND, START = 64 << 20, 1 << 20, 4096
+#: Tasks up to which each range is one of its own; with more ranges, a task takes several, one after the other.
+TASKS = 1000
 SCHEMA = "path string, start bigint, record string"
 _TYPES = pa.schema([("path", pa.string()), ("start", pa.int64()), ("record", pa.string())])
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    start: int
-    end: int
-    size: int
+class Ranges(InputPartition):
+    """Stretches of files (path, start, end, size of the file), each of which is read in ranges."""
+
+    parts: list[tuple[str, int, int, int]]
 
 
 class JsonRecords(DataSource):
@@ -33,8 +34,9 @@ class JsonRecords(DataSource):
 
     Options: path (a folder, looked through with its subfolders), files (a pattern of names), keys (names with commas between
     them: every record's first key is one of these, and no object within a record has one of them first), bytes of a range.
-    A record belongs to the range in which it starts, and its text ends where the next one starts. Files may be in any store
-    that Arrow's file systems open.
+    A record belongs to the range in which it starts, and its text ends where the next one starts. A range is a task; if these
+    would be more than some TASKS, a task takes several ranges, 64 MB in all at most, and holds one at a time. Files may be in
+    any store that Arrow's file systems open.
     """
 
     @classmethod
@@ -54,26 +56,45 @@ class _Reader(DataSourceReader):
         keys = "|".join(re.escape(k.strip()) for k in options["keys"].split(","))
         self.pattern = rb'\{\s*"(?:' + keys.encode() + rb')"\s*:'
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
         found = store.get_file_info(root)
         listed = [found] if found.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
         files = [f for f in listed if f.is_file and fnmatch.fnmatch(f.base_name, self.files) and not f.base_name.startswith(("_", "."))]
-        return [Range(f.path, a, min(a + self.size, f.size), f.size) for f in files for a in range(0, f.size, self.size)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        ranges = [(f, at, min(at + self.size, f.size)) for f in files for at in range(0, f.size, self.size)]
+        most = min(RANGE, sum(f.size for f in files) // TASKS) if len(ranges) > TASKS else 0  # bytes of a task
+        tasks, room = [], 0
+        for f, at, end in ranges:
+            if not tasks or room < end - at:
+                tasks.append(Ranges([]))
+                room = most
+            parts = tasks[-1].parts
+            if parts and parts[-1][0] == f.path:
+                parts[-1] = (f.path, parts[-1][1], end, f.size)  # the next one of the same file
+            else:
+                parts.append((f.path, at, end, f.size))
+            room -= end - at
+        return tasks
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        for path, start, end, size in part.parts:
+            with store.open_input_file(path) as f:
+                for a in range(start, end, self.size):
+                    yield from self._records(f, path, a, min(a + self.size, end), size)
+
+    def _records(self, f: pa.NativeFile, path: str, start: int, end: int, size: int) -> Iterator[pa.RecordBatch]:
+        """The records that start in one range."""
         pattern = re.compile(self.pattern)
-        with store.open_input_file(part.path) as f:
-            data = f.read_at(min(part.end + START, part.size) - part.start, part.start)
-            starts = [m.start() for m in pattern.finditer(data) if part.start + m.start() < part.end]
-            if not starts:
-                return
-            # behind the range to where its last record ends: the start of the next one, or the end of the file
-            at = starts[-1] + 1
-            while (after := pattern.search(data, at)) is None and part.start + len(data) < part.size:
-                at = max(at, len(data) - START)
-                data += f.read_at(min(BEHIND, part.size - part.start - len(data)), part.start + len(data))
+        data = f.read_at(min(end + START, size) - start, start)
+        starts = [m.start() for m in pattern.finditer(data) if start + m.start() < end]
+        if not starts:
+            return
+        # behind the range to where its last record ends: the start of the next one, or the end of the file
+        at = starts[-1] + 1
+        while (after := pattern.search(data, at)) is None and start + len(data) < size:
+            at = max(at, len(data) - START)
+            data += f.read_at(min(BEHIND, size - start - len(data)), start + len(data))
         ends = [*starts[1:], after.start() if after else len(data)]
         for k in range(0, len(starts), 1000):
             texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[k : k + 1000], ends[k : k + 1000])]
@@ -81,7 +102,7 @@ class _Reader(DataSourceReader):
             texts = [t if last and i == len(texts) - 1 else t.rstrip().removesuffix(",").rstrip() for i, t in enumerate(texts)]
             if last:
                 texts[-1] = _first_value(texts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(texts)), pa.array([part.start + a for a in starts[k : k + 1000]], pa.int64()), pa.array(texts)], schema=_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(texts)), pa.array([start + a for a in starts[k : k + 1000]], pa.int64()), pa.array(texts)], schema=_TYPES)
 
 
 def _first_value(text: str) -> str:

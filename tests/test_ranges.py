@@ -53,3 +53,18 @@ def test_one_match_is_several_tasks(spark, tmp_path):
     assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect())) and whole.count() == 1000 and bad.count() == 0
     raw = spark.read.format("json_records").options(path=f"file://{tmp_path}/matches", files="structured_data.json", keys="possession", bytes="10000").load()
     assert raw.rdd.getNumPartitions() > 5 and raw.count() == 500
+
+
+def test_a_task_takes_many_ranges(spark, tmp_path, monkeypatch):
+    """Ranges beyond the number of tasks are dealt to these, each range once; few ranges are a task each."""
+    for k in range(30):
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"id": 100 * k + i, "note": "n" * 30, "parts": []} for i in range(40)]))
+    reader = ranges.JsonRecords({"path": str(tmp_path), "files": "*.json", "keys": "id", "bytes": "200"}).reader(None)
+    each = reader.partitions()
+    want = sorted((path, at) for p in each for path, a, b, _ in p.parts for at in range(a, b, 200))
+    assert len(each) == len(want) > 300
+    monkeypatch.setattr(ranges, "TASKS", 20)
+    few = reader.partitions()
+    assert 20 <= len(few) <= 30 and sorted((path, at) for p in few for path, a, b, _ in p.parts for at in range(a, b, 200)) == want
+    got = [json.loads(t)["id"] for p in few for batch in reader.read(p) for t in batch.column("record").to_pylist()]
+    assert sorted(got) == [100 * k + i for k in range(30) for i in range(40)]
