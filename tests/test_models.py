@@ -145,3 +145,27 @@ def test_comparing_takes_two_to_five(spark):
     for ids in ([1], [1, 1], list(range(6))):
         with pytest.raises(ValueError):
             search.compare_players(ids, None, None, None)
+
+
+def test_vectors_are_made_once_for_similar_players(spark):
+    """What reads the vectors in several places reads one shuffle, and few pairs of a block are scored in full."""
+    from pitchlake.operators import similarity
+
+    made, n = spark.sparkContext.accumulator(0), 60
+    seen = F.udf(lambda a: (made.add(1), a)[1], "map<string,double>")
+    rng = np.random.default_rng(1)
+    rows = [(1, k, "MF", {m: float(v) for m, v in zip("abc", rng.integers(0, 1000, 3) / 10)}) for k in range(n)]
+    vectors = spark.createDataFrame(rows, "season_id int, player_id int, position_group string, vector map<string,double>").withColumn("vector", seen("vector"))
+    assert models.similar_players(vectors, list("abc"), limit=2).count() == 2 * n and made.value == n
+
+    x, y = (np.round(rng.uniform(0, 100, (k, 38)), 1) - 50 for k in (700, 900))
+    scored, plain = [], similarity._likeness
+    similarity._likeness = lambda x, mx, y, my: (scored.append(len(x) * len(y)), plain(x, mx, y, my))[1]
+    try:
+        own, other, one = np.arange(700), np.arange(700, 1600), np.ones_like
+        few = similarity._best(x, one(x), own, y, one(y), other, 10)
+        assert not scored
+    finally:
+        similarity._likeness = plain
+    every = similarity._all(x, one(x), own, y, one(y), other, 10)
+    assert set(zip(*map(list, few))) == set(zip(*map(list, every)))
