@@ -74,3 +74,14 @@ def test_weights_reach_what_is_made_with_them(spark, football, tmp_path):
     recompute.refresh(tables, path, spark.createDataFrame([], "match_id bigint"), min_minutes=30)
     recompute.refresh(tables, path, min_minutes=30)
     assert files(path) == same
+
+
+def test_changed_matches_are_found_once(spark, football, tmp_path):
+    events, played = football
+    tables, found = {"events": events, "appearances": played}, spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda m: (found.add(1), m)[1], "bigint")
+    last = played.where("season_id = 2").agg(F.max("match_id").alias("match_id")).first()["match_id"]
+    one = spark.createDataFrame([(last,)], "match_id bigint").withColumn("match_id", seen("match_id"))
+    recompute.recompute(tables, f"{tmp_path}/once", min_minutes=30)
+    recompute.refresh(tables, f"{tmp_path}/once", one, min_minutes=30)
+    assert found.value == 1
