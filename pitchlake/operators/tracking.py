@@ -85,24 +85,52 @@ def team_shape(positions: DataFrame) -> DataFrame:
     return out.withColumn("line_distance_m", jsround(F.col("attacking_line_m") - F.col("defensive_line_m"), 2))
 
 
+#: Frames of a player that are followed at once.
+STRETCH = 20_000
+
+
 def player_physical(positions: DataFrame, frame_rate_hz: float = 10.0, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
     """Distance, high-speed distance, sprints and top speed of each session and player.
 
     Steps faster than a human are dropped, but the next step starts where they ended, and a sprint survives them: it
     starts at a fast step whose last valid predecessor wasn't fast.
+
+    A player is followed over stretches of frames, each by itself. A stretch's first step, and whether its first fast step
+    starts a sprint, are told by the stretches before it, so windows hold a stretch's frames, or a player's stretches.
     """
     dt = 1 / max(1.0, frame_rate_hz)
     by = [*keys, "player_id"]
-    order = Window.partitionBy(*by).orderBy("frame_index")
-    dx, dy = F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)
-    steps = positions.where("player_id is not null").select(*by, "team_id", "frame_index", "x", "y", F.sqrt(dx * dx + dy * dy).alias("step"), "speed_ms")
-    valid = F.col("step") <= IMPOSSIBLE * dt
-    speed = F.when(valid, F.coalesce("speed_ms", F.col("step") / dt))
-    fast = F.when(valid, (speed >= SPRINT).cast("int"))
-    before = F.last("fast", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = steps.withColumns({"speed": speed, "fast": fast}).withColumn("start", (F.col("fast") == 1) & (F.coalesce(before, F.lit(0)) == 0))
-    moved = F.when(F.col("speed").isNotNull(), F.col("step"))
-    return marked.groupBy(*by).agg(
-        F.min_by("team_id", "frame_index").alias("team_id"), F.count("*").alias("frames"), jsround(F.avg("x"), 2).alias("avg_x"), jsround(F.avg("y"), 2).alias("avg_y"), jsround(F.coalesce(F.sum(moved), F.lit(0.0)), 2).alias("distance_m"),
-        jsround(F.coalesce(F.sum(F.when(F.col("speed") >= HIGH_SPEED, moved)), F.lit(0.0)), 2).alias("high_speed_distance_m"), F.count_if("start").alias("sprint_count"), jsround(F.coalesce(F.max("speed"), F.lit(0.0)), 2).alias("max_speed_ms"),
+    known = positions.where("player_id is not null").select(*by, "team_id", "frame_index", "x", "y", "speed_ms", F.floor(F.col("frame_index") / STRETCH).alias("_s"))
+
+    def moved(x: Column, y: Column) -> list[Column]:
+        """step, speed and fast of a place with the place before it."""
+        dx, dy = F.col("x") - x, F.col("y") - y
+        step = F.sqrt(dx * dx + dy * dy)
+        speed = F.when(step <= IMPOSSIBLE * dt, F.coalesce("speed_ms", step / dt))
+        return [F.when(speed.isNotNull(), step).alias("step"), speed.alias("speed"), (speed >= SPRINT).alias("fast")]
+
+    within = Window.partitionBy(*by, "_s").orderBy("frame_index")
+    steps = known.select("*", *moved(F.lag("x").over(within), F.lag("y").over(within)))
+    before = F.last("fast", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    marked = steps.withColumn("start", F.col("fast") & ~before)  # null before a stretch's first valid step
+    high = F.col("speed") >= HIGH_SPEED
+    at = F.when(F.col("fast").isNotNull(), F.col("frame_index"))
+    stretches = marked.groupBy(*by, "_s").agg(
+        F.min("frame_index").alias("frame_index"), F.min_by(F.struct("team_id", "x", "y", "speed_ms"), "frame_index").alias("_first"), F.max_by(F.struct("x", "y"), "frame_index").alias("_last"), F.count("*").alias("frames"),
+        *(a(c).alias(f"_{n}_{c}") for c in "xy" for n, a in (("sum", F.sum), ("n", F.count))), F.sum("step").alias("_way"), F.sum(F.when(high, F.col("step"))).alias("_high"), F.max("speed").alias("_most"),
+        F.count_if("start").alias("_starts"), F.min_by("fast", at).alias("_fast_first"), F.max_by("fast", at).alias("_fast_last"),
+    )
+    order = Window.partitionBy(*by).orderBy("_s")
+    last = F.lag("_last").over(order)
+    joined = stretches.select("*", *(F.col("_first")[c].alias(c) for c in ("team_id", "x", "y", "speed_ms")), last["x"].alias("_px"), last["y"].alias("_py"))
+    joined = joined.select("*", *moved(F.col("_px"), F.col("_py")))  # of the first place of each stretch
+    before = F.last(F.coalesce("_fast_last", "fast"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    no = F.lit(False)
+    starts = F.col("_starts") + (F.coalesce("fast", no) & ~F.coalesce(before, no)).cast("int") + (F.coalesce("_fast_first", no) & ~F.coalesce("fast", before, no)).cast("int")
+    joined = joined.withColumn("_starts", starts)
+    total = lambda c, more: F.sum(F.coalesce(c, F.lit(0.0)) + F.coalesce(more, F.lit(0.0)))
+    mean = lambda c: jsround(F.sum(f"_sum_{c}") / F.sum(f"_n_{c}"), 2).alias(f"avg_{c}")
+    return joined.groupBy(*by).agg(
+        F.min_by("team_id", "frame_index").alias("team_id"), F.sum("frames").alias("frames"), mean("x"), mean("y"), jsround(total(F.col("_way"), F.col("step")), 2).alias("distance_m"),
+        jsround(total(F.col("_high"), F.when(high, F.col("step"))), 2).alias("high_speed_distance_m"), F.sum("_starts").alias("sprint_count"), jsround(F.coalesce(F.max(F.greatest("_most", "speed")), F.lit(0.0)), 2).alias("max_speed_ms"),
     )

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitchlake.operators import models, search, spatial, tracking
@@ -169,3 +170,28 @@ def test_vectors_are_made_once_for_similar_players(spark):
         similarity._likeness = plain
     every = similarity._all(x, one(x), own, y, one(y), other, 10)
     assert set(zip(*map(list, few))) == set(zip(*map(list, every)))
+
+
+def test_physical_output_over_stretches(spark, monkeypatch):
+    """Whatever stretches a player is cut into, the output is that of one; no window holds more than a stretch, or a player's stretches."""
+    schema = "session_id int, frame_index int, player_id int, team_id int, x double, y double, speed_ms double"
+    rng = np.random.default_rng(5)
+    rows = []
+    for p in range(4):
+        x = np.cumsum(rng.choice([0.1, 0.65, 0.75, 5.0], 60, p=[0.3, 0.3, 0.3, 0.1])).round(2)
+        rows += [(1, int(f), p, 1, float(x[f]), None if (f + p) % 17 == 0 else 1.0, None if f % 3 else float(rng.choice([1.0, 6.0, 8.0]))) for f in rng.permutation(60) if f % 11 != 7]
+    positions = spark.createDataFrame(rows, schema)
+
+    def found(stretch):
+        monkeypatch.setattr(tracking, "STRETCH", stretch)
+        out = tracking.player_physical(positions)
+        return sorted(map(tuple, out.collect()))
+
+    whole = found(1000)
+    assert sum(r[8] for r in whole) > 8 and found(1) == found(2) == found(7) == whole
+    order = Window.partitionBy("player_id").orderBy("frame_index")
+    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(order), 2) + F.pow(F.col("y") - F.lag("y").over(order), 2))
+    s = positions.withColumn("step", step).withColumn("speed", F.when(F.col("step") <= 1.2, F.coalesce("speed_ms", F.col("step") * 10)))
+    s = s.withColumn("before", F.last(F.col("speed") >= 7, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    plain = s.groupBy("player_id").agg(F.count_if((F.col("speed") >= 7) & ~F.coalesce("before", F.lit(False))).alias("n"), F.max("speed").alias("m")).orderBy("player_id").collect()
+    assert [(r[1], r[8], r[9]) for r in whole] == [(r.player_id, r.n, round(r.m, 2)) for r in plain]
