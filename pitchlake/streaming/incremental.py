@@ -124,8 +124,10 @@ def load_stream(
                 own = [r[0] for r in rows.select(partition).distinct().limit(NAMED + 1).collect()]
                 stored = stored.where(F.col(partition).isin(own)) if len(own) <= NAMED else stored
             rows = rows.join(stored.select(*keys), list(keys), "left_anti")
-        out = rows.write.mode("append")
-        (out.partitionBy(partition) if partition else out).parquet(target)
+        if partition:  # moved to it first, or each task leaves a file in each partition
+            rows.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(target)
+        else:
+            rows.write.mode("append").parquet(target)
 
     return events.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -197,3 +197,14 @@ def test_what_cannot_be_read_is_told(spark, tmp_path):
     cells = spark.createDataFrame([("7", "x"), (" ", None), ("7.5", "3")], "minute string, x string")
     found = rejects.unread_cells(cells, {"minute": "int", "x": "double", "none": "int"}, F.lit("p"))
     assert sorted((r.path, r.severity, r.message, r.shown) for r in found.collect()) == [("p", "WARNING", "no double in column x", "x"), ("p", "WARNING", "no int in column minute", "7.5")]
+
+
+def test_a_batch_leaves_a_file_in_each_partition(spark, tmp_path):
+    """Not one of each task: equal keys of a partition meet in it before they are written."""
+    import glob
+
+    spark.range(400).selectExpr("CAST(id % 3 AS STRING) AS m", "id").repartition(4).write.json(f"{tmp_path}/in")
+    arrived = spark.readStream.schema("m string, id bigint").json(f"{tmp_path}/in")
+    incremental.load_stream(arrived, f"{tmp_path}/table", f"{tmp_path}/cp", ("m", "id"), lambda b: b.dropDuplicates(["m", "id"]), "m").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 400
+    assert len(glob.glob(f"{tmp_path}/table/*/*.parquet")) == 3
