@@ -36,6 +36,20 @@ def test_season_of_two_matches(spark):
     assert (s.matches, s.starts, s.minutes, s.shots_p90, s.xg_p90, s.distance_p90) == (2, 1, 180, 1.0, 0.2, None)
 
 
+def test_season_adds_up_in_order_of_matches(spark):
+    """0.282 + 0.7 + 0.108 is 1.09, a quarter of which rounds to 0.273; backwards it is 1.0899999999999999, and 0.272."""
+    xg = {1: 0.282, 2: 0.7, 3: 0.108, 4: 0.0}
+    apps = spark.createDataFrame([(m, 1, 5, 7, "FW", 90, True) for m in xg], "match_id int, player_id int, season_id int, team_id int, position_group string, minutes int, is_starter boolean")
+    rows = [(m, 1, "SHOT", 90.0, 34.0, None, None, None, None, (v, False, False, True), None, None) for m, v in xg.items()]
+    match = M.player_match_metrics(spark.createDataFrame(rows, SCHEMA), apps)
+    kept = sorted(match.collect(), key=lambda r: r.match_id)
+    for order in (kept, kept[::-1]):
+        s = M.player_season_totals(spark.createDataFrame(order, match.schema).coalesce(1)).first()
+        assert (s.xg, s.npxg, s.xa, s.xg_per_shot) == (1.09, 1.09, 0.0, 0.273)
+    unknown = M.player_season_totals(match.withColumns({"xg": F.when(F.col("match_id") != 2, F.col("xg")), "xa": F.lit(None).cast("double")})).first()
+    assert (unknown.xg, unknown.xa) == (0.282 + 0.108, None)
+
+
 def test_ppda_needs_an_opponent(spark):
     cols = ["match_id", "season_id", "team_id", *M.TEAM_SUMS]
     row = lambda m, t, **k: (m, 1, t, *(k.get(c, 0.0 if c == "xg" else 0) for c in M.TEAM_SUMS))
